@@ -20,7 +20,7 @@ BUCKETS = 8192
 #: Added to each bucket's count, as a share of all n-grams spread evenly.
 SMOOTH = 1.0
 #: A document is kept from this mean log ratio on.
-LEAST = -0.15
+LEAST = -0.044
 #: Base rules: fewer words fail, and more than this percentage of words in repeated windows.
 LEAST_WORDS, MOST_REPEATED = 50, 50
 #: Trusted ids up to this number are broadcast (8 bytes each).
@@ -31,9 +31,12 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
 
 
-def ngram_buckets(words: Column, buckets: int = BUCKETS) -> Column:
-    """The buckets of a text's words and of its pairs of neighbouring words."""
-    n = F.lit(buckets).cast("long")
+def ngram_buckets(name: str, buckets: int = BUCKETS) -> Column:
+    """The buckets of the words, and of the pairs of neighbouring words, in the array column of that name.
+
+    It must be a column, not an expression: the lambdas look into it at each position.
+    """
+    n, words = F.lit(buckets).cast("long"), F.col(name)
     single = F.transform(words, lambda w: F.pmod(F.xxhash64(w), n).cast("int"))
     pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 1, F.lit(1))), lambda i: F.pmod(F.xxhash64(F.get(words, i - 1), F.get(words, i)), n).cast("int"))
     return F.when(F.size(words) > 1, F.concat(single, pairs)).otherwise(single)
@@ -50,7 +53,7 @@ def ngram_weights(docs: DataFrame, trusted_ids: DataFrame, buckets: int = BUCKET
         docs.select("doc_id", F.lower("text").alias("low"))
         .join(ids, "doc_id", "left")
         .select("_trusted", words_of(F.col("low")).alias("words"))
-        .select("_trusted", F.explode(ngram_buckets(F.col("words"), buckets)).alias("bucket"))
+        .select("_trusted", F.explode(ngram_buckets("words", buckets)).alias("bucket"))
     )
     counted = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("_trusted").alias("target")).collect()
     raw, target = [0] * buckets, [0] * buckets
@@ -78,9 +81,9 @@ def base_counts(docs: DataFrame) -> DataFrame:
         F.sequence(F.lit(0), F.greatest(F.size("words") - 3, F.lit(0))),
         lambda i: F.struct(F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2)).alias("h"), i.alias("i")),
     )
-    out = out.withColumn("_windows", F.when(F.size("words") >= 3, F.array_sort(window)))
-    h = lambda i: F.get("_windows", i)["h"]
-    again = F.array_sort(F.transform(F.filter("_windows", lambda x, i: (x["h"] == F.coalesce(h(i - 1), ~x["h"])) | (x["h"] == F.coalesce(h(i + 1), ~x["h"]))), lambda x: x["i"]))
+    out = out.withColumn("_windows", F.when(F.size("words") >= 3, F.sort_array(window)))
+    same = lambda x, i: F.coalesce(x["h"] == F.get("_windows", i)["h"], F.lit(False))
+    again = F.sort_array(F.transform(F.filter("_windows", lambda x, i: same(x, i - 1) | same(x, i + 1)), lambda x: x["i"]))
     out = out.withColumn("_again", again)
 
     def step(acc, i):
@@ -96,9 +99,9 @@ def quality_verdicts(docs: DataFrame, weights: list[float], least: float = LEAST
     Null and empty texts have no words, score 0 and fail the base rules.
     Repeated rows are judged alike.
     """
-    scored = base_counts(docs)
-    table_ = F.array(*[F.lit(w) for w in weights])
-    grams = ngram_buckets(F.transform("words", lambda w: F.lower(w)), len(weights))
+    scored = base_counts(docs).withColumn("_low", F.transform("words", lambda w: F.lower(w)))
+    table_ = F.split(F.lit(",".join(map(repr, weights))), ",").cast("array<double>")
+    grams = ngram_buckets("_low", len(weights))
     total = F.aggregate(grams, F.lit(0.0), lambda acc, b: acc + F.get(table_, b))
     size = F.when(F.col("n_words") > 1, 2 * F.col("n_words") - 1).otherwise(F.col("n_words"))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
@@ -106,7 +109,7 @@ def quality_verdicts(docs: DataFrame, weights: list[float], least: float = LEAST
         scored.withColumn("score", F.when(F.col("n_words") > 0, total / size).otherwise(F.lit(0.0)))
         .withColumn("base_failed", failed)
         .withColumn("kept", ~F.col("base_failed") & (F.col("score") >= least))
-        .drop("words")
+        .drop("words", "_low")
     )
 
 

@@ -5,15 +5,19 @@ from __future__ import annotations
 from .bpe import op3_bpe
 from .media import op9_media
 from .mixing import OP1_SQL, op1_mixing
+from .quality_rules import op6_quality_rules
+from .secrets import OP4_SQL, op4_secrets
 
 
 def queries() -> dict:
     return {
         "op1_mixing": op1_mixing,
         "op3_bpe": op3_bpe,
+        "op4_secrets": op4_secrets,
+        "op6_quality_rules": op6_quality_rules,
         "op9_media": op9_media,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op1_mixing": OP1_SQL}
+    return {"op1_mixing": OP1_SQL, "op4_secrets": OP4_SQL}
