@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from .bpe import op3_bpe
+from .html_extract import op2_html_text
 from .media import op9_media
 from .mixing import OP1_SQL, op1_mixing
+from .quality_model import op7_quality_model
 from .quality_rules import op6_quality_rules
 from .secrets import OP4_SQL, op4_secrets
 
@@ -12,9 +14,11 @@ from .secrets import OP4_SQL, op4_secrets
 def queries() -> dict:
     return {
         "op1_mixing": op1_mixing,
+        "op2_html_text": op2_html_text,
         "op3_bpe": op3_bpe,
         "op4_secrets": op4_secrets,
         "op6_quality_rules": op6_quality_rules,
+        "op7_quality_model": op7_quality_model,
         "op9_media": op9_media,
     }
 
