@@ -6,6 +6,7 @@ from .bpe import op3_bpe
 from .html_extract import op2_html_text
 from .media import op9_media
 from .mixing import OP1_SQL, op1_mixing
+from .neardup import op5_neardup
 from .quality_model import op7_quality_model
 from .quality_rules import op6_quality_rules
 from .secrets import OP4_SQL, op4_secrets
@@ -17,6 +18,7 @@ def queries() -> dict:
         "op2_html_text": op2_html_text,
         "op3_bpe": op3_bpe,
         "op4_secrets": op4_secrets,
+        "op5_neardup": op5_neardup,
         "op6_quality_rules": op6_quality_rules,
         "op7_quality_model": op7_quality_model,
         "op9_media": op9_media,
