@@ -10,6 +10,7 @@ from .neardup import op5_neardup
 from .quality_model import op7_quality_model
 from .quality_rules import op6_quality_rules
 from .secrets import OP4_SQL, op4_secrets
+from .suffix_dedup import op10_suffix_dedup
 
 
 def queries() -> dict:
@@ -22,6 +23,7 @@ def queries() -> dict:
         "op6_quality_rules": op6_quality_rules,
         "op7_quality_model": op7_quality_model,
         "op9_media": op9_media,
+        "op10_suffix_dedup": op10_suffix_dedup,
     }
 
 
