@@ -26,13 +26,16 @@ from .common import MIX_A, MIX_C, materialize, mix, slices, sliced_batches, tabl
 
 WORDS, PERCENT = 5, 75
 #: Registers of a sketch; of these, BANDS x ROWS make the bands: at similarity 0.75 all bands miss with probability (1 - 0.75^4)^32 = 5e-6.
-REGISTERS, BANDS, ROWS = 256, 32, 4
+REGISTERS, BANDS, ROWS = 512, 32, 4
+BAND_BITS = (1 << (BANDS - 1).bit_length()) - 1
 #: The step of the truncated values, and an offset that keeps them positive.
 STEP, OFFSET = 1.001, 10_000
-#: Pairs whose estimate is under this are not verified: five deviations below the threshold.
-ESTIMATE = 0.62
+#: Pairs whose estimate is under this are not verified: four deviations, (0.75 x 0.25 / 512)^0.5 each, below the threshold.
+ESTIMATE = 0.673
 #: Members of a bucket that meet in one task, and partners a member in each round (0: all).
-BLOCK, PARTNERS = 512, (2, 16, 0)
+BLOCK, PARTNERS = 512, (1, 0)
+#: Contracted edges up to this number are finished in one task; beyond, labels are passed between all tasks.
+EDGES_AT_ONCE = 1_000_000
 #: Ids broadcast at most (8 bytes each).
 BROADCAST_IDS = 2_000_000
 SLICE, PAIRS_AT_ONCE = 4_000_000, 100_000
@@ -138,8 +141,8 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def band_rows(classes: DataFrame) -> DataFrame:
-    """(key, id): the buckets of each class, one a band."""
-    keys = [F.xxhash64(F.lit(b), F.substring("signature", 2 * ROWS * b + 1, 2 * ROWS)) for b in range(BANDS)]
+    """(key, id): the buckets of each class, one a band; the lowest bits of a key are its band."""
+    keys = [F.expr(f"(xxhash64({b}, substring(signature, {2 * ROWS * b + 1}, {2 * ROWS})) & ~{BAND_BITS}L) | {b}L") for b in range(BANDS)]
     return classes.select("id", F.explode(F.array(*keys)).alias("key"))
 
 
@@ -190,8 +193,9 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) for the ids in edges (a, b): the least id that each reaches.
 
-    Edges are first contracted within partitions, then labels pass along the
-    rest and jump to their labels' labels until they rest.
+    Edges are first contracted within partitions. If few remain, one task
+    finishes; else labels pass along the rest and jump to their labels' labels
+    until they rest. Ids without edges are not in the result.
     """
     import pyarrow as pa
 
@@ -213,6 +217,8 @@ def components(edges: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([find(x) for x in ids], pa.int64())], ["a", "b"])
 
     near = materialize(edges.select("a", "b").mapInArrow(contract, "a long, b long"))
+    if near.count() <= EDGES_AT_ONCE:
+        return materialize(near.coalesce(1).mapInArrow(contract, "a long, b long").toDF("id", "component"))
     both = near.union(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = materialize(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("id"), F.least("a", "b").alias("component")))
     total = None
@@ -230,29 +236,36 @@ def components(edges: DataFrame) -> DataFrame:
 def further_pairs(members: DataFrame, partners: int) -> DataFrame:
     """Likely pairs between different components within blocks.
 
-    members (key, p, q, id, component, n, signature) are grouped by (key, p, q);
-    with `partners` each member names at most so many, the likeliest first.
+    members (key, p, q, part, id, component, n, signature) are grouped by (key,
+    p, q). A pair is looked at in the first band that its members share, and
+    there where their two parts meet, so it is found once. With `partners` each
+    member of a group names at most so many, the likeliest first.
     """
     import pyarrow as pa
 
-    columns = ["key", "p", "q", "id", "component", "n", "signature"]
+    columns = ["key", "p", "q", "part", "id", "component", "n", "signature"]
 
     def found(rows):
-        ids, comp, n = (rows.column(c).to_numpy() for c in ("id", "component", "n"))
+        ids, comp, n, part = (rows.column(c).to_numpy() for c in ("id", "component", "n", "part"))
+        split = rows.column("p").to_numpy() != rows.column("q").to_numpy()
+        band = rows.column("key").to_numpy() & BAND_BITS
         sig = _signatures(rows.column("signature"))
         group = np.unique(np.column_stack([rows.column(c).to_numpy() for c in ("key", "p", "q")]), axis=0, return_inverse=True)[1].ravel()
         order = np.argsort(group, kind="stable")
-        ids, comp, n, sig, group = ids[order], comp[order], n[order], sig[order], group[order]
+        ids, comp, n, sig, group, part, split, band = (x[order] for x in (ids, comp, n, sig, group, part, split, band))
         left, right, est = [], [], []
         for d in range(1, int(np.bincount(group).max())):
-            i = np.flatnonzero((group[d:] == group[:-d]) & (comp[d:] != comp[:-d]))
+            i = np.flatnonzero((group[d:] == group[:-d]) & (comp[d:] != comp[:-d]) & ~(split[d:] & (part[d:] == part[:-d])))
             j = i + d
             fits = 100 * np.minimum(n[i], n[j]) >= PERCENT * np.maximum(n[i], n[j])
             i, j = i[fits], j[fits]
             for k in range(0, len(i), PAIRS_AT_ONCE):
                 x, y = i[k : k + PAIRS_AT_ONCE], j[k : k + PAIRS_AT_ONCE]
-                good = (sig[x] == sig[y]).sum(1) >= 0.55 * REGISTERS  # far below what the estimate needs
-                x, y = x[good], y[good]
+                same = sig[x] == sig[y]
+                good = same.sum(1) >= 0.6 * REGISTERS  # below what the estimate needs
+                x, y, same = x[good], y[good], same[good, : BANDS * ROWS]
+                first = same.reshape(-1, BANDS, ROWS).all(2).argmax(1) == band[x]
+                x, y = x[first], y[first]
                 s = _estimates(sig[x], sig[y], n[x], n[y])
                 left.append(x[s >= ESTIMATE]), right.append(y[s >= ESTIMATE]), est.append(s[s >= ESTIMATE])
         if not left:
@@ -315,12 +328,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         mixed = own.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("key")
         parts = F.ceil(F.col("size") / BLOCK).cast("int")
         open_ = own.join(mixed, "key").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-        spread = open_.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("key", F.least("part", "with").alias("p"), F.greatest("part", "with").alias("q"), "id", "component")
+        spread = open_.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("key", F.least("part", "with").alias("p"), F.greatest("part", "with").alias("q"), "part", "id", "component")
         pairs = further_pairs(spread.join(classes.select("id", "n", "signature"), "id"), partners)
         more = materialize(verified(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), texts))
-        if not partners or not more.isEmpty():
-            tested = tested.unionByName(more)
-            edges = tested.filter("linked")
+        tested = tested.unionByName(more)
+        edges = tested.filter("linked")
     found = components(edges).withColumnRenamed("id", "rep")
     reps = classes.select("digest", F.col("id").alias("rep")).join(found, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     with_own = all_.join(reps, "digest", "left").withColumn("component_id", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id")))
