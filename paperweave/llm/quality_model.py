@@ -16,10 +16,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, sliced_batches, table, text_bytes, word_hashes
+from .common import mix, sliced_batches, slices, table, text_bytes, word_hashes
 
 #: The model is fitted on at most so many labelled rows, those with the least hashed ids.
-FIT_ROWS = 12_000
+FIT_ROWS = 8_000
 #: Hashed words and shapes, the vectors' length, entries other than 0 in an index vector, and neighbours on each side.
 SLOTS, DIM, ENTRIES, REACH = 1 << 15, 32, 4, 2
 HIDDEN, EPOCHS, RATE, DECAY = 32, 40, 3e-3, 1e-4
@@ -45,12 +45,22 @@ def _shapes(texts: list[bytes]) -> list[bytes]:
     return out
 
 
+def _all_slots(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Slots of many texts, worked out a slice at a time."""
+    parts = [_slots(texts[a:b]) for a, b in slices(list(map(len, texts)), SLICE)] or [_slots([b""])]
+    out = []
+    for k in range(2):
+        counts = np.concatenate([np.diff(p[k][1]) for p in parts])
+        out.append((np.concatenate([p[k][0] for p in parts]), np.append(0, np.cumsum(counts))))
+    return out
+
+
 def _slots(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
     """Slots of the words and of the word shapes, each with the texts' offsets."""
     both = []
     for t in (texts, _shapes(texts)):
         h, offsets = word_hashes(t, lower=False)
-        both.append(((h % np.uint64(SLOTS)).astype(np.int64), offsets))
+        both.append(((h % np.uint64(SLOTS)).astype(np.int32), offsets))
     return both
 
 
@@ -72,8 +82,8 @@ def word_vectors(slots: np.ndarray, offsets: np.ndarray, seed: int) -> np.ndarra
         near = text[d:] == text[:-d]
         left, right = slots[:-d][near], slots[d:][near]
         for a, b in ((left, right), (right, left)):
-            for i in range(0, len(a), 500_000):
-                x, y = a[i : i + 500_000], b[i : i + 500_000]
+            for i in range(0, len(a), 200_000):
+                x, y = a[i : i + 200_000], b[i : i + 200_000]
                 order = np.argsort(x, kind="stable")
                 x, y = x[order], y[order]
                 first = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
@@ -121,9 +131,9 @@ class Model:
 
 def train(texts: list[bytes], labels: np.ndarray, seed: int = 5) -> Model:
     """A model of labels 0 and 1. Without rows of both, its score is the mean label (0.5 without any)."""
-    slots = _slots(texts or [b""])
+    slots = _all_slots(texts)
     vectors = [word_vectors(s, o, seed + k) for k, (s, o) in enumerate(slots)]
-    x = np.vstack([pooled(texts[i : i + 500], vectors) for i in range(0, len(texts), 500)]) if texts else np.zeros((0, WIDTH))
+    x = np.vstack([pooled(texts[a:b], vectors) for a, b in slices(list(map(len, texts)), SLICE)]) if texts else np.zeros((0, WIDTH))
     y = np.asarray(labels, float)
     rng = np.random.default_rng(seed)
     width = WIDTH
