@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from .bpe import op3_bpe
 from .html_extract import op2_html_text
+from .licenses import op8_license_scan
 from .media import op9_media
 from .mixing import OP1_SQL, op1_mixing
 from .neardup import op5_neardup
@@ -22,10 +25,13 @@ def queries() -> dict:
         "op5_neardup": op5_neardup,
         "op6_quality_rules": op6_quality_rules,
         "op7_quality_model": op7_quality_model,
+        "op8_license_scan": op8_license_scan,
         "op9_media": op9_media,
         "op10_suffix_dedup": op10_suffix_dedup,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op1_mixing": OP1_SQL, "op4_secrets": OP4_SQL}
+    own = {"op1_mixing": OP1_SQL, "op4_secrets": OP4_SQL}
+    return own | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
