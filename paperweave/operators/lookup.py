@@ -38,12 +38,16 @@ def unique_containment(texts: DataFrame, passages: DataFrame, text_id: str, text
     Candidates meet on the passage's first `gram` words, so only texts with that
     run of words are searched.
     """
-    words = lambda c: F.split(F.col(c), " ")
-    first = lambda c: F.array_join(F.slice(words(c), 1, gram), " ")
-    run = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words(text)) - gram + 1, F.lit(1))), lambda i: F.array_join(F.slice(words(text), i, gram), " "))
-    keys = F.broadcast(passages.select(first(passage).alias("_k")).distinct())
-    held = texts.select(text_id, F.explode(F.array_distinct(run)).alias("_k")).join(keys, "_k", "left_semi")
-    candidates = held.join(passages.select(passage_id, passage, first(passage).alias("_k")), "_k").join(texts.select(text_id, text), text_id)
+    first = F.array_join(F.slice(F.split(F.col(passage), " "), 1, gram), " ")
+    passages = passages.withColumn("_k", first)
+    split = texts.select(text_id, F.split(F.col(text), " ").alias("_w"))
+    # neighbours are joined from shifted copies of the words, so each word is handled `gram` times and no more
+    shifted = [F.expr(f"slice(_w, {i + 1}, greatest(size(_w) - {gram - 1}, 0))") for i in range(gram)]
+    run = F.transform(F.arrays_zip(*[c.alias(f"w{i}") for i, c in enumerate(shifted)]), lambda x: F.concat_ws(" ", *[x[f"w{i}"] for i in range(gram)]))
+    run = F.when(F.size("_w") >= gram, run).otherwise(F.array(F.array_join("_w", " ")))
+    keys = passages.select("_k").distinct()
+    held = split.select(text_id, F.explode(F.array_distinct(run)).alias("_k")).join(keys, "_k", "left_semi")
+    candidates = held.join(passages.select(passage_id, passage, "_k"), "_k").join(texts.select(text_id, text), text_id)
     found = candidates.filter(F.contains(F.col(text), F.col(passage))).select(passage_id, text_id).distinct()
     return found.groupBy(passage_id).agg(F.count("*").alias("_n"), F.min(text_id).alias(text_id)).filter("_n = 1").drop("_n")
 
