@@ -1,11 +1,15 @@
-"""Queries over the driver's tables, one for each operator, with their SQL."""
+"""Queries over the driver's tables, one for each operator, with their SQL where it can express them."""
 
 from __future__ import annotations
 
+from .plans import change_queries, collection, library_queries, network_queries
+
+_ALL = library_queries.QUERIES | network_queries.QUERIES | change_queries.QUERIES | collection.QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return {name: f for name, (f, _) in _ALL.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: sql for name, (_, sql) in _ALL.items() if sql}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import ascii_words, cjk_chars, compact_length, sentence_ends
 
@@ -46,7 +47,7 @@ def size_batches(rows: DataFrame, doc: str, place: str, size: Column, most_rows:
     import pandas as pd
 
     base = rows.withColumn("_size", size.cast("long"))
-    schema = rows.schema.add("batch", "integer")
+    schema = T.StructType([*rows.schema.fields, T.StructField("batch", T.IntegerType())])
     columns = rows.columns
 
     def run(frames):

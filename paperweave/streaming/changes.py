@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def once_per_mutation(changes: DataFrame, mutation: str, cursor: str) -> DataFrame:
@@ -22,7 +23,7 @@ def apply_changes(changes: DataFrame, resource: str, cursor: str, base: str) ->
     """
     import pandas as pd
 
-    schema = changes.schema.add("revision", "long").add("state", "string")
+    schema = T.StructType([*changes.schema.fields, T.StructField("revision", T.LongType()), T.StructField("state", T.StringType())])
 
     def run(frames):
         at, revision = None, 0

@@ -11,6 +11,7 @@ from collections import deque
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _islands(events: DataFrame, key: str, order: list[str], ts: str, seconds: float) -> DataFrame:
@@ -24,7 +25,7 @@ def _limited(events: DataFrame, key: str, order: list[str], ts: str, seconds: fl
     import pandas as pd
 
     cut = _islands(events, key, order, ts, seconds).withColumn("_t", F.col(ts).cast("double"))
-    schema = events.schema.add("admitted", "boolean")
+    schema = T.StructType([*events.schema.fields, T.StructField("admitted", T.BooleanType())])
     columns = events.columns
 
     def run(frames):
