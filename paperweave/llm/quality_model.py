@@ -140,7 +140,7 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 5) -> Model:
     layers = [rng.normal(0, width**-0.5, (width, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, HIDDEN**-0.5, (HIDDEN, 1)), np.zeros(1)]
     model = Model(vectors, x.mean(0) if len(x) else np.zeros(width), x.std(0) + 1e-3 if len(x) else np.ones(width), layers, 1.0)
     share = float(y.mean()) if len(y) else 0.5
-    if not 0 < share < 1:
+    if not len(y) or not 0 < share < 1:
         model.layers = [np.zeros((width, HIDDEN)), np.zeros(HIDDEN), np.zeros((HIDDEN, 1)), np.array([30.0 if share == 1 else -30.0 if len(y) else 0.0])]
         return model
     order = rng.permutation(len(x))
