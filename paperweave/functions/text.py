@@ -61,7 +61,7 @@ def keyword_match(keyword: Column, text: Column, ratio: float = 0.75) -> Column:
 def sentences(value: Column) -> Column:
     """Sentences of 25 to 600 characters; `et al.` ends none."""
     text = F.regexp_replace(clean_text(value), r"(?i)\bet al\.", "et al")
-    return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+|(?<=[。！？])"), F.trim), lambda s: F.length(s).between(25, 600))
+    return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+|(?<=[。！？])"), lambda x: F.trim(x)), lambda s: F.length(s).between(25, 600))
 
 
 def summary(abstract: Column, most: int = 360) -> Column:
@@ -132,4 +132,4 @@ def search_document(*fields: Column) -> Column:
 
 
 def split_values(value: Column) -> Column:
-    return F.filter(F.transform(F.split(value, r"[;,|，；、\n]+"), F.trim), lambda v: v != "")
+    return F.filter(F.transform(F.split(value, r"[;,|，；、\n]+"), lambda x: F.trim(x)), lambda v: v != "")

@@ -120,8 +120,8 @@ def element_score(kind: Column, has_caption: Column, filled: Column, rows: Colum
 
 def markdown_rows(text: Column) -> Column:
     """The cells of a Markdown table: array of arrays; the line of dashes is no row."""
-    lines = F.filter(F.transform(F.split(text, "\n", -1), F.trim), lambda x: x.startswith("|") & ~x.rlike(r"^[|\s:-]+$"))
-    return F.transform(lines, lambda x: F.transform(F.split(F.regexp_replace(x, r"^\||\|$", ""), r"\|", -1), F.trim))
+    lines = F.filter(F.transform(F.split(text, "\n", -1), lambda x: F.trim(x)), lambda x: x.startswith("|") & ~x.rlike(r"^[|\s:-]+$"))
+    return F.transform(lines, lambda x: F.transform(F.split(F.regexp_replace(x, r"^\||\|$", ""), r"\|", -1), lambda x: F.trim(x)))
 
 
 def colour_bucket(r: Column, g: Column, b: Column) -> Column:
