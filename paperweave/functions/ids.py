@@ -148,3 +148,39 @@ def fingerprint(*columns: Column) -> Column:
 def stable_fraction(value: Column, salt: str = "") -> Column:
     """A number in [0, 1) that depends on the value and salt alone."""
     return F.conv(F.substring(F.sha1(F.concat(F.lit(salt), F.lit(":"), value.cast("string"))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+
+
+def pmc_id(*values: Column) -> Column:
+    """The first PMC identifier in the values, in upper case."""
+    return F.upper(F.coalesce(*(extract(v, r"(?i)\bPMC\d+\b") for v in values)))
+
+
+def on_hosts(url: Column, hosts: list[str]) -> Column:
+    """Whether the address is on one of the hosts or below it."""
+    host = host_of(url)
+    out = F.lit(False)
+    for h in hosts:
+        out = out | (host == h) | host.endswith(f".{h}")
+    return out
+
+
+def priority(value: Column, rules: list[tuple[str, int]], otherwise: int = 99) -> Column:
+    """The number of the first rule whose pattern the text has."""
+    out = F.lit(otherwise)
+    for pattern, n in reversed(rules):
+        out = F.when(value.rlike(pattern), F.lit(n)).otherwise(out)
+    return out
+
+
+#: How the address of a landing page becomes one of a PDF (fixed values, public address forms).
+LANDING_RULES = (
+    (r"^(https?://arxiv\.org)/abs/(.+)$", "$1/pdf/$2"),
+    (r"^(https?://[^/]+/articles/PMC\d+)/?$", "$1/pdf/"),
+    (r"^(https?://[^/]+/doi)/(?:abs|full)/(.+)$", "$1/pdf/$2"),
+    (r"^(https?://[^?#]+/article/[^?#]+?)/?$", "$1.pdf"),
+)
+
+
+def landing_candidates(url: Column, rules=LANDING_RULES) -> Column:
+    """An array of the PDF addresses that the rules give; empty if none fits."""
+    return F.array_distinct(F.array_compact(F.array(*[F.when(url.rlike(p), F.regexp_replace(url, p, to)) for p, to in rules])))

@@ -133,3 +133,58 @@ def search_document(*fields: Column) -> Column:
 
 def split_values(value: Column) -> Column:
     return F.filter(F.transform(F.split(value, r"[;,|，；、\n]+"), lambda x: F.trim(x)), lambda v: v != "")
+
+
+#: Characters that are folded to plain ones (fixed values): dashes, spaces, Greek letters by name.
+DASHES = "‐‑‒–—―−"
+GREEK = {"α": "alpha", "β": "beta", "γ": "gamma", "δ": "delta", "ε": "epsilon", "λ": "lambda", "μ": "mu", "π": "pi", "σ": "sigma", "ω": "omega"}
+
+
+def fold(value: Column) -> Column:
+    """Dashes become hyphens, Greek letters their names, white space one space. Compatibility forms stay as they are."""
+    out = F.translate(F.coalesce(value, F.lit("")), DASHES, "-" * len(DASHES))
+    for letter, name in GREEK.items():
+        out = F.replace(out, F.lit(letter), F.lit(name))
+    return F.trim(F.regexp_replace(out, r"(?U)\s+", " "))
+
+
+def raw_terms(value: Column) -> Column:
+    """Distinct terms without stop words, as written."""
+    return F.array_except(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(value, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))), F.array(*map(F.lit, STOPWORDS)))
+
+
+def query_string(keyword: Column, field: str = "all") -> Column:
+    """The phrase, or all of its terms."""
+    terms = F.array_join(F.transform(raw_terms(keyword), lambda t: F.concat(F.lit(f"{field}:"), t)), " AND ")
+    return F.concat(F.lit(f'{field}:"'), F.lower(F.trim(keyword)), F.lit('" OR ('), terms, F.lit(")"))
+
+
+def between_headings(value: Column, first: str, following: str) -> Column:
+    """The text after the heading `first` up to a heading of `following`; null if there is none."""
+    return F.nullif(F.trim(F.regexp_extract(value, rf"(?is)(?:^|\n)\s*(?:{first})\b[:.\s]*(.+?)(?=\n\s*(?:{following})\b|\z)", 1)), F.lit(""))
+
+
+def cjk_runs(value: Column) -> Column:
+    """Distinct runs of two to eight CJK characters."""
+    return F.array_distinct(F.regexp_extract_all(value, F.lit(r"[一-鿿]{2,8}"), F.lit(0)))
+
+
+def alias(value: Column, names: dict[str, str]) -> Column:
+    """Lower case without punctuation at the ends, then the name that an alias stands for."""
+    bare = F.regexp_replace(F.regexp_replace(F.lower(F.trim(value)), r"(?U)^\W+|\W+$", ""), r"\s+", " ")
+    if not names:
+        return bare
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), bare), bare)
+
+
+def first_by_key(values: Column, key, most: int) -> Column:
+    """The values of an array, of equal keys the first, `most` at the most; empty ones go."""
+    kept = F.filter(values, lambda v: F.length(F.trim(v)) > 0)
+    keys = F.transform(kept, lambda v: key(v))
+    return F.slice(F.filter(kept, lambda v, i: F.array_position(keys, F.get(keys, i)) == i + 1), 1, most)
+
+
+def keyword_candidates(explicit: Column, matched: Column, title: Column, most: int = 10) -> Column:
+    """Given keywords, matched ones, then phrases of the title; of equal terms the first."""
+    words = raw_terms(title)
+    return first_by_key(F.concat(F.coalesce(explicit, F.array().cast("array<string>")), F.coalesce(matched, F.array().cast("array<string>")), phrases(words)), lambda v: F.lower(F.trim(v)), most)
