@@ -17,7 +17,30 @@ MIX_C = np.uint64(0x94D049BB133111EB)
 BASE = 0x100000001B3
 
 
+#: Rows of whole texts in an Arrow batch; it bounds what a worker and its task hold at once.
+ARROW_ROWS = 1000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches than Spark's default of 10,000 rows, which are tens of megabytes of text. A value of the user's own stays."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+
+
+def release_memory() -> None:
+    """At the end of a task: freed memory goes back to the system, as Spark keeps the worker for later tasks."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -34,6 +57,7 @@ def materialize(df: DataFrame) -> DataFrame:
     JVM ends.
     """
     spark = df.sparkSession
+    bounded_batches(spark)
     path = f"{shared_dir(spark).rstrip('/')}/t-{uuid.uuid4().hex}"
     df.write.parquet(path)
     jvm = spark.sparkContext._jvm

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MIX_A, MIX_C, materialize, mix, slices, sliced_batches, table, text_bytes, with_broadcast_if_small, word_hashes
+from .common import MIX_A, MIX_C, materialize, mix, release_memory, slices, sliced_batches, table, text_bytes, with_broadcast_if_small, word_hashes
 
 WORDS, PERCENT = 5, 75
 #: Registers of a sketch; of these, BANDS x ROWS make the bands: at similarity 0.75 all bands miss with probability (1 - 0.75^4)^32 = 5e-6.
@@ -38,7 +38,7 @@ BLOCK, PARTNERS = 512, (1, 0)
 EDGES_AT_ONCE = 1_000_000
 #: Ids broadcast at most (8 bytes each).
 BROADCAST_IDS = 2_000_000
-SLICE, PAIRS_AT_ONCE = 4_000_000, 100_000
+SLICE, PAIRS_AT_ONCE = 1_000_000, 16_000
 
 
 def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
@@ -136,6 +136,7 @@ def sketches(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").cast(pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(digest, pa.binary()), pa.array(signature, pa.binary())], ["doc_id", "n_shingles", "digest", "signature"]
             )
+        release_memory()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, signature binary")
 
@@ -185,6 +186,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                     linked.append(100 * common >= PERCENT * (len(both) - common))
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(linked)], ["a", "b", "linked"])
+        release_memory()
 
     x, y = (texts.select(F.col("id").alias(k), F.col("text").alias(f"t{k}")) for k in "ab")
     return pairs.join(x, "a").join(y, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, linked boolean")
@@ -296,6 +298,7 @@ def further_pairs(members: DataFrame, partners: int) -> DataFrame:
             held = rows.slice(cut)
         if held is not None and len(held) and (out := found(held)) is not None:
             yield out
+        release_memory()
 
     dealt = members.select(*columns).repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "id")
     return dealt.mapInArrow(run, "a long, b long").distinct()
