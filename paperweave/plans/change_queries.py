@@ -212,7 +212,7 @@ def fused_elements(spark, d):
 
 
 @query("""WITH b AS (SELECT l_orderkey AS page, l_linenumber * 100000::BIGINT + l_partkey AS id, l_quantity AS x0, l_partkey % 5 * 4.0::DOUBLE AS y0 FROM lineitem WHERE l_orderkey < 2000)
-SELECT a.page, a.id AS a, b.id AS b, round(i / (216.0::DOUBLE - i), 4) AS iou FROM (SELECT a.page, a.id, b.id AS bid, greatest(12 - abs(a.x0 - b.x0), 0) * greatest(9 - abs(a.y0 - b.y0), 0) AS i FROM b a JOIN b b ON a.page = b.page AND a.id < b.id) a JOIN b ON b.page = a.page AND b.id = a.bid WHERE i > 0""")
+SELECT DISTINCT page, id AS a, bid AS b, round(i / (216.0::DOUBLE - i), 4) AS iou FROM (SELECT a.page, a.id, b.id AS bid, greatest(12 - abs(a.x0 - b.x0), 0) * greatest(9 - abs(a.y0 - b.y0), 0) AS i FROM b a JOIN b b ON a.page = b.page AND a.id < b.id) WHERE i > 0""")
 def box_overlaps(spark, d):
     b = _boxes(spark, d, 0.0, "l_orderkey < 2000")
     x, y = b.select("page", F.col("id").alias("a"), F.col("box").alias("p")), b.select("page", F.col("id").alias("b"), F.col("box").alias("q"))

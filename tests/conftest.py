@@ -15,7 +15,7 @@ SMALL = "/root/testdata/sf0.001"
 def spark(tmp_path_factory):
     folder = tmp_path_factory.mktemp("spark")
     session = (
-        SparkSession.builder.master("local[3]")
+        SparkSession.builder.master("local[2]")
         .appName("tests")
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.ui.enabled", "false")
