@@ -16,12 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import sliced_batches
+from .common import bounded_batches, release_memory, sliced_batches, slices
 
 #: How byte-level BPE of this family cuts a text into pieces before merging (a fixed value of the format).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Bytes of text handled at once in a task, and pieces kept in its table.
-SLICE, KEPT_PIECES = 2_000_000, 400_000
+SLICE, KEPT_PIECES = 500_000, 100_000
 
 
 def byte_symbols() -> list[str]:
@@ -65,7 +65,7 @@ class Vocabulary:
         self.merged = np.array([ids[a + b] for a, b in pairs], np.int64)[order]
         self.find = regex.compile(PIECES).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
-        self.table: dict[str, np.ndarray] = {}
+        self.table: dict[str, bytes] = {}
 
     def merge(self, pieces: list[str]) -> list[np.ndarray]:
         """The ids of each piece."""
@@ -120,12 +120,11 @@ class Vocabulary:
             self.table.clear()
         new = [p for p in dict.fromkeys(pieces) if p not in self.table]
         if new:
-            self.table.update(zip(new, self.merge(new), strict=True))
-            self.table.update((p, np.array([i], np.int32)) for p, i in self.special.items())
+            self.table.update((p, x.tobytes()) for p, x in zip(new, self.merge(new), strict=True))
+            self.table.update((p, np.array([i], np.int32).tobytes()) for p, i in self.special.items())
         get, at, out = self.table.__getitem__, 0, []
         for end in ends:
-            own = list(map(get, pieces[at:end]))
-            out.append(np.concatenate(own) if own else np.zeros(0, np.int32))
+            out.append(np.frombuffer(b"".join(map(get, pieces[at:end])), np.int32))
             at = end
         return out
 
@@ -147,16 +146,19 @@ def _load(path: str | None) -> Vocabulary:
     return Vocabulary(path)
 
 
-def bpe_encode(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
+def bpe_encode(docs: DataFrame, vocabulary: str | None = None, decode: bool = False) -> DataFrame:
     """Documents with `ids` array<int> added (replaced if present); null text encodes as the empty text.
 
+    With `decode` the ids are decoded again in the same task, as `decoded`.
+
     `vocabulary` is the path of a byte-level BPE file that each executor can
     open; by default the public 50k one. All other columns pass through.
     """
     import pyarrow as pa
 
-    base = docs.drop("ids")
-    schema = T.StructType([*base.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType(), False))])
+    bounded_batches(docs.sparkSession)
+    base = docs.drop("ids", *["decoded"] * decode)
+    schema = T.StructType([*base.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType(), False)), *[T.StructField("decoded", T.StringType())] * decode])
 
     def run(batches):
         v = _load(vocabulary)
@@ -166,7 +168,9 @@ def bpe_encode(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
             offsets = pa.array(np.append(0, np.cumsum([len(x) for x in ids])).astype(np.int32))
             flat = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32())
             lists = pa.ListArray.from_arrays(offsets, flat)
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, "ids"])
+            more = [pa.array(v.decode(flat.to_numpy().astype(np.int64), offsets.to_numpy()[1:]), pa.string())] if decode else []
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists, *more], schema.names)
+        release_memory()
 
     return base.mapInArrow(run, schema)
 
@@ -183,26 +187,21 @@ def bpe_decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
         for batch in batches:
             lists = batch.column("ids")
             size = np.array([0 if n is None else n for n in lists.value_lengths().to_pylist()], np.int64)
-            for a, b in _pieces(size):
+            for a, b in slices(size.tolist(), SLICE):
                 part = batch.slice(a, b - a)
                 ids = part.column("ids").flatten().to_numpy(zero_copy_only=False)
                 texts = v.decode(ids.astype(np.int64), np.cumsum(size[a:b]))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, "decoded"])
+        release_memory()
 
     return base.mapInArrow(run, schema)
 
 
-def _pieces(size: np.ndarray):
-    from .common import slices
-
-    return slices(size.tolist(), SLICE)
-
-
 def op3_bpe(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return token_digests(bpe_decode(bpe_encode(docs).drop("text")))
+    return token_digests(bpe_encode(docs, decode=True))
 
 
 def token_digests(decoded: DataFrame) -> DataFrame:
