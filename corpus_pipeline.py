@@ -9,7 +9,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from paperweave.llm import bpe, mixing, neardup, quality_model, secrets
 from paperweave.llm.common import shared_dir, table
@@ -40,8 +39,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with the digests of the ids and of their decoded text."""
-    decoded = bpe.bpe_decode(bpe.bpe_encode(docs.select("doc_id", "text", "source")).drop("text"))
-    return bpe.token_digests(decoded)
+    return bpe.token_digests(bpe.bpe_encode(docs.select("doc_id", "text", "source"), decode=True))
 
 
 STAGES = [
