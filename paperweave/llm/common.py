@@ -49,21 +49,42 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_intermediate"
 
 
-def materialize(df: DataFrame) -> DataFrame:
+#: Spark's setting for removing the shuffle files of an execution at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialize(df: DataFrame, sweep: bool = False) -> DataFrame:
     """Write an intermediate result once to the shared folder and read it back.
 
     The plan that follows starts from files which any executor can read, so a
     lost executor costs a few re-run tasks only. The files go when the driver's
-    JVM ends.
+    JVM ends. With `sweep` Spark removes the shuffle files of the job when it is
+    over, instead of when the driver happens to collect its garbage.
     """
     spark = df.sparkSession
     bounded_batches(spark)
     path = f"{shared_dir(spark).rstrip('/')}/t-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    if sweep:
+        spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if sweep:
+            spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a materialized table that nothing reads any more."""
+    spark = df.sparkSession
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._written_to)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def with_broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:

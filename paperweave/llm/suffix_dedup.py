@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MIX_A, _powers_upto, materialize, mix, sliced_batches, table
+from .common import MIX_A, _powers_upto, discard, materialize, mix, sliced_batches, table
 from .suffix_array import suffix_array
 
 #: Bytes of a string that is removed, of an anchor, and windows that share one.
@@ -168,7 +168,9 @@ def repeated_anchors(docs: DataFrame, buckets: int) -> DataFrame:
     packed = materialize(docs.select("doc_id", "text").mapInArrow(pack, schema))
     met = packed.filter("bucket >= 0").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, schema)
     back = met.union(packed.filter("bucket < 0").dropDuplicates(["batch"])).repartition("batch").sortWithinPartitions("batch", "bucket")
-    return back.mapInArrow(hand_back, "doc_id long, hashes binary")
+    found = materialize(back.mapInArrow(hand_back, "doc_id long, hashes binary"), sweep=True)
+    discard(packed)
+    return found
 
 
 def contexts(docs: DataFrame, buckets: int) -> DataFrame:
@@ -338,23 +340,26 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     size = texts.agg(F.sum("n")).first()[0] or 0
     buckets = max(64, size // (BUCKET_ANCHORS * WINDOWS // 2))
     usable = base.filter(f"doc_id IS NOT NULL AND octet_length(text) >= {LENGTH}")
-    hashes = materialize(repeated_anchors(usable, buckets))
+    hashes = repeated_anchors(usable, buckets)
     leads = texts.select(F.col("least").alias("doc_id")).distinct().join(hashes.groupBy("doc_id").agg(F.max("hashes").alias("hashes")), "doc_id")
-    spans = materialize(removals(contexts(usable.join(leads, "doc_id"), buckets)))
-    own = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    whole = base.withColumn("name", F.md5("text")).join(texts, "name", "left").withColumn("copy", F.coalesce(F.col("least") < F.col("doc_id"), F.lit(False)))
-    joined = whole.select("doc_id", "text", "copy").join(own, "doc_id", "left")
+    spans = materialize(removals(contexts(usable.join(leads, "doc_id"), buckets)), sweep=True)
+    # an earlier document's whole text goes by its name, so that texts are shuffled once, with the spans
+    copies = named.join(texts.select("name", "least"), "name").filter("least < doc_id").select("doc_id", F.lit(0).alias("start"), F.lit(0).alias("end"), "name").distinct()
+    all_spans = spans.withColumn("name", F.lit(None).cast("string")).unionByName(copies)
+    own = all_spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "name")).alias("spans"))
+    joined = base.join(own, "doc_id", "left")
 
     def cut(batches):
         for batch in batches:
             out = []
-            for text, copy, found in zip(batch.column("text").to_pylist(), batch.column("copy").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+            for text, found in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
                 data = text.encode()
-                if copy:
+                names = {x["name"] for x in found or () if x["name"]}
+                if names and hashlib.md5(data).hexdigest() in names:
                     out.append((len(data), len(data), 1, b""))
                     continue
                 kept, at, gone, runs, edge = [], 0, 0, 0, -1
-                for s, e in sorted((x["start"], x["end"]) for x in found or ()):
+                for s, e in sorted((x["start"], x["end"]) for x in found or () if not x["name"]):
                     if s > edge:
                         runs += 1
                     if s > at:
