@@ -214,7 +214,16 @@ def fused_elements(spark, d):
 @query("""WITH b AS (SELECT l_orderkey AS page, l_linenumber * 100000::BIGINT + l_partkey AS id, l_quantity AS x0, l_partkey % 5 * 4.0::DOUBLE AS y0 FROM lineitem WHERE l_orderkey < 2000)
 SELECT DISTINCT page, id AS a, bid AS b, round(i / (216.0::DOUBLE - i), 4) AS iou FROM (SELECT a.page, a.id, b.id AS bid, greatest(12 - abs(a.x0 - b.x0), 0) * greatest(9 - abs(a.y0 - b.y0), 0) AS i FROM b a JOIN b b ON a.page = b.page AND a.id < b.id) WHERE i > 0""")
 def box_overlaps(spark, d):
-    b = _boxes(spark, d, 0.0, "l_orderkey < 2000")
+    return _overlaps(_boxes(spark, d, 0.0, "l_orderkey < 2000"))
+
+
+@query()
+def box_overlaps_all(spark, d):
+    """box_overlaps on the pages of all orders; its SQL covers the first ones only."""
+    return _overlaps(_boxes(spark, d))
+
+
+def _overlaps(b):
     x, y = b.select("page", F.col("id").alias("a"), F.col("box").alias("p")), b.select("page", F.col("id").alias("b"), F.col("box").alias("q"))
     pairs = x.join(y, "page").filter("a < b").withColumn("iou", F.round(geo.iou(geo.box_of(F.col("p")), geo.box_of(F.col("q"))), 4))
     return pairs.filter("iou > 0").select("page", "a", "b", "iou").distinct()
@@ -311,8 +320,17 @@ def review_overlay(spark, d):
 SELECT a, b, likeness FROM (SELECT x.id AS a, y.id AS b, round(len(list_intersect(x.t, y.t)) / len(list_distinct(list_concat(x.t, y.t)))::DOUBLE, 4) AS likeness FROM c x JOIN c y ON x.polarity = 'up' AND y.polarity = 'down' AND x.record <> y.record WHERE len(x.t) > 0 AND len(y.t) > 0) WHERE likeness >= 0.20 ORDER BY likeness DESC, a, b LIMIT 40""")
 def opposite_results(spark, d):
     docs = table(spark, d, "documents").filter("length(text) < 700 AND lang = 'en'")
-    claims = docs.select(F.col("doc_id").alias("id"), (F.col("doc_id") % 97).alias("record"), F.when(F.col("doc_id") % 2 == 0, "up").otherwise("down").alias("polarity"), F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{5,}"), F.lit(0))).alias("terms"))
-    return compare.opposite_results(claims)
+    return compare.opposite_results(_claims(docs, F.when(F.col("doc_id") % 2 == 0, "up").otherwise("down")))
+
+
+def _claims(docs, polarity):
+    return docs.select(F.col("doc_id").alias("id"), (F.col("doc_id") % 97).alias("record"), polarity.alias("polarity"), F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{5,}"), F.lit(0))).alias("terms"))
+
+
+@query()
+def opposite_results_all(spark, d):
+    """opposite_results over documents of any length and language, by the polarity of their text; its SQL takes short English ones and the parity of the id."""
+    return compare.opposite_results(_claims(table(spark, d, "documents"), compare.polarity(F.col("text"))))
 
 
 @query()

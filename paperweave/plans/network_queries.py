@@ -141,8 +141,8 @@ _YEARS = "y AS (SELECT c_mktsegment AS topic, CAST(year(o_orderdate) AS INTEGER)
 _WIN = "w AS (SELECT topic, CAST(sum(count) AS BIGINT) AS total, count(*) AS years, CAST(coalesce(sum(count) FILTER (year BETWEEN last - 2 AND last), 0) AS BIGINT) AS recent, CAST(coalesce(sum(count) FILTER (year BETWEEN last - 5 AND last - 3), 0) AS BIGINT) AS previous FROM (SELECT *, max(year) OVER (PARTITION BY topic) AS last FROM y) GROUP BY topic)"
 
 
-def _yearly(spark, d):
-    o, c = table(spark, d, "orders"), table(spark, d, "customer")
+def _yearly(spark, d, where: str = "true"):
+    o, c = table(spark, d, "orders"), table(spark, d, "customer").filter(where)
     x = o.join(c, F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_mktsegment").alias("topic"), F.year("o_orderdate").alias("year"), F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("score"))
     return x
 
@@ -184,9 +184,17 @@ SELECT topic, year, 'emergence' AS kind, 0.7::DOUBLE AS score FROM w WHERE count
 UNION ALL SELECT topic, min(year), 'expansion', round(min(least(1.0, 0.5::DOUBLE + 0.08::DOUBLE * peak)), 4) FROM w WHERE count = peak AND count > coalesce(before, 0) AND peak >= 2 GROUP BY 1
 UNION ALL SELECT topic, max(year), 'decline', 0.72::DOUBLE FROM w WHERE count * 2 <= before GROUP BY 1""")
 def turning_points(spark, d):
-    o, c = table(spark, d, "orders"), table(spark, d, "customer").filter("c_custkey < 40")
-    x = o.join(c, F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_mktsegment").alias("topic"), F.year("o_orderdate").alias("year"), F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("score"))
-    return papers.turning_points(series.dense_series(x, "topic", "year", "id", "score"), "topic", "year")
+    return _turning_points(_yearly(spark, d, "c_custkey < 40"))
+
+
+def _turning_points(rows):
+    return papers.turning_points(series.dense_series(rows, "topic", "year", "id", "score"), "topic", "year")
+
+
+@query()
+def turning_points_all(spark, d):
+    """turning_points over all customers; its SQL covers the first ones only."""
+    return _turning_points(_yearly(spark, d))
 
 
 @query("SELECT user_id, event_id, event_type AS to_type, before AS from_topic FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) WHERE before <> event_type")
@@ -200,10 +208,20 @@ f AS (SELECT g.event_type, g.cell, c.y, last_value(CASE WHEN c.y IS NOT NULL THE
   WINDOW b AS (PARTITION BY event_type ORDER BY cell ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY event_type ORDER BY cell ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
 SELECT event_type, cell, round(CASE WHEN y IS NOT NULL THEN y WHEN cb - ca <= 5 THEN ya + (cell - ca) * (yb - ya) / (cb - ca) END, 4) AS y, y IS NULL AS filled FROM f""")
 def resampled_series(spark, d):
-    e = table(spark, d, "events").filter("user_id < 5").select("event_type", F.expr("unix_micros(cast(ts as timestamp)) / 1000000.0D").alias("x"), "value")
+    return _resampled(table(spark, d, "events").filter("user_id < 5"))
+
+
+def _resampled(events):
+    e = events.select("event_type", F.expr("unix_micros(cast(ts as timestamp)) / 1000000.0D").alias("x"), "value")
     return series.resample(e, "event_type", "x", "value", 1800.0)
 
 
+@query()
+def resampled_series_all(spark, d):
+    """resampled_series over all users' events; its SQL covers the first ones only."""
+    return _resampled(table(spark, d, "events"))
+
+
 @query("""WITH e AS (SELECT event_id, user_id, CASE WHEN event_id % 10 <> 3 THEN value END AS value FROM events),
 w AS (SELECT *, last_value(value IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS a, first_value(value IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS b, count(*) FILTER (value IS NULL) OVER (PARTITION BY user_id) AS gaps, count(*) OVER (PARTITION BY user_id) AS n FROM e)
 SELECT event_id, user_id, coalesce(value, CASE WHEN gaps <= greatest(2.0, 0.2 * n) THEN (a + b) / 2 END) AS value FROM w""")
@@ -238,7 +256,7 @@ def tfidf_vectors(spark, d):
 
 
 def _part_vectors(spark, d):
-    docs = table(spark, d, "part").filter("p_partkey < 400").select(F.col("p_partkey").alias("doc"), F.regexp_extract_all(F.lower(F.concat_ws(" ", "p_name", "p_type", "p_brand")), F.lit("[a-z0-9]+"), F.lit(0)).alias("terms"))
+    docs = table(spark, d, "part").select(F.col("p_partkey").alias("doc"), F.regexp_extract_all(F.lower(F.concat_ws(" ", "p_name", "p_type", "p_brand")), F.lit("[a-z0-9]+"), F.lit(0)).alias("terms"))
     return durable(vectors.tfidf(vectors.term_counts(docs, "doc", "terms"), "doc"))
 
 
