@@ -56,14 +56,15 @@ def paper_metrics(links: DataFrame, strengths: DataFrame, topics: DataFrame, bet
     return x.select("id", "citations_in", "degree", "cross_links", F.round(core, 4).alias("core_score"), F.round(bridge, 4).alias("bridge_score"))
 
 
-def longest_paths(links: DataFrame, papers: DataFrame, max_rounds: int = 200) -> DataFrame:
+def longest_paths(links: DataFrame, papers: DataFrame) -> DataFrame:
     """(id, score, length, parent): the best-weighted chain of citations that ends at each paper.
 
     papers (id, year, key). Influence goes from the cited to the citing paper; a
     step adds 1 + 0.35 key + 0.04 for each year, 0.6 at most. Links within a year
-    count from the smaller id to the larger, so there are no cycles. Each round
-    extends chains by one link and stops when none improves. Ties take the least
-    parent.
+    count from the smaller id to the larger, so there are no cycles. Papers with
+    one step into them hang on the paper at the head of their line, found by
+    doubling; among the others each round extends chains by one link, until none
+    improves. Equal scores take the longer chain, then the least parent.
     """
     a = papers.select(F.col("id").alias("target"), F.col("year").alias("_ty"))
     b = papers.select(F.col("id").alias("source"), F.col("year").alias("_sy"), F.col("key").alias("_key"))
@@ -73,19 +74,30 @@ def longest_paths(links: DataFrame, papers: DataFrame, max_rounds: int = 200) ->
             F.col("target").alias("from"), F.col("source").alias("id"), (1 + 0.35 * F.col("_key") + F.least(F.lit(0.6), 0.04 * (F.col("_sy") - F.col("_ty")))).alias("gain")
         )
     )
+    into = steps.groupBy("id").agg(F.count("*").alias("steps"), F.min("from").alias("from"), F.min("gain").alias("gain"))
+    lines = durable(into.filter("steps = 1").select("id", F.col("from").alias("parent"), F.col("from").alias("head"), "gain", F.lit(1).alias("n"), F.lit(True).alias("moved")))
+    while not lines.filter("moved").isEmpty():
+        up = lines.select(F.col("id").alias("head"), F.col("head").alias("_head"), F.col("gain").alias("_gain"), F.col("n").alias("_n"))
+        further = F.col("_head").isNotNull()
+        lines = durable(lines.join(up, "head", "left").select("id", "parent", F.coalesce("_head", "head").alias("head"), F.when(further, F.col("gain") + F.col("_gain")).otherwise(F.col("gain")).alias("gain"), (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n"), further.alias("moved")))
+    lines = lines.drop("moved")
+    offset = lines.select(F.col("id").alias("from"), "head", F.col("gain").alias("_gain"), F.col("n").alias("_n"))
+    joints = steps.join(into.filter("steps > 1").select("id"), "id", "left_semi").join(offset, "from", "left")
+    joints = durable(joints.select("from", "id", F.coalesce("head", "from").alias("head"), (F.col("gain") + F.coalesce("_gain", F.lit(0.0))).alias("gain"), (1 + F.coalesce("_n", F.lit(0))).alias("n")))
     kind = papers.schema["id"].dataType
-    best = durable(papers.select("id", F.lit(0.0).alias("score"), F.lit(0).alias("length"), F.lit(None).cast(kind).alias("parent")))
+    best = durable(papers.select("id", F.lit(0.0).alias("score"), F.lit(0).alias("length"), F.lit(None).cast(kind).alias("parent")).join(lines.select("id"), "id", "left_anti"))
     frontier = best
-    for _ in range(max_rounds):
-        moved = steps.join(frontier.select(F.col("id").alias("from"), "score", F.col("length").alias("n")), "from")
-        offer = moved.groupBy("id").agg(F.max_by(F.struct(F.round(F.col("score") + F.col("gain"), 6).alias("score"), (F.col("n") + 1).alias("length"), F.col("from").alias("parent")), F.struct(F.round(F.col("score") + F.col("gain"), 6), F.col("n"), -F.col("from"))).alias("o"))
+    while not frontier.isEmpty():
+        moved = joints.join(frontier.select(F.col("id").alias("head"), "score", "length"), "head").select("id", F.round(F.col("score") + F.col("gain"), 6).alias("score"), (F.col("length") + F.col("n")).alias("length"), F.col("from").alias("parent"))
+        offer = moved.groupBy("id").agg(F.max_by(F.struct("score", "length", "parent"), F.struct("score", "length", -F.col("parent"))).alias("o"))
         joined = best.join(offer, "id", "left")
-        better = F.coalesce(F.col("o.score") > F.col("score"), F.lit(False))
+        same = F.col("o.score") == F.col("score")
+        longer = (F.col("o.length") > F.col("length")) | ((F.col("o.length") == F.col("length")) & (F.col("o.parent") < F.col("parent")))
+        better = F.coalesce((F.col("o.score") > F.col("score")) | (same & longer), F.lit(False))
         new = durable(joined.select("id", *[F.when(better, F.col(f"o.{c}")).otherwise(F.col(c)).alias(c) for c in ("score", "length", "parent")], better.alias("moved")))
         best, frontier = new.drop("moved"), new.filter("moved").drop("moved")
-        if frontier.isEmpty():
-            break
-    return best
+    heads = best.select(F.col("id").alias("head"), "score", "length")
+    return best.unionByName(lines.join(heads, "head").select("id", F.round(F.col("score") + F.col("gain"), 6).alias("score"), (F.col("length") + F.col("n")).alias("length"), "parent"))
 
 
 def key_paths(links: DataFrame, papers: DataFrame, most: int = PATHS, overlap: float = OVERLAP, pool: int = 40) -> DataFrame:

@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 
 import pytest
 from paperweave import bindings
+from paperweave.operators import papers
 from pyspark.sql import functions as F
 
 RUN = bindings.queries()
@@ -97,3 +98,32 @@ def test_resampled_series_all(spark, tmp_path):
     at = {c: statistics.median(v) for c, v in {0: [1.0, 10.0], 2: [11.0], 4: [73.0]}.items()}
     want = {c: at.get(c, (at.get(c - 1, 0) + at.get(c + 1, 0)) / 2) for c in range(5)}
     assert {r["cell"]: r["y"] for r in RUN["resampled_series_all"](spark, str(tmp_path)).collect()} == want
+
+
+def test_chains_of_any_length(spark, tmp_path):
+    orders = [(5 * i + 1, 300, "1995-01-01") for i in range(230)] + [(5 * i + 2, 7, f"{1992 + i}-01-01") for i in range(4)]
+    put(spark, tmp_path, "orders", orders, "o_orderkey long, o_custkey long, o_orderdate string")
+    want = {5 * i + 1: (float(i), i, 5 * i - 4 if i else None) for i in range(230)} | {5 * i + 2: (pytest.approx(1.04 * i), i, 5 * i - 3 if i else None) for i in range(4)}
+    assert {r["id"]: (r["score"], r["length"], r["parent"]) for r in RUN["citation_paths_all"](spark, str(tmp_path)).collect()} == want
+
+
+def test_lines_between_joints(spark):
+    """Long lines that part and meet again: scores, lengths and parents of all papers."""
+    rng, edges, last = random.Random(3), set(), 0
+    for _ in range(4):
+        ends, start = [], last
+        for n in (rng.randrange(1, 5), rng.randrange(1, 5), 3):
+            at = start
+            for _ in range(n):
+                last += 1
+                edges.add((last, at))
+                at = last
+            ends.append(at)
+        last += 1
+        edges |= {(last, e) for e in ends}
+    key = {i: rng.randrange(4) / 4 for i in range(last + 1)}
+    best = {}
+    for v in range(last + 1):
+        best[v] = max([(round(best[u][0] + 1 + 0.35 * key[v], 6), best[u][1] + 1, -u) for w, u in edges if w == v], default=(0.0, 0, None))
+    got = papers.longest_paths(spark.createDataFrame(sorted(edges), "source long, target long"), spark.createDataFrame([(i, 2000, k) for i, k in key.items()], "id long, year int, key double"))
+    assert {r["id"]: (r["score"], r["length"], -r["parent"] if r["parent"] is not None else None) for r in got.collect()} == {v: (pytest.approx(s, abs=1e-5), n, p) for v, (s, n, p) in best.items()}
