@@ -1,8 +1,8 @@
 """A quality classifier: random-indexing word vectors, pooled per document, and a two-layer network.
 
 Every hashed word, and every hashed word shape, has a sparse random index
-vector; its word vector sums the index vectors of its neighbours over the sample
-that the model is fitted on. A document is the mean and the deviation of its
+vector; its word vector sums the index vectors of its neighbours over all
+documents. A document is the mean and the deviation of its
 words' vectors and of its shapes' vectors, with the likeness of neighbouring
 words. A two-layer network scores it, and
 its logits are divided by a temperature fitted on rows kept from the training.
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import mix, sliced_batches, slices, table, text_bytes, word_hashes
 
 #: The model is fitted on at most so many labelled rows, those with the least hashed ids.
-FIT_ROWS = 8_000
+FIT_ROWS = 12_000
 #: Hashed words and shapes, the vectors' length, entries other than 0 in an index vector, and neighbours on each side.
 SLOTS, DIM, ENTRIES, REACH = 1 << 15, 32, 4, 2
 HIDDEN, EPOCHS, RATE, DECAY = 32, 40, 3e-3, 1e-4
@@ -45,16 +45,6 @@ def _shapes(texts: list[bytes]) -> list[bytes]:
     return out
 
 
-def _all_slots(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Slots of many texts, worked out a slice at a time."""
-    parts = [_slots(texts[a:b]) for a, b in slices(list(map(len, texts)), SLICE)] or [_slots([b""])]
-    out = []
-    for k in range(2):
-        counts = np.concatenate([np.diff(p[k][1]) for p in parts])
-        out.append((np.concatenate([p[k][0] for p in parts]), np.append(0, np.cumsum(counts))))
-    return out
-
-
 def _slots(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
     """Slots of the words and of the word shapes, each with the texts' offsets."""
     both = []
@@ -74,9 +64,8 @@ def index_vectors(seed: int) -> np.ndarray:
     return r
 
 
-def word_vectors(slots: np.ndarray, offsets: np.ndarray, seed: int) -> np.ndarray:
-    """Unit vectors of the slots, from the neighbours within each text."""
-    r, total = index_vectors(seed), np.zeros((SLOTS, DIM), np.float32)
+def context_sums(slots: np.ndarray, offsets: np.ndarray, r: np.ndarray, total: np.ndarray) -> None:
+    """Adds to each slot's row of total the index vectors r of its neighbours within each text; whole numbers, so order does not matter."""
     text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     for d in range(1, REACH + 1):
         near = text[d:] == text[:-d]
@@ -88,8 +77,43 @@ def word_vectors(slots: np.ndarray, offsets: np.ndarray, seed: int) -> np.ndarra
                 x, y = x[order], y[order]
                 first = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
                 total[x[first]] += np.add.reduceat(r[y], first, axis=0)
-    total += r * 1e-3  # a slot that was never seen keeps its index vector's direction
-    return total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-9)
+
+
+def unit_vectors(total: np.ndarray, seed: int) -> np.ndarray:
+    """Unit vectors of the slots from their sums; a slot that was never seen keeps its index vector's direction."""
+    v = (total + index_vectors(seed) * 1e-3).astype(np.float32)
+    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+
+
+def word_vectors(docs: DataFrame, seed: int) -> list[np.ndarray]:
+    """Vectors of the words' and of the shapes' slots, from the neighbours in all documents.
+
+    Each task adds up its own documents, Spark the tasks' sums; the driver holds
+    SLOTS x DIM numbers of each kind, however many documents there are.
+    """
+    import pyarrow as pa
+
+    names = ["kind", "slot", *[f"v{k}" for k in range(DIM)]]
+
+    def run(batches):
+        r = [index_vectors(seed + k).astype(np.int32) for k in range(2)]
+        total = [np.zeros((SLOTS, DIM), np.int64) for _ in range(2)]
+        for batch in sliced_batches(batches, "text", SLICE):
+            for k, (s, o) in enumerate(_slots(text_bytes(batch.column("text")))):
+                context_sums(s, o, r[k], total[k])
+        for k in range(2):
+            seen = np.flatnonzero(total[k].any(1))
+            for i in range(0, len(seen), 4096):
+                at = seen[i : i + 4096]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, np.int32)), pa.array(at.astype(np.int32)), *[pa.array(np.ascontiguousarray(c)) for c in total[k][at].T]], names)
+
+    parts = docs.select("text").mapInArrow(run, "kind int, slot int, " + ", ".join(f"{c} long" for c in names[2:]))
+    sums = parts.groupBy("kind", "slot").agg(*[F.sum(c).alias(c) for c in names[2:]]).toArrow()
+    total = np.zeros((2, SLOTS, DIM), np.int64)
+    kind, slot = sums.column("kind").to_numpy(), sums.column("slot").to_numpy()
+    for k, c in enumerate(names[2:]):
+        total[kind, slot, k] = sums.column(c).to_numpy()
+    return [unit_vectors(t, seed + k) for k, t in enumerate(total)]
 
 
 def pooled(texts: list[bytes], vectors: list[np.ndarray]) -> np.ndarray:
@@ -129,10 +153,8 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.logits(pooled(texts, self.vectors)) / self.temperature, -30, 30)))
 
 
-def train(texts: list[bytes], labels: np.ndarray, seed: int = 5) -> Model:
-    """A model of labels 0 and 1. Without rows of both, its score is the mean label (0.5 without any)."""
-    slots = _all_slots(texts)
-    vectors = [word_vectors(s, o, seed + k) for k, (s, o) in enumerate(slots)]
+def train(texts: list[bytes], labels: np.ndarray, vectors: list[np.ndarray], seed: int = 5) -> Model:
+    """A model of labels 0 and 1 over the slots' vectors. Without rows of both, its score is the mean label (0.5 without any)."""
     x = np.vstack([pooled(texts[a:b], vectors) for a, b in slices(list(map(len, texts)), SLICE)]) if texts else np.zeros((0, WIDTH))
     y = np.asarray(labels, float)
     rng = np.random.default_rng(seed)
@@ -181,7 +203,7 @@ def remainder():
 
 
 def fit_quality_model(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, seed: int = 5) -> Model:
-    """A model of labels.quality from at most `fit_rows` labelled rows that are not held out.
+    """A model of labels.quality from at most `fit_rows` labelled rows that are not held out, over word vectors from all documents.
 
     Rows with a null id, label or remainder take no part. Of repeated labels of
     an id the greatest counts, and of documents with equal ids the greatest text.
@@ -191,7 +213,7 @@ def fit_quality_model(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_RO
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
     rows = texts.groupBy("doc_id").agg(F.max(F.struct(F.coalesce("text", F.lit("")).alias("text"), "_label")).alias("r")).select("doc_id", "r.*").toArrow()
     rows = rows.sort_by("doc_id")
-    return train(text_bytes(rows.column("text")), rows.column("_label").to_numpy(), seed)
+    return train(text_bytes(rows.column("text")), rows.column("_label").to_numpy(), word_vectors(docs, seed), seed)
 
 
 def score_quality(docs: DataFrame, model: Model, good: float = GOOD) -> DataFrame:
