@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from paperweave.llm import bpe, mixing, neardup, quality_model, secrets
 from paperweave.llm.common import shared_dir, table
@@ -21,10 +22,18 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the least id stays; repeated rows of it become one."""
-    kept = neardup.near_duplicates(docs).filter("kept").select("doc_id").distinct()
-    once = docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
-    return once
+    """Of each group of near-duplicates the document with the least id stays; rows that repeat its id and text become one.
+
+    The verdict is of each id and text. Rows without an id all stay.
+    """
+    name = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.concat(F.lit("t"), "text"), F.lit("")))
+    keyed = docs.withColumn("_key", F.unhex(F.sha2(name, 256)))
+    kept = neardup.near_duplicates(keyed, "_key").filter("kept").select("_key").distinct()
+    others = [c for c in docs.columns if c not in ("doc_id", "text")] or [F.lit(0)]
+    place = F.row_number().over(Window.partitionBy("_key").orderBy(*others))
+    mine = keyed.join(kept, "_key", "left_semi")
+    once = mine.filter("doc_id IS NOT NULL").withColumn("_place", place).filter("_place = 1").select(*docs.columns)
+    return once.unionByName(mine.filter("doc_id IS NULL").select(*docs.columns))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -124,21 +124,23 @@ def _signatures(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, REGISTERS)
 
 
-def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, digest, signature) of every document; the digest names the set, equal sets equally."""
+def sketches(docs: DataFrame, key: str | None = None) -> DataFrame:
+    """(doc_id, n_shingles, digest, signature) of every document, and its binary column `key` if given; the digest names the set, equal sets equally."""
     import pyarrow as pa
 
+    extra = [key] if key else []
+
     def run(batches):
         for batch in sliced_batches(batches, "text", SLICE):
             sets = shingle_sets(text_bytes(batch.column("text")))
             digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
             signature = [row.tobytes() for row in registers(sets)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(digest, pa.binary()), pa.array(signature, pa.binary())], ["doc_id", "n_shingles", "digest", "signature"]
+                [batch.column("doc_id").cast(pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(digest, pa.binary()), pa.array(signature, pa.binary()), *[batch.column(k) for k in extra]], ["doc_id", "n_shingles", "digest", "signature", *extra]
             )
         release_memory()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, signature binary")
+    return docs.select(F.col("doc_id").cast("long"), "text", *extra).mapInArrow(run, "doc_id long, n_shingles long, digest binary, signature binary" + "".join(f", {k} binary" for k in extra))
 
 
 def band_rows(classes: DataFrame) -> DataFrame:
@@ -304,8 +306,8 @@ def further_pairs(members: DataFrame, partners: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of documents.
+def near_duplicates(docs: DataFrame, key: str | None = None) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row of documents, and its binary column `key` if given.
 
     Null and empty texts have no shingles and are linked with nothing. Rows
     without doc_id are linked with nothing either; their component_id is null,
@@ -313,8 +315,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     is a member of its text's class; links that need verification use the
     greatest text of the id. An empty table gives an empty result.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    all_ = materialize(sketches(docs))
+    extra = [key] if key else []
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *extra)
+    all_ = materialize(sketches(docs, key))
     with_set = all_.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = materialize(with_set.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature")))
     bands = band_rows(classes)
@@ -339,7 +342,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     found = components(edges).withColumnRenamed("id", "rep")
     reps = classes.select("digest", F.col("id").alias("rep")).join(found, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     with_own = all_.join(reps, "digest", "left").withColumn("component_id", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id")))
-    return with_own.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return with_own.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), *extra)
 
 
 def op5_neardup(spark, sf_dir: str) -> DataFrame:

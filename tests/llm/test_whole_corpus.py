@@ -22,3 +22,15 @@ def test_word_vectors_of_all_documents(spark):
                         total[slots[i]] += r[slots[j]]
         assert np.allclose(model.vectors[k], total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-9), atol=1e-4)
     assert q.FIT_ROWS == 12_000
+
+
+def test_repeated_rows_become_one(spark, small):
+    """Verdicts are of id and text: copies of a row go, and a row of a kept id whose own text belongs to a smaller id."""
+    import corpus_pipeline as p
+
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    rows = [(1, a, "y"), (1, a, "x"), (1, a, "x"), (2, a, "x"), (5, a, "x"), (5, b, "x"), (5, b, "x"), (None, b, "x"), (None, b, "x"), (6, None, "x"), (6, None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = p.drop_near_duplicates(spark, docs, small)
+    assert got.columns == docs.columns
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, a, "x"), (5, b, "x"), (None, b, "x"), (None, b, "x"), (6, None, "x")], key=str)
