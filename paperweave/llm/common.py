@@ -92,6 +92,19 @@ def with_broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= max_rows else df
 
 
+def salted_left_join(left: DataFrame, right: DataFrame, key: str, max_rows: int, salts: int) -> DataFrame:
+    """A left join to a materialized side with one row a key: by broadcast up to max_rows, beyond with every key dealt over `salts` keys.
+
+    So a key with a third of the left rows goes to many tasks. Null keys find
+    nothing and are dealt like any other.
+    """
+    if right.count() <= max_rows:
+        return left.join(F.broadcast(right), key, "left")
+    many = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    dealt = left.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int"))
+    return dealt.join(many, [key, "_salt"], "left").drop("_salt")
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer: every input bit reaches every output bit."""
     x = (x ^ (x >> np.uint64(30))) * MIX_B

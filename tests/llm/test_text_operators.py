@@ -8,7 +8,7 @@ import zlib
 from collections import Counter
 
 import pytest
-from paperweave.llm import bpe, html_extract, licenses, media, mixing, quality_rules, secrets
+from paperweave.llm import bpe, html_extract, media, mixing, quality_rules, secrets
 from paperweave.llm.common import table
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -197,33 +197,6 @@ def test_ngram_scores_by_hand(spark):
     assert quality_rules.ngram_weights(docs, trusted, 64) == pytest.approx(want)
 
 
-# licences
-
-def test_licenses(spark, small):
-    files = spark.createDataFrame(
-        [
-            (1, "a/LICENSE", "This project is released under the MIT License.", "z"),
-            (2, "a/b/c/x.py", "print(1)", "z"),
-            (3, "a/b/y.py", "# Licensed under the Apache License, Version 2.0\nprint(2)", "z"),
-            (4, "q/z.py", None, "z"),
-            (5, None, "no path", "z"),
-            (6, "a/b/LICENSE", "", "z"),
-            (2, "a/b/c/x.py", "print(1)", "z"),
-            (7, "ab/w.py", "", "z"),
-        ],
-        "doc_id long, path string, text string, header string",
-    )
-    got = {r["doc_id"]: r for r in licenses.license_scan(files).collect()}
-    assert got[1]["license"] == "MIT" and got[2]["license"] is None
-    assert got[2]["effective_license"] == "MIT" and got[2]["inherited_from"] == "a"
-    assert got[3]["license"] == "Apache-2.0" and got[3]["effective_license"] == "Apache-2.0"
-    assert all(got[i]["effective_license"] is None for i in (4, 5, 7))
-    assert licenses.license_scan(files).count() == 8
-    assert licenses.license_scan(files.filter("false")).count() == 0
-    rows = licenses.op8_license_scan(spark, small)
-    assert rows.count() == table(spark, small, "documents").count()
-
-
 # media
 
 def test_media(spark, small, odd, none):
