@@ -92,6 +92,18 @@ def with_broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= max_rows else df
 
 
+def shielded(df: DataFrame, names) -> tuple[DataFrame, dict[str, str]]:
+    """The table with columns of these names (in either case) under other names, and the other names by the old ones."""
+    clash = {n.lower() for n in names}
+    other = {c: f"_input_{i}_{c}" for i, c in enumerate(df.columns) if c.lower() in clash}
+    return df.withColumnsRenamed(other), other
+
+
+def unshielded(df: DataFrame, columns, other: dict[str, str]) -> DataFrame:
+    """Those columns, each with the values that it had in the shielded table."""
+    return df.select(*[F.col(f"`{other.get(c, c)}`").alias(c) for c in columns])
+
+
 def salted_left_join(left: DataFrame, right: DataFrame, key: str, max_rows: int, salts: int) -> DataFrame:
     """A left join to a materialized side with one row a key: by broadcast up to max_rows, beyond with every key dealt over `salts` keys.
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize, with_broadcast_if_small
+from .common import WORD, materialize, shielded, unshielded, with_broadcast_if_small
 
 #: Sources in order weigh so much, repeating.
 WEIGHTS = (5, 2, 1)
@@ -77,9 +77,15 @@ def mix_plan(docs: DataFrame, seed: int = 17, **options) -> DataFrame:
 
 
 def mix(docs: DataFrame, seed: int = 17, **options) -> DataFrame:
-    """The mixed corpus itself: each document as often as its copies say, with the input's columns."""
-    plan = mix_plan(docs, seed, **options)
-    return plan.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select(*docs.columns)
+    """The mixed corpus itself: each document as often as its copies say, with the input's columns and their values.
+
+    Columns of the input may have the plan's names. Null texts have size 0;
+    repeated rows, very long texts and empty tables are as in mix_plan.
+    """
+    inner, other = shielded(docs, {"size", "source_size", "target", "rate", "copies", "taken", "_copy", "_source"})
+    plan = mix_plan(inner, seed, **options)
+    copies = plan.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies"))))
+    return unshielded(copies, docs.columns, other)
 
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:

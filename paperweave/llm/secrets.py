@@ -19,6 +19,8 @@ from re import _parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import shielded, unshielded
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -129,9 +131,14 @@ def row_key() -> Column:
     return F.xxhash64("doc_id", "text")
 
 
+def _dealt_key() -> Column:
+    """The row's key; rows whose text has no trigram are in no list and get any key, so that they do not meet in one task."""
+    return F.when(F.length("text") >= 3, row_key()).otherwise(F.xxhash64(F.monotonically_increasing_id()))
+
+
 def postings(docs: DataFrame, rules=RULES) -> DataFrame:
     """The index: (trigram, key) for each trigram that a rule needs and each document that holds it in either case."""
-    low = docs.select(row_key().alias("key"), F.lower("text").alias("low"))
+    low = docs.filter(F.length("text") >= 3).select(row_key().alias("key"), F.lower("text").alias("low"))
     held = [F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in _vocabulary(rules)]
     return low.select(F.explode(F.array_compact(F.array(*held))).alias("trigram"), "key")
 
@@ -187,11 +194,15 @@ def _spans(rule: Rule, no: int) -> Column:
 def secret_spans(docs: DataFrame, rules=RULES) -> DataFrame:
     """Documents with `spans`, an array of (start, no, kind, end) ordered by start and rule.
 
-    Null and empty texts have none. Repeated rows keep their number. A column
-    named spans is replaced; the other columns pass through.
+    Null and empty texts have none. Whole texts are searched, however long.
+    Repeated rows keep their number and are judged alike; spans that start at
+    one place are ordered by rule. A column named spans is replaced; the other
+    columns pass through. An empty table gives an empty table.
     """
-    base = docs.drop("spans").withColumn("_key", row_key())
-    found = candidates(postings(docs, rules), rules).withColumnRenamed("key", "_key").withColumnRenamed("kinds", "_kinds")
+    columns = [c for c in docs.columns if c.lower() != "spans"]
+    inner, other = shielded(docs.select(*[F.col(f"`{c}`") for c in columns]), {"_key", "_kinds"})
+    base = inner.withColumn("_key", _dealt_key())
+    found = candidates(postings(docs.select("doc_id", "text"), rules), rules).withColumnRenamed("key", "_key").withColumnRenamed("kinds", "_kinds")
     joined = base.join(found, "_key", "left")
     none = F.array().cast(SPAN)
     parts = []
@@ -199,12 +210,17 @@ def secret_spans(docs: DataFrame, rules=RULES) -> DataFrame:
         scan = trigram_query(r.pattern) == ANY
         likely = F.lit(True) if scan else F.array_contains("_kinds", r.kind)
         parts.append(F.when(likely & F.col("text").rlike(r.pattern), _spans(r, no)).otherwise(none))
-    return joined.withColumn("spans", F.array_sort(F.concat(*parts))).drop("_key", "_kinds")
+    return unshielded(joined.withColumn("spans", F.array_sort(F.concat(*parts))), [*columns, "spans"], other)
 
 
 def redact(docs: DataFrame, rules=RULES, mark: str = "[SECRET]") -> DataFrame:
-    """Documents with every span of every rule replaced by `mark`, and n_chars set anew. Overlapping spans become one mark."""
-    found = secret_spans(docs, rules)
+    """Documents with every span of every rule replaced by `mark`, and n_chars set anew. Overlapping spans become one mark.
+
+    Rows without secrets, null and empty texts among them, stay as they are;
+    columns of the input may have any name and keep their values.
+    """
+    inner, other = shielded(docs, {"spans", "_gaps"})
+    found = secret_spans(inner, rules)
 
     # pieces between the joined spans, by position
     ends = F.aggregate(
@@ -221,7 +237,7 @@ def redact(docs: DataFrame, rules=RULES, mark: str = "[SECRET]") -> DataFrame:
     out = found.withColumn("_gaps", ends).withColumn("text", clean)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    return unshielded(out, docs.columns, other)
 
 
 def _written(spans: Column) -> Column:
