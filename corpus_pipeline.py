@@ -12,13 +12,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paperweave.llm import bpe, mixing, neardup, quality_model, secrets
-from paperweave.llm.common import shared_dir, table
+from paperweave.llm.common import shared_dir, shielded, table, unshielded
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
     model = quality_model.fit_quality_model(docs, table(spark, sf_dir, "labels"))
-    return quality_model.score_quality(docs, model).filter("predicted = 1").select(*docs.columns)
+    inner, other = shielded(docs, {"score", "predicted"})
+    return unshielded(quality_model.score_quality(inner, model).filter("predicted = 1"), docs.columns, other)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,13 +28,16 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     The verdict is of each id and text. Rows without an id all stay.
     """
     name = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.concat(F.lit("t"), "text"), F.lit("")))
+    columns = docs.columns
+    docs, other = shielded(docs, {"_key", "_place"})
     keyed = docs.withColumn("_key", F.unhex(F.sha2(name, 256)))
     kept = neardup.near_duplicates(keyed, "_key").filter("kept").select("_key").distinct()
     others = [c for c in docs.columns if c not in ("doc_id", "text")] or [F.lit(0)]
     place = F.row_number().over(Window.partitionBy("_key").orderBy(*others))
     mine = keyed.join(kept, "_key", "left_semi")
     once = mine.filter("doc_id IS NOT NULL").withColumn("_place", place).filter("_place = 1").select(*docs.columns)
-    return once.unionByName(mine.filter("doc_id IS NULL").select(*docs.columns))
+    out = once.unionByName(mine.filter("doc_id IS NULL").select(*docs.columns))
+    return unshielded(out, columns, other)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, sliced_batches, slices, table, text_bytes, word_hashes
+from .common import mix, release_memory, sliced_batches, table, text_bytes, word_hashes
 
 #: The model is fitted on at most so many labelled rows, those with the least hashed ids.
 FIT_ROWS = 12_000
@@ -153,9 +153,8 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.logits(pooled(texts, self.vectors)) / self.temperature, -30, 30)))
 
 
-def train(texts: list[bytes], labels: np.ndarray, vectors: list[np.ndarray], seed: int = 5) -> Model:
-    """A model of labels 0 and 1 over the slots' vectors. Without rows of both, its score is the mean label (0.5 without any)."""
-    x = np.vstack([pooled(texts[a:b], vectors) for a, b in slices(list(map(len, texts)), SLICE)]) if texts else np.zeros((0, WIDTH))
+def train(x: np.ndarray, labels: np.ndarray, vectors: list[np.ndarray], seed: int = 5) -> Model:
+    """A model of labels 0 and 1 over rows of features. Without rows of both, its score is the mean label (0.5 without any)."""
     y = np.asarray(labels, float)
     rng = np.random.default_rng(seed)
     width = WIDTH
@@ -198,26 +197,49 @@ def train(texts: list[bytes], labels: np.ndarray, vectors: list[np.ndarray], see
 
 
 def remainder():
-    """crc32 of the id as text, mod 4: rows of remainder 2 are held out."""
-    return F.crc32(F.col("doc_id").cast("string")) % 4
+    """crc32 of the id as text, mod 4: rows of remainder 2 are held out. A null id counts as the empty text (remainder 0)."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 4
+
+
+def labelled_features(texts: DataFrame, vectors: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of labelled texts (doc_id, text, _label), pooled in tasks: WIDTH numbers a row come to the driver, no texts."""
+    import pyarrow as pa
+
+    shared = texts.sparkSession.sparkContext.broadcast(vectors)
+
+    def run(batches):
+        for batch in sliced_batches(batches, "text", SLICE):
+            x = pooled(text_bytes(batch.column("text")), shared.value)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_label"), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "_label", "x"])
+        release_memory()
+
+    rows = texts.mapInArrow(run, "doc_id long, _label double, x binary").toArrow().sort_by("doc_id")
+    x = np.frombuffer(b"".join(rows.column("x").to_pylist()), float).reshape(-1, WIDTH)
+    return x, rows.column("_label").to_numpy()
 
 
 def fit_quality_model(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, seed: int = 5) -> Model:
     """A model of labels.quality from at most `fit_rows` labelled rows that are not held out, over word vectors from all documents.
 
-    Rows with a null id, label or remainder take no part. Of repeated labels of
-    an id the greatest counts, and of documents with equal ids the greatest text.
+    Rows with a null id or label take no part. Of repeated labels of an id the
+    greatest counts, and of documents with equal ids the greatest text; null and
+    empty texts are texts without words. Long texts are pooled whole. Without
+    labelled rows every score is one half.
     """
+    vectors = word_vectors(docs, seed)
     known = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").filter(remainder() != 2)
-    sample = known.groupBy("doc_id").agg(F.max("quality").alias("_label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    rows = texts.groupBy("doc_id").agg(F.max(F.struct(F.coalesce("text", F.lit("")).alias("text"), "_label")).alias("r")).select("doc_id", "r.*").toArrow()
-    rows = rows.sort_by("doc_id")
-    return train(text_bytes(rows.column("text")), rows.column("_label").to_numpy(), word_vectors(docs, seed), seed)
+    sample = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("double").alias("_label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
+    once = texts.groupBy("doc_id").agg(F.max(F.struct(F.coalesce("text", F.lit("")).alias("text"), "_label")).alias("r")).select("doc_id", "r.*")
+    return train(*labelled_features(once, vectors), vectors, seed)
 
 
 def score_quality(docs: DataFrame, model: Model, good: float = GOOD) -> DataFrame:
-    """Documents with score and predicted added (replaced if present). Equal texts have equal scores."""
+    """Documents with score and predicted added (replaced if present). Equal texts have equal scores, repeated rows among them.
+
+    Null and empty texts have the score of a text without words; long texts are
+    scored whole; other columns pass through. An empty table gives an empty table.
+    """
     import pyarrow as pa
 
     base = docs.drop("score", "predicted")
@@ -229,6 +251,7 @@ def score_quality(docs: DataFrame, model: Model, good: float = GOOD) -> DataFram
         for batch in sliced_batches(batches, "text", SLICE):
             s = np.round(m.scores(text_bytes(batch.column("text"))), 9)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64()), pa.array((s >= good).astype(np.int32), pa.int32())], schema.names)
+        release_memory()
 
     return base.mapInArrow(run, schema)
 

@@ -194,8 +194,65 @@ def test_quality_model_odd(spark, odd, none, small):
     assert {r["score"] for r in quality_model.score_quality(odd, flat).collect()} == {0.5}
 
 
+def test_scores_are_plain(spark, small):
+    """The network, its temperature and the pooled features of some texts, read one word at a time."""
+    import math
+
+    model = quality_model.fit_quality_model(table(spark, small, "documents"), table(spark, small, "labels"))
+    texts = ["some words of a text, with 12 numbers and 3 more", "one", "", "a a a b", "Éa bÉ"]
+    got = [r["score"] for r in sorted(quality_model.score_quality(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect(), key=lambda r: r["doc_id"])]
+    w1, b1, w2, b2 = model.layers
+    for text, score in zip(texts, got, strict=True):
+        features = []
+        for (slots, _), v in zip(quality_model._slots([text.encode()]), model.vectors, strict=True):
+            rows = [v[s].astype(float) for s in slots]
+            n = len(rows)
+            mean = [sum(r[k] for r in rows) / n if n else 0.0 for k in range(quality_model.DIM)]
+            square = [sum(r[k] * r[k] for r in rows) / n if n else 0.0 for k in range(quality_model.DIM)]
+            dots = [sum(a * b) for a, b in zip(rows, rows[1:])]
+            features += [*mean, *(math.sqrt(max(0.0, s - m * m)) for s, m in zip(square, mean, strict=True))]
+            features += [sum(dots) / n if n else 0.0, sum(d > 0.999 for d in dots) / n if n else 0.0]
+        features.append(math.log1p(n) / 10)
+        z = [(f - c) / s for f, c, s in zip(features, model.center, model.scale, strict=True)]
+        hidden = [math.tanh(sum(z[i] * w1[i][j] for i in range(len(z))) + b1[j]) for j in range(len(b1))]
+        logit = (sum(h * w2[j][0] for j, h in enumerate(hidden)) + b2[0]) / model.temperature
+        assert score == pytest.approx(1 / (1 + math.exp(-logit)), abs=2e-4)
+
+
+def test_calibrated(spark):
+    """Among rows held out, the mean score is near the share of good ones, overall and in halves by score."""
+    folder = "/root/testdata/sf0.01"
+    labels = {r["doc_id"]: r["quality"] for r in table(spark, folder, "labels").collect() if r["quality"] is not None}
+    rows = sorted((r["score"], labels[r["doc_id"]]) for r in quality_model.op7_quality_model(spark, folder).collect() if r["held_out"] and r["doc_id"] in labels)
+    half = len(rows) // 2
+    for part in (rows, rows[:half], rows[half:]):
+        assert np.mean([s for s, _ in part]) == pytest.approx(np.mean([y for _, y in part]), abs=0.12)
+
+
+def test_null_ids_are_not_held_out(spark, tmp_path):
+    spark.createDataFrame([(None, "a b c"), (1, None), (2, "x y")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(None, 1), (1, 1), (2, None)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    rows = {r["doc_id"]: r["held_out"] for r in quality_model.op7_quality_model(spark, str(tmp_path)).collect()}
+    assert rows[None] is False and set(rows) == {None, 1, 2}
+
+
 # pipeline
 
+def test_stages_keep_columns(spark, odd, small):
+    """Columns of the input with names that operators use come out of every stage but the last with their values."""
+    import corpus_pipeline as p
+
+    from .test_text_operators import assert_values_stay, with_clashes
+
+    docs = with_clashes(odd)
+    for _, stage in p.STAGES[:-1]:
+        out = stage(spark, docs, small)
+        assert out.columns == docs.columns and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema]
+        assert_values_stay(out.collect())
+        assert stage(spark, docs.filter("false"), small).count() == 0
+    assert p.STAGES[-1][1](spark, docs, small).count() == odd.count()
+
+
 def test_pipeline_stages(spark, small, tmp_path):
     import corpus_pipeline as p
 

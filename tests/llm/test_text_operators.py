@@ -57,6 +57,34 @@ def test_mixing(spark, small):
     assert copies == Counter({r["doc_id"]: r["copies"] for r in rows if r["copies"]})
 
 
+CLASH = {"spans": "s", "size": 7, "score": "sc", "kept": 9, "name": "nm", "bucket": "bk", "key": 3, "component_id": "cc", "words": 4, "ids": 8}
+MORE = {"Source_Size": 1, "target": "t", "rate": "r", "copies": "c", "taken": "k", "_copy": "y", "_source": "z", "_key": "u", "_kinds": "v", "_gaps": "w", "predicted": "p", "_place": "q"}
+
+
+def with_clashes(df):
+    from pyspark.sql import functions as F
+
+    return df.select("*", *[F.lit(v).alias(k) for k, v in MORE.items()])
+
+
+def assert_values_stay(rows):
+    for r in rows:
+        assert {k: r[k] for k in CLASH} == CLASH and {k: r[k] for k in MORE} == MORE
+
+
+def test_values_of_clashing_columns(odd):
+    """Mixing and redacting give the input's columns back with the input's values."""
+    docs = with_clashes(odd)
+    for found in (mixing.mix(docs), secrets.redact(docs)):
+        assert found.columns == docs.columns and [f.dataType for f in found.schema] == [f.dataType for f in docs.schema]
+        assert_values_stay(found.collect())
+    assert secrets.redact(docs).count() == odd.count()
+    spans = secrets.secret_spans(docs)
+    assert sorted(spans.columns) == sorted(docs.columns)
+    for r in spans.collect():
+        assert {k: r[k] for k in MORE} == MORE and [tuple(x) for x in r["spans"]] == plain_spans(r["text"])
+
+
 def test_mixing_odd(odd, none):
     rows = mixing.mix_plan(odd).collect()
     assert len(rows) == odd.count() and all(r["target"] is not None for r in rows)
@@ -158,40 +186,75 @@ def plain_counts(text):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(covered)
 
 
-def test_quality_rules(spark, small, odd, none):
-    docs = table(spark, small, "documents")
-    weights = quality_rules.ngram_weights(docs, table(spark, small, "labels").filter("quality = 1").select("doc_id").distinct())
-    assert len(weights) == quality_rules.BUCKETS and any(weights)
-    for d in (docs, odd):
-        for r in quality_rules.quality_verdicts(d, weights).collect():
-            n = plain_counts(r["text"])
-            assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == n
-            assert r["base_failed"] == (n[0] < 50 or 100 * n[4] > 50 * n[0])
-            assert not (r["base_failed"] and r["kept"])
-    assert quality_rules.quality_verdicts(none, weights).count() == 0
-    assert quality_rules.ngram_weights(none, docs.select("doc_id").limit(0)) == [0.0] * quality_rules.BUCKETS
+def spark_buckets(text, buckets):
+    """Buckets of words and of neighbouring words, with xxHash64 of seed 42 as Spark chains it."""
+    import xxhash
+
+    h = lambda x, seed=42: xxhash.xxh64(x.encode(), seed=seed % (1 << 64)).intdigest()
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    w = words(text.lower())
+    return [signed(h(x)) % buckets for x in w] + [signed(h(b, h(a))) % buckets for a, b in zip(w, w[1:])]
+
+
+def quartile(values, q):
+    at = (len(values) - 1) * q
+    low = int(at)
+    return values[low] + (at - low) * (values[min(low + 1, len(values) - 1)] - values[low])
+
+
+@pytest.mark.parametrize("bound", [quality_rules.BROADCAST_IDS, -1])
+def test_quality_rules(spark, small, monkeypatch, bound):
+    """Counts, scores, the fence and verdicts of the query, all in plain Python; with and without the broadcast."""
+    import math
+
+    monkeypatch.setattr(quality_rules, "BROADCAST_IDS", bound)
+    docs = {r["doc_id"]: r["text"] or "" for r in table(spark, small, "documents").collect()}
+    trusted = {r["doc_id"] for r in table(spark, small, "labels").collect() if r["quality"] == 1}
+    n = quality_rules.BUCKETS
+    grams = {i: spark_buckets(t, n) for i, t in docs.items()}
+    raw, good = Counter(), Counter()
+    for i, g in grams.items():
+        raw.update(g)
+        if i in trusted:
+            good.update(g)
+    weight = [math.log((good[b] + 1) / (sum(good.values()) + n)) - math.log((raw[b] + 1) / (sum(raw.values()) + n)) for b in range(n)]
+    score = {i: sum(weight[b] for b in g) / len(g) if g else 0.0 for i, g in grams.items()}
+    ranked = sorted(round(score[i], 4) for i in trusted if grams.get(i))
+    least = quartile(ranked, 0.25) - 3 * (quartile(ranked, 0.75) - quartile(ranked, 0.25))
+    rows = quality_rules.op6_quality_rules(spark, small).collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(docs)
+    for r in rows:
+        c = plain_counts(docs[r["doc_id"]])
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == c
+        failed = c[0] < 50 or 100 * c[4] > 50 * c[0]
+        assert r["base_failed"] == failed and r["score"] == pytest.approx(score[r["doc_id"]], abs=1e-9)
+        assert abs(score[r["doc_id"]] - least) < 1e-6 or r["kept"] == (not failed and score[r["doc_id"]] >= least)
+    assert {r["kept"] for r in rows} == {True, False}
+
+
+def test_quality_rules_odd(spark, odd, none):
+    more = odd.selectExpr("*", "'a' AS _low", "7 AS n_words", "'w' AS words2")
+    for r in quality_rules.quality_verdicts(quality_rules.quality_scores(more, [0.5] * 64), 0.0).collect():
+        n = plain_counts(r["text"])
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == n
+        assert (r["_low"], r["words2"], r["key"], r["name"]) == ("a", "w", 3, "nm")
+        assert r["score"] == pytest.approx(0.5 if n[0] else 0.0) and r["kept"] == (not r["base_failed"])
+    assert quality_rules.quality_scores(none, [0.0] * 64).count() == 0
+    assert quality_rules.ngram_weights(none, odd.select("doc_id").limit(0)) == [0.0] * quality_rules.BUCKETS
+    assert quality_rules.trusted_fence(quality_rules.quality_scores(odd, [0.0] * 64), none) == float("-inf")
 
 
 def test_ngram_scores_by_hand(spark):
     """The ratio of a bucket, counted in plain Python with the same hash."""
     import math
 
-    import xxhash
-
     rows = [(1, "a b a"), (2, "b c"), (3, None), (4, "a")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    h = lambda x, seed=42: xxhash.xxh64(x.encode(), seed=seed % (1 << 64)).intdigest()
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
-
-    def buckets(text):
-        w = words(text)
-        return [signed(h(x)) % 64 for x in w] + [signed(h(b, h(a))) % 64 for a, b in zip(w, w[1:])]
-
     raw, good = Counter(), Counter()
     for i, t in rows:
-        raw.update(buckets(t))
+        raw.update(spark_buckets(t or "", 64))
         if i in (1, 4):
-            good.update(buckets(t))
+            good.update(spark_buckets(t or "", 64))
     want = [math.log((good[b] + 1) / (sum(good.values()) + 64)) - math.log((raw[b] + 1) / (sum(raw.values()) + 64)) for b in range(64)]
     trusted = spark.createDataFrame([(1,), (4,)], "doc_id long")
     assert quality_rules.ngram_weights(docs, trusted, 64) == pytest.approx(want)
