@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -140,9 +142,32 @@ DASHES = "‐‑‒–—―−"
 GREEK = {"α": "alpha", "β": "beta", "γ": "gamma", "δ": "delta", "ε": "epsilon", "λ": "lambda", "μ": "mu", "π": "pi", "σ": "sigma", "ω": "omega"}
 
 
+def _compatibility() -> tuple[str, str, dict[str, str]]:
+    """Characters that have a compatibility form, by the rule of NFKC: those with one character for one, and Latin ones with several."""
+    single, plain, several = [], [], {}
+    for code in range(0x80, 0x10000):
+        form = "" if 0xD800 <= code < 0xE000 else unicodedata.normalize("NFKC", chr(code))
+        if form != chr(code) and len(form) == 1:
+            single.append(chr(code))
+            plain.append(form)
+        elif len(form) > 1 and form.isascii():
+            several[chr(code)] = form
+    return "".join(single), "".join(plain), several
+
+
+WIDE, PLAIN, SEVERAL = _compatibility()
+
+
 def fold(value: Column) -> Column:
-    """Dashes become hyphens, Greek letters their names, white space one space. Compatibility forms stay as they are."""
-    out = F.translate(F.coalesce(value, F.lit("")), DASHES, "-" * len(DASHES))
+    """Compatibility characters become plain ones, dashes hyphens, Greek letters their names, white space one space.
+
+    Letters and their accents are not joined where they stand apart.
+    """
+    out = F.translate(F.coalesce(value, F.lit("")), WIDE, PLAIN)
+    special = F.filter(F.split(out, ""), lambda c: F.contains(F.lit("".join(SEVERAL)), c) & (c != ""))
+    spelled = F.create_map(*[F.lit(x) for kv in SEVERAL.items() for x in kv])
+    out = F.when(F.size(special) > 0, F.array_join(F.transform(F.split(out, ""), lambda c: F.coalesce(F.try_element_at(spelled, c), c)), "")).otherwise(out)
+    out = F.translate(out, DASHES, "-" * len(DASHES))
     for letter, name in GREEK.items():
         out = F.replace(out, F.lit(letter), F.lit(name))
     return F.trim(F.regexp_replace(out, r"(?U)\s+", " "))

@@ -40,32 +40,46 @@ def missing_dimensions(items: DataFrame, papers: DataFrame, dimensions: list[str
     return papers.select("record").join(dims).join(items.select("record", "dimension").distinct(), ["record", "dimension"], "left_anti")
 
 
-def opposite_results(claims: DataFrame, least: float = 0.20, limit: int = 40, rare: int = 64) -> DataFrame:
+#: What says that a result rises or falls (fixed values of the comparison, looked for in lower-case text).
+RISING = ("improve", "outperform", "increase", "higher", "提升", "优于", "增加")
+FALLING = ("not ", "underperform", "decrease", "lower", "降低", "不显著", "未提升")
+
+
+def polarity(text: Column) -> Column:
+    """up, down, or both by the words of change in a text; null without one."""
+    low = F.lower(text)
+    has = lambda words: F.coalesce(_any(low, words), F.lit(False))
+    return F.when(has(RISING) & has(FALLING), "both").when(has(RISING), "up").when(has(FALLING), "down")
+
+
+def _any(low: Column, words) -> Column:
+    out = F.lit(False)
+    for w in words:
+        out = out | F.contains(low, F.lit(w))
+    return out
+
+
+def opposite_results(claims: DataFrame, least: float = 0.20, limit: int = 40) -> DataFrame:
     """(a, b, likeness): rising and falling claims of different records that share enough terms, the likest first.
 
-    claims (id, record, polarity in up or down, terms array<string>). Pairs meet on a
+    claims (id, record, polarity in up, down or both, terms array<string>); a
+    rises and b falls, and of two that do both the lesser id is a. Pairs meet on a
     shared term. Two sets of which a share is common hold such a term among the
     rarest ones (prefix filter): with likeness j, a set of n terms needs only its
     n - ceil(j n) + 1 rarest to meet.
     """
-    t = claims.select("id", "record", "polarity", F.array_distinct("terms").alias("terms"))
+    t = claims.filter("polarity IS NOT NULL").select("id", "record", "polarity", F.array_distinct("terms").alias("terms"))
     df = t.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     each = t.select("id", F.size("terms").alias("n"), F.explode("terms").alias("term")).join(df, "term")
     place = F.row_number().over(Window.partitionBy("id").orderBy("df", "term"))
     prefix = each.withColumn("_p", place).filter(F.col("_p") <= F.col("n") - F.ceil(least * F.col("n")) + 1).select("id", "term")
-    a = t.filter("polarity = 'up'").join(prefix, "id").select(F.col("id").alias("a"), F.col("record").alias("ra"), "term", F.col("terms").alias("ta"))
-    b = t.filter("polarity = 'down'").join(prefix, "id").select(F.col("id").alias("b"), F.col("record").alias("rb"), "term", F.col("terms").alias("tb"))
+    side = lambda k, own: t.filter(F.col("polarity").isin(own, "both")).join(prefix, "id").select(F.col("id").alias(k), F.col("record").alias(f"r{k}"), (F.col("polarity") == "both").alias(f"m{k}"), "term", F.col("terms").alias(f"t{k}"))
     fits = F.least(F.size("ta"), F.size("tb")) >= least * F.greatest(F.size("ta"), F.size("tb"))
-    scored = a.join(b, "term").filter((F.col("ra") != F.col("rb")) & fits).withColumn("likeness", F.round(jaccard(F.col("ta"), F.col("tb")), 4)).filter(F.col("likeness") >= least)
+    once = ~(F.col("ma") & F.col("mb")) | (F.col("a") < F.col("b"))
+    scored = side("a", "up").join(side("b", "down"), "term").filter((F.col("ra") != F.col("rb")) & once & fits).withColumn("likeness", F.round(jaccard(F.col("ta"), F.col("tb")), 4)).filter(F.col("likeness") >= least)
     return scored.select("a", "b", "likeness").distinct().orderBy(F.col("likeness").desc(), "a", "b").limit(limit)
 
 
-def polarity(text: Column) -> Column:
-    """up or down by the first word of change in a text; null without one."""
-    word = F.lower(F.regexp_extract(text, r"(?i)\b(increas|improv|rise|rose|higher|decreas|declin|reduc|lower|drop)\w*", 1))
-    return F.when(word.isin("increas", "improv", "rise", "rose", "higher"), "up").when(word != "", "down")
-
-
 def append_missing(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     """old, and the rows of new whose key it lacks, once each."""
     return old.unionByName(new.dropDuplicates(key).join(old.select(*key), key, "left_anti").select(*old.columns))

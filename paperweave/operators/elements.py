@@ -7,10 +7,17 @@ expression, as what is kept depends on what was kept before it.
 
 from __future__ import annotations
 
+import html
+import math
+import re
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.geo import box_of, iou, overlap_of_narrower, token_overlap
+from .lookup import nearest
 
 #: Least overlap of a match by kind, and the overlap from which two elements are one (fixed values).
 MATCH = {"table": 0.55, "figure": 0.55, "formula": 0.45}
@@ -118,6 +125,18 @@ def element_score(kind: Column, has_caption: Column, filled: Column, rows: Colum
     return F.round(F.greatest(F.lit(0.05), F.least(F.lit(0.99), total)), 4)
 
 
+def size_by_reason(candidates: DataFrame) -> DataFrame:
+    """(reason, count, bytes) of files (reason, bytes); a null or empty reason is unknown, a null size 0."""
+    reason = F.coalesce(F.nullif(F.col("reason"), F.lit("")), F.lit("unknown"))
+    return candidates.groupBy(reason.alias("reason")).agg(F.count("*").alias("count"), F.sum(F.coalesce("bytes", F.lit(0))).cast("long").alias("bytes"))
+
+
+def quality_issues(elements: DataFrame, low: float = 0.55) -> DataFrame:
+    """(doc, id, issue): elements of low score, and those whose engines disagree; elements (doc, id, score, engines, conflict)."""
+    issues = F.array_compact(F.array(F.when(F.coalesce("score", F.lit(0.0)) < low, F.lit("low_confidence")), F.when(F.coalesce("conflict", F.lit(False)), F.lit("conflict"))))
+    return elements.select("doc", "id", F.explode(issues).alias("issue"))
+
+
 def markdown_rows(text: Column) -> Column:
     """The cells of a Markdown table: array of arrays; the line of dashes is no row."""
     lines = F.filter(F.transform(F.split(text, "\n", -1), lambda x: F.trim(x)), lambda x: x.startswith("|") & ~x.rlike(r"^[|\s:-]+$"))
@@ -136,29 +155,71 @@ def curve_by_column(pixels: DataFrame, by: list[str], x: str, y: str) -> DataFra
     return pixels.groupBy(*by, x).agg(F.median(y).alias(y))
 
 
-def robust_line(points: DataFrame, by: str, x: str, y: str, tolerance: float, most_points: int = 60) -> DataFrame:
-    """(by, slope, intercept, inliers): of the lines through two ticks of an axis the one with most points near it, refitted on those.
-
-    An axis has few ticks; `most_points` states the bound, and the tick list of a longer axis is refused as null.
+#: A fitting line of an axis: ticks that make a pair lie so far apart, in pixels and in spacings; a tick is near
+#: within so much, in its unit and in steps of the slope; so many ticks, and such a share, are near (fixed values).
+PAIR_PIXELS, PAIR_SPACINGS = 4.0, 0.60
+NEAR_UNITS, NEAR_STEPS = 0.18, 0.18
+NEAR_TICKS, NEAR_SHARE = 3, 0.45
+
+
+def _best_line(x: np.ndarray, y: np.ndarray) -> tuple[float, float, int] | None:
+    """Slope, intercept and near ticks; of lines with as many near ticks the one with the least mean error, then the flattest, then the first."""
+    n = len(x)
+    if n < NEAR_TICKS:
+        return None
+    spacing = float(np.median(np.diff(x)))
+    best = None
+    for i in range(n - 1):
+        dx = x[i + 1 :] - x[i]
+        far = np.abs(dx) >= max(PAIR_PIXELS, spacing * PAIR_SPACINGS)
+        slope = (y[i + 1 :][far] - y[i]) / dx[far]
+        slope = slope[np.abs(slope) >= 1e-12]
+        error = np.abs(y - (slope[:, None] * (x - x[i]) + y[i]))
+        near = error <= np.maximum(NEAR_UNITS, np.abs(slope) * spacing * NEAR_STEPS)[:, None]
+        count = near.sum(1)
+        for k in np.flatnonzero(count >= max(NEAR_TICKS, math.ceil(n * NEAR_SHARE))):
+            rank = (int(count[k]), -round(float(error[k][near[k]].mean()), 12), -abs(float(slope[k])))
+            if best is None or rank > best[0]:
+                best = (rank, near[k])
+    if best is None:
+        return None
+    slope, intercept = np.polyfit(x[best[1]], y[best[1]], 1)
+    return float(slope), float(intercept), int(best[1].sum())
+
+
+def robust_line(points: DataFrame, by: str, x: str, y: str) -> DataFrame:
+    """(by, slope, intercept, inliers): of the lines through two ticks of an axis the one that most ticks are near, refitted on those.
+
+    Axes without such a line give no row; ticks without a place or a value do
+    not count. The pairs of one axis are tried one tick at a time, whatever
+    their number.
     """
+    import pyarrow as pa
+
     listed = points.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(by).agg(F.sort_array(F.collect_list(F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")))).alias("p"))
-    small = listed.withColumn("p", F.when(F.size("p") <= most_points, F.col("p")))
-    a, b = F.col("a"), F.col("b")
-    pairs = small.withColumn("a", F.explode("p")).withColumn("b", F.explode("p")).filter("a.x < b.x")
-    slope = (b["y"] - a["y"]) / (b["x"] - a["x"])
-    lines = pairs.select(by, "p", slope.alias("m"), (a["y"] - slope * a["x"]).alias("c"))
-    near = lines.withColumn("near", F.filter("p", lambda q: F.abs(q["y"] - (F.col("m") * q["x"] + F.col("c"))) <= tolerance))
-    best = near.groupBy(by).agg(F.max_by(F.struct("near", F.size("p").alias("n")), F.struct(F.size("near"), -F.abs("m"), F.col("m"))).alias("b")).filter("size(b.near) >= 2 AND size(b.near) >= 0.45 * b.n")
-    inlier = best.select(by, F.explode("b.near").alias("q"))
-    return inlier.groupBy(by).agg(F.round(F.regr_slope("q.y", "q.x"), 6).alias("slope"), F.round(F.regr_intercept("q.y", "q.x"), 6).alias("intercept"), F.count("*").alias("inliers"))
+    schema = T.StructType([points.schema[by], T.StructField("slope", T.DoubleType()), T.StructField("intercept", T.DoubleType()), T.StructField("inliers", T.LongType())])
+
+    def run(batches):
+        for batch in batches:
+            ticks = batch.column("p")
+            offsets = ticks.offsets.to_numpy()
+            px, py = (ticks.values.field(k).to_numpy() for k in (0, 1))
+            lines = [_best_line(px[a:b], py[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            keep = pa.array([i for i, line in enumerate(lines) if line], pa.int64())
+            slope, intercept, near = zip(*[line for line in lines if line], strict=True) if len(keep) else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(by).take(keep), pa.array(slope, pa.float64()), pa.array(intercept, pa.float64()), pa.array(near, pa.int64())], schema.names)
+
+    found = listed.mapInArrow(run, schema)
+    return found.select(by, F.round("slope", 6).alias("slope"), F.round("intercept", 6).alias("intercept"), "inliers")
 
 
 def point_errors(expected: DataFrame, actual: DataFrame, by: str, x: str, y: str) -> DataFrame:
-    """Per series: coverage, mean absolute and root mean square error of y at the nearest actual x."""
-    a = actual.select(by, F.col(x).alias("_x"), F.col(y).alias("_y"))
-    near = expected.join(a, by, "left").groupBy(by, x, y).agg(F.min_by("_y", F.struct(F.abs(F.col("_x") - F.col(x)), F.col("_x"))).alias("_y"))
+    """Per series: coverage, mean absolute and root mean square error of y at the nearest actual x; equal points count once."""
+    e = expected.select(by, x, y).distinct()
+    near = nearest(e, actual.select(by, F.col(x).alias("_x"), F.col(y).alias("_y")), [by], x, "_x", "_y")
+    all_ = e.join(near.select(by, x, y, "_y"), [by, x, y], "left")
     d = F.col("_y") - F.col(y)
-    return near.groupBy(by).agg(F.round(F.count("_y") / F.count("*"), 4).alias("coverage"), F.round(F.avg(F.abs(d)), 6).alias("mae"), F.round(F.sqrt(F.avg(d * d)), 6).alias("rmse"))
+    return all_.groupBy(by).agg(F.round(F.count("_y") / F.count("*"), 4).alias("coverage"), F.round(F.avg(F.abs(d)), 6).alias("mae"), F.round(F.sqrt(F.avg(d * d)), 6).alias("rmse"))
 
 
 def chart_rows(charts: DataFrame) -> DataFrame:
@@ -171,3 +232,69 @@ def chart_rows(charts: DataFrame) -> DataFrame:
 def label_likeness(a: Column, b: Column) -> Column:
     words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"\\[a-z]+|[a-z0-9]+"), F.lit(0))
     return token_overlap(words(a), words(b))
+
+
+#: Parts of a table's markup.
+_TABLE = re.compile(r"(?is)<(/?)(tr|td|th|br)\b([^>]*)>|<[^>]*>")
+_SPAN = re.compile(r"(?i)\b(rowspan|colspan)\s*=\s*[\"']?\s*(\d+)")
+
+
+def html_table(markup: str | None) -> list[list[str]]:
+    """The cells of an HTML table. A cell over several rows stands in each of them, over several columns in the first one; rows without text go."""
+    rows: list[list[str]] = []
+    below: dict[int, tuple[int, str]] = {}  # columns that a cell above reaches into
+    row: dict[int, str] | None = None
+    parts: list[str] | None = None
+    spans: dict[str, int] = {}
+
+    def end_row():
+        if row is not None:
+            rows.append([row.get(c, "") for c in range(max(row, default=-1) + 1)])
+
+    def end_cell():
+        if row is not None and parts is not None:
+            value = " ".join(html.unescape("".join(parts)).split())
+            at = next(c for c in range(len(row) + 1) if c not in row)
+            for k in range(spans["colspan"]):
+                row[at + k] = value if k == 0 else ""
+                if spans["rowspan"] > 1:
+                    below[at + k] = (spans["rowspan"] - 1, row[at + k])
+
+    text, last = markup or "", 0
+    for m in _TABLE.finditer(text):
+        if parts is not None:
+            parts.append(text[last : m.start()])
+        last = m.end()
+        name = (m[2] or "").lower()
+        if name == "tr":
+            end_cell()
+            parts = None
+            end_row()
+            row = None if m[1] else {c: v for c, (_, v) in below.items()}
+            if row is not None:
+                below = {c: (n - 1, v) for c, (n, v) in below.items() if n > 1}
+        elif name in ("td", "th"):
+            end_cell()
+            given = {k.lower(): max(1, int(v)) for k, v in _SPAN.findall(m[3])}
+            parts, spans = (None if m[1] else []), {"rowspan": 1, "colspan": 1} | given
+        elif name == "br" and parts is not None:
+            parts.append(" ")
+    end_cell()
+    end_row()
+    return [r for r in rows if any(r)]
+
+
+def html_rows(tables: DataFrame, markup: str, out: str = "rows") -> DataFrame:
+    """Tables with `out` added, an array of rows of cells from their HTML; null and other text give no rows. The column is replaced if present."""
+    import pyarrow as pa
+
+    base = tables.drop(out)
+    cells = T.ArrayType(T.ArrayType(T.StringType()))
+    schema = T.StructType([*base.schema.fields, T.StructField(out, cells)])
+
+    def run(batches):
+        for batch in batches:
+            found = [html_table(x) for x in batch.column(markup).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.list_(pa.string())))], schema.names)
+
+    return base.mapInArrow(run, schema)

@@ -18,11 +18,26 @@ KINDS = (
 )
 #: Section names by their headings (fixed values).
 SECTIONS = {
-    "abstract": "abstract", "introduction": "introduction", "background": "introduction", "related work": "introduction",
-    "method": "methods", "methods": "methods", "materials and methods": "methods", "experimental": "methods", "experiments": "methods",
-    "results": "results", "results and discussion": "results", "discussion": "discussion", "conclusion": "conclusion", "conclusions": "conclusion",
-    "references": "references", "bibliography": "references", "acknowledgements": "acknowledgements",
+    "abstract": "Abstract", "摘要": "Abstract",
+    "introduction": "Introduction", "background": "Introduction", "related work": "Introduction", "引言": "Introduction", "绪论": "Introduction",
+    "method": "Method", "methods": "Method", "methodology": "Method", "materials and methods": "Method", "方法": "Method", "材料与方法": "Method",
+    "experiment": "Experiment", "experiments": "Experiment", "experimental": "Experiment", "experimental setup": "Experiment", "evaluation": "Experiment", "实验": "Experiment", "实验设置": "Experiment",
+    "result": "Results", "results": "Results", "results and discussion": "Results", "结果": "Results",
+    "discussion": "Discussion", "讨论": "Discussion",
+    "limitation": "Limitation", "limitations": "Limitation", "局限": "Limitation", "局限性": "Limitation",
+    "conclusion": "Conclusion", "conclusions": "Conclusion", "结论": "Conclusion",
+    "future work": "Future Work", "future research": "Future Work", "展望": "Future Work", "未来工作": "Future Work",
+    "references": "References", "reference": "References", "bibliography": "References", "参考文献": "References",
+    "acknowledgements": "Acknowledgements",
 }
+#: Words by which a sentence speaks of a relation (fixed values).
+CUES = {
+    "ADDRESSES": r"(?i)\b(?:address|addresses|solve|solves|tackle|tackles|problem|challenge)\b|(?:解决|应对|问题|挑战)",
+    "USES_METHOD": r"(?i)\b(?:use|uses|using|employ|employs|apply|applies|method|algorithm|experiment|equation|based on)\b|(?:使用|采用|应用|方法|算法|实验|公式|基于)",
+    "USES_DATASET": r"(?i)\b(?:evaluate|evaluates|evaluated|test|tests|tested|train|trained|on|using|with)\b|(?:评估|测试|训练|在.+上)",
+    "REPORTS_RESULT": r"(?i)\b(?:report|reports|result|conclude|achieve|improve|outperform|show|demonstrate|reduce)\w*\b|(?:报告|结果|结论|达到|提升|优于|表明|降低)",
+    "LIMITS": r"(?i)\b(?:limitation|limitations|limited by|drawback|weakness|constraint|fail(?:s|ure)?|cannot|unable)\b|(?:局限|不足|缺点|受限|无法|不能)",
+}
 #: The root relation of each kind of entity (fixed values).
 ROOT = {"method": "USES_METHOD", "dataset": "USES_DATASET", "result": "REPORTS_RESULT", "limitation": "HAS_LIMITATION", "future": "SUGGESTS_FUTURE_WORK", "question": "ADDRESSES_QUESTION"}
 #: Relations between kinds, and confidence by how near the two are (fixed values).
@@ -42,7 +57,12 @@ def sections(blocks: DataFrame) -> DataFrame:
     repeated = blocks.groupBy("record", "text").agg(F.countDistinct("page").alias("_n")).join(pages, "record").filter(F.col("_n") >= F.greatest(F.lit(3.0), 0.3 * F.col("_pages"))).select("record", "text")
     w = Window.partitionBy("record").orderBy("page", "block").rowsBetween(Window.unboundedPreceding, 0)
     named = blocks.join(repeated, ["record", "text"], "left_anti").withColumn("_h", heading(F.col("text"))).withColumn("section", F.coalesce(F.last("_h", ignorenulls=True).over(w), F.lit("front")))
-    return named.filter("section != 'references' AND _h IS NULL").drop("_h")
+    return named.filter("section != 'References' AND _h IS NULL").drop("_h")
+
+
+def has_cue(relation: str, sentence: Column) -> Column:
+    """Whether a sentence speaks of a relation; relations without cues pass."""
+    return sentence.rlike(CUES[relation]) if relation in CUES else F.lit(True)
 
 
 def kind_of(sentence: Column) -> Column:
@@ -54,7 +74,7 @@ def kind_of(sentence: Column) -> Column:
 
 def confidence(kind: Column, section: Column, has_number: Column) -> Column:
     """0.58, and more for a fitting section, a typed statement and a number; 0.95 at most."""
-    fits = F.when((kind == "method") & (section == "methods"), 0.16).when((kind == "result") & section.isin("results", "discussion"), 0.16).when(kind.isin("limitation", "future") & section.isin("discussion", "conclusion"), 0.16).otherwise(0.04)
+    fits = F.when((kind == "method") & (section == "Method"), 0.16).when((kind == "result") & section.isin("Results", "Discussion"), 0.16).when(kind.isin("limitation", "future") & section.isin("Discussion", "Limitation", "Conclusion", "Future Work"), 0.16).otherwise(0.04)
     return F.round(F.least(F.lit(0.95), 0.58 + fits + F.when(kind == "result", F.when(has_number, 0.12).otherwise(0.0)).otherwise(0.06)), 4)
 
 

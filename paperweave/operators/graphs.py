@@ -16,6 +16,41 @@ SMALL_GRAPH, NEAR, MIDDLE = 180, 1.45, 0.78
 BUDGETS = {"overview": 240, "middle": 480, "near": 900}
 #: Below this confidence a node needs review (a fixed value).
 REVIEW = 0.6
+#: Relation types of an exploration's modes (fixed values); references are followed from their source, citations from their target.
+MODES = {
+    "references": ("CITES",),
+    "cited_by": ("CITES",),
+    "authors": ("AUTHOR_OF", "WRITTEN_BY"),
+    "institutions": ("AFFILIATED_WITH", "ASSOCIATED_WITH"),
+    "topics": ("HAS_TOPIC", "MENTIONS", "HAS_KEYWORD"),
+    "venues": ("PUBLISHED_IN",),
+}
+#: Links that one task finishes; an edge is two of them, of about 100 bytes each in its tables.
+LOCAL_LINKS = 1_000_000
+
+
+def mode_matches(mode: str, node, source: str = "source", target: str = "target", kind: str = "type") -> Column:
+    """Whether an edge belongs to a mode of exploring a node: its relation type, and for citations its direction."""
+    if mode == "all":
+        return F.lit(True)
+    fits = F.upper(F.coalesce(F.col(kind), F.lit(""))).isin(*MODES.get(mode, ("",)))
+    if mode == "references":
+        return fits & (F.col(source) == F.lit(node))
+    if mode == "cited_by":
+        return fits & (F.col(target) == F.lit(node))
+    return fits & F.lit(mode in MODES)
+
+
+def in_view(x: Column, y: Column, width: float, height: float, scale: float = 1.0, pan_x: float = 0.0, pan_y: float = 0.0, overscan: float = 0.0) -> Column:
+    """Whether a place of the unit square is on a screen of that size, zoomed about its middle and moved, with a margin.
+
+    The margins and least sizes of the drawing are fixed values.
+    """
+    at_x = 36.0 + x * max(120.0, width - 72.0)
+    at_y = 42.0 + y * max(120.0, height - 92.0)
+    on_x = (at_x - width / 2.0) * scale + width / 2.0 + pan_x
+    on_y = (at_y - height / 2.0) * scale + height / 2.0 + pan_y
+    return on_x.between(-overscan, width + overscan) & on_y.between(-overscan, height + overscan)
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -39,44 +74,149 @@ def neighbour_page(nodes: DataFrame, edges: DataFrame, node, offset: int = 0, li
     return part.join(F.broadcast(total)).withColumn("has_more", F.col("total") > offset + limit)
 
 
-def bfs(edges: DataFrame, start, directed: bool = False, max_depth: int = 20) -> DataFrame:
+def _one_task(links: DataFrame, reached: DataFrame, kind, most: int | None):
+    """The rest of a breadth-first search over few links, in one task. reached (id, depth) are the nodes found so far."""
+    import pyarrow as pa
+
+    value = kind.simpleString()
+
+    def run(batches):
+        near: dict = {}
+        depth: dict = {}
+        for batch in batches:
+            for s, t, d in zip(*(batch.column(c).to_pylist() for c in ("source", "target", "depth")), strict=True):
+                if d is None:
+                    near.setdefault(s, []).append(t)
+                else:
+                    depth[s] = d
+        last = max(depth.values(), default=0)
+        frontier = sorted(x for x, d in depth.items() if d == last)
+        out = []
+        while frontier and (most is None or last < most):
+            last += 1
+            parent: dict = {}
+            for x in frontier:
+                for y in near.get(x, ()):
+                    if y not in depth and not (y in parent and parent[y] <= x):
+                        parent[y] = x
+            depth.update(dict.fromkeys(parent, last))
+            out += [(y, last, x) for y, x in parent.items()]
+            frontier = sorted(parent)
+        if out:
+            ids, depths, parents = zip(*out, strict=True)
+            schema = batch.schema.field("source").type
+            yield pa.RecordBatch.from_arrays([pa.array(ids, schema), pa.array(depths, pa.int32()), pa.array(parents, schema)], ["id", "depth", "parent"])
+
+    rows = links.select("source", "target", F.lit(None).cast("int").alias("depth")).union(reached.select("id", "id", "depth"))
+    return rows.coalesce(1).mapInArrow(run, f"id {value}, depth int, parent {value}")
+
+
+def bfs(edges: DataFrame, start, directed: bool = False, max_depth: int | None = None, local: int = LOCAL_LINKS, most_nodes: int | None = None) -> DataFrame:
     """(id, depth, parent) of all nodes reached; the parent is the least id one step nearer.
 
-    Each round joins the frontier only. The visited set is found again by an
+    Each round joins the frontier only; the visited set is found again by an
     anti join, so no round holds more than the nodes and the frontier's edges.
+    Once at most `local` links lead to nodes that are not reached yet, they are
+    finished in one task, so a long line is not a job a step. With `most_nodes`
+    the search ends after the round that reaches more. A start without edges is
+    reached alone.
     """
     links = durable(edges.select("source", "target").filter("source != target").distinct() if directed else both_ways(edges))
     kind = links.schema["source"].dataType
     seen = edges.sparkSession.range(1).select(F.lit(start).cast(kind).alias("id"), F.lit(0).alias("depth"), F.lit(None).cast(kind).alias("parent"))
-    frontier = seen
-    for depth in range(1, max_depth + 1):
+    frontier, depth, found = seen, 0, 1
+    left = links.count()
+    while max_depth is None or depth < max_depth:
+        if left <= local and most_nodes is None:
+            return seen.unionByName(durable(_one_task(links, seen, kind, max_depth)))
+        depth += 1
         step = links.join(frontier.select(F.col("id").alias("source")), "source")
         new = step.groupBy(F.col("target").alias("id")).agg(F.min("source").alias("parent"))
         frontier = durable(new.join(seen.select("id"), "id", "left_anti").select("id", F.lit(depth).alias("depth"), "parent"))
-        if frontier.isEmpty():
+        size = frontier.count()
+        if not size:
+            break
+        seen, found = seen.unionByName(frontier), found + size
+        if most_nodes is not None and found > most_nodes:
             break
-        seen = seen.unionByName(frontier)
+        if depth % 4 == 0 and most_nodes is None:  # links to nodes that are reached lead nowhere new
+            seen = durable(seen)
+            links = durable(links.join(seen.select(F.col("id").alias("target")), "target", "left_anti").select("source", "target"))
+            left = links.count()
     return seen
 
 
-def shortest_path(edges: DataFrame, start, end, directed: bool = False, max_depth: int = 20) -> DataFrame:
-    """(position, id) along one shortest path; no rows if there is none. One row per step is looked up."""
-    reached = durable(bfs(edges, start, directed, max_depth))
-    path, at = [], reached.filter(F.col("id") == F.lit(end)).first()
-    while at:
-        path.append((at["depth"], at["id"]))
-        at = reached.filter(F.col("id") == F.lit(at["parent"])).first() if at["parent"] is not None else None
-    kind = reached.schema["id"].dataType.simpleString()
-    return edges.sparkSession.createDataFrame(path, f"position int, id {kind}")
+def relation_links(edges: DataFrame, relations=None) -> DataFrame:
+    """Edges of the given relation types, in either case; all for none, or with `all` among them."""
+    names = {r.upper() for r in relations or () if r and r.strip()}
+    return edges.filter(F.upper("type").isin(sorted(names))) if names and "ALL" not in names else edges
 
 
-def components(edges: DataFrame) -> DataFrame:
+def shortest_path(edges: DataFrame, start, end, directed: bool = False, relations=None, local: int = LOCAL_LINKS) -> DataFrame:
+    """(position, id) along one shortest path, the first by its ids from the start on; no rows if there is none.
+
+    Levels are counted from the start. Only links from a level to the next that
+    lead on to the end are left; of these each node takes the one to the least
+    id, and that chain is followed. Lines may have any length.
+    """
+    edges = relation_links(edges, relations) if relations else edges
+    kind = edges.schema["source"].dataType
+    reached = durable(bfs(edges, start, directed, local=local).select("id", "depth"))
+    if reached.filter(F.col("id") == F.lit(end)).isEmpty():
+        return edges.sparkSession.createDataFrame([], f"position int, id {kind.simpleString()}")
+    links = edges.select("source", "target").distinct() if directed else both_ways(edges)
+    levels = links.join(reached.select(F.col("id").alias("source"), F.col("depth").alias("_d")), "source").join(reached.select(F.col("id").alias("target"), F.col("depth").alias("_e")), "target")
+    levels = durable(levels.filter("_e = _d + 1").select("source", "target"))
+    onward = bfs(levels.select(F.col("target").alias("source"), F.col("source").alias("target")), end, True, local=local).select(F.col("id").alias("target"))
+    chosen = durable(levels.join(onward, "target", "left_semi").groupBy("source").agg(F.min("target").alias("target")))
+    return bfs(chosen, start, True, local=local).select(F.col("depth").alias("position"), "id")
+
+
+def path_status(nodes: DataFrame, edges: DataFrame, start, end, directed: bool = False, relations=None, most_visited: int = 50_000, local: int = LOCAL_LINKS) -> dict:
+    """A path query: its status, length, and the path's steps as a DataFrame (None without a path).
+
+    nodes (id), edges (id, source, target, type, confidence). The status is
+    invalid if an end is no node, too_large if more than most_visited nodes lie
+    nearer to the start than the end, no_path, or ready. Edges to ids that are no
+    nodes do not count. Steps are (position, source_id, target_id, edge_id,
+    relation, forward, confidence): of parallel edges the first by type and id.
+    """
+    known = {r["id"] for r in nodes.filter(F.col("id").isin(start, end)).select("id").distinct().collect()}
+    if start not in known or end not in known:
+        return {"status": "invalid", "length": 0, "steps": None}
+    if start == end:
+        return {"status": "ready", "length": 0, "steps": None}
+    inside = relation_links(edges, relations).join(nodes.select(F.col("id").alias("source")).distinct(), "source", "left_semi").join(nodes.select(F.col("id").alias("target")).distinct(), "target", "left_semi")
+    inside = durable(inside.select("id", "source", "target", "type", "confidence"))
+    near = durable(bfs(inside, start, directed, local=local, most_nodes=most_visited).select("id", "depth"))
+    goal = near.filter(F.col("id") == F.lit(end)).first()
+    visited = near.count() if goal is None else near.filter(F.col("depth") < goal["depth"]).count()
+    if visited > most_visited:
+        return {"status": "too_large", "length": 0, "steps": None}
+    if goal is None:
+        return {"status": "no_path", "length": 0, "steps": None}
+    path = durable(shortest_path(inside, start, end, directed, local=local))
+    pairs = path.join(path.select((F.col("position") - 1).alias("position"), F.col("id").alias("target_id")), "position").withColumnRenamed("id", "source_id")
+    ways = inside.select(F.col("source").alias("source_id"), F.col("target").alias("target_id"), "id", "type", "confidence", F.lit(True).alias("forward"))
+    if not directed:
+        ways = ways.unionByName(inside.select(F.col("target").alias("source_id"), F.col("source").alias("target_id"), "id", "type", "confidence", F.lit(False).alias("forward")))
+    first = F.min_by(F.struct("id", "type", "confidence", "forward"), F.struct("type", "id", ~F.col("forward")))
+    steps = pairs.join(ways, ["source_id", "target_id"]).groupBy("position", "source_id", "target_id").agg(first.alias("e"))
+    steps = steps.select("position", "source_id", "target_id", F.col("e.id").alias("edge_id"), F.upper("e.type").alias("relation"), "e.forward", F.round(F.coalesce("e.confidence", F.lit(1.0)), 4).alias("confidence"))
+    return {"status": "ready", "length": goal["depth"], "steps": steps}
+
+
+def components(edges: DataFrame, local: int = LOCAL_LINKS) -> DataFrame:
     """(id, component): the least id that each node of an edge reaches.
 
-    Labels pass to neighbours, and in the same round on to the label's own
-    label, so that chains halve; rounds end when no label changes.
+    Up to `local` edges are joined in one task. Beyond, labels pass to
+    neighbours, and in the same round on to the label's own label, so that
+    chains halve; rounds end when no label changes.
     """
-    links = durable(both_ways(edges))
+    once = durable(edges.select("source", "target").filter("source != target").distinct())
+    if once.count() <= local:
+        return durable(_joined(once))
+    links = durable(both_ways(once))
     labels = durable(links.groupBy(F.col("source").alias("id")).agg(F.min("target").alias("m")).select("id", F.least("id", "m").alias("component")))
     while True:
         at = labels.select(F.col("id").alias("target"), F.col("component").alias("c"))
@@ -89,7 +229,34 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def betweenness(edges: DataFrame, sources: int = 48, max_depth: int = 20) -> DataFrame:
+def _joined(edges: DataFrame) -> DataFrame:
+    import pyarrow as pa
+
+    kind = edges.schema["source"].dataType.simpleString()
+
+    def run(batches):
+        up: dict = {}
+        form = None
+
+        def top(x):
+            while up.setdefault(x, x) != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        for batch in batches:
+            form = batch.schema.field("source").type
+            for a, b in zip(batch.column("source").to_pylist(), batch.column("target").to_pylist(), strict=True):
+                a, b = top(a), top(b)
+                if a != b:
+                    up[max(a, b)] = min(a, b)
+        if up:
+            yield pa.RecordBatch.from_arrays([pa.array(list(up), form), pa.array([top(x) for x in up], form)], ["id", "component"])
+
+    return edges.coalesce(1).mapInArrow(run, f"id {kind}, component {kind}")
+
+
+def betweenness(edges: DataFrame, sources: int = 48, max_depth: int | None = None) -> DataFrame:
     """(id, score): dependencies of shortest paths from evenly spaced sources, over the largest.
 
     Forward rounds count paths for all sources at once, backward rounds share
@@ -106,7 +273,7 @@ def betweenness(edges: DataFrame, sources: int = 48, max_depth: int = 20) -> Dat
     chosen = ranked.filter((F.col("rank") + F.col("before") - 1) % step == 0).select("id")
     levels = [durable(chosen.select(F.col("id").alias("s"), "id", F.lit(1.0).alias("paths")))]
     seen = levels[0].select("s", "id")
-    while len(levels) <= max_depth:
+    while max_depth is None or len(levels) <= max_depth:
         at = levels[-1].withColumnRenamed("id", "source")
         new = links.join(at, "source").groupBy("s", F.col("target").alias("id")).agg(F.sum("paths").alias("paths"))
         new = durable(new.join(seen, ["s", "id"], "left_anti"))

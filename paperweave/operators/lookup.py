@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Titles from this length on are looked for inside others (a fixed value).
+LEAST_TITLE = 16
 
 
 def two_tier(records: DataFrame, metrics: DataFrame, id_: str, codes: str, name: str, order: str, value: str) -> DataFrame:
@@ -32,31 +36,104 @@ def graded_match(records: DataFrame, pack: DataFrame, name: str, code: str) -> D
     return graded.withColumn("match_score", F.coalesce("_c", "_n", F.when(partial, 1), F.lit(0))).drop("_c", "_n", "_parts")
 
 
-def unique_containment(texts: DataFrame, passages: DataFrame, text_id: str, text: str, passage_id: str, passage: str, gram: int = 8) -> DataFrame:
-    """(passage_id, text_id) for passages that exactly one text contains.
+#: Characters of a passage that are looked for first, and passages that are searched for at once (about 150 bytes each on the driver).
+HEAD, BLOCK_PASSAGES = 32, 200_000
+
+
+def containments(texts: DataFrame, passages: DataFrame, text_id: str, text: str, passage_id: str, passage: str, block: int = BLOCK_PASSAGES) -> DataFrame:
+    """(passage_id, text_id), once each, for every text that contains a passage, wherever it begins.
 
-    Candidates meet on the passage's first `gram` words, so only texts with that
-    run of words are searched.
+    The passages are the query set: in blocks of a stated size their first
+    characters, lengths and digests are broadcast as one search automaton, and
+    the texts stream past it; a place where the first characters stand is decided
+    by the digest of the passage's length from there. Null and empty passages
+    are in no text.
     """
-    first = F.array_join(F.slice(F.split(F.col(passage), " "), 1, gram), " ")
-    passages = passages.withColumn("_k", first)
-    split = texts.select(text_id, F.split(F.col(text), " ").alias("_w"))
-    # neighbours are joined from shifted copies of the words, so each word is handled `gram` times and no more
-    shifted = [F.expr(f"slice(_w, {i + 1}, greatest(size(_w) - {gram - 1}, 0))") for i in range(gram)]
-    run = F.transform(F.arrays_zip(*[c.alias(f"w{i}") for i, c in enumerate(shifted)]), lambda x: F.concat_ws(" ", *[x[f"w{i}"] for i in range(gram)]))
-    run = F.when(F.size("_w") >= gram, run).otherwise(F.array(F.array_join("_w", " ")))
-    keys = passages.select("_k").distinct()
-    held = split.select(text_id, F.explode(F.array_distinct(run)).alias("_k")).join(keys, "_k", "left_semi")
-    candidates = held.join(passages.select(passage_id, passage, "_k"), "_k").join(texts.select(text_id, text), text_id)
-    found = candidates.filter(F.contains(F.col(text), F.col(passage))).select(passage_id, text_id).distinct()
+    import hashlib
+
+    import pyarrow as pa
+
+    wanted = passages.filter(F.length(passage) > 0).select(F.col(passage_id).alias("id"), F.substring(passage, 1, HEAD).alias("head"), F.length(passage).alias("n"), F.md5(passage).alias("digest")).distinct()
+    blocks = max(1, -(-wanted.count() // block))
+    fields = [passages.schema[passage_id], texts.schema[text_id]]
+    schema = T.StructType([T.StructField(passage_id, fields[0].dataType), T.StructField(text_id, fields[1].dataType)])
+    out = None
+    for k in range(blocks):
+        rows = wanted.filter(F.pmod(F.xxhash64("digest"), F.lit(blocks)) == k).toArrow()
+        kind = rows.schema.field("id").type
+        shared = texts.sparkSession.sparkContext.broadcast([rows.column(c).to_pylist() for c in ("head", "n", "digest", "id")])
+
+        def run(batches, shared=shared, kind=kind):
+            import ahocorasick
+
+            search, of = ahocorasick.Automaton(), {}
+            for head, n, digest, i in zip(*shared.value, strict=True):
+                of.setdefault(head, {}).setdefault(n, {}).setdefault(digest, []).append(i)
+            for head, sizes in of.items():
+                search.add_word(head, (len(head), sizes))
+            if of:
+                search.make_automaton()
+            for batch in batches if of else ():
+                left, right = [], []
+                for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    found = set()
+                    for end, (m, sizes) in search.iter(t or ""):
+                        start = end - m + 1
+                        for n, digests in sizes.items():
+                            if start + n <= len(t) and (d := hashlib.md5(t[start : start + n].encode()).hexdigest()) in digests:
+                                found.update(digests[d])
+                    left += found
+                    right += [i] * len(found)
+                yield pa.RecordBatch.from_arrays([pa.array(left, kind), pa.array(right, batch.schema.field(0).type)], [passage_id, text_id])
+
+        part = texts.select(text_id, text).mapInArrow(run, schema)
+        out = part if out is None else out.unionByName(part)
+    return out.distinct()
+
+
+def unique_containment(texts: DataFrame, passages: DataFrame, text_id: str, text: str, passage_id: str, passage: str) -> DataFrame:
+    """(passage_id, text_id) for passages that exactly one text contains; a passage may begin and end inside words."""
+    found = containments(texts, passages, text_id, text, passage_id, passage)
     return found.groupBy(passage_id).agg(F.count("*").alias("_n"), F.min(text_id).alias(text_id)).filter("_n = 1").drop("_n")
 
 
+def resolve_references(references: DataFrame, papers: DataFrame, id_: str = "source", least_chars: int = LEAST_TITLE) -> DataFrame:
+    """References with `target` and `tier`: by alias, else by equal title, else by the one title that contains theirs or lies in it.
+
+    references (id_, identifier, title), papers (id, aliases, title), titles and
+    aliases normalized alike. Titles under `least_chars` characters are not
+    looked for inside others. Several papers of one alias or title: the least id.
+    """
+    named = papers.filter(F.col("title") != "").select("id", "title")
+    aliases = papers.select(F.explode("aliases").alias("identifier"), "id").filter("identifier != ''").groupBy("identifier").agg(F.min("id").alias("_alias"))
+    titles = named.groupBy("title").agg(F.min("id").alias("_title"))
+    refs = references.select(id_, "identifier", "title")
+    tiers = refs.join(aliases, "identifier", "left").join(titles, "title", "left")
+    open_ = tiers.filter("_alias IS NULL AND _title IS NULL").filter(F.length("title") >= least_chars).select("title").distinct()
+    inside = containments(named, open_.select(F.col("title").alias("said"), "title"), "id", "title", "said", "title")
+    around = containments(open_.select(F.col("title").alias("said"), "title"), named, "said", "title", "id", "title")
+    one = inside.select("said", "id").union(around.select("said", "id")).distinct().groupBy("said").agg(F.count("*").alias("_n"), F.min("id").alias("_inside")).filter("_n = 1").select(F.col("said").alias("title"), "_inside")
+    out = tiers.join(one, "title", "left")
+    tier = F.when(F.col("_alias").isNotNull(), "alias").when(F.col("_title").isNotNull(), "title").when(F.col("_inside").isNotNull(), "containment").otherwise("none")
+    return out.select(id_, F.coalesce("_alias", "_title", "_inside").alias("target"), tier.alias("tier"))
+
+
 def nearest(points: DataFrame, targets: DataFrame, by: list[str], x: str, target_x: str, value: str) -> DataFrame:
-    """Each point with the value of the nearest target of its group; the smaller target wins ties."""
-    joined = points.join(targets.select(*by, target_x, value), by)
-    best = F.min_by(F.struct(target_x, value), F.struct(F.abs(F.col(target_x) - F.col(x)), F.col(target_x)))
-    return joined.groupBy(*points.columns).agg(best.alias("_b")).select(*points.columns, f"_b.{target_x}", f"_b.{value}")
+    """Each point with the value of the nearest target of its group; the smaller target wins ties, then the smaller value.
+
+    Points and targets are sorted together, so a group costs its size, not its
+    pairs. Groups without targets, and points without x, give no row.
+    """
+    own = F.struct(F.col(target_x), F.col(value))
+    t = targets.filter(F.col(target_x).isNotNull()).groupBy(*by, target_x).agg(F.min(value).alias(value))
+    both = points.select(*by, F.col(x).cast("double").alias("_x"), F.struct(*points.columns).alias("_p"), F.lit(None).cast(t.select(own.alias("t")).schema["t"].dataType).alias("_t"))
+    both = both.unionByName(t.select(*by, F.col(target_x).cast("double").alias("_x"), F.lit(None).cast(both.schema["_p"].dataType).alias("_p"), own.alias("_t")))
+    w = Window.partitionBy(*by).orderBy("_x")
+    before = F.last("_t", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0))
+    after = F.first("_t", ignorenulls=True).over(w.rangeBetween(0, Window.unboundedFollowing))
+    near = both.withColumn("_b", before).withColumn("_a", after).filter("_p IS NOT NULL AND _x IS NOT NULL AND (_a IS NOT NULL OR _b IS NOT NULL)")
+    far = F.col("_a").isNull() | (F.col("_x") - F.col(f"_b.{target_x}") <= F.col(f"_a.{target_x}") - F.col("_x"))
+    return near.withColumn("_n", F.when(F.col("_b").isNotNull() & far, F.col("_b")).otherwise(F.col("_a"))).select("_p.*", f"_n.{target_x}", f"_n.{value}")
 
 
 def last_before(events: DataFrame, key: str, order: list[str], wanted: Column, value: Column, name: str) -> DataFrame:

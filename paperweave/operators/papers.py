@@ -56,24 +56,61 @@ def paper_metrics(links: DataFrame, strengths: DataFrame, topics: DataFrame, bet
     return x.select("id", "citations_in", "degree", "cross_links", F.round(core, 4).alias("core_score"), F.round(bridge, 4).alias("bridge_score"))
 
 
-def longest_paths(links: DataFrame, papers: DataFrame) -> DataFrame:
+def causal_links(links: DataFrame, papers: DataFrame) -> DataFrame:
+    """(from, id): links from a cited to a citing paper that can be followed without going round.
+
+    The cited paper must not be younger. Within a year papers come in the order
+    of their links; papers on a cycle of one year, or behind one, come last, by
+    id, and of the links between those only the ones that follow that order stay.
+    Papers that are cleared one after another along a line are cleared together,
+    by doubling.
+    """
+    a = papers.filter("year IS NOT NULL").select(F.col("id").alias("target"), F.col("year").alias("_ty"))
+    b = papers.filter("year IS NOT NULL").select(F.col("id").alias("source"), F.col("year").alias("_sy"))
+    steps = durable(links.select("source", "target").filter("source != target").distinct().join(a, "target").join(b, "source").filter("_ty <= _sy").select(F.col("target").alias("from"), F.col("source").alias("id"), (F.col("_ty") == F.col("_sy")).alias("same")))
+    same = steps.filter("same").select("from", "id")
+    if same.isEmpty():
+        return steps.select("from", "id")
+    into = durable(same.groupBy("id").agg(F.count("*").alias("n"), F.min("from").alias("up")))
+    lines = durable(into.filter("n = 1").select("id", F.col("up").alias("head")))
+    single = lines.select("id")
+    for _ in range(max(1, lines.count()).bit_length() + 1):
+        up = lines.select(F.col("id").alias("head"), F.col("head").alias("_head"))
+        lines = durable(lines.join(up, "head", "left").select("id", F.coalesce("_head", "head").alias("head")))
+    # heads that are in a line themselves go round for ever
+    ring = durable(lines.join(single.select(F.col("id").alias("head")), "head", "left_semi").select("id"))
+    lines = lines.join(ring, "id", "left_anti")
+    joints = same.join(into.filter("n > 1").select("id"), "id", "left_semi")
+    heads = joints.join(lines.select(F.col("id").alias("from"), "head"), "from", "left").join(ring.select(F.col("id").alias("from"), F.lit(True).alias("_ring")), "from", "left")
+    open_ = durable(heads.select("id", F.coalesce("head", "from").alias("head"), F.coalesce("_ring", F.lit(False)).alias("ring")).distinct())
+    while True:
+        # a joint is open as long as one of its heads is a ring or an open joint
+        stuck = open_.filter("ring").select("id").union(open_.join(open_.select(F.col("id").alias("head")).distinct(), "head", "left_semi").select("id")).distinct()
+        left = durable(open_.join(stuck, "id", "left_semi"))
+        if left.count() == open_.count():
+            break
+        open_ = left
+    late = ring.union(open_.select("id")).union(lines.join(open_.select(F.col("id").alias("head")).distinct(), "head", "left_semi").select("id")).distinct()
+    late = durable(late.withColumn("_late", F.lit(True)))
+    marked = steps.join(late, "id", "left").join(late.select(F.col("id").alias("from"), F.col("_late").alias("_from_late")), "from", "left")
+    goes_on = ~F.col("same") | F.col("_late").isNull() | F.col("_from_late").isNull() | (F.col("from") < F.col("id"))
+    return marked.filter(goes_on).select("from", "id")
+
+
+def longest_paths(links: DataFrame, papers: DataFrame, causal: DataFrame | None = None) -> DataFrame:
     """(id, score, length, parent): the best-weighted chain of citations that ends at each paper.
 
     papers (id, year, key). Influence goes from the cited to the citing paper; a
-    step adds 1 + 0.35 key + 0.04 for each year, 0.6 at most. Links within a year
-    count from the smaller id to the larger, so there are no cycles. Papers with
-    one step into them hang on the paper at the head of their line, found by
+    paper adds 1 + 0.35 key, and a step 0.04 for each year, 0.6 at most; length
+    counts steps. Which links are followed says causal_links. Papers with one
+    step into them hang on the paper at the head of their line, found by
     doubling; among the others each round extends chains by one link, until none
-    improves. Equal scores take the longer chain, then the least parent.
+    improves. Equal scores take the longer chain, then the greatest parent.
     """
-    a = papers.select(F.col("id").alias("target"), F.col("year").alias("_ty"))
-    b = papers.select(F.col("id").alias("source"), F.col("year").alias("_sy"), F.col("key").alias("_key"))
-    steps = links.select("source", "target").distinct().join(a, "target").join(b, "source")
-    steps = durable(
-        steps.filter((F.col("_ty") < F.col("_sy")) | ((F.col("_ty") == F.col("_sy")) & (F.col("target") < F.col("source")))).select(
-            F.col("target").alias("from"), F.col("source").alias("id"), (1 + 0.35 * F.col("_key") + F.least(F.lit(0.6), 0.04 * (F.col("_sy") - F.col("_ty")))).alias("gain")
-        )
-    )
+    causal = causal_links(links, papers) if causal is None else causal
+    a = papers.select(F.col("id").alias("from"), F.col("year").alias("_ty"))
+    b = papers.select("id", F.col("year").alias("_sy"), F.coalesce("key", F.lit(0.0)).alias("_key"))
+    steps = durable(causal.join(a, "from").join(b, "id").select("from", "id", (1 + 0.35 * F.col("_key") + F.least(F.lit(0.6), 0.04 * (F.col("_sy") - F.col("_ty")))).alias("gain")))
     into = steps.groupBy("id").agg(F.count("*").alias("steps"), F.min("from").alias("from"), F.min("gain").alias("gain"))
     lines = durable(into.filter("steps = 1").select("id", F.col("from").alias("parent"), F.col("from").alias("head"), "gain", F.lit(1).alias("n"), F.lit(True).alias("moved")))
     while not lines.filter("moved").isEmpty():
@@ -85,14 +122,15 @@ def longest_paths(links: DataFrame, papers: DataFrame) -> DataFrame:
     joints = steps.join(into.filter("steps > 1").select("id"), "id", "left_semi").join(offset, "from", "left")
     joints = durable(joints.select("from", "id", F.coalesce("head", "from").alias("head"), (F.col("gain") + F.coalesce("_gain", F.lit(0.0))).alias("gain"), (1 + F.coalesce("_n", F.lit(0))).alias("n")))
     kind = papers.schema["id"].dataType
-    best = durable(papers.select("id", F.lit(0.0).alias("score"), F.lit(0).alias("length"), F.lit(None).cast(kind).alias("parent")).join(lines.select("id"), "id", "left_anti"))
+    own = F.round(1 + 0.35 * F.coalesce("key", F.lit(0.0)), 6)
+    best = durable(papers.select("id", own.alias("score"), F.lit(0).alias("length"), F.lit(None).cast(kind).alias("parent")).join(lines.select("id"), "id", "left_anti"))
     frontier = best
     while not frontier.isEmpty():
         moved = joints.join(frontier.select(F.col("id").alias("head"), "score", "length"), "head").select("id", F.round(F.col("score") + F.col("gain"), 6).alias("score"), (F.col("length") + F.col("n")).alias("length"), F.col("from").alias("parent"))
-        offer = moved.groupBy("id").agg(F.max_by(F.struct("score", "length", "parent"), F.struct("score", "length", -F.col("parent"))).alias("o"))
+        offer = moved.groupBy("id").agg(F.max(F.struct("score", "length", "parent")).alias("o"))
         joined = best.join(offer, "id", "left")
         same = F.col("o.score") == F.col("score")
-        longer = (F.col("o.length") > F.col("length")) | ((F.col("o.length") == F.col("length")) & (F.col("o.parent") < F.col("parent")))
+        longer = (F.col("o.length") > F.col("length")) | ((F.col("o.length") == F.col("length")) & (F.col("o.parent") > F.col("parent")))
         better = F.coalesce((F.col("o.score") > F.col("score")) | (same & longer), F.lit(False))
         new = durable(joined.select("id", *[F.when(better, F.col(f"o.{c}")).otherwise(F.col(c)).alias(c) for c in ("score", "length", "parent")], better.alias("moved")))
         best, frontier = new.drop("moved"), new.filter("moved").drop("moved")
@@ -100,24 +138,58 @@ def longest_paths(links: DataFrame, papers: DataFrame) -> DataFrame:
     return best.unionByName(lines.join(heads, "head").select("id", F.round(F.col("score") + F.col("gain"), 6).alias("score"), (F.col("length") + F.col("n")).alias("length"), "parent"))
 
 
+def walked_back(ends: DataFrame, best: DataFrame, longest: int) -> DataFrame:
+    """(end, id, back): the papers of the chains that end at `ends`, so many steps before the end. Pointers double, so it takes log(longest) joins."""
+    jumps = [durable(best.filter("parent IS NOT NULL").select("id", F.col("parent").alias("to")))]
+    while (1 << len(jumps)) <= longest:
+        last = jumps[-1]
+        jumps.append(durable(last.join(last.select(F.col("id").alias("to"), F.col("to").alias("_to")), "to").select("id", F.col("_to").alias("to"))))
+    rows = ends.select(F.col("id").alias("end"), "id", F.lit(0).alias("back"))
+    for k in range(len(jumps) - 1, -1, -1):
+        rows = durable(rows.unionByName(rows.join(jumps[k], "id").select("end", F.col("to").alias("id"), (F.col("back") + (1 << k)).alias("back"))))
+    return rows
+
+
 def key_paths(links: DataFrame, papers: DataFrame, most: int = PATHS, overlap: float = OVERLAP, pool: int = 40) -> DataFrame:
     """(path, position, id): the best chains, of which no two share more than `overlap` of their papers.
 
-    Only the `pool` best chain ends are walked back, one join a step for all of them.
+    Chains end where no followed link leads on. They are taken in order of
+    score, length and id, `pool` at a time until `most` are found or none is
+    left; chains meet by a join on their papers, and the driver sees how many
+    papers two chains share, for `pool` chains at a time, never the papers.
     """
-    best = durable(longest_paths(links, papers))
-    ends = best.filter("length > 0").orderBy(F.col("score").desc(), "id").limit(pool)
-    chains = durable(ends.select(F.col("id").alias("end"), "score", "parent", F.array("id").alias("ids")))
-    while not chains.filter("parent IS NOT NULL").isEmpty():
-        up = best.select(F.col("id").alias("parent"), F.col("parent").alias("above"))
-        chains = durable(chains.join(up, "parent", "left").select("end", "score", F.col("above").alias("parent"), F.when(F.col("parent").isNotNull(), F.concat(F.array("parent"), F.col("ids"))).otherwise(F.col("ids")).alias("ids")))
-    kept: list[list] = []
-    for r in chains.orderBy(F.col("score").desc(), "end").collect():  # pool rows at most
-        ids = set(r["ids"])
-        if len(kept) < most and all(len(ids & set(k)) <= overlap * len(ids | set(k)) for k in kept):
-            kept.append(r["ids"])
-    rows = [(p, i, x) for p, ids in enumerate(kept) for i, x in enumerate(ids)]
-    return links.sparkSession.createDataFrame(rows, f"path int, position int, id {papers.schema['id'].dataType.simpleString()}")
+    causal = durable(causal_links(links, papers))
+    best = durable(longest_paths(links, papers, causal))
+    ends = durable(best.filter("length > 0").join(causal.select(F.col("from").alias("id")).distinct(), "id", "left_anti").select("id", "score", "length"))
+    kept = best.sparkSession.createDataFrame([], "path int").join(best.select("id", F.lit(0).alias("back"), F.lit(0).alias("size")).limit(0))
+    paths, at = 0, 0
+    while paths < most:
+        part = durable(ends.orderBy(F.col("score").desc(), F.col("length").desc(), "id").offset(at).limit(pool))
+        order = [(r["id"], r["length"] + 1) for r in part.orderBy(F.col("score").desc(), F.col("length").desc(), "id").collect()]
+        if not order:
+            break
+        at += len(order)
+        chains = durable(walked_back(part, best, max(n for _, n in order)))
+        old = durable(kept.select(F.col("path").cast("string").alias("other"), "id", "size"))
+        name = F.concat(F.lit("e"), F.col("end").cast("string"))
+        all_ = chains.select(name.alias("other"), "id", F.lit(None).cast("int").alias("size")).unionByName(old)
+        meet = chains.select("end", "id").join(all_, "id").groupBy("end", "other").agg(F.count("*").alias("both"), F.max("size").alias("size")).collect()
+        shared = {(str(r["end"]), r["other"]): (r["both"], r["size"]) for r in meet}
+        size = {f"e{e}": n for e, n in order}
+        chosen: list = []
+        for e, n in order:
+            rivals = [f"e{c}" for c in chosen] + [k for (x, k), (_, z) in shared.items() if x == str(e) and z is not None]
+            fits = True
+            for k in rivals:
+                both, z = shared.get((str(e), k), (0, None))
+                fits = fits and both <= overlap * (n + (z or size.get(k, 0)) - both)
+            if fits and paths + len(chosen) < most:
+                chosen.append(e)
+        if chosen:
+            number = papers.sparkSession.createDataFrame([(paths + i, e, size[f"e{e}"]) for i, e in enumerate(chosen)], f"path int, end {papers.schema['id'].dataType.simpleString()}, size int")
+            kept = durable(kept.unionByName(chains.join(F.broadcast(number), "end").select("path", "id", "back", "size")))
+            paths += len(chosen)
+    return kept.select("path", (F.col("size") - 1 - F.col("back")).alias("position"), "id")
 
 
 def collaboration(members: DataFrame, group: str, item: str, cap: int = 40, evidence: int = 12, limit: int = 600) -> DataFrame:

@@ -97,3 +97,14 @@ def table_candidate_score(shape_rows: Column, shape_columns: Column, even: Colum
     """How good a candidate table is: its shape, even row widths, filled cells and numbers."""
     shape = F.least(F.lit(1.0), shape_rows / 4) * 0.3 + F.least(F.lit(1.0), shape_columns / 3) * 0.2
     return F.round(shape + F.when(even, 0.2).otherwise(0.0) + 0.2 * filled + 0.1 * numeric, 4)
+
+
+def tenant_counts(rows: DataFrame, tenant: str, status: str) -> DataFrame:
+    """(tenant, status, n)."""
+    return rows.groupBy(F.col(tenant).alias("tenant"), F.col(status).alias("status")).agg(F.count("*").alias("n"))
+
+
+def quota(tenants: DataFrame, files: DataFrame) -> DataFrame:
+    """(tenant, bytes, files) of every tenant; one without files has 0. files (tenant, bytes)."""
+    used = files.groupBy("tenant").agg(F.sum(F.coalesce("bytes", F.lit(0))).cast("long").alias("bytes"), F.count("*").alias("files"))
+    return tenants.select("tenant").distinct().join(used, "tenant", "left").fillna(0, ["bytes", "files"])

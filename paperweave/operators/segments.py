@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import ascii_words, cjk_chars, compact_length, sentence_ends
+from ..functions.text import ascii_words, cjk_chars, clean_text, compact_length, sentence_ends
 
 
 def segment_kind(text: Column) -> Column:
@@ -90,6 +90,14 @@ def probably_untranslated(source: Column, result: Column, least_overlap: float =
     return (F.size(words) >= 5) & (share < 0.1) & (kept >= least_overlap * F.size(words))
 
 
+def warning_report(segments: DataFrame, target: str = "zh", preview: int = 90) -> DataFrame:
+    """(sid, warning) of segments (sid, text, result, translate) that look untranslated; those without a result, or not to be translated, are left out."""
+    lost, what = (cjk_chars(F.col("result")) >= 0.3 * F.greatest(compact_length(F.col("result")), F.lit(1)), "Chinese") if target == "en" else (probably_untranslated(F.col("text"), F.col("result")), "English")
+    shown = segments.filter(F.col("translate") & (F.coalesce("result", F.lit("")) != "") & lost)
+    said = F.concat(F.col("sid").cast("string"), F.lit(f": possible untranslated {what} remains: "), F.substring(clean_text(F.col("text")), 1, preview))
+    return shown.select("sid", said.alias("warning"))
+
+
 def replace_variants(text: Column, canonical: str, variants: list[str]) -> Column:
     """Each variant, as a whole word in either case, becomes the canonical term."""
     escaped = "|".join(sorted((v.replace(".", r"\.") for v in variants), key=len, reverse=True))

@@ -60,7 +60,7 @@ def resample(points: DataFrame, by: str, x: str, y: str, step: float) -> DataFra
     gap = F.col("_b.cell") - F.col("_a.cell")
     line = F.col("_a.y") + (F.col("cell") - F.col("_a.cell")) * (F.col("_b.y") - F.col("_a.y")) / F.nullif(gap, F.lit(0))
     value = F.when(F.col("y").isNotNull(), F.col("y")).when(gap <= 5, line)
-    return full.select(by, "cell", F.round(value, 4).alias("y"), F.col("y").isNull().alias("filled"))
+    return full.select(by, "cell", F.round(value, 6).alias("y"), F.col("y").isNull().alias("filled"))
 
 
 def repair_gaps(points: DataFrame, series: str, order: str, y: str) -> DataFrame:

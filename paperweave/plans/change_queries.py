@@ -211,15 +211,15 @@ def fused_elements(spark, d):
     return elements.fuse(_boxes(spark, d, 0.0, "l_partkey % 2 = 0"), _boxes(spark, d, 1.0, "l_partkey % 3 = 0")).select("page", "kind", "id", "engines")
 
 
-@query("""WITH b AS (SELECT l_orderkey AS page, l_linenumber * 100000::BIGINT + l_partkey AS id, l_quantity AS x0, l_partkey % 5 * 4.0::DOUBLE AS y0 FROM lineitem WHERE l_orderkey < 2000)
+@query("""WITH b AS (SELECT l_orderkey AS page, l_linenumber * 100000::BIGINT + l_partkey AS id, l_quantity AS x0, l_partkey % 5 * 4.0::DOUBLE AS y0 FROM lineitem)
 SELECT DISTINCT page, id AS a, bid AS b, round(i / (216.0::DOUBLE - i), 4) AS iou FROM (SELECT a.page, a.id, b.id AS bid, greatest(12 - abs(a.x0 - b.x0), 0) * greatest(9 - abs(a.y0 - b.y0), 0) AS i FROM b a JOIN b b ON a.page = b.page AND a.id < b.id) WHERE i > 0""")
 def box_overlaps(spark, d):
-    return _overlaps(_boxes(spark, d, 0.0, "l_orderkey < 2000"))
+    return _overlaps(_boxes(spark, d))
 
 
-@query()
+@query(QUERIES["box_overlaps"][1])
 def box_overlaps_all(spark, d):
-    """box_overlaps on the pages of all orders; its SQL covers the first ones only."""
+    """box_overlaps by its former name."""
     return _overlaps(_boxes(spark, d))
 
 
@@ -238,8 +238,10 @@ def expected_and_actual(spark, d):
 
 @query()
 def robust_lines(spark, d):
-    items = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("axis"), F.col("l_linenumber").alias("x"), F.col("l_quantity").alias("y"))
-    return elements.robust_line(items, "axis", "x", "y", 5.0)
+    """Line items as ticks, eight pixels apart; two of three lie on a line."""
+    y = F.when(F.col("l_partkey") % 3 == 0, F.col("l_quantity")).otherwise(F.col("l_linenumber") * 2.0 + 1.0)
+    items = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("axis"), (F.col("l_linenumber") * 8).alias("x"), y.alias("y"))
+    return elements.robust_line(items, "axis", "x", "y")
 
 
 @query("SELECT event_type, dayofyear(ts) AS x, median(value) AS y FROM events GROUP BY 1, 2")
@@ -316,21 +318,26 @@ def review_overlay(spark, d):
     return compare.overlay_reviews(m, r).select("record", "items", "state")
 
 
-@query("""WITH c AS (SELECT doc_id AS id, doc_id % 97 AS record, CASE WHEN doc_id % 2 = 0 THEN 'up' ELSE 'down' END AS polarity, list_distinct(regexp_extract_all(lower(text), '[a-z]{5,}')) AS t FROM documents WHERE length(text) < 700 AND lang = 'en')
-SELECT a, b, likeness FROM (SELECT x.id AS a, y.id AS b, round(len(list_intersect(x.t, y.t)) / len(list_distinct(list_concat(x.t, y.t)))::DOUBLE, 4) AS likeness FROM c x JOIN c y ON x.polarity = 'up' AND y.polarity = 'down' AND x.record <> y.record WHERE len(x.t) > 0 AND len(y.t) > 0) WHERE likeness >= 0.20 ORDER BY likeness DESC, a, b LIMIT 40""")
+@query("""WITH s AS (SELECT d.doc_id, d.text || CASE WHEN quality = 1 THEN ' results improve' ELSE ' results decrease' END AS text FROM documents d JOIN labels USING (doc_id) WHERE d.text IS NOT NULL AND quality IS NOT NULL),
+c AS (SELECT doc_id AS id, doc_id % 97 AS record, contains(lower(text), 'improve') OR contains(lower(text), 'outperform') OR contains(lower(text), 'increase') OR contains(lower(text), 'higher') AS up,
+  contains(lower(text), 'not ') OR contains(lower(text), 'underperform') OR contains(lower(text), 'decrease') OR contains(lower(text), 'lower') AS down, list_distinct(regexp_extract_all(lower(text), '[a-z]{5,}')) AS t FROM s),
+p AS (SELECT x.id AS a, y.id AS b, x.t AS p, y.t AS q FROM c x JOIN c y ON x.up AND y.down AND x.record <> y.record AND (NOT (x.up AND x.down AND y.up AND y.down) OR x.id < y.id) WHERE len(x.t) > 0 AND len(y.t) > 0)
+SELECT a, b, likeness FROM (SELECT a, b, round(len(list_intersect(p, q)) / (len(p) + len(q) - len(list_intersect(p, q)))::DOUBLE, 4) AS likeness FROM p) WHERE likeness >= 0.20 ORDER BY likeness DESC, a, b LIMIT 40""")
 def opposite_results(spark, d):
-    docs = table(spark, d, "documents").filter("length(text) < 700 AND lang = 'en'")
-    return compare.opposite_results(_claims(docs, F.when(F.col("doc_id") % 2 == 0, "up").otherwise("down")))
+    """Documents that say in their last words, by their label, that results rise or fall."""
+    said = F.concat("text", F.when(F.col("quality") == 1, " results improve").otherwise(" results decrease"))
+    docs = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").filter("text IS NOT NULL AND quality IS NOT NULL").withColumn("text", said)
+    return compare.opposite_results(_claims(docs))
 
 
-def _claims(docs, polarity):
-    return docs.select(F.col("doc_id").alias("id"), (F.col("doc_id") % 97).alias("record"), polarity.alias("polarity"), F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{5,}"), F.lit(0))).alias("terms"))
+def _claims(docs):
+    return docs.select(F.col("doc_id").alias("id"), (F.col("doc_id") % 97).alias("record"), compare.polarity(F.col("text")).alias("polarity"), F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{5,}"), F.lit(0))).alias("terms"))
 
 
 @query()
 def opposite_results_all(spark, d):
-    """opposite_results over documents of any length and language, by the polarity of their text; its SQL takes short English ones and the parity of the id."""
-    return compare.opposite_results(_claims(table(spark, d, "documents"), compare.polarity(F.col("text"))))
+    """Claims of the documents' own texts."""
+    return compare.opposite_results(_claims(table(spark, d, "documents")))
 
 
 @query()

@@ -39,15 +39,15 @@ class TopicMap:
     links: DataFrame
 
 
-def topic_map(features: DataFrame, edge: float = CLUSTER, most: int = TOPICS) -> TopicMap:
-    """Topics are components of the similarity graph; the largest `most` stay, single papers are unassigned, the rest is `other`.
+def topic_map(features: DataFrame, links: DataFrame | None = None, edge: float = CLUSTER, most: int = TOPICS) -> TopicMap:
+    """Topics are components of the similarity graph, to which citations (links) add; the largest `most` stay, single papers are unassigned, the rest is `other`.
 
     A topic's id is a digest of its least member, its name its heaviest terms,
     its representative the paper nearest to the centroid.
     """
     vec = durable(vectors.tfidf(features, "id"))
-    links = durable(vectors.similarity(vec, "id"))
-    parts = graphs.components(links.filter(F.col("score") >= edge).select(F.col("a").alias("source"), F.col("b").alias("target")))
+    near = durable(vectors.similarity(vec, "id", links=links))
+    parts = graphs.components(near.filter(F.col("score") >= edge).select(F.col("a").alias("source"), F.col("b").alias("target")))
     ids = features.select("id").distinct().join(parts, "id", "left")
     sizes = parts.groupBy("component").agg(F.count("*").alias("size")).orderBy(F.col("size").desc(), "component").limit(most).withColumn("_kept", F.lit(True))
     named = F.when(F.col("component").isNull(), "unassigned").when(F.col("_kept"), F.concat(F.lit("topic-"), F.substring(F.sha1(F.col("component").cast("string")), 1, 12))).otherwise("other")
@@ -58,7 +58,7 @@ def topic_map(features: DataFrame, edge: float = CLUSTER, most: int = TOPICS) ->
     rank = F.row_number().over(Window.partitionBy("topic").orderBy(F.round("w", 6).desc(), "term"))
     names = centers.withColumn("_r", rank).filter(F.col("_r") <= NAMES).groupBy("topic").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_r", "term"))), lambda x: x["term"]), " / ").alias("name"))
     topics = out.groupBy("topic").agg(F.count("*").alias("size"), F.round(F.avg("cosine"), 4).alias("cohesion"), F.min_by("id", F.struct(-F.col("cosine"), "id")).alias("representative")).join(names, "topic", "left")
-    return TopicMap(out, topics, links)
+    return TopicMap(out, topics, near)
 
 
 def topic_links(topics: TopicMap, least: float = 0.04, per_topic: int = 3) -> DataFrame:
@@ -91,7 +91,7 @@ def network(topics: TopicMap, features: DataFrame, links: DataFrame, cap: int =
     both = cocited.unionByName(coupled)
     strength = both.select(F.explode(F.array("a", "b")).alias("id"), "shared").groupBy("id").agg(F.sum("shared").alias("strength"))
     terms = pairs.top_per_document(features, "id", "term", "weight", 12)
-    between = graphs.betweenness(links, sources, 6)
+    between = graphs.betweenness(links, sources)
     return {"cocitation": cocited, "coupling": coupled, "keywords": pairs.term_network(terms, "id", "term"), "papers": papers.paper_metrics(links, strength, topics.assignments.select("id", "topic"), between)}
 
 
@@ -105,36 +105,42 @@ def research_network(metrics: DataFrame, members: DataFrame, facts: DataFrame) -
 # parts as papers, their words as features, orders as people
 
 def _collection(spark, d):
+    """Parts as papers: their brand and type as one strong term, the words of their name as weak ones; each cites the part before it of its brand and type."""
     part = table(spark, d, "part")
-    words = F.regexp_extract_all(F.lower(F.concat_ws(" ", "p_name", "p_type", "p_brand")), F.lit("[a-z0-9]+"), F.lit(0))
+    strong = F.concat_ws("-", "p_brand", "p_type")
+    words = F.concat(F.array(strong, strong), F.split(F.lower("p_name"), " "))
     features = durable(part.select(F.col("p_partkey").alias("id"), F.explode(words).alias("term")).groupBy("id", "term").agg(F.count("*").alias("weight")))
     years = part.select(F.col("p_partkey").alias("id"), (1990 + F.col("p_size")).cast("int").alias("year"))
-    links = table(spark, d, "lineitem").filter("l_linenumber = 1").select(F.col("l_partkey").alias("source"), F.expr("(l_partkey * 7 + l_suppkey) % 200").alias("target")).filter("source != target").distinct()
+    before = F.lag("p_partkey").over(Window.partitionBy("p_brand", "p_type").orderBy("p_partkey"))
+    links = part.select(F.col("p_partkey").alias("source"), before.alias("target")).filter("target IS NOT NULL")
     return features, years, durable(links)
 
 
 @query()
 def topic_map_topics(spark, d):
-    return topic_map(_collection(spark, d)[0]).topics
+    features, _, links = _collection(spark, d)
+    return topic_map(features, links).topics
 
 
 @query()
 def topic_map_assignments(spark, d):
-    return topic_map(_collection(spark, d)[0]).assignments
+    features, _, links = _collection(spark, d)
+    return topic_map(features, links).assignments
 
 
 @query()
 def topic_map_links(spark, d):
-    return topic_links(topic_map(_collection(spark, d)[0]))
+    features, _, links = _collection(spark, d)
+    return topic_links(topic_map(features, links))
 
 
 @query()
 def evolution_key_papers(spark, d):
     features, years, links = _collection(spark, d)
-    return evolution(topic_map(features), years, links)["key_papers"]
+    return evolution(topic_map(features, links), years, links)["key_papers"]
 
 
 @query()
 def network_papers(spark, d):
     features, _, links = _collection(spark, d)
-    return network(topic_map(features), features, links)["papers"]
+    return network(topic_map(features, links), features, links)["papers"]

@@ -73,7 +73,7 @@ def entity_metrics(spark, d):
 
 _STATE = "CASE WHEN sy IS NULL OR ty IS NULL THEN 'unknown_year' WHEN ty > sy THEN 'chronology_conflict' ELSE 'valid' END"
 _PARTS = "parts AS (SELECT p_partkey AS id, CASE WHEN p_size = 50 THEN NULL ELSE CAST(1990 + p_size AS INTEGER) END AS year FROM part)"
-_LINKS = "links AS (SELECT DISTINCT l_partkey AS source, (l_partkey * 7 + l_suppkey) % 2000 AS target FROM lineitem WHERE l_linenumber = 1 AND l_partkey <> (l_partkey * 7 + l_suppkey) % 2000)"
+_LINKS = "links AS (SELECT DISTINCT l_partkey AS source, (l_partkey * 7 + l_suppkey) % (SELECT count(*) FROM part) AS target FROM lineitem WHERE l_partkey <> (l_partkey * 7 + l_suppkey) % (SELECT count(*) FROM part))"
 
 
 def _parts(spark, d):
@@ -81,8 +81,9 @@ def _parts(spark, d):
 
 
 def _links(spark, d):
-    items = table(spark, d, "lineitem").filter("l_linenumber = 1")
-    return items.select(F.col("l_partkey").alias("source"), F.expr("(l_partkey * 7 + l_suppkey) % 2000").alias("target")).filter("source != target").distinct()
+    """Line items as citations; the cited part is any of all parts."""
+    parts = table(spark, d, "part").count()
+    return table(spark, d, "lineitem").select(F.col("l_partkey").alias("source"), ((F.col("l_partkey") * 7 + F.col("l_suppkey")) % parts).alias("target")).filter("source != target").distinct()
 
 
 @query(f"WITH {_PARTS}, {_LINKS} SELECT source, target, a.year AS source_year, b.year AS target_year, {_STATE.replace('sy', 'a.year').replace('ty', 'b.year')} AS state FROM links JOIN parts a ON source = a.id JOIN parts b ON target = b.id")
@@ -90,9 +91,9 @@ def citation_states(spark, d):
     return papers.classify_citations(_links(spark, d), _parts(spark, d))
 
 
-@query(f"WITH {_PARTS}, {_LINKS}, c AS (SELECT {_STATE.replace('sy', 'a.year').replace('ty', 'b.year')} AS state FROM links JOIN parts a ON source = a.id JOIN parts b ON target = b.id) SELECT count(*) AS links, count(*) FILTER (state = 'valid') AS valid, count(*) FILTER (state = 'chronology_conflict') AS chronology_conflict, count(*) FILTER (state = 'unknown_year') AS unknown_year, round(count(*) / 2000.0, 4) AS per_paper FROM c")
+@query(f"WITH {_PARTS}, {_LINKS}, c AS (SELECT {_STATE.replace('sy', 'a.year').replace('ty', 'b.year')} AS state FROM links JOIN parts a ON source = a.id JOIN parts b ON target = b.id) SELECT count(*) AS links, count(*) FILTER (state = 'valid') AS valid, count(*) FILTER (state = 'chronology_conflict') AS chronology_conflict, count(*) FILTER (state = 'unknown_year') AS unknown_year, round(count(*) / (SELECT count(*) FROM part)::DOUBLE, 4) AS per_paper FROM c")
 def citation_coverage(spark, d):
-    return papers.coverage(papers.classify_citations(_links(spark, d), _parts(spark, d)), 2000)
+    return papers.coverage(papers.classify_citations(_links(spark, d), _parts(spark, d)), table(spark, d, "part").count())
 
 
 @query(f"""WITH {_LINKS}, t AS (SELECT p_partkey AS id, p_brand AS topic FROM part), s AS (SELECT l_partkey AS id, count(DISTINCT l_orderkey) AS strength FROM lineitem GROUP BY 1),
@@ -112,31 +113,31 @@ def recommendations(spark, d):
     return papers.recommendations(staged.withColumn("score", F.round(0.6 * F.col("core_score") + 0.4 * F.col("bridge_score"), 4)))
 
 
-_CHAIN = "o AS (SELECT o_orderkey AS id, CAST(year(o_orderdate) AS INTEGER) AS year, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY year(o_orderdate), o_orderkey) AS nxt, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY year(o_orderdate), o_orderkey) AS r FROM orders WHERE o_custkey < 200)"
+_CHAIN = "o AS (SELECT o_orderkey AS id, CAST(year(o_orderdate) AS INTEGER) AS year, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY year(o_orderdate), o_orderkey) AS nxt, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY year(o_orderdate), o_orderkey) AS r FROM orders)"
 
 
-def _chain(spark, d, where: str = "true"):
+def _chain(spark, d):
     from pyspark.sql import Window
 
-    o = table(spark, d, "orders").filter(where).select(F.col("o_orderkey").alias("id"), F.year("o_orderdate").alias("year"), "o_custkey")
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.year("o_orderdate").alias("year"), "o_custkey")
     before = F.lag("id").over(Window.partitionBy("o_custkey").orderBy("year", "id"))
     return o.withColumn("before", before).withColumn("key", F.lit(0.0))
 
 
 @query(f"""WITH {_CHAIN}, g AS (SELECT id, o_custkey, r, CASE WHEN r > 1 THEN 1 + least(0.6::DOUBLE, 0.04::DOUBLE * (year - lag(year) OVER w)) END AS gain, lag(id) OVER w AS parent FROM o WINDOW w AS (PARTITION BY o_custkey ORDER BY r))
-SELECT id, round(coalesce(sum(gain) OVER (PARTITION BY o_custkey ORDER BY r), 0), 6) AS score, CAST(r - 1 AS INTEGER) AS length, parent FROM g""")
+SELECT id, round(1 + coalesce(sum(gain) OVER (PARTITION BY o_custkey ORDER BY r), 0), 6) AS score, CAST(r - 1 AS INTEGER) AS length, parent FROM g""")
 def citation_paths(spark, d):
     """Each customer's orders as a chain of citations; a general operator on acyclic links."""
-    return _longest(durable(_chain(spark, d, "o_custkey < 200")))
+    return _longest(durable(_chain(spark, d)))
 
 
 def _longest(o):
     return papers.longest_paths(o.filter("before IS NOT NULL").select(F.col("id").alias("source"), F.col("before").alias("target")), o.select("id", "year", "key"))
 
 
-@query()
+@query(QUERIES["citation_paths"][1])
 def citation_paths_all(spark, d):
-    """citation_paths over all customers; its SQL covers the first ones only."""
+    """citation_paths by its former name."""
     return _longest(durable(_chain(spark, d)))
 
 
@@ -150,8 +151,8 @@ _YEARS = "y AS (SELECT c_mktsegment AS topic, CAST(year(o_orderdate) AS INTEGER)
 _WIN = "w AS (SELECT topic, CAST(sum(count) AS BIGINT) AS total, count(*) AS years, CAST(coalesce(sum(count) FILTER (year BETWEEN last - 2 AND last), 0) AS BIGINT) AS recent, CAST(coalesce(sum(count) FILTER (year BETWEEN last - 5 AND last - 3), 0) AS BIGINT) AS previous FROM (SELECT *, max(year) OVER (PARTITION BY topic) AS last FROM y) GROUP BY topic)"
 
 
-def _yearly(spark, d, where: str = "true"):
-    o, c = table(spark, d, "orders"), table(spark, d, "customer").filter(where)
+def _yearly(spark, d):
+    o, c = table(spark, d, "orders"), table(spark, d, "customer")
     x = o.join(c, F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_mktsegment").alias("topic"), F.year("o_orderdate").alias("year"), F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("score"))
     return x
 
@@ -186,23 +187,23 @@ def topic_share(spark, d):
     return series.window_share(_counts(spark, d), "topic", "year", 1996, 1999)
 
 
-@query("""WITH x AS (SELECT c_mktsegment AS topic, CAST(year(o_orderdate) AS INTEGER) AS year FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_custkey < 40),
+@query("""WITH x AS (SELECT c_mktsegment AS topic, CAST(year(o_orderdate) AS INTEGER) AS year FROM orders JOIN customer ON o_custkey = c_custkey),
 s AS (SELECT t.topic, y.year, (SELECT count(*) FROM x WHERE x.topic = t.topic AND x.year = y.year) AS count FROM (SELECT DISTINCT topic FROM x) t CROSS JOIN (SELECT DISTINCT year FROM x) y),
 w AS (SELECT *, lag(count) OVER p AS before, max(count) OVER (PARTITION BY topic) AS peak, sum(count) OVER (PARTITION BY topic ORDER BY year ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM s WINDOW p AS (PARTITION BY topic ORDER BY year))
 SELECT topic, year, 'emergence' AS kind, 0.7::DOUBLE AS score FROM w WHERE count > 0 AND coalesce(seen, 0) = 0
 UNION ALL SELECT topic, min(year), 'expansion', round(min(least(1.0, 0.5::DOUBLE + 0.08::DOUBLE * peak)), 4) FROM w WHERE count = peak AND count > coalesce(before, 0) AND peak >= 2 GROUP BY 1
 UNION ALL SELECT topic, max(year), 'decline', 0.72::DOUBLE FROM w WHERE count * 2 <= before GROUP BY 1""")
 def turning_points(spark, d):
-    return _turning_points(_yearly(spark, d, "c_custkey < 40"))
+    return _turning_points(_yearly(spark, d))
 
 
 def _turning_points(rows):
     return papers.turning_points(series.dense_series(rows, "topic", "year", "id", "score"), "topic", "year")
 
 
-@query()
+@query(QUERIES["turning_points"][1])
 def turning_points_all(spark, d):
-    """turning_points over all customers; its SQL covers the first ones only."""
+    """turning_points by its former name."""
     return _turning_points(_yearly(spark, d))
 
 
@@ -211,13 +212,13 @@ def topic_transitions(spark, d):
     return papers.topic_transitions(table(spark, d, "events"), "user_id", ["ts", "event_id"], "event_type").select("user_id", "event_id", F.col("event_type").alias("to_type"), "from_topic")
 
 
-@query("""WITH c AS (SELECT event_type, CAST(floor(epoch(ts) / 1800.0) AS BIGINT) AS cell, median(value) AS y FROM events WHERE user_id < 5 GROUP BY 1, 2),
+@query("""WITH c AS (SELECT event_type, CAST(floor(epoch(ts) / 1800.0) AS BIGINT) AS cell, median(value) AS y FROM events GROUP BY 1, 2),
 g AS (SELECT event_type, unnest(range(min(cell), max(cell) + 1)) AS cell FROM c GROUP BY 1),
 f AS (SELECT g.event_type, g.cell, c.y, last_value(CASE WHEN c.y IS NOT NULL THEN g.cell END IGNORE NULLS) OVER b AS ca, last_value(c.y IGNORE NULLS) OVER b AS ya, first_value(CASE WHEN c.y IS NOT NULL THEN g.cell END IGNORE NULLS) OVER a AS cb, first_value(c.y IGNORE NULLS) OVER a AS yb FROM g LEFT JOIN c USING (event_type, cell)
   WINDOW b AS (PARTITION BY event_type ORDER BY cell ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY event_type ORDER BY cell ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
-SELECT event_type, cell, round(CASE WHEN y IS NOT NULL THEN y WHEN cb - ca <= 5 THEN ya + (cell - ca) * (yb - ya) / (cb - ca) END, 4) AS y, y IS NULL AS filled FROM f""")
+SELECT event_type, cell, round(CASE WHEN y IS NOT NULL THEN y WHEN cb - ca <= 5 THEN ya + (cell - ca) * (yb - ya) / (cb - ca) END, 6) AS y, y IS NULL AS filled FROM f""")
 def resampled_series(spark, d):
-    return _resampled(table(spark, d, "events").filter("user_id < 5"))
+    return _resampled(table(spark, d, "events"))
 
 
 def _resampled(events):
@@ -225,9 +226,9 @@ def _resampled(events):
     return series.resample(e, "event_type", "x", "value", 1800.0)
 
 
-@query()
+@query(QUERIES["resampled_series"][1])
 def resampled_series_all(spark, d):
-    """resampled_series over all users' events; its SQL covers the first ones only."""
+    """resampled_series by its former name."""
     return _resampled(table(spark, d, "events"))
 
 
@@ -324,9 +325,50 @@ def bfs_levels(spark, d):
     return graphs.bfs(_graph(spark, d)[1], "s1", max_depth=7)
 
 
-@query()
+#: Suppliers and the parts that orders have from them as a graph; its paths are several links long.
+_TRADE = "e AS (SELECT DISTINCT 's' || l_suppkey AS source, 'o' || l_orderkey AS target FROM lineitem WHERE l_returnflag = 'R')"
+
+
+def _trade(spark, d):
+    items = table(spark, d, "lineitem").filter("l_returnflag = 'R'")
+    return items.select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("source"), F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("target")).distinct()
+
+
+@query(f"""WITH RECURSIVE {_TRADE}, l AS (SELECT source, target FROM e UNION SELECT target, source FROM e), z AS (SELECT min(source) AS a, max(source) AS b FROM e),
+f AS (SELECT a AS id, 0 AS depth FROM z UNION SELECT target, depth + 1 FROM f JOIN l ON source = id WHERE depth < 8), fd AS (SELECT id, min(depth) AS depth FROM f GROUP BY 1),
+g AS (SELECT b AS id, 0 AS depth FROM z UNION SELECT target, depth + 1 FROM g JOIN l ON source = id WHERE depth < 8), gd AS (SELECT id, min(depth) AS depth FROM g GROUP BY 1),
+o AS (SELECT fd.id, fd.depth FROM fd JOIN gd USING (id) WHERE fd.depth + gd.depth = (SELECT depth FROM fd WHERE id = (SELECT b FROM z))),
+w AS (SELECT a AS id, 0 AS position FROM z UNION ALL SELECT (SELECT min(o.id) FROM o JOIN l ON l.target = o.id AND l.source = w.id WHERE o.depth = w.position + 1), position + 1 FROM w WHERE position < (SELECT depth FROM fd WHERE id = (SELECT b FROM z)))
+SELECT CAST(position AS INTEGER) AS position, id FROM w WHERE id IS NOT NULL""")
 def shortest_path(spark, d):
-    return graphs.shortest_path(_graph(spark, d)[1], "n3", "n8")
+    """From the first to the last supplier, by name, over the orders that they share with others."""
+    edges = durable(_trade(spark, d))
+    ends = edges.agg(F.min("source").alias("a"), F.max("source").alias("b")).first()
+    return graphs.shortest_path(edges, ends["a"], ends["b"])
+
+
+@query(f"WITH {_GRAPH} SELECT source, target, type FROM e WHERE type = 'OF' AND target = 'n3'")
+def relation_filter(spark, d):
+    edges = _graph(spark, d)[1]
+    return graphs.relation_links(edges, ["of"]).filter("target = 'n3'")
+
+
+@query("""WITH e AS (SELECT l_orderkey AS source, l_suppkey AS target, CASE l_returnflag WHEN 'R' THEN 'CITES' WHEN 'A' THEN 'AUTHOR_OF' ELSE 'HAS_TOPIC' END AS type FROM lineitem),
+m AS (SELECT 'all' AS mode, * FROM e UNION ALL SELECT 'references', * FROM e WHERE type = 'CITES' AND source = 7 UNION ALL SELECT 'cited_by', * FROM e WHERE type = 'CITES' AND target = 7 UNION ALL SELECT 'authors', * FROM e WHERE type = 'AUTHOR_OF' UNION ALL SELECT 'topics', * FROM e WHERE type = 'HAS_TOPIC')
+SELECT mode, count(*) AS edges, CAST(sum(source + target) AS BIGINT) AS total FROM m GROUP BY 1""")
+def relation_modes(spark, d):
+    kind = F.when(F.col("l_returnflag") == "R", "CITES").when(F.col("l_returnflag") == "A", "AUTHOR_OF").otherwise("HAS_TOPIC")
+    e = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("source"), F.col("l_suppkey").alias("target"), kind.alias("type"))
+    modes = ["all", "references", "cited_by", "authors", "topics"]
+    fits = F.array_compact(F.array(*[F.when(graphs.mode_matches(m, 7), F.lit(m)) for m in modes]))
+    return e.select("source", "target", F.explode(fits).alias("mode")).groupBy("mode").agg(F.count("*").alias("edges"), F.sum(F.col("source") + F.col("target")).alias("total"))
+
+
+@query("""WITH n AS (SELECT p_partkey AS id, (36.0::DOUBLE + p_size / 51.0::DOUBLE * 728 - 400) * 1.5::DOUBLE + 400 + 20 AS x, (42.0::DOUBLE + p_partkey % 100 / 100.0::DOUBLE * 508 - 300) * 1.5::DOUBLE + 300 - 10 AS y FROM part)
+SELECT id FROM n WHERE x BETWEEN -30 AND 830 AND y BETWEEN -30 AND 630""")
+def viewport(spark, d):
+    n = table(spark, d, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") / 51.0).alias("x"), (F.col("p_partkey") % 100 / 100.0).alias("y"))
+    return n.filter(graphs.in_view(F.col("x"), F.col("y"), 800.0, 600.0, 1.5, 20.0, -10.0, 30.0)).select("id")
 
 
 @query("""WITH RECURSIVE u AS (SELECT DISTINCT l_orderkey AS g, l_partkey AS i FROM lineitem), p AS (SELECT x.i AS a, y.i AS b FROM u x JOIN u y ON x.g = y.g AND x.i < y.i GROUP BY 1, 2 HAVING count(*) >= 3),
@@ -392,7 +434,7 @@ def frontier_expansion(spark, d):
 t AS (SELECT id FROM n ORDER BY importance DESC, id LIMIT 240) SELECT CASE WHEN id IN (SELECT id FROM t) THEN CAST(id AS VARCHAR) ELSE 'cell:' || type || ':' || CAST(floor(x * 6) AS BIGINT) || ':' || CAST(floor(y * 4) AS BIGINT) END AS id, type, count(*) AS members FROM n GROUP BY ALL""")
 def level_of_detail(spark, d):
     n = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("id"), F.col("p_partkey").alias("k"), F.col("p_type").alias("type"), (F.col("p_size") / 51.0).alias("x"), (F.col("p_partkey") % 100 / 100.0).alias("y"), ((37 * F.col("p_partkey")) % 100 / 100.0).alias("importance"))
-    budget = graphs.BUDGETS[graphs.render_level(0.5, 2000)]
+    budget = graphs.BUDGETS[graphs.render_level(0.5, n.count())]
     # ids are numbers here, so ties fall by number
     padded = n.withColumn("id", F.lpad("id", 12, "0"))
     drawn, _ = graphs.level_of_detail(padded, spark.createDataFrame([], "source string, target string"), budget)

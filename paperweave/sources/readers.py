@@ -28,17 +28,144 @@ def read_json_document(spark: SparkSession, path: str, schema: str, max_bytes: i
     return rows.filter(F.col("_metadata.file_size") <= max_bytes) if max_bytes else rows
 
 
+def read_versioned_cache(spark: SparkSession, path: str, version: int, schema: str = HIT) -> DataFrame:
+    """The records of cache documents {version, records}; documents of another version or shape have none."""
+    rows = spark.read.schema(f"version int, records array<struct<{_fields(schema)}>>").option("multiLine", True).json(path)
+    return rows.filter(F.col("version") == version).select(F.explode("records").alias("_r")).filter("_r IS NOT NULL").select("_r.*")
+
+
+def _fields(ddl: str) -> str:
+    return T.StructType.fromDDL(ddl).simpleString().removeprefix("struct<").removesuffix(">")
+
+
+def read_graphs(spark: SparkSession, path: str, keys: list[str] | None = None, max_bytes: int | None = None) -> DataFrame:
+    """Graph documents (cacheKey, recordId, nodes, edges), one a file, of the given cache keys or all; larger files are left out unread."""
+    rows = read_json_document(spark, path, GRAPH, max_bytes)
+    return rows.filter(F.col("cacheKey").isin(keys)) if keys is not None else rows
+
+
+#: The parts of a stored graph that operators read.
+GRAPH = """cacheKey string, recordId string, version int,
+nodes array<struct<id:string,type:string,label:string,importance:double,confidence:double>>,
+edges array<struct<id:string,source:string,target:string,type:string,confidence:double>>"""
+
+
+def graph_tables(graphs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of graph documents, one row each, with the record that they are of."""
+    part = lambda c: graphs.select(F.col("recordId").alias("record"), F.explode(c).alias("_x")).select("record", "_x.*")
+    return part("nodes"), part("edges")
+
+
 def list_files(spark: SparkSession, path: str, limit: int = 10_000) -> DataFrame:
-    """(path, modified, bytes), the newest first; contents are not read."""
+    """(path, modified, bytes), the newest first; contents are not read. `limit` is the length of the report."""
     return spark.read.format("binaryFile").load(path).select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("bytes")).orderBy(F.col("modified").desc(), "path").limit(limit)
 
 
-def read_glossary(spark: SparkSession, path: str) -> DataFrame:
-    """(source, target) from lines `a => b`, `a<tab>b` or `a,b`; a header line and lines without two parts are left out."""
-    lines = spark.read.text(path)
-    parts = F.split(F.col("value"), r"\s*(?:=>|\t|,)\s*", 2)
-    rows = lines.select(F.trim(F.get(parts, 0)).alias("source"), F.trim(F.get(parts, 1)).alias("target"))
-    return rows.filter("source != '' AND target != '' AND lower(source) != 'source'")
+def file_digests(spark: SparkSession, path: str) -> DataFrame:
+    """(path, bytes, sha256) of every file of a folder."""
+    return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def read_dimension(spark: SparkSession, path: str, columns: dict[str, str]) -> DataFrame:
+    """A CSV table with a header, read by name: a column for each of `columns` (name to type), null where a value is blank or no such thing.
+
+    Quotes and line breaks in them are read, a byte-order mark is no part of the
+    first name, columns that the file lacks are null, and rows of blanks are left out.
+    """
+    raw = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').csv(path)
+    plain = {c.removeprefix("\ufeff").strip().lower(): c for c in raw.columns}
+    text = {n: F.nullif(F.trim(F.col(f"`{plain[n.lower()]}`")), F.lit("")) if n.lower() in plain else F.lit(None).cast("string") for n in columns}
+    number = lambda c, t: F.regexp_replace(c, ",", "").try_cast(t) if t != "string" else c
+    some = F.coalesce(*text.values()).isNotNull()
+    return raw.filter(some).select(*[number(c, columns[n]).alias(n) for n, c in text.items()])
+
+
+def read_metrics(spark: SparkSession, path: str) -> DataFrame:
+    """Journal metrics (journal_title, issn array, issn_l, impact_factor, metric_year, source, quartile, metric_name) from CSV; rows without a title or code are left out."""
+    raw = read_dimension(spark, path, {"journal_title": "string", "title": "string", "journal": "string", "issn": "string", "issn_l": "string", "impact_factor": "double", "metric_year": "int", "source": "string", "quartile": "string", "metric_name": "string"})
+    codes = F.filter(F.array_distinct(F.transform(F.split(F.coalesce("issn", F.lit("")), r"[;,|\s]+"), ids.normalize_issn)), lambda x: x != "")
+    rows = raw.select(
+        F.coalesce("journal_title", "title", "journal", F.lit("")).alias("journal_title"),
+        codes.alias("issn"),
+        ids.normalize_issn(F.col("issn_l")).alias("issn_l"),
+        "impact_factor",
+        "metric_year",
+        F.coalesce("source", F.lit("local_csv")).alias("source"),
+        F.coalesce("quartile", F.lit("")).alias("quartile"),
+        F.coalesce("metric_name", F.lit("impact_factor")).alias("metric_name"),
+    )
+    rows = rows.withColumn("issn_l", F.coalesce(F.nullif("issn_l", F.lit("")), F.get("issn", 0), F.lit("")))
+    return rows.filter("journal_title != '' OR issn_l != ''")
+
+
+def read_glossary(spark: SparkSession, path: str, form: str | None = None) -> DataFrame:
+    """(source, target) of a glossary; its form is that of the file's name: json, csv, tsv, or lines `a => b`.
+
+    Lines without two parts, comments (# and //), header lines and blank parts
+    are left out. CSV fields may be quoted. JSON is an object of terms, or a list
+    of objects or lines.
+    """
+    form = form or path.rsplit(".", 1)[-1].lower()
+    arrow = lambda c: (F.trim(F.get(F.split(c, "=>", 2), 0)), F.trim(F.get(F.split(c, "=>", 2), 1)))
+    spoken = lambda c: ~F.trim(c).rlike("^(?:#|//)")
+    if form == "json":
+        text = spark.read.option("wholetext", True).text(path).select(F.trim("value").alias("v"))
+        table = F.from_json("v", "map<string,string>")
+        listed = F.from_json("v", "array<string>")
+        pairs = text.filter(F.col("v").startswith("{")).select(F.explode(F.map_entries(table)).alias("e")).select(F.trim("e.key").alias("source"), F.trim("e.value").alias("target"))
+        items = text.filter(F.col("v").startswith("[")).select(F.explode(listed).alias("i"))
+        first = lambda *names: F.coalesce(*[F.nullif(F.trim(F.get_json_object("i", f"$.{n}")), F.lit("")) for n in names])
+        object_ = F.trim("i").startswith("{")
+        left, right = arrow(F.col("i"))
+        rows = items.filter(object_ | spoken(F.col("i"))).select(
+            F.when(object_, first("source", "src", "en", "term")).otherwise(left).alias("source"),
+            F.when(object_, first("target", "dst", "zh", "translation")).otherwise(right).alias("target"),
+        )
+        rows = pairs.unionByName(rows)
+    elif form in ("csv", "tsv"):
+        raw = spark.read.schema("a string, b string").option("sep", "\t" if form == "tsv" else ",").option("quote", '"').option("escape", '"').option("multiLine", True).csv(path)
+        a, b = F.regexp_replace("a", "^\ufeff", ""), F.trim("b")
+        left, right = arrow(a)
+        alone = F.coalesce(b, F.lit("")) == ""
+        rows = raw.filter(~alone | spoken(a)).select(F.when(alone, left).otherwise(F.trim(a)).alias("source"), F.when(alone, right).otherwise(b).alias("target"))
+        rows = rows.filter(~F.lower("source").isin("source", "english", "en", "term"))
+    else:
+        lines = spark.read.text(path).filter(spoken(F.col("value")))
+        left, right = arrow(F.col("value"))
+        rows = lines.select(left.alias("source"), right.alias("target"))
+    return rows.filter("source != '' AND target != ''")
+
+
+#: What is read of an Atom feed of search results.
+ATOM = """entry array<struct<id:string,published:string,title:string,summary:string,doi:string,
+author:array<struct<name:string>>,link:array<struct<_href:string,_rel:string,_title:string>>>>"""
+
+
+def atom_hits(pages: DataFrame, page: str, source: str = "arxiv", first: str | None = None, last: str | None = None) -> DataFrame:
+    """Captured Atom pages as hits (see HIT), one row an entry published from `first` to `last`; entries without a date pass. A page that is no feed has none."""
+    feed = F.from_xml(F.col(page), ATOM, {"ignoreNamespace": "true", "mode": "PERMISSIVE"})
+    e = pages.filter(F.col(page).isNotNull()).select(feed.alias("_f")).select(F.explode("_f.entry").alias("e")).select("e.*")
+    day = F.substring("published", 1, 10)
+    if first and last:
+        e = e.filter(F.coalesce("published", F.lit("")).isin("") | day.between(first, last))
+    link = lambda name: F.get(F.filter("link", lambda x: F.coalesce(x["_title"], x["_rel"]) == name), 0)["_href"]
+    names = F.transform(F.coalesce("author", F.array().cast("array<struct<name:string>>")), lambda a: F.struct(F.struct(a["name"].alias("display_name")).alias("author")))
+    landing = F.struct(link("pdf").alias("pdf_url"), link("alternate").alias("landing_page_url"), F.lit(None).cast("struct<display_name:string,issn:array<string>,issn_l:string>").alias("source"))
+    return e.select(
+        "id",
+        "doi",
+        clean_markup(F.col("title")).alias("title"),
+        F.nullif(day, F.lit("")).alias("publication_date"),
+        F.nullif(F.substring("published", 1, 4), F.lit("")).alias("publication_year"),
+        F.lit(None).cast("int").alias("cited_by_count"),
+        F.lit(source).alias("literature_source"),
+        F.concat(F.lit(f"{source}:"), F.col("id")).alias("source_record_id"),
+        clean_markup(F.col("summary")).alias("abstract"),
+        F.lit(None).cast("map<string,array<int>>").alias("abstract_inverted_index"),
+        names.alias("authorships"),
+        landing.alias("primary_location"),
+        F.struct(F.lit(True).alias("is_oa"), F.coalesce(link("pdf"), link("alternate")).alias("oa_url")).alias("open_access"),
+    )
 
 
 def read_sql_table(spark: SparkSession, url: str, query: str, column: str | None = None, bounds: tuple[int, int] | None = None, partitions: int = 8) -> DataFrame:

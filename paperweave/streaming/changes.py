@@ -50,8 +50,9 @@ def pull(changes: DataFrame, cursor: str, after: int, limit: int = 500) -> DataF
 
 
 def snapshot(changes: DataFrame, resource: str, revision: str, operation: str, deleted: str = "delete") -> DataFrame:
-    """The latest state of each resource; deleted ones are left out."""
-    last = changes.groupBy(resource).agg(F.max_by(F.struct(*[c for c in changes.columns if c != resource]), F.col(revision)).alias("_b"))
+    """The latest state of each resource; deleted ones are left out. Of equal revisions the row with the greatest other columns counts."""
+    own = F.struct(*[c for c in changes.columns if c != resource])
+    last = changes.groupBy(resource).agg(F.max_by(own, F.struct(F.col(revision), own)).alias("_b"))
     return last.select(resource, "_b.*").filter(F.col(operation) != deleted)
 
 
@@ -73,8 +74,11 @@ def resolve_conflicts(conflicts: DataFrame, resolution: str) -> DataFrame:
 
 
 def fold_annotations(events: DataFrame, key: str, revision: str, action: str, keep: int) -> DataFrame:
-    """Live annotations: the latest event of each that is no delete, and of these the newest `keep`."""
-    return snapshot(events, key, revision, action).orderBy(F.col(revision).desc()).limit(keep)
+    """Live annotations: the latest event of each that is no delete, and of these the newest `keep`; of equal revisions the greater key first.
+
+    `keep` is the length of an annotation list, a part of its definition.
+    """
+    return snapshot(events, key, revision, action).orderBy(F.col(revision).desc(), F.col(key).desc()).limit(keep)
 
 
 def transitions(events: DataFrame, key: str, order: str, status: str, allowed: dict[str, list[str]]) -> DataFrame:

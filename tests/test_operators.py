@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import math
 import random
+import statistics
 from collections import defaultdict, deque
 
 import pytest
@@ -99,7 +100,11 @@ def test_bfs_and_components(net):
     assert all(r["parent"] == min(w for w in links[k] if depth[w] == depth[k] - 1) for k, r in got.items() if k != start)
     far = max(depth, key=lambda k: (depth[k], k))
     path = [r["id"] for r in graphs.shortest_path(df, start, far).orderBy("position").collect()]
-    assert len(path) == depth[far] + 1 and all(b in links[a] for a, b in itertools.pairwise(path))
+    ways = [[start]]
+    while ways[0][-1] != far:
+        ways = [[*w, x] for w in ways for x in links[w[-1]] if depth[x] == len(w)]
+        ways = [w for w in ways if w[-1] == far] or ways
+    assert path == min(ways)
     assert graphs.shortest_path(df, start, 999).count() == 0
     low = {}
     for v in links:
@@ -140,21 +145,97 @@ def test_betweenness(net):
     assert got == {k: pytest.approx(v / top, abs=1e-5) for k, v in score.items()}
 
 
-def test_longest_paths(spark):
-    rng = random.Random(9)
-    year = {i: rng.choice([2000, 2001, 2003, 2010]) for i in range(20)}
-    key = {i: rng.random() for i in range(20)}
-    links = {(rng.randrange(20), rng.randrange(20)) for _ in range(50)}
-    steps = {(b, a) for a, b in links if a != b and (year[b] < year[a] or (year[b] == year[a] and b < a))}
-    best = {}
+def plain_chains(year, key, links):
+    """Papers by year, within a year in the order of their links, those of cycles last; then the best chain into each."""
+    good = {(b, a) for a, b in links if a != b and a in year and b in year and year[a] is not None and year[b] is not None and year[b] <= year[a]}
+    order = []
+    for y in sorted({v for v in year.values() if v is not None}):
+        left = sorted(i for i in year if year[i] == y)
+        own = {(u, v) for u, v in good if year[u] == year[v] == y}
+        while ready := [v for v in left if not any(w == v and u in left for u, w in own)]:
+            order.append(ready[0])
+            left.remove(ready[0])
+        order += left
+    best, kept = {}, set()
+    for v in order:
+        base = round(1 + 0.35 * key[v], 6)
+        into = [(round(best[u][0] + base + min(0.6, 0.04 * (year[v] - year[u])), 6), best[u][1] + 1, u) for u, w in good if w == v and u in best]
+        kept |= {(u, v) for _, _, u in into}
+        best[v] = max(into) if into else (base, 0, None)
+    return best, kept
 
-    def of(v):
-        if v not in best:
-            best[v] = max([0.0] + [of(u) + 1 + 0.35 * key[v] + min(0.6, 0.04 * (year[v] - year[u])) for u, w in steps if w == v])
-        return best[v]
 
-    got = papers.longest_paths(spark.createDataFrame(sorted(links), "source long, target long"), spark.createDataFrame([(i, year[i], key[i]) for i in year], "id long, year int, key double"))
-    assert {r["id"]: r["score"] for r in got.collect()} == {i: pytest.approx(of(i), abs=1e-4) for i in year}
+def test_longest_paths(spark):
+    """Random links with cycles inside a year, chains of single links, and papers without a year."""
+    for seed, n, m in ((10, 30, 45),):
+        rng = random.Random(seed)
+        year = {i: rng.choice([2000, 2001, 2001, 2003, None]) for i in range(n)}
+        key = {i: round(rng.random(), 2) for i in range(n)}
+        links = {(rng.randrange(n), rng.randrange(n)) for _ in range(m)}
+        best, kept = plain_chains(year, key, links)
+        df, p = spark.createDataFrame(sorted(links), "source long, target long"), spark.createDataFrame([(i, year[i], key[i]) for i in year], "id long, year int, key double")
+        assert {(r["from"], r["id"]) for r in papers.causal_links(df, p).collect()} == kept
+        got = {r["id"]: (r["score"], r["length"], r["parent"]) for r in papers.longest_paths(df, p).collect() if year[r["id"]] is not None}
+        assert {i: (pytest.approx(s, abs=2e-5), length) for i, (s, length, _) in best.items()} == {i: x[:2] for i, x in got.items()}
+        used = {u for u, _ in kept}
+        ends = sorted((-best[i][0], -best[i][1], i) for i in best if best[i][1] and i not in used)
+        chains = []
+        for *_, i in ends:
+            path = [i]
+            while got[path[-1]][2] is not None:
+                path.append(got[path[-1]][2])
+            if len(chains) < 6 and all(len(set(path) & set(c)) <= 0.72 * len(set(path) | set(c)) for c in chains):
+                chains.append(path[::-1])
+        rows = papers.key_paths(df, p, pool=2).collect()
+        found = [[r["id"] for r in sorted(rows, key=lambda r: r["position"]) if r["path"] == k] for k in range(len(chains))]
+        assert found == chains
+
+
+def test_ten_thousand_links_of_one_year(spark):
+    n = 10_000
+    links = spark.range(1, n).selectExpr("id AS source", "id - 1 AS target")
+    p = spark.range(n).selectExpr("id", "2020 AS year", "0.5D AS key")
+    rows = papers.key_paths(links, p)
+    assert rows.count() == n and rows.filter("position != id").count() == 0
+    ring = links.union(spark.createDataFrame([(0, n - 1)], "source long, target long"))
+    assert papers.causal_links(ring, p).count() == n - 1
+
+
+def test_paths_of_any_length(spark):
+    """A line of ten thousand links, in one task and by rounds; statuses of path queries."""
+    n = 10_000
+    line = spark.range(n).selectExpr("id AS source", "id + 1 AS target")
+    assert graphs.shortest_path(line, 0, n).filter("position != id").count() == 0
+    assert graphs.bfs(line, 0).agg(F.max("depth")).first()[0] == n
+    short = spark.range(5).selectExpr("id AS source", "id + 1 AS target")
+    assert [r["id"] for r in graphs.shortest_path(short, 0, 5, local=0).orderBy("position").collect()] == list(range(6))
+
+
+def test_path_status(spark):
+    rows = [("e1", "a", "c", "CITES"), ("e2", "a", "b", "cites"), ("e3", "b", "d", "CITES"), ("e4", "d", "c", "USES"), ("e5", "x", "y", "CITES"), ("e6", "b", "d", "ABOUT"), ("e7", "d", "z", "CITES"), ("e8", "d", "q", "CITES")]
+    edges = spark.createDataFrame([(*r, 0.123456) for r in rows], "id string, source string, target string, type string, confidence double")
+    nodes = spark.createDataFrame([(c,) for c in "abcdxyq"], "id string")
+    for local in (1000,):
+        ask = lambda *a, **k: graphs.path_status(nodes, edges, *a, local=local, **k)  # noqa: B023, E731
+        assert ask("a", "nowhere")["status"] == "invalid" and ask("a", "z")["status"] == "invalid"
+        assert ask("a", "a") == {"status": "ready", "length": 0, "steps": None}
+        assert ask("a", "x")["status"] == "no_path"
+        found = ask("a", "d")  # over b, the lesser id of the two ways
+        assert found["status"] == "ready" and found["length"] == 2
+        steps = sorted(map(tuple, found["steps"].select("position", "source_id", "target_id", "edge_id", "relation", "forward", "confidence").collect()))
+        assert steps == [(0, "a", "b", "e2", "CITES", True, 0.1235), (1, "b", "d", "e6", "ABOUT", True, 0.1235)]
+        back = ask("c", "a", relations=["cites"])
+        assert [tuple(r) for r in back["steps"].select("edge_id", "forward").collect()] == [("e1", False)]
+        assert ask("c", "a", directed=True)["status"] == "no_path"
+        assert ask("a", "q", most_visited=2)["status"] == "too_large"
+
+
+def test_components_by_rounds(net):
+    _, df = net
+    one = {r["id"]: r["component"] for r in graphs.components(df).collect()}
+    assert {r["id"]: r["component"] for r in graphs.components(df, local=0).collect()} == one
+    got = {r["id"]: r["depth"] for r in graphs.bfs(df, min(one), local=0).collect()}
+    assert got == {r["id"]: r["depth"] for r in graphs.bfs(df, min(one)).collect()}
 
 
 def test_level_of_detail(spark):
@@ -213,10 +294,46 @@ def test_tables_and_lines(spark):
     rows = one(spark, elements.markdown_rows(F.col("x")), x="| a | b |\n|---|---|\n| 1 |  |\n")
     assert rows == [["a", "b"], ["1", ""]]
     points = spark.createDataFrame([("p", float(x), 2.0 * x + 1 + (50 if x == 3 else 0)) for x in range(8)], "axis string, x double, y double")
-    r = elements.robust_line(points, "axis", "x", "y", 0.5).first()
+    r = elements.robust_line(points, "axis", "x", "y").first()
     assert (r["slope"], r["intercept"], r["inliers"]) == (2.0, 1.0, 7)
 
 
+def test_robust_lines_are_plain(spark):
+    """All pairs of ticks in plain Python, for short axes and one of 150 ticks."""
+    import math
+
+    rng = random.Random(6)
+    axes = {}
+    for a in range(40):
+        n = 150 if a == 0 else rng.randrange(0, 12)
+        slope, start = rng.choice([-0.5, 0.1, 2.0]), rng.uniform(-5, 5)
+        xs = sorted(round(i * rng.uniform(6, 9) + rng.random(), 2) for i in range(n))
+        axes[a] = sorted((x, start + slope * x + (rng.uniform(-40, 40) if rng.random() < 0.3 else rng.uniform(-0.1, 0.1))) for x in xs)
+    want = {}
+    for a, p in axes.items():
+        gaps = sorted(b[0] - c[0] for c, b in itertools.pairwise(p))
+        spacing = statistics.median(gaps) if gaps else 1.0
+        best = None
+        for i, j in itertools.combinations(range(len(p)), 2):
+            dx = p[j][0] - p[i][0]
+            m = (p[j][1] - p[i][1]) / dx if dx else 0.0
+            if len(p) < 3 or abs(dx) < max(4.0, 0.6 * spacing) or abs(m) < 1e-12:
+                continue
+            error = [abs(y - (m * (x - p[i][0]) + p[i][1])) for x, y in p]
+            near = [k for k, e in enumerate(error) if e <= max(0.18, abs(m) * spacing * 0.18)]
+            if len(near) >= max(3, math.ceil(0.45 * len(p))):
+                rank = (len(near), -round(sum(error[k] for k in near) / len(near), 12), -abs(m))
+                if best is None or rank > best[0]:
+                    best = (rank, near)
+        if best:
+            x, y = ([p[k][c] for k in best[1]] for c in (0, 1))
+            fit = statistics.linear_regression(x, y)
+            want[a] = (pytest.approx(fit.slope, abs=1e-5), pytest.approx(fit.intercept, abs=1e-4), len(x))
+    rows = [(a, x, y) for a, p in axes.items() for x, y in p] + [(1, None, 2.0), (1, 3.0, None)]
+    got = elements.robust_line(spark.createDataFrame(rows, "axis int, x double, y double"), "axis", "x", "y").collect()
+    assert 0 in want and {r["axis"]: (r["slope"], r["intercept"], r["inliers"]) for r in got} == want
+
+
 def test_chart_rows(spark):
     schema = "record_id string, element_id string, subplots array<struct<series:array<struct<name:string,points:array<struct<x:double,y:double>>>>>>"
     rows = elements.chart_rows(spark.createDataFrame([("r", "e", [([("s", [(1.0, 2.0), (None, 3.0)])],)])], schema)).collect()
@@ -228,7 +345,7 @@ def test_chart_rows(spark):
 def test_sections(spark):
     blocks = [("r", p, 0, "Running head") for p in range(1, 5)] + [("r", 1, 1, "1. Introduction"), ("r", 1, 2, "Some text."), ("r", 2, 1, "2 Methods"), ("r", 2, 2, "We do."), ("r", 4, 1, "References"), ("r", 4, 2, "[1] A.")]
     got = {r["text"]: r["section"] for r in extract.sections(spark.createDataFrame(blocks, "record string, page int, block int, text string")).collect()}
-    assert got == {"Some text.": "introduction", "We do.": "methods"}
+    assert got == {"Some text.": "Introduction", "We do.": "Method"}
 
 
 def test_entities_and_relations(spark):
@@ -352,8 +469,13 @@ def test_records(spark, tmp_path):
 
 
 def test_glossary_and_digest(spark, tmp_path):
-    (tmp_path / "g.txt").write_text("source,target\ncell => Zelle\nanode\tAnode\nbad line\n")
-    assert {tuple(r) for r in readers.read_glossary(spark, str(tmp_path / "g.txt")).collect()} == {("cell", "Zelle"), ("anode", "Anode")}
+    (tmp_path / "g.txt").write_text("# terms\ncell => Zelle\n// none\nbad line\n=> x\n")
+    (tmp_path / "g.tsv").write_text("source\ttarget\nanode\tAnode\nbad line\nion => Ion\n")
+    (tmp_path / "g.csv").write_text('\ufeffEnglish,zh\n"a, b","c ""d"""\nx,\n')
+    (tmp_path / "g.json").write_text('{"k": "v", "": "w"}')
+    (tmp_path / "h.json").write_text('[{"en": "p", "zh": "q"}, "r => s", {"term": "t"}, "u"]')
+    read = lambda name: {tuple(r) for r in readers.read_glossary(spark, str(tmp_path / name)).collect()}
+    assert [read(n) for n in ("g.txt", "g.tsv", "g.csv", "g.json", "h.json")] == [{("cell", "Zelle")}, {("anode", "Anode"), ("ion", "Ion")}, {("a, b", 'c "d"')}, {("k", "v")}, {("p", "q"), ("r", "s")}]
     rows = sinks.with_digest(spark.createDataFrame([(1, None), (2, "x")], "a int, b string"), ["a", "b"])
     assert sinks.broken(rows, ["a", "b"]).count() == 0 and sinks.broken(rows.withColumn("b", F.lit("y")), ["a", "b"]).count() == 2
     nodes = spark.createDataFrame([("n", "method", "L", 0.5, ["t"])], "id string, type string, label string, confidence double, tags array<string>")

@@ -47,10 +47,14 @@ def test_sql(spark, small, duck, name):
     assert sorted((tuple(plain(r[c]) for c in columns) for r in df.collect()), key=order) == want
 
 
+#: Of these no row of the small tables qualifies; their operators are held against plain Python elsewhere.
+EMPTY = {"opposite_results_all", "statement_relations", "statements"}
+
+
 @pytest.mark.parametrize("name", REST)
 def test_runs(spark, small, name):
     df = bindings.queries()[name](spark, small)
-    assert len(set(df.columns)) == len(df.columns) and df.count() >= 0
+    assert len(set(df.columns)) == len(df.columns) and (df.count() > 0) != (name in EMPTY)
 
 
 def test_entry(spark):

@@ -73,12 +73,12 @@ def test_opposite_results_all(spark, tmp_path):
     rng = random.Random(8)
     rows = []
     for i in range(40):
-        said = ["The yield increased", "The yield dropped", "The yield stayed"][rng.randrange(3)]
+        said = ["The yield increased", "The yield decreased", "The yield stayed"][rng.randrange(3)]
         words = [rng.choice(["lithium", "anode", "cathode", "sodium", "glass", "solid"]) + rng.choice("xyz") for _ in range(150 if i % 2 else 5)]
         rows.append((i, " ".join([said, *words]), "en" if i % 3 else "de"))
     put(spark, tmp_path, "documents", rows, "doc_id long, text string, lang string")
     terms = {i: set(re.findall("[a-z]{5,}", t.lower())) for i, t, _ in rows}
-    up, down = ({i for i, t, _ in rows if w in t} for w in ("increased", "dropped"))
+    up, down = ({i for i, t, _ in rows if w in t} for w in ("increased", "decreased"))
     likes = {(a, b): round(len(terms[a] & terms[b]) / len(terms[a] | terms[b]), 4) for a in up for b in down}
     want = sorted((-s, *k) for k, s in likes.items() if s >= 0.2)[:40]
     assert any(len(rows[i][1]) >= 700 for _, *k in want for i in k)
@@ -103,7 +103,7 @@ def test_resampled_series_all(spark, tmp_path):
 def test_chains_of_any_length(spark, tmp_path):
     orders = [(5 * i + 1, 300, "1995-01-01") for i in range(230)] + [(5 * i + 2, 7, f"{1992 + i}-01-01") for i in range(4)]
     put(spark, tmp_path, "orders", orders, "o_orderkey long, o_custkey long, o_orderdate string")
-    want = {5 * i + 1: (float(i), i, 5 * i - 4 if i else None) for i in range(230)} | {5 * i + 2: (pytest.approx(1.04 * i), i, 5 * i - 3 if i else None) for i in range(4)}
+    want = {5 * i + 1: (1.0 + i, i, 5 * i - 4 if i else None) for i in range(230)} | {5 * i + 2: (pytest.approx(1 + 1.04 * i), i, 5 * i - 3 if i else None) for i in range(4)}
     assert {r["id"]: (r["score"], r["length"], r["parent"]) for r in RUN["citation_paths_all"](spark, str(tmp_path)).collect()} == want
 
 
@@ -124,6 +124,6 @@ def test_lines_between_joints(spark):
     key = {i: rng.randrange(4) / 4 for i in range(last + 1)}
     best = {}
     for v in range(last + 1):
-        best[v] = max([(round(best[u][0] + 1 + 0.35 * key[v], 6), best[u][1] + 1, -u) for w, u in edges if w == v], default=(0.0, 0, None))
+        best[v] = max([(round(best[u][0] + 1 + 0.35 * key[v], 6), best[u][1] + 1, u) for w, u in edges if w == v], default=(1 + 0.35 * key[v], 0, None))
     got = papers.longest_paths(spark.createDataFrame(sorted(edges), "source long, target long"), spark.createDataFrame([(i, 2000, k) for i, k in key.items()], "id long, year int, key double"))
-    assert {r["id"]: (r["score"], r["length"], -r["parent"] if r["parent"] is not None else None) for r in got.collect()} == {v: (pytest.approx(s, abs=1e-5), n, p) for v, (s, n, p) in best.items()}
+    assert {r["id"]: (r["score"], r["length"], r["parent"]) for r in got.collect()} == {v: (pytest.approx(s, abs=1e-5), n, p) for v, (s, n, p) in best.items()}
