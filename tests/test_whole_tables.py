@@ -35,7 +35,15 @@ def parts(spark, tmp_path_factory):
 
 def test_similarity_links(spark, parts):
     folder, vec, _ = parts
-    scores = {(a, b): round(sum(w * vec[b].get(t, 0) for t, w in vec[a].items()), 4) for a in vec for b in vec if a < b}
+    total = Counter()
+    for t in {t for v in vec.values() for t in v}:
+        held = sorted(i for i in vec if t in vec[i])
+        # lists of over 30 papers (0.4 of 60, at least 30) link each with the next two
+        pairs = itertools.combinations(held, 2) if len(held) <= 30 else [(a, b) for k, a in enumerate(held) for b in held[k + 1 : k + 3]]
+        for a, b in pairs:
+            total[a, b] += vec[a][t] * vec[b][t]
+    scores = {k: round(s, 4) for k, s in total.items()}
+    assert any(sum(t in v for v in vec.values()) > 30 for t in {t for v in vec.values() for t in v})
     got = {(r["a"], r["b"]): r["score"] for r in RUN["similarity_links"](spark, folder).collect()}
     assert all(abs(s - scores[k]) < 2e-4 for k, s in got.items())
     for d in vec:  # ties at the twelfth place aside, each part has its best
@@ -45,6 +53,14 @@ def test_similarity_links(spark, parts):
     assert {i for k in got for i in k} == set(vec)
 
 
+def test_citations_add_to_similarity(spark):
+    from paperweave.operators import vectors
+
+    v = spark.createDataFrame([(1, "a", 1.0), (2, "b", 1.0), (3, "a", 0.6), (3, "c", 0.8)], "doc int, term string, w double")
+    links = spark.createDataFrame([(1, 2), (2, 1), (3, 1), (2, 9), (2, 2)], "source int, target int")
+    assert {tuple(r) for r in vectors.similarity(v, "doc", links=links).collect()} == {(1, 2, 0.22), (1, 3, 0.82)}
+
+
 def test_topic_cohesion(spark, parts):
     folder, vec, topic = parts
     total = defaultdict(Counter)
