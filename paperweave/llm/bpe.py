@@ -9,6 +9,7 @@ of encoded pieces is kept between the batches of a task.
 
 from __future__ import annotations
 
+import heapq
 import json
 
 import numpy as np
@@ -22,6 +23,8 @@ from .common import bounded_batches, release_memory, sliced_batches, slices
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Bytes of text handled at once in a task, and pieces kept in its table.
 SLICE, KEPT_PIECES = 500_000, 100_000
+#: Pieces of more bytes than this (unspaced scripts, encoded data) are merged pair by pair through a heap: rounds over them would cost their length each.
+LONG_PIECE = 1000
 
 
 def byte_symbols() -> list[str]:
@@ -66,10 +69,42 @@ class Vocabulary:
         self.find = regex.compile(PIECES).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
         self.table: dict[str, bytes] = {}
+        self.pairs: dict[int, tuple[int, int]] | None = None
 
     def merge(self, pieces: list[str]) -> list[np.ndarray]:
         """The ids of each piece."""
         raw = [p.encode() for p in pieces]
+        long = {i: self.merge_long(r) for i, r in enumerate(raw) if len(r) > LONG_PIECE}
+        if long:
+            rest = iter(self.merge_rounds([r for i, r in enumerate(raw) if i not in long]))
+            return [long[i] if i in long else next(rest) for i in range(len(raw))]
+        return self.merge_rounds(raw)
+
+    def merge_long(self, raw: bytes) -> np.ndarray:
+        """The ids of one piece: the lowest pair, the first of equal ones, merges next; pairs that are gone are passed over."""
+        if self.pairs is None:
+            self.pairs = dict(zip(self.key.tolist(), zip(self.rank.tolist(), self.merged.tolist(), strict=True), strict=True))
+        sym = self.of_byte[np.frombuffer(raw, np.uint8)].tolist()
+        n = len(sym)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(found[0], i, k) for i in range(n - 1) if (found := self.pairs.get(k := sym[i] << 32 | sym[i + 1]))]
+        heapq.heapify(heap)
+        while heap:
+            _, i, k = heapq.heappop(heap)
+            j = after[i]
+            if sym[i] < 0 or j >= n or (sym[i] << 32 | sym[j]) != k:
+                continue
+            sym[i], sym[j] = self.pairs[k][1], -1
+            after[i] = after[j]
+            if after[j] < n:
+                before[after[j]] = i
+            for a in (before[i], i):
+                if a >= 0 and after[a] < n and (found := self.pairs.get(k := sym[a] << 32 | sym[after[a]])):
+                    heapq.heappush(heap, (found[0], a, k))
+        return np.array([x for x in sym if x >= 0], np.int32)
+
+    def merge_rounds(self, raw: list[bytes]) -> list[np.ndarray]:
+        """The ids of many pieces: in each round the lowest pairs of every piece merge."""
         sym = self.of_byte[np.frombuffer(b"".join(raw), np.uint8)]
         piece = np.repeat(np.arange(len(raw)), np.fromiter(map(len, raw), np.int64, len(raw)))
         done: list[tuple[np.ndarray, np.ndarray]] = []
@@ -99,7 +134,7 @@ class Vocabulary:
             else:
                 done.append((piece, sym))
                 break
-        if not done:
+        if not done or not raw:
             return [np.zeros(0, np.int32)] * len(raw)
         piece, sym = np.concatenate([p for p, _ in done]), np.concatenate([s for _, s in done])
         order = np.argsort(piece, kind="stable")
@@ -149,6 +184,9 @@ def _load(path: str | None) -> Vocabulary:
 def bpe_encode(docs: DataFrame, vocabulary: str | None = None, decode: bool = False) -> DataFrame:
     """Documents with `ids` array<int> added (replaced if present); null text encodes as the empty text.
 
+    Whole texts are encoded, in time that grows with their length; repeated rows
+    stay repeated and an empty table gives an empty table.
+
     With `decode` the ids are decoded again in the same task, as `decoded`.
 
     `vocabulary` is the path of a byte-level BPE file that each executor can
