@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -73,25 +74,122 @@ def encode_frames(samples: np.ndarray) -> list[bytes]:
     return [HEAD + data[i : i + step].replace(b"\xff", b"\xff\x00") + TAIL for i in range(0, len(data), step)]
 
 
-def decode_frames(images: list[bytes]) -> np.ndarray:
-    """Such images to (n, 576) samples. Raises ValueError on images of another form."""
-    step = FRAME // 8 * 9
-    parts = []
-    for image in images:
-        part = image[len(HEAD) : -len(TAIL)].replace(b"\xff\x00", b"\xff")
-        if not image.startswith(HEAD) or not image.endswith(TAIL) or len(part) != step:
-            raise ValueError("not a lossless 24 x 24 intra frame")
-        parts.append(part)
+@dataclass(frozen=True)
+class Frame:
+    """A lossless grey JPEG: its size, predictor, Huffman table (codes of each length, their categories), and coded samples."""
+
+    height: int
+    width: int
+    predictor: int
+    counts: bytes
+    categories: bytes
+    data: bytes
+
+
+def parse_frame(image: bytes) -> Frame:
+    """The segments of a lossless JPEG of one 8-bit component. Raises ValueError for other images."""
+    if image[:2] != b"\xff\xd8":
+        raise ValueError("not a JPEG image")
+    at, size, tables = 2, None, {}
+    while at + 4 <= len(image) and image[at] == 0xFF:
+        marker, n = image[at + 1], int.from_bytes(image[at + 2 : at + 4])
+        body = image[at + 4 : at + 2 + n]
+        if len(body) < n - 2 or n < 8 and marker == 0xDA:
+            raise ValueError("a segment that is cut off")
+        at += 2 + n
+        if marker == 0xC3:
+            if body[0] != 8 or body[5] != 1:
+                raise ValueError("not one component of 8 bits")
+            size = int.from_bytes(body[1:3]), int.from_bytes(body[3:5])
+        elif 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
+            raise ValueError("not a lossless intra frame")
+        elif marker == 0xC4:
+            while body:
+                k = sum(body[1:17])
+                tables[body[0]] = (body[1:17], body[17 : 17 + k])
+                body = body[17 + k :]
+        elif marker == 0xDA:
+            if size is None or body[0] != 1 or body[2] >> 4 not in tables or body[5] & 15 or not 1 <= body[3] <= 7:
+                raise ValueError("not a scan of one component without a point transform")
+            end = image.rfind(b"\xff\xd9")
+            return Frame(*size, body[3], *tables[body[2] >> 4], image[at : end if end >= at else len(image)].replace(b"\xff\x00", b"\xff"))
+    raise ValueError("a JPEG without a scan")
+
+
+def _canonical(frame: Frame) -> dict[tuple[int, int], int]:
+    """The category of each (length, code) of a frame's table."""
+    out, code, at = {}, 0, 0
+    for length, n in enumerate(frame.counts, 1):
+        for _ in range(n):
+            out[length, code] = frame.categories[at]
+            code, at = code + 1, at + 1
+        code <<= 1
+    return out
+
+
+def _differences(frame: Frame) -> np.ndarray:
+    """The differences of a frame's samples, one code after the other."""
+    codes = _canonical(frame)
+    bits = np.unpackbits(np.frombuffer(frame.data, np.uint8)).tolist()
+    out, at = [], 0
+    for _ in range(frame.height * frame.width):
+        length = code = 0
+        while (length, code) not in codes:
+            if length == 16 or at >= len(bits):
+                raise ValueError("a broken code")
+            length, code, at = length + 1, code << 1 | bits[at], at + 1
+        c = codes[length, code]
+        if c == 16:
+            out.append(32768)
+            continue
+        value = int("".join(map(str, bits[at : at + c])) or "0", 2)
+        at += c
+        out.append(value if not c or value >> (c - 1) else value - (1 << c) + 1)
+    return np.array(out, np.int64).reshape(frame.height, frame.width)
+
+
+def _samples(frame: Frame) -> np.ndarray:
+    """The samples of any lossless grey frame: the first row is predicted from the left, the first column from above, the rest as the predictor says."""
+    d, x = _differences(frame), np.zeros((frame.height, frame.width), np.int64)
+    ways = {1: lambda a, b, c: a, 2: lambda a, b, c: b, 3: lambda a, b, c: c, 4: lambda a, b, c: a + b - c, 5: lambda a, b, c: a + ((b - c) >> 1), 6: lambda a, b, c: b + ((a - c) >> 1), 7: lambda a, b, c: (a + b) >> 1}
+    x[0] = (np.cumsum(d[0]) + 128) & 0xFFFF
+    for i in range(1, frame.height):
+        x[i, 0] = (x[i - 1, 0] + d[i, 0]) & 0xFFFF
+        for j in range(1, frame.width):
+            x[i, j] = (ways[frame.predictor](int(x[i, j - 1]), int(x[i - 1, j]), int(x[i - 1, j - 1])) + d[i, j]) & 0xFFFF
+    return x.astype(np.uint8)
+
+
+def _even_table(frame: Frame) -> bool:
+    """Whether a frame's codes are those of CODE, nine bits a sample in whole bytes, so that arrays can decode it."""
+    own = {(int(k), (1 << int(k)) - 2 if k < 9 else 0x1FE): 9 - int(k) for k in range(1, 9)} | {(9, 0x1FE): 0}
+    return frame.predictor == 1 and (frame.height, frame.width) == (SIDE, SIDE) and _canonical(frame) == own and len(frame.data) == FRAME // 8 * 9
+
+
+def decode_frames(images: list[bytes]) -> list[np.ndarray]:
+    """Lossless grey JPEG images to arrays of samples, of any size, predictor and table.
+
+    Frames whose codes all take nine bits are decoded together by array
+    operations, others code by code. Raises ValueError for images of other forms.
+    """
+    frames = [parse_frame(x) for x in images]
+    known: dict[tuple, bool] = {}
+    even = [known[k] if (k := (f.height, f.width, f.predictor, f.counts, f.categories, len(f.data))) in known else known.setdefault(k, _even_table(f)) for f in frames]
+    fast = iter(_decode_even([f.data for f, e in zip(frames, even, strict=True) if e]))
+    return [next(fast) if e else _samples(f) for f, e in zip(frames, even, strict=True)]
+
+
+def _decode_even(parts: list[bytes]) -> np.ndarray:
     b = np.frombuffer(b"".join(parts), np.uint8).reshape(-1, 9).astype(np.uint16)
     code = np.empty((len(b), 8), np.uint16)
     code[:, 0] = (b[:, 0] << 1) | (b[:, 1] >> 7)
-    for k in range(1, 8):
-        code[:, k] = ((b[:, k] << (k + 1)) & 0x1FF) | (b[:, k + 1] >> (7 - k) if k < 7 else b[:, 8])
+    for k in range(1, 7):
+        code[:, k] = ((b[:, k] << (k + 1)) & 0x1FF) | (b[:, k + 1] >> (7 - k))
     code[:, 7] = ((b[:, 7] & 1) << 8) | b[:, 8]
     diff = BACK[code].reshape(-1, SIDE, SIDE).astype(np.int32)
     diff[:, 0, 0] += 128
     diff[:, :, 0] = np.cumsum(diff[:, :, 0], axis=1)
-    return np.cumsum(diff, axis=2).astype(np.uint8).reshape(-1, FRAME)
+    return np.cumsum(diff, axis=2).astype(np.uint8)
 
 
 def _chunk(name: bytes, data: bytes) -> bytes:
@@ -139,11 +237,12 @@ def frames_of(data: bytes) -> bytes:
 
 
 def shots(samples: np.ndarray) -> list[tuple[int, int]]:
-    """First and one-past-last frame of each shot, by adaptive histogram differences."""
+    """First and one-past-last frame of each shot, by adaptive histogram differences. Frames are of one size."""
     n = len(samples)
+    samples = samples.reshape(n, -1)
     flat = (samples >> 4).astype(np.int64) + np.arange(n)[:, None] * BINS
     hist = np.bincount(flat.ravel(), minlength=n * BINS).reshape(n, BINS)
-    diff = np.abs(np.diff(hist, axis=0)).sum(axis=1) / (2 * FRAME)
+    diff = np.abs(np.diff(hist, axis=0)).sum(axis=1) / (2 * samples.shape[1])
     cuts = []
     if len(diff):
         one, two = np.append(0, np.cumsum(diff)), np.append(0, np.cumsum(diff * diff))
@@ -160,7 +259,8 @@ def shots(samples: np.ndarray) -> list[tuple[int, int]]:
 def text_to_avi(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes and media binary of every document; a null or empty text is one frame of padding.
 
-    Equal texts give equal files. Repeated rows stay repeated.
+    Equal texts give equal files. Repeated rows stay repeated; a long text is a
+    long clip. Other columns are left out. An empty table gives an empty table.
     """
     import pyarrow as pa
 
@@ -185,11 +285,14 @@ def avi_clips(media: DataFrame) -> DataFrame:
     """Rows with `media` to those rows with payload digests and `clips`, an array of timed shots.
 
     Adds payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256 and
-    clips array<struct<first_frame, end_frame, start_s, end_s>>. `media` is dropped.
+    clips array<struct<first_frame, end_frame, start_s, end_s>>. `media` is dropped,
+    columns of these names are replaced, the others pass through. A clip without
+    cuts is one shot. A file that is no such AVI, a null among them, raises.
     """
     import pyarrow as pa
 
-    keep = [f for f in media.schema.fields if f.name != "media"]
+    own = {"media", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "clips"}
+    keep = [f for f in media.schema.fields if f.name.lower() not in own]
     clip = T.StructType([T.StructField("first_frame", T.IntegerType()), T.StructField("end_frame", T.IntegerType()), T.StructField("start_s", T.DoubleType()), T.StructField("end_s", T.DoubleType())])
     long, string = T.LongType(), T.StringType()
     added = [("payload_bytes", long), ("payload_sha256", string), ("tail_crc32", long), ("media_bytes", long), ("media_sha256", string), ("clips", T.ArrayType(clip))]
@@ -205,7 +308,7 @@ def avi_clips(media: DataFrame) -> DataFrame:
                 samples = decode_frames([i for own in images for i in own])
                 rows, at = [], 0
                 for m, own in zip(files[a:b], images, strict=True):
-                    part = samples[at : at + len(own)]
+                    part = np.stack(samples[at : at + len(own)])
                     at += len(own)
                     data = part.tobytes()
                     found = [{"first_frame": s, "end_frame": e, "start_s": s / FPS, "end_s": e / FPS} for s, e in shots(part)]
@@ -218,14 +321,16 @@ def avi_clips(media: DataFrame) -> DataFrame:
 
 
 def clip_rows(media: DataFrame) -> DataFrame:
-    """One row per shot: the rows' other columns with first_frame, end_frame, start_s and end_s."""
+    """One row per shot: the rows' other columns with shot, first_frame, end_frame, start_s and end_s."""
     found = avi_clips(media)
     return found.select(*(c for c in found.columns if c != "clips"), F.posexplode("clips").alias("shot", "clip")).select("*", "clip.*").drop("clip")
 
 
 def op9_media(spark, sf_dir: str) -> DataFrame:
+    """A row a document; `feature` has its shots by frames, `clips` by seconds."""
     from .common import table
 
     found = avi_clips(text_to_avi(table(spark, sf_dir, "documents")))
     cuts = F.transform("clips", lambda c: F.concat(c["first_frame"].cast("string"), F.lit("-"), c["end_frame"].cast("string")))
-    return found.withColumn("feature", F.concat(F.size("clips").cast("string"), F.lit(":"), F.array_join(cuts, ","))).drop("clips")
+    times = F.transform("clips", lambda c: F.format_string("%.2f-%.2f", c["start_s"], c["end_s"]))
+    return found.withColumn("feature", F.concat(F.size("clips").cast("string"), F.lit(":"), F.array_join(cuts, ","))).withColumn("clips", F.array_join(times, ","))
