@@ -321,7 +321,8 @@ def near_duplicates(docs: DataFrame, key: str | None = None) -> DataFrame:
     with_set = all_.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = materialize(with_set.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature")))
     bands = band_rows(classes)
-    buckets = bands.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("size")).filter("size > 1")
+    # written first: so the join shares no shuffle with the counting, and Spark may split a hot key's members over tasks
+    buckets = materialize(bands.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("size")).filter("size > 1"))
     members = materialize(bands.join(buckets, "key"))
     ids = with_broadcast_if_small(materialize(members.select("id").distinct()), BROADCAST_IDS)
     texts = materialize(docs.withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi").groupBy("id").agg(F.max("text").alias("text")))
