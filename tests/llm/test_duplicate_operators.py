@@ -83,7 +83,7 @@ def test_sketches_merge_and_estimate():
     assert est[0] == pytest.approx(3000 / 5000, abs=0.08)
 
 
-def test_components(spark):
+def test_components(spark, monkeypatch):
     rng = random.Random(7)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)]
     up = {}
@@ -97,8 +97,11 @@ def test_components(spark):
     for a, b in edges:
         x, y = find(a), find(b)
         up[max(x, y)] = min(x, y)
-    got = neardup.components(spark.createDataFrame(edges, "a long, b long"))
-    assert {r["id"]: r["component"] for r in got.collect()} == {x: find(x) for x in up}
+    want = {x: find(x) for x in up}
+    for at_once in (neardup.EDGES_AT_ONCE, 0):  # in one task, and by labels that pass between tasks
+        monkeypatch.setattr(neardup, "EDGES_AT_ONCE", at_once)
+        got = neardup.components(spark.createDataFrame(edges, "a long, b long").repartition(5))
+        assert {r["id"]: r["component"] for r in got.collect()} == want
 
 
 # suffix arrays and repeated strings

@@ -8,6 +8,8 @@ import zlib
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
+
 from paperweave.llm import bpe, html_extract, media, mixing, quality_rules, secrets
 from paperweave.llm.common import table
 
@@ -280,6 +282,97 @@ def test_frames_round_trip():
 
     rng = np.random.default_rng(1)
     for samples in (rng.integers(0, 256, (5, 576), dtype=np.uint8), np.zeros((3, 576), np.uint8), np.tile(np.array([0, 255], np.uint8), (2, 288))):
-        images = media.encode_frames(samples.reshape(-1, 24, 24) if False else samples)
-        back = media.decode_frames(media.read_avi(media.write_avi(images)))
-        assert (back.reshape(samples.shape) == samples).all()
+        images = media.encode_frames(samples)
+        back = media.read_avi(media.write_avi(images))
+        assert back == images
+        assert (np.stack(media.decode_frames(back)).reshape(samples.shape) == samples).all()
+        assert all((media._samples(media.parse_frame(x)).ravel() == s).all() for x, s in zip(images, samples, strict=True))  # code by code
+
+
+def plain_jpeg(x, predictor):
+    """A lossless JPEG by the rules of the format, one sample after the other, with a table of five-bit codes."""
+    h, w = len(x), len(x[0])
+    bits = ""
+    for i in range(h):
+        for j in range(w):
+            a, b, c = (x[i][j - 1] if j else 0), (x[i - 1][j] if i else 0), (x[i - 1][j - 1] if i and j else 0)
+            guess = 128 if not i and not j else a if not i else b if not j else [a, b, c, a + b - c, a + ((b - c) >> 1), b + ((a - c) >> 1), (a + b) >> 1][predictor - 1]
+            d = x[i][j] - guess
+            n = abs(d).bit_length()
+            bits += f"{n:05b}" + (f"{d if d > 0 else d + (1 << n) - 1:0{n}b}" if n else "")
+    bits += "1" * (-len(bits) % 8)
+    data = bytes(int(bits[k : k + 8], 2) for k in range(0, len(bits), 8)).replace(b"\xff", b"\xff\x00")
+    seg = lambda m, body: bytes([0xFF, m]) + (len(body) + 2).to_bytes(2, "big") + body
+    table = bytes([0x01]) + bytes([0, 0, 0, 0, 17] + [0] * 11) + bytes(range(17))
+    head = seg(0xE0, b"JFIF\0") + seg(0xC3, bytes([8]) + h.to_bytes(2, "big") + w.to_bytes(2, "big") + bytes([1, 1, 0x11, 0]))
+    return b"\xff\xd8" + head + seg(0xC4, table) + seg(0xDA, bytes([1, 1, 0x10, predictor, 0, 0])) + data + b"\xff\xd9"
+
+
+def test_other_lossless_frames():
+    """Frames of other sizes, tables and predictors, and images that are no such frames."""
+    import random
+
+    rng = random.Random(4)
+    for predictor in range(1, 8):
+        x = [[rng.randrange(256) for _ in range(13)] for _ in range(7)]
+        assert media.decode_frames([plain_jpeg(x, predictor)])[0].tolist() == x
+    good = plain_jpeg(x, 1)
+    for bad in (b"", b"GIF89a", good[:20], good.replace(b"\xff\xc3", b"\xff\xc0"), b"\xff\xd8\xff\xd9", good[:-30]):
+        with pytest.raises(ValueError):
+            media.decode_frames([bad])
+    for bad in (b"", b"RIFF    WAVE", media.write_avi([good])[:60]):
+        with pytest.raises(ValueError):
+            media.read_avi(bad)
+
+
+def plain_shots(frames):
+    """Cuts where a histogram difference is over the floor and over the mean and deviations of the ones before it."""
+    hist = [Counter(v >> 4 for v in f) for f in frames]
+    diff = [sum(abs(a[k] - b[k]) for k in range(16)) / (2 * len(f)) for a, b, f in zip(hist, hist[1:], frames)]
+    cuts = []
+    for i, d in enumerate(diff):
+        last = diff[max(0, i - media.WINDOW) : i]
+        mean = sum(last) / max(1, len(last))
+        spread = max(0.0, sum(x * x for x in last) / max(1, len(last)) - mean * mean) ** 0.5
+        if d > media.FLOOR and d > mean + media.SPREAD * spread:
+            cuts.append(i + 1)
+    return list(zip([0, *cuts], [*cuts, len(frames)]))
+
+
+def test_clips(spark, small, odd):
+    """Shots and their times against plain Python, one row a shot; structure of the files."""
+    import struct
+
+    docs = table(spark, small, "documents").select("doc_id", "text").limit(60).unionByName(odd.select("doc_id", "text").filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).withColumn("doc_id", -F.col("doc_id")))
+    made = media.text_to_avi(docs).withColumn("clips", F.lit("x")).withColumn("note", F.lit("n"))
+    text = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    files = {r["doc_id"]: r["media"] for r in made.collect()}
+    want = []
+    for i, t in text.items():
+        data = media.frames_of(t.encode())
+        frames = [data[k : k + 576] for k in range(0, len(data), 576)]
+        m = files[i]
+        assert m[:4] == b"RIFF" and struct.unpack("<I", m[4:8])[0] == len(m) - 8 and m.count(b"idx1") >= 1 and len(media.read_avi(m)) == len(frames)
+        want += [(i, k, a, b, a / 25, b / 25) for k, (a, b) in enumerate(plain_shots(frames))]
+    rows = media.clip_rows(made)
+    assert sorted(tuple(r[c] for c in ("doc_id", "shot", "first_frame", "end_frame", "start_s", "end_s")) for r in rows.collect()) == sorted(want)
+    assert {r["note"] for r in rows.collect()} == {"n"}
+
+
+def test_long_pieces():
+    """Pieces without spaces: as the tokenizers library does, in time that grows with their length."""
+    import random
+    import time
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    t.no_truncation()
+    rng = random.Random(2)
+    texts = ["".join(rng.choice(a) for _ in range(n)) for a in ("ab", "abcdefghijklmnopqrstuvwxyzABCDEFGH", "的一是不了人我在有他") for n in (900, 1001, 5000)] + ["a" * 20_000]
+    v = bpe.Vocabulary(public_tokenizers.path("byte_bpe_50k.json"))
+    began = time.perf_counter()
+    ids = v.encode(texts + ["x" + texts[1] * 6])
+    assert time.perf_counter() - began < 10
+    assert [x.tolist() for x in ids[:-1]] == [t.encode(x, add_special_tokens=False).ids for x in texts]
