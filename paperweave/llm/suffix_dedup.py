@@ -70,6 +70,15 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return text[at], at - first[text[at]], h[at]
 
 
+def _runs(*keys: np.ndarray) -> list[tuple[int, int]]:
+    """Begin and end of each run of equal keys."""
+    if not len(keys[0]):
+        return []
+    new = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    edge = np.flatnonzero(np.concatenate(([True], new, [True]))).tolist()
+    return list(zip(edge, edge[1:], strict=False))
+
+
 def _cut(batches, keys: list[str]):
     """Tables of one or more whole groups from batches that are sorted by the keys."""
     import pyarrow as pa
@@ -92,7 +101,7 @@ def _unpack(column, kind) -> list[np.ndarray]:
 
 
 def repeated_anchors(docs: DataFrame, buckets: int) -> DataFrame:
-    """(doc_id, hashes): for each document the packed hashes of its anchors that another document may hold too.
+    """(doc_id, name, hashes): for each text of a document, by its digest, the packed hashes of its anchors that another text may hold too.
 
     The upper bits of a hash choose the bucket and the lower 32 are compared
     there. A chance equality only costs a context that the next step refutes.
@@ -105,15 +114,14 @@ def repeated_anchors(docs: DataFrame, buckets: int) -> DataFrame:
             ids = batch.column("doc_id").to_numpy().astype("<i8")
             text, _, h = anchors(texts)
             name = int.from_bytes(hashlib.blake2b(ids.tobytes() + bytes(str([len(t) for t in texts]), "ascii"), digest_size=8).digest(), "little", signed=True)
-            rows = [(-1, name, ids.tobytes(), b"")]
+            rows = [(-1, name, ids.tobytes(), b"".join(hashlib.md5(t).digest() for t in texts))]
             bucket = ((h >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
             low = h.astype(np.uint32)
             order = np.lexsort((text, low, bucket))
             bucket, low, text = bucket[order], low[order], text[order]
             new = np.append(True, (bucket[1:] != bucket[:-1]) | (low[1:] != low[:-1]) | (text[1:] != text[:-1])) if len(low) else np.zeros(0, bool)
             bucket, low, text = bucket[new], low[new], text[new]
-            first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(low) else []
-            for a, b in zip(first, np.append(first[1:], len(low)).astype(int), strict=True):
+            for a, b in _runs(bucket):
                 rows.append((int(bucket[a]), name, low[a:b].astype("<u4").tobytes(), text[a:b].astype("<u4").tobytes()))
             b, n, low_, own = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array(n, pa.int64()), pa.array(low_, pa.binary()), pa.array(own, pa.binary())], ["bucket", "batch", "low", "own"])
@@ -131,24 +139,22 @@ def repeated_anchors(docs: DataFrame, buckets: int) -> DataFrame:
             again[order] = np.append(same, False) | np.append(False, same)
             row, low, own = row[again], low[again], own[again]
             out = []
-            bounds = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else []
-            for a, b in zip(bounds, np.append(bounds[1:], len(row)).astype(int), strict=True):
+            for a, b in _runs(row):
                 out.append((int(bucket[row[a]]), int(batch[row[a]]), low[a:b].tobytes(), own[a:b].tobytes()))
             if out:
                 b, n, low_, own_ = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array(n, pa.int64()), pa.array(low_, pa.binary()), pa.array(own_, pa.binary())], ["bucket", "batch", "low", "own"])
 
     def hand_back(batches):
-        ids, got = None, None
+        ids, names, got = None, b"", None
 
         def rows_of(batch):
             keys = np.concatenate([np.uint64(b) << np.uint64(32) | x for b, x, _ in got]) if got else np.zeros(0, np.uint64)
             own = np.concatenate([o for _, _, o in got]) if got else np.zeros(0, np.uint32)
             order = np.argsort(own, kind="stable")
             keys, own = keys[order], own[order]
-            first = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else []
-            parts = [(int(ids[own[a]]), keys[a:b].astype("<u8").tobytes()) for a, b in zip(first, np.append(first[1:], len(own)).astype(int), strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int64()), pa.array([p[1] for p in parts], pa.binary())], ["doc_id", "hashes"])
+            parts = [(int(ids[k := int(own[a])]), names[16 * k : 16 * k + 16], keys[a:b].astype("<u8").tobytes()) for a, b in _runs(own)]
+            return pa.RecordBatch.from_arrays([pa.array([p[i] for p in parts], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary()))], ["doc_id", "name", "hashes"])
 
         name = None
         for batch in batches:
@@ -158,7 +164,7 @@ def repeated_anchors(docs: DataFrame, buckets: int) -> DataFrame:
                         yield rows_of(name)
                     name, got = n, []
                 if b < 0:
-                    ids = np.frombuffer(low, "<i8")
+                    ids, names = np.frombuffer(low, "<i8"), own
                 else:
                     got.append((b, np.frombuffer(low, "<u4").astype(np.uint64), np.frombuffer(own, "<u4")))
         if got:
@@ -168,20 +174,42 @@ def repeated_anchors(docs: DataFrame, buckets: int) -> DataFrame:
     packed = materialize(docs.select("doc_id", "text").mapInArrow(pack, schema))
     met = packed.filter("bucket >= 0").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, schema)
     back = met.union(packed.filter("bucket < 0").dropDuplicates(["batch"])).repartition("batch").sortWithinPartitions("batch", "bucket")
-    found = materialize(back.mapInArrow(hand_back, "doc_id long, hashes binary"), sweep=True)
+    found = materialize(back.mapInArrow(hand_back, "doc_id long, name binary, hashes binary"), sweep=True)
     discard(packed)
     return found
 
 
+def periodic(data: np.ndarray, place: np.ndarray, text: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The anchors (as a mask) that are sent, and for these how much further the strings of the ones after them reach.
+
+    In a run of one byte, or of any period within WINDOWS, each anchor has the
+    context of the one before it. Their strings overlap, so the first one's
+    answer, stretched to the last one, is that of all. `place` is that of the
+    anchors in the padded data.
+    """
+    gap = np.append(0, place[1:] - place[:-1])
+    alike = np.append(False, (text[1:] == text[:-1]) & (key[1:] == key[:-1])) & (gap <= WINDOWS)
+    same = np.zeros(len(place), bool)
+    for g in np.unique(gap[alike]).tolist():
+        mine = np.flatnonzero(alike & (gap == g))
+        equal = np.append(0, np.cumsum(data[:-g] == data[g:], dtype=np.int32))
+        begin = place[mine] - g - SIDE
+        same[mine] = equal[begin + WIDTH] - equal[begin] == WIDTH
+    first = np.flatnonzero(~same)
+    last = np.append(first[1:], len(place)) - 1 if len(place) else first
+    return ~same, place[last] - place[first]
+
+
 def contexts(docs: DataFrame, buckets: int) -> DataFrame:
     """Rows of packed contexts by bucket, from documents with their repeated anchors' hashes.
 
     Within a batch only the least doc_id sends a context; the others say at once
-    that all of its strings go (bucket -1).
+    that all of its strings go (bucket -1). Of a periodic run one context goes,
+    with how much `more` it stands for.
     """
     import pyarrow as pa
 
-    names = ["bucket", "key", "context", "front", "back", "doc_id", "at"]
+    names = ["bucket", "key", "context", "front", "back", "doc_id", "at", "more"]
 
     def run(batches):
         for batch in sliced_batches(batches, "text", SLICE):
@@ -199,6 +227,8 @@ def contexts(docs: DataFrame, buckets: int) -> DataFrame:
             data = np.frombuffer(b"\0" * SIDE + (b"\0" * (2 * SIDE)).join(texts) + b"\0" * (2 * SIDE), np.uint8)
             size = np.array([len(t) for t in texts], np.int64)
             begin = np.cumsum(size + 2 * SIDE) - (size + 2 * SIDE)  # of the padding in front of each text
+            sent, more = periodic(data, begin[text] + SIDE + at, text, key)
+            text, at, key, bucket = text[sent], at[sent], key[sent], bucket[sent]
             ctx = data[(begin[text] + at)[:, None] + np.arange(WIDTH)]
             front, back = np.maximum(0, SIDE - at), np.maximum(0, at + GRAM + SIDE - size[text])
             doc = ids[text]
@@ -211,14 +241,14 @@ def contexts(docs: DataFrame, buckets: int) -> DataFrame:
             same = doc[order] == leader  # the document's own repeats of a context go on with it
             send = order[same]
             gone = order[~same]
-            out = [pa.array(bucket[send]), pa.array(key[send].astype(np.int64)), pa.array([c.tobytes() for c in ctx[send]], pa.binary()), pa.array(front[send].astype(np.int32)), pa.array(back[send].astype(np.int32)), pa.array(doc[send]), pa.array(at[send].astype(np.int32))]
+            out = [pa.array(bucket[send]), pa.array(key[send].astype(np.int64)), pa.array([c.tobytes() for c in ctx[send]], pa.binary()), pa.array(front[send].astype(np.int32)), pa.array(back[send].astype(np.int32)), pa.array(doc[send]), pa.array(at[send].astype(np.int32)), pa.array(more[send].astype(np.int32))]
             yield pa.RecordBatch.from_arrays(out, names)
             if len(gone):
                 n = len(gone)
-                out = [pa.array(np.full(n, -1)), pa.array(key[gone].astype(np.int64)), pa.nulls(n, pa.binary()), pa.array(front[gone].astype(np.int32)), pa.array(back[gone].astype(np.int32)), pa.array(doc[gone]), pa.array(at[gone].astype(np.int32))]
+                out = [pa.array(np.full(n, -1)), pa.array(key[gone].astype(np.int64)), pa.nulls(n, pa.binary()), pa.array(front[gone].astype(np.int32)), pa.array(back[gone].astype(np.int32)), pa.array(doc[gone]), pa.array(at[gone].astype(np.int32)), pa.array(more[gone].astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(out, names)
 
-    return docs.select("doc_id", "text", "hashes").mapInArrow(run, "bucket long, key long, context binary, front int, back int, doc_id long, at int")
+    return docs.select("doc_id", "text", "hashes").mapInArrow(run, "bucket long, key long, context binary, front int, back int, doc_id long, at int, more int")
 
 
 def _equal_strings(c: np.ndarray, real: np.ndarray):
@@ -304,21 +334,21 @@ def removals(packed: DataFrame) -> DataFrame:
 
     def run(batches):
         for rows in _cut(batches, ["bucket"]):
-            front, back, doc, at = (rows.column(c).to_numpy().astype(np.int64) for c in ("front", "back", "doc_id", "at"))
+            front, back, doc, at, more = (rows.column(c).to_numpy().astype(np.int64) for c in ("front", "back", "doc_id", "at", "more"))
             hit = (np.arange(WINDOWS) >= front[:, None]) & (np.arange(WINDOWS) + LENGTH <= WIDTH - back[:, None])
             sent = np.flatnonzero(rows.column("bucket").to_numpy() >= 0)
             if len(sent):
                 ctx = np.frombuffer(b"".join(x for x in rows.column("context").to_pylist() if x is not None), np.uint8).reshape(-1, WIDTH)
                 hit[sent] = shared_strings(ctx, front[sent], back[sent], rows.column("key").to_numpy()[sent], doc[sent])
             r, w = np.nonzero(hit)
-            start, own = at[r] - SIDE + w, doc[r]
+            start, own, end = at[r] - SIDE + w, doc[r], at[r] - SIDE + w + LENGTH + more[r]
             order = np.lexsort((start, own))
-            start, own = start[order], own[order]
-            # runs of neighbouring starts
-            new = np.append(True, (own[1:] != own[:-1]) | (start[1:] > start[:-1] + 1)) if len(own) else np.zeros(0, bool)
+            start, own, end = start[order], own[order], end[order]
+            # runs of neighbouring starts; a stretched one ends its run
+            new = np.append(True, (own[1:] != own[:-1]) | (start[1:] > start[:-1] + 1) | (end[:-1] > start[:-1] + LENGTH) | (end[1:] > start[1:] + LENGTH)) if len(own) else np.zeros(0, bool)
             a = np.flatnonzero(new)
             b = np.append(a[1:], len(own)) - 1 if len(a) else a
-            yield pa.RecordBatch.from_arrays([pa.array(own[a]), pa.array(start[a].astype(np.int32)), pa.array((start[b] + LENGTH).astype(np.int32))], ["doc_id", "start", "end"])
+            yield pa.RecordBatch.from_arrays([pa.array(own[a]), pa.array(start[a].astype(np.int32)), pa.array(end[b].astype(np.int32))], ["doc_id", "start", "end"])
 
     dealt = packed.repartition("bucket", F.when(F.col("bucket") < 0, F.pmod(F.xxhash64("doc_id"), F.lit(4096))).otherwise(F.lit(0)))
     return dealt.sortWithinPartitions("bucket").mapInArrow(run, "doc_id long, start int, end int")
@@ -341,8 +371,9 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     buckets = max(64, size // (BUCKET_ANCHORS * WINDOWS // 2))
     usable = base.filter(f"doc_id IS NOT NULL AND octet_length(text) >= {LENGTH}")
     hashes = repeated_anchors(usable, buckets)
-    leads = texts.select(F.col("least").alias("doc_id")).distinct().join(hashes.groupBy("doc_id").agg(F.max("hashes").alias("hashes")), "doc_id")
-    spans = materialize(removals(contexts(usable.join(leads, "doc_id"), buckets)), sweep=True)
+    # of each text its least document; where an id repeats, each of its texts by its name
+    leads = texts.select(F.col("least").alias("doc_id"), F.unhex("name").alias("name")).join(hashes.groupBy("doc_id", "name").agg(F.max("hashes").alias("hashes")), ["doc_id", "name"])
+    spans = materialize(removals(contexts(usable.withColumn("name", F.unhex(F.md5("text"))).join(leads, ["doc_id", "name"]), buckets)), sweep=True)
     # an earlier document's whole text goes by its name, so that texts are shuffled once, with the spans
     copies = named.join(texts.select("name", "least"), "name").filter("least < doc_id").select("doc_id", F.lit(0).alias("start"), F.lit(0).alias("end"), "name").distinct()
     all_spans = spans.withColumn("name", F.lit(None).cast("string")).unionByName(copies)

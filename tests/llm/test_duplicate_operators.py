@@ -161,6 +161,33 @@ def test_suffix_dedup(spark, small, spliced):
         assert got == want
 
 
+def test_runs_of_one_byte(spark):
+    """Periodic texts: the bytes that go, and one context for each run."""
+    rng = random.Random(5)
+    noise = lambda n: "".join(rng.choice("abcdef") for _ in range(n))
+    rows = []
+    for i in range(24):
+        period = rng.choice(["x", "-", "ab", "xyz", "0123456789", noise(30), noise(40)])
+        n = rng.choice([30, 49, 50, 51, 90, 200, 3000])
+        rows.append((i, noise(rng.randrange(0, 60)) + (period * n)[:n] + noise(rng.randrange(0, 60)) + (period * 80)[: rng.randrange(0, 80)]))
+    rows += [(50, "=" * 300_000), (51, "a" + "=" * 200_000 + "b"), (52, "=" * 400_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert removed(suffix_dedup.deduplicate(docs)) == plain_removal(rows)
+    data = np.frombuffer(b"\0" * 34 + b"=" * 100_000 + b"\0" * 68, np.uint8)
+    text, at, h = suffix_dedup.anchors([b"=" * 100_000])
+    sent, more = suffix_dedup.periodic(data, 34 + at, text, h)
+    assert len(at) > 99_000 and sent.sum() < 100 and (more + 1).sum() == len(at)
+
+
+def test_repeated_ids(spark):
+    """Texts of one id are one document: each is judged against smaller ids, and larger ids against all of them."""
+    rng = random.Random(6)
+    a, b, c = ("".join(rng.choice("abcdef") for _ in range(120)) for _ in range(3))
+    rows = [(1, a + "1"), (1, b + "2"), (1, a + "1"), (2, "x" + a), (3, "y" + b + c), (4, c + "z")]
+    got = sorted((r["doc_id"], r["n_removed"], bytes(r["kept"]).decode()) for r in suffix_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect())
+    assert got == sorted([(1, 0, a + "1"), (1, 0, b + "2"), (1, 0, a + "1"), (2, 120, "x"), (3, 120, "y" + c), (4, 120, "z")])
+
+
 def test_suffix_dedup_odd(odd, none):
     got = suffix_dedup.deduplicate(odd)
     rows = got.collect()
