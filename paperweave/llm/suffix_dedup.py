@@ -31,6 +31,9 @@ BLOCK = 12
 FULL = (LENGTH - BLOCK + 1) // BLOCK
 #: Bytes of text handled at once in a task, and anchors that one bucket is meant to hold.
 SLICE, BUCKET_ANCHORS = 4_000_000, 200_000
+#: An anchor that more texts hold is hot, and at most so many are (8 bytes each on the driver and in a task): its strings
+#: are dealt one by one over all tasks, by a digest of 128 bits, instead of meeting as contexts in one.
+HOT_TEXTS, HOT_ANCHORS = 20_000, 1_000_000
 
 
 def _sliding(x: np.ndarray, width: int, of) -> np.ndarray:
@@ -100,11 +103,13 @@ def _unpack(column, kind) -> list[np.ndarray]:
     return [np.frombuffer(x, kind) for x in column.to_pylist()]
 
 
-def repeated_anchors(docs: DataFrame, buckets: int) -> DataFrame:
+def repeated_anchors(docs: DataFrame, buckets: int, hot_texts: int = HOT_TEXTS) -> DataFrame:
     """(doc_id, name, hashes): for each text of a document, by its digest, the packed hashes of its anchors that another text may hold too.
 
     The upper bits of a hash choose the bucket and the lower 32 are compared
     there. A chance equality only costs a context that the next step refutes.
+    Rows without doc_id have the hashes of anchors that more than hot_texts texts
+    hold.
     """
     import pyarrow as pa
 
@@ -137,8 +142,10 @@ def repeated_anchors(docs: DataFrame, buckets: int) -> DataFrame:
             same = key[order][1:] == key[order][:-1]
             again = np.zeros(len(key), bool)
             again[order] = np.append(same, False) | np.append(False, same)
+            at = np.flatnonzero(np.append(True, ~same))
+            many = np.diff(np.append(at, len(key))) > hot_texts
+            out = [(-2, -1, key[order][at[many]].astype("<u8").tobytes(), b"")] if many.any() else []
             row, low, own = row[again], low[again], own[again]
-            out = []
             for a, b in _runs(row):
                 out.append((int(bucket[row[a]]), int(batch[row[a]]), low[a:b].tobytes(), own[a:b].tobytes()))
             if out:
@@ -159,6 +166,9 @@ def repeated_anchors(docs: DataFrame, buckets: int) -> DataFrame:
         name = None
         for batch in batches:
             for b, n, low, own in zip(*(batch.column(c).to_pylist() for c in ("bucket", "batch", "low", "own")), strict=True):
+                if b == -2:
+                    yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([low], pa.binary())], ["doc_id", "name", "hashes"])
+                    continue
                 if n != name:
                     if got:
                         yield rows_of(name)
@@ -200,9 +210,47 @@ def periodic(data: np.ndarray, place: np.ndarray, text: np.ndarray, key: np.ndar
     return ~same, place[last] - place[first]
 
 
-def contexts(docs: DataFrame, buckets: int) -> DataFrame:
+#: Two values of each byte, for two independent polynomial hashes of a string.
+BYTE_VALUES = mix(np.arange(1, 513, dtype=np.uint64).reshape(2, 256) * MIX_A)
+
+
+def hot_strings(data: np.ndarray, begin: np.ndarray, size: np.ndarray, ids: np.ndarray, text: np.ndarray, at: np.ndarray, more: np.ndarray):
+    """Strings around hot anchors: (asked, told), each (digest 1, digest 2, doc_id, start, more).
+
+    Of equal strings of a batch the least document asks; the others are told at
+    once that theirs goes. `begin` is where each text begins in the data.
+    """
+    start = (at[:, None] - SIDE + np.arange(WINDOWS)).ravel()
+    text, more = np.repeat(text, WINDOWS), np.repeat(more, WINDOWS)
+    real = (start >= 0) & (start + LENGTH <= size[text])
+    text, start, more = text[real], start[real], more[real]
+    order = np.lexsort((-more, start, text))
+    text, start, more = text[order], start[order], more[order]
+    once = np.append(True, (text[1:] != text[:-1]) | (start[1:] != start[:-1])) if len(text) else np.zeros(0, bool)
+    text, start, more = text[once], start[once], more[once]
+    up, down = _powers_upto(len(data) + 1)
+    digests = []
+    for values in BYTE_VALUES:
+        total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(values[data] * up[: len(data)], out=total[1:])
+        place = begin[text] + start
+        digests.append(mix((total[place + LENGTH] - total[place]) * down[place]).astype(np.int64))
+    doc = ids[text]
+    order = np.lexsort((start, doc, digests[1], digests[0]))
+    rows = [x[order] for x in (*digests, doc, start, more)]
+    lead = np.zeros(len(doc), np.int64)
+    for a, b in _runs(rows[0], rows[1]):
+        lead[a:b] = rows[2][a]
+    mine = rows[2] == lead
+    return [x[mine] for x in rows], [x[~mine] for x in rows]
+
+
+def contexts(docs: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
     """Rows of packed contexts by bucket, from documents with their repeated anchors' hashes.
 
+    Strings around hot anchors are rows of their own: in bucket -2 those that ask
+    for an earlier document, by their digests, in -3 those that have one.
+
     Within a batch only the least doc_id sends a context; the others say at once
     that all of its strings go (bucket -1). Of a periodic run one context goes,
     with how much `more` it stands for.
@@ -210,6 +258,7 @@ def contexts(docs: DataFrame, buckets: int) -> DataFrame:
     import pyarrow as pa
 
     names = ["bucket", "key", "context", "front", "back", "doc_id", "at", "more"]
+    shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches):
         for batch in sliced_batches(batches, "text", SLICE):
@@ -229,6 +278,15 @@ def contexts(docs: DataFrame, buckets: int) -> DataFrame:
             begin = np.cumsum(size + 2 * SIDE) - (size + 2 * SIDE)  # of the padding in front of each text
             sent, more = periodic(data, begin[text] + SIDE + at, text, key)
             text, at, key, bucket = text[sent], at[sent], key[sent], bucket[sent]
+            warm = np.isin(key, shared.value) if len(shared.value) else np.zeros(len(key), bool)
+            if warm.any():
+                for own, (one, two, doc, start, far) in zip((-2, -3), hot_strings(data, begin + SIDE, size, ids, text[warm], at[warm], more[warm]), strict=True):
+                    n, zero = len(doc), pa.array(np.zeros(len(doc), np.int32))
+                    out = [pa.array(np.full(n, own)), pa.array(one), pa.array([x.tobytes() for x in two.astype("<i8")], pa.binary()), zero, zero, pa.array(doc), pa.array(start.astype(np.int32)), pa.array(far.astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays(out, names)
+                text, at, key, bucket, more = text[~warm], at[~warm], key[~warm], bucket[~warm], more[~warm]
+            if not len(text):
+                continue
             ctx = data[(begin[text] + at)[:, None] + np.arange(WIDTH)]
             front, back = np.maximum(0, SIDE - at), np.maximum(0, at + GRAM + SIDE - size[text])
             doc = ids[text]
@@ -335,22 +393,40 @@ def removals(packed: DataFrame) -> DataFrame:
     def run(batches):
         for rows in _cut(batches, ["bucket"]):
             front, back, doc, at, more = (rows.column(c).to_numpy().astype(np.int64) for c in ("front", "back", "doc_id", "at", "more"))
+            bucket = rows.column("bucket").to_numpy()
+            told = np.flatnonzero(bucket == -3)
+            if len(ask := np.flatnonzero(bucket == -2)):
+                one, two = rows.column("key").to_numpy()[ask], np.frombuffer(b"".join(rows.column("context").take(ask).to_pylist()), "<i8")
+                order = np.lexsort((doc[ask], two, one))
+                one, two, ask = one[order], two[order], ask[order]
+                told = np.concatenate([told, *[ask[a:b][doc[ask[a:b]] > doc[ask[a]]] for a, b in _runs(one, two) if b - a > 1]])
+            if len(told):
+                yield spans_of(doc[told], at[told], at[told] + LENGTH + more[told])
+            if bucket[-1] < -1:
+                continue
+            other = np.flatnonzero(bucket >= -1)
+            if len(other) < len(bucket):
+                rows = rows.take(other)
+                front, back, doc, at, more, bucket = (x[other] for x in (front, back, doc, at, more, bucket))
             hit = (np.arange(WINDOWS) >= front[:, None]) & (np.arange(WINDOWS) + LENGTH <= WIDTH - back[:, None])
-            sent = np.flatnonzero(rows.column("bucket").to_numpy() >= 0)
+            sent = np.flatnonzero(bucket >= 0)
             if len(sent):
                 ctx = np.frombuffer(b"".join(x for x in rows.column("context").to_pylist() if x is not None), np.uint8).reshape(-1, WIDTH)
                 hit[sent] = shared_strings(ctx, front[sent], back[sent], rows.column("key").to_numpy()[sent], doc[sent])
             r, w = np.nonzero(hit)
-            start, own, end = at[r] - SIDE + w, doc[r], at[r] - SIDE + w + LENGTH + more[r]
-            order = np.lexsort((start, own))
-            start, own, end = start[order], own[order], end[order]
-            # runs of neighbouring starts; a stretched one ends its run
-            new = np.append(True, (own[1:] != own[:-1]) | (start[1:] > start[:-1] + 1) | (end[:-1] > start[:-1] + LENGTH) | (end[1:] > start[1:] + LENGTH)) if len(own) else np.zeros(0, bool)
-            a = np.flatnonzero(new)
-            b = np.append(a[1:], len(own)) - 1 if len(a) else a
-            yield pa.RecordBatch.from_arrays([pa.array(own[a]), pa.array(start[a].astype(np.int32)), pa.array(end[b].astype(np.int32))], ["doc_id", "start", "end"])
-
-    dealt = packed.repartition("bucket", F.when(F.col("bucket") < 0, F.pmod(F.xxhash64("doc_id"), F.lit(4096))).otherwise(F.lit(0)))
+            yield spans_of(doc[r], at[r] - SIDE + w, at[r] - SIDE + w + LENGTH + more[r])
+
+    def spans_of(own, start, end):
+        """Runs of neighbouring starts of a document as spans; a stretched one ends its run."""
+        order = np.lexsort((start, own))
+        start, own, end = start[order], own[order], end[order]
+        new = np.append(True, (own[1:] != own[:-1]) | (start[1:] > start[:-1] + 1) | (end[:-1] > start[:-1] + LENGTH) | (end[1:] > start[1:] + LENGTH)) if len(own) else np.zeros(0, bool)
+        a = np.flatnonzero(new)
+        b = np.append(a[1:], len(own)) - 1 if len(a) else a
+        return pa.RecordBatch.from_arrays([pa.array(own[a]), pa.array(start[a].astype(np.int32)), pa.array(end[b].astype(np.int32))], ["doc_id", "start", "end"])
+
+    by = F.when(F.col("bucket") == -2, F.xxhash64("key", "context")).when(F.col("bucket") < 0, F.pmod(F.xxhash64("doc_id"), F.lit(4096))).otherwise(F.lit(0))
+    dealt = packed.repartition("bucket", by)
     return dealt.sortWithinPartitions("bucket").mapInArrow(run, "doc_id long, start int, end int")
 
 
@@ -370,10 +446,12 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     size = texts.agg(F.sum("n")).first()[0] or 0
     buckets = max(64, size // (BUCKET_ANCHORS * WINDOWS // 2))
     usable = base.filter(f"doc_id IS NOT NULL AND octet_length(text) >= {LENGTH}")
-    hashes = repeated_anchors(usable, buckets)
+    found = repeated_anchors(usable, buckets, max(HOT_TEXTS, size // (WINDOWS // 2 * HOT_ANCHORS)))
+    hot = np.array(sorted({k for r in found.filter("doc_id IS NULL").collect() for k in np.frombuffer(r["hashes"], "<u8").tolist()}), np.uint64)
+    hashes = found.filter("doc_id IS NOT NULL")
     # of each text its least document; where an id repeats, each of its texts by its name
     leads = texts.select(F.col("least").alias("doc_id"), F.unhex("name").alias("name")).join(hashes.groupBy("doc_id", "name").agg(F.max("hashes").alias("hashes")), ["doc_id", "name"])
-    spans = materialize(removals(contexts(usable.withColumn("name", F.unhex(F.md5("text"))).join(leads, ["doc_id", "name"]), buckets)), sweep=True)
+    spans = materialize(removals(contexts(usable.withColumn("name", F.unhex(F.md5("text"))).join(leads, ["doc_id", "name"]), buckets, hot)), sweep=True)
     # an earlier document's whole text goes by its name, so that texts are shuffled once, with the spans
     copies = named.join(texts.select("name", "least"), "name").filter("least < doc_id").select("doc_id", F.lit(0).alias("start"), F.lit(0).alias("end"), "name").distinct()
     all_spans = spans.withColumn("name", F.lit(None).cast("string")).unionByName(copies)

@@ -161,8 +161,18 @@ def test_suffix_dedup(spark, small, spliced):
         assert got == want
 
 
-def test_runs_of_one_byte(spark):
+def test_hot_anchors(spark, small, spliced, monkeypatch):
+    """Strings of hot anchors are dealt by their digests: the same bytes go, with few and with all anchors hot."""
+    for docs, hot in ((spliced, 3), (spliced, 0), (table(spark, small, "documents"), 2)):
+        monkeypatch.setattr(suffix_dedup, "HOT_TEXTS", hot)
+        docs = docs.repartition(5)
+        assert removed(suffix_dedup.deduplicate(docs)) == plain_removal([(r["doc_id"], r["text"]) for r in docs.collect()])
+
+
+@pytest.mark.parametrize("hot", [suffix_dedup.HOT_TEXTS, 1])
+def test_runs_of_one_byte(spark, monkeypatch, hot):
     """Periodic texts: the bytes that go, and one context for each run."""
+    monkeypatch.setattr(suffix_dedup, "HOT_TEXTS", hot)
     rng = random.Random(5)
     noise = lambda n: "".join(rng.choice("abcdef") for _ in range(n))
     rows = []
