@@ -54,29 +54,35 @@ def _slots(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
     return both
 
 
+def index_entries(seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and signs of the ENTRIES numbers of each slot's index vector."""
+    rows = np.arange(SLOTS, dtype=np.uint64)
+    h = [mix(rows * np.uint64(2 * seed + 1) + np.uint64(k + 1)) for k in range(ENTRIES)]
+    return np.stack([(x % np.uint64(DIM)).astype(np.int64) for x in h], 1), np.stack([np.where(x >> np.uint64(40) & np.uint64(1), 1.0, -1.0) for x in h], 1)
+
+
 def index_vectors(seed: int) -> np.ndarray:
     """A sparse vector of a few plus and minus ones for each slot."""
     r = np.zeros((SLOTS, DIM), np.float32)
-    rows = np.arange(SLOTS)
-    for k in range(ENTRIES):
-        h = mix(rows.astype(np.uint64) * np.uint64(2 * seed + 1) + np.uint64(k + 1))
-        r[rows, (h % np.uint64(DIM)).astype(np.int64)] += np.where(h >> np.uint64(40) & np.uint64(1), 1, -1)
+    for place, sign in zip(*(x.T for x in index_entries(seed)), strict=True):
+        r[np.arange(SLOTS), place] += sign
     return r
 
 
-def context_sums(slots: np.ndarray, offsets: np.ndarray, r: np.ndarray, total: np.ndarray) -> None:
-    """Adds to each slot's row of total the index vectors r of its neighbours within each text; whole numbers, so order does not matter."""
+def context_sums(slots: np.ndarray, offsets: np.ndarray, entries: tuple[np.ndarray, np.ndarray], total: np.ndarray) -> None:
+    """Adds to each slot's row of total the index vectors of its neighbours within each text; whole numbers, so order does not matter.
+
+    Only the few numbers of an index vector are added, all of a slice in one count.
+    """
+    places, signs = entries
     text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     for d in range(1, REACH + 1):
         near = text[d:] == text[:-d]
-        left, right = slots[:-d][near], slots[d:][near]
+        left, right = slots[:-d][near].astype(np.int64), slots[d:][near].astype(np.int64)
         for a, b in ((left, right), (right, left)):
-            for i in range(0, len(a), 200_000):
-                x, y = a[i : i + 200_000], b[i : i + 200_000]
-                order = np.argsort(x, kind="stable")
-                x, y = x[order], y[order]
-                first = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
-                total[x[first]] += np.add.reduceat(r[y], first, axis=0)
+            if len(a):
+                at = (a * DIM)[:, None] + places[b]
+                total += np.bincount(at.ravel(), signs[b].ravel(), SLOTS * DIM).reshape(SLOTS, DIM)
 
 
 def unit_vectors(total: np.ndarray, seed: int) -> np.ndarray:
@@ -96,16 +102,16 @@ def word_vectors(docs: DataFrame, seed: int) -> list[np.ndarray]:
     names = ["kind", "slot", *[f"v{k}" for k in range(DIM)]]
 
     def run(batches):
-        r = [index_vectors(seed + k).astype(np.int32) for k in range(2)]
-        total = [np.zeros((SLOTS, DIM), np.int64) for _ in range(2)]
+        entries = [index_entries(seed + k) for k in range(2)]
+        total = [np.zeros((SLOTS, DIM)) for _ in range(2)]
         for batch in sliced_batches(batches, "text", SLICE):
             for k, (s, o) in enumerate(_slots(text_bytes(batch.column("text")))):
-                context_sums(s, o, r[k], total[k])
+                context_sums(s, o, entries[k], total[k])
         for k in range(2):
             seen = np.flatnonzero(total[k].any(1))
             for i in range(0, len(seen), 4096):
                 at = seen[i : i + 4096]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, np.int32)), pa.array(at.astype(np.int32)), *[pa.array(np.ascontiguousarray(c)) for c in total[k][at].T]], names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, np.int32)), pa.array(at.astype(np.int32)), *[pa.array(np.ascontiguousarray(c, np.int64)) for c in total[k][at].T.astype(np.int64)]], names)
 
     parts = docs.select("text").mapInArrow(run, "kind int, slot int, " + ", ".join(f"{c} long" for c in names[2:]))
     sums = parts.groupBy("kind", "slot").agg(*[F.sum(c).alias(c) for c in names[2:]]).toArrow()
