@@ -24,8 +24,6 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLOCKS = 65_536
 #: Lines in a word of a bitmap.
 BITS = 64
-#: Up to so many rows a table is broadcast; beyond, Spark joins by shuffle. A row of either table is below 40 bytes.
-BROADCAST_ROWS = 200_000
 
 
 def lines_of(text: Column) -> Column:
@@ -71,8 +69,7 @@ def dropped_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_
     per_block = first_lines(found).groupBy("h1", "h2", "block").agg(F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("nth") == 1, F.struct("doc_id", "t", "pos"))).alias("first"))
     per_key = per_block.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.collect_list("block").alias("blocks"))
     frequent = materialize(per_key.filter(F.col("n") >= min_docs).select("h1", "h2", "first", F.explode("blocks").alias("block")))
-    small = frequent.count() <= BROADCAST_ROWS
-    hits = found.join(F.broadcast(frequent) if small else frequent, ["h1", "h2", "block"])
+    hits = found.join(frequent, ["h1", "h2", "block"])
     if keep_first:
         is_first = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.t") == F.col("t")) & (F.col("first.pos") == F.col("pos"))
         hits = hits.filter(~is_first)
@@ -114,9 +111,7 @@ def line_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_f
     own = {"n_lines", "n_dropped", "bitmap", "_doc", "_t"}
     base = docs.drop(*own)
     maps = materialize(bitmaps(dropped_lines(base.select("doc_id", "text"), min_docs, min_chars, keep_first)).withColumnsRenamed({"doc_id": "_doc", "t": "_t"}))
-    size = maps.agg(F.coalesce(F.sum(F.size("bitmap")), F.lit(0)) + F.count(F.lit(1))).head()[0]
-    side = F.broadcast(maps) if size <= BROADCAST_ROWS else maps
-    joined = base.join(side, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_t")), "left")
+    joined = base.join(maps, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_t")), "left")
     return joined.select(*base.columns, F.size(lines_of(F.col("text"))).cast("long").alias("n_lines"), F.coalesce("n_dropped", F.lit(0)).cast("long").alias("n_dropped"), "bitmap")
 
 
