@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 
 from pyspark.sql import DataFrame
 
@@ -44,7 +45,10 @@ MODIFIERS = frozenset("has is with no not without can js".split())
 #: Names that count only outside of an article.
 OUTER_NAMES = frozenset("header masthead topbar related share".split())
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<[/!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>""", re.S)
+NAME = re.compile(r"<(/?)([A-Za-z][^\s/>]*)")
+#: The rest of a tag: a > in quotes is none.
+REST = re.compile(r"""(?:[^>"']|"[^"]*"|'[^']*')*+>""")
+SIGNS = re.compile(r"""["'>]""")
 ATTR = re.compile(r"""([^\s"'=<>/]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 
 #: A paragraph counts from this length on; siblings are kept from this share of the best one's points on, and single paragraphs from a length on.
@@ -92,6 +96,69 @@ def hidden(attrs: str) -> bool:
     return "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "")
 
 
+class _TagEnds:
+    """The place of the > that ends a tag, from any place on: one pass from the back over quotes and >, so broken tags cost no more than others."""
+
+    def __init__(self, source: str, begin: int):
+        self.at = [m.start() for m in SIGNS.finditer(source, begin)]
+        n = len(self.at)
+        self.end = [-1] * (n + 1)  # outside of quotes, before sign i
+        single = double = -1  # inside of quotes, before the sign
+        for i in range(n - 1, -1, -1):
+            sign, after = source[self.at[i]], self.end[i + 1]
+            self.end[i] = self.at[i] if sign == ">" else double if sign == '"' else single
+            if sign == '"':
+                double = after
+            elif sign == "'":
+                single = after
+
+    def find(self, begin: int) -> int:
+        return self.end[bisect_left(self.at, begin)]
+
+
+def tags(source: str):
+    """(start, end, closing, name, attributes) of tags and comments in order; name is empty for what is no element.
+
+    A tag ends at the first > outside of quotes, or at the first > if its quotes
+    have no end. Where no > follows, the rest is text. Each character is looked
+    at a bounded number of times.
+    """
+    at, ends = 0, None
+    while (start := source.find("<", at)) >= 0:
+        if source.startswith("<!--", start):
+            end = source.find("-->", start + 4)
+            at = len(source) if end < 0 else end + 3
+            at = (yield start, at, False, "", "") or at
+            continue
+        m = NAME.match(source, start)
+        if m:
+            if ends is None:
+                rest = REST.match(source, m.end())
+                end = rest.end() - 1 if rest else -1
+                if rest is None:
+                    ends = _TagEnds(source, start)
+            if ends is not None:
+                end = ends.find(m.end())
+            broken = end < 0
+            end = source.find(">", m.end()) if broken else end
+            if end < 0:
+                break
+            at = end + 1
+            name = "" if broken and m[1] else m[2].lower()
+            at = (yield start, at, bool(m[1]), name, source[m.end() : end]) or at
+        elif source[start + 1 : start + 2] in ("/", "!", "?"):
+            end = source.find(">", start + 2)
+            if end < 0:
+                break
+            at = end + 1
+            at = (yield start, at, False, "", "") or at
+        else:
+            at = start + 1
+    # no > is left: only a comment that never ends may follow
+    if start >= 0 and (start := source.find("<!--", start)) >= 0:
+        yield start, len(source), False, "", ""
+
+
 class _Page:
     """The tree of a page: parents, tags and marks of elements, and blocks of text with their elements.
 
@@ -107,26 +174,26 @@ class _Page:
         self.block_at: list[int] = []
         self.parts: list[str] = []
         self.linked = self.links = 0
-        at, n = 0, len(source)
-        while at < n:
-            m = TAG.search(source, at)
-            if not m:
-                self.add(source[at:])
+        at, n, found, skip = 0, len(source), tags(source), None
+        while True:
+            try:
+                start, end, closing, name, attrs = found.send(skip)
+            except StopIteration:
                 break
-            if m.start() > at:
-                self.add(source[at : m.start()])
-            at = m.end()
-            name = m[2] or m[5]
+            if start > at:
+                self.add(source[at:start])
+            at, skip = end, None
             if not name:
                 continue
-            name, attrs = name.lower(), m[3] or m[6] or ""
-            if m[1] or m[4]:
+            if closing:
                 self.close(name)
             elif name in RAW and not attrs.endswith("/"):
-                end = re.compile(rf"</{name}[\s/>]", re.I).search(source, at)
-                at = n if end is None else source.find(">", end.start()) + 1 or n
+                close = re.compile(rf"</{name}[\s/>]", re.I).search(source, at)
+                at = skip = n if close is None else source.find(">", close.start()) + 1 or n
             else:
                 self.open(name, attrs)
+        if at < n:
+            self.add(source[at:])
         self.flush()
 
     def add(self, text: str) -> None:

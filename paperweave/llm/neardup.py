@@ -36,8 +36,8 @@ ESTIMATE = 0.673
 BLOCK, PARTNERS = 512, (1, 0)
 #: Contracted edges up to this number are finished in one task; beyond, labels are passed between all tasks.
 EDGES_AT_ONCE = 1_000_000
-#: Ids broadcast at most (8 bytes each).
-BROADCAST_IDS = 2_000_000
+#: Classes broadcast at most (24 bytes each).
+BROADCAST_IDS = 500_000
 SLICE, PAIRS_AT_ONCE = 1_000_000, 16_000
 
 
@@ -125,7 +125,10 @@ def _signatures(column) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, key: str | None = None) -> DataFrame:
-    """(doc_id, n_shingles, digest, signature) of every document, and its binary column `key` if given; the digest names the set, equal sets equally."""
+    """(doc_id, t, n_shingles, digest, signature) of every document, and its binary column `key` if given.
+
+    The digest names the set, equal sets equally; t is a hash of the text.
+    """
     import pyarrow as pa
 
     extra = [key] if key else []
@@ -136,11 +139,11 @@ def sketches(docs: DataFrame, key: str | None = None) -> DataFrame:
             digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
             signature = [row.tobytes() for row in registers(sets)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(digest, pa.binary()), pa.array(signature, pa.binary()), *[batch.column(k) for k in extra]], ["doc_id", "n_shingles", "digest", "signature", *extra]
+                [batch.column("doc_id").cast(pa.int64()), batch.column("t"), pa.array(map(len, sets), pa.int64()), pa.array(digest, pa.binary()), pa.array(signature, pa.binary()), *[batch.column(k) for k in extra]], ["doc_id", "t", "n_shingles", "digest", "signature", *extra]
             )
         release_memory()
 
-    return docs.select(F.col("doc_id").cast("long"), "text", *extra).mapInArrow(run, "doc_id long, n_shingles long, digest binary, signature binary" + "".join(f", {k} binary" for k in extra))
+    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("t"), *extra).mapInArrow(run, "doc_id long, t long, n_shingles long, digest binary, signature binary" + "".join(f", {k} binary" for k in extra))
 
 
 def band_rows(classes: DataFrame) -> DataFrame:
@@ -311,21 +314,25 @@ def near_duplicates(docs: DataFrame, key: str | None = None) -> DataFrame:
 
     Null and empty texts have no shingles and are linked with nothing. Rows
     without doc_id are linked with nothing either; their component_id is null,
-    and they are kept. Of rows that repeat a doc_id with different texts, each
-    is a member of its text's class; links that need verification use the
-    greatest text of the id. An empty table gives an empty result.
+    and they are kept. Of rows that repeat a doc_id with different texts, each is
+    a member of its own text's class, whose links are those of that text; the
+    least doc_id among a component's rows names it. An empty table gives an
+    empty result.
     """
     extra = [key] if key else []
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *extra)
     all_ = materialize(sketches(docs, key))
     with_set = all_.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = materialize(with_set.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature")))
+    # a class is named by a number of its own, as an id may have several texts; `least` tells the text that stands for it
+    grouped = with_set.groupBy("digest").agg(F.min(F.struct("doc_id", "t")).alias("least"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"))
+    classes = materialize(grouped.withColumn("id", F.monotonically_increasing_id()))
     bands = band_rows(classes)
     # written first: so the join shares no shuffle with the counting, and Spark may split a hot key's members over tasks
     buckets = materialize(bands.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("size")).filter("size > 1"))
     members = materialize(bands.join(buckets, "key"))
-    ids = with_broadcast_if_small(materialize(members.select("id").distinct()), BROADCAST_IDS)
-    texts = materialize(docs.withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi").groupBy("id").agg(F.max("text").alias("text")))
+    named = classes.join(members.select("id").distinct(), "id", "left_semi").select("id", F.col("least.doc_id").alias("doc_id"), F.col("least.t").alias("t"))
+    told = docs.withColumn("t", F.xxhash64("text")).join(with_broadcast_if_small(materialize(named), BROADCAST_IDS), ["doc_id", "t"])
+    texts = materialize(told.groupBy("id").agg(F.max("text").alias("text")))
     hubs = members.filter("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     tested = materialize(verified(likely(hubs, classes), texts))
     edges = tested.filter("linked")
@@ -340,9 +347,11 @@ def near_duplicates(docs: DataFrame, key: str | None = None) -> DataFrame:
         more = materialize(verified(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), texts))
         tested = tested.unionByName(more)
         edges = tested.filter("linked")
-    found = components(edges).withColumnRenamed("id", "rep")
-    reps = classes.select("digest", F.col("id").alias("rep")).join(found, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
-    with_own = all_.join(reps, "digest", "left").withColumn("component_id", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id")))
+    found = components(edges)
+    owned = classes.select("digest", "id", F.col("least.doc_id").alias("doc_id")).join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    least = owned.groupBy("component").agg(F.min("doc_id").alias("least"))
+    reps = owned.join(least, "component").select("digest", "least")
+    with_own = all_.join(reps, "digest", "left").withColumn("component_id", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("least")).otherwise(F.col("doc_id")))
     return with_own.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), *extra)
 
 

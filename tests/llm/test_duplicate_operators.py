@@ -65,6 +65,23 @@ def test_near_duplicates(spark, small, edited):
         assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
+def test_ids_with_several_texts(spark):
+    """Every row is linked by its own text, whichever text of its id is the greater one."""
+    rng = random.Random(8)
+    texts = []
+    for _ in range(30):
+        w = [f"w{rng.randrange(5000)}" for _ in range(58)]
+        texts += [" ".join(w), " ".join([*w[:-2], "other", "end"])]
+    rows = [(rng.randrange(1, 25), t) for t in texts] + [(1, "a " + texts[0]), (1, "zz " + texts[3]), (2, texts[1]), (None, texts[0])]
+    numbered = plain_classes([(k, t) for k, (i, t) in enumerate(rows) if i is not None])
+    least = {}
+    for k, (_, c) in numbered.items():
+        least[c] = min(least.get(c, rows[k][0]), rows[k][0])
+    want = sorted([(rows[k][0], n, least[c]) for k, (n, c) in numbered.items()] + [(None, 54, None)], key=str)
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == want
+
+
 def test_near_duplicates_odd(odd, none):
     rows = neardup.near_duplicates(odd).collect()
     assert len(rows) == odd.count()

@@ -150,6 +150,40 @@ def test_time_grows_with_length(source):
     assert time.perf_counter() - began < 3
 
 
+BROKEN = ["<a ", '<p x="', '<a ">" ', "<a '\">' ", "<p x=\"'>", "<", "</", "<!", "<!--", "<a", '<a "">']
+
+
+@pytest.mark.parametrize("part", BROKEN)
+def test_broken_tags_take_no_longer(part):
+    """A megabyte of tags without ends, or of quotes without ends."""
+    for source in (part * (1_000_000 // len(part)), part * (1_000_000 // len(part)) + "'", f"<div><p>{LONG}</p>" + part * (500_000 // len(part)) + '"'):
+        began = time.perf_counter()
+        x.main_text(source)
+        assert time.perf_counter() - began < 6
+
+
+def test_tags_of_any_text():
+    """Random pieces of markup against one regular expression a tag, which takes longer; a name ends at white space, / or >."""
+    import random
+    import re
+
+    one = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<[/!?][^>]*>|<(/?)([A-Za-z][^\s/>]*+)([^>]*)>""", re.S)
+    rng = random.Random(5)
+    bits = ["<", ">", '"', "'", "<p", "</p>", "<a ", 'x="', "<!--", "-->", "</", "<!", "<?", "text ", "/", "=", "<br/>", '<i class="a">', " "]
+    for _ in range(4000):
+        source = "".join(rng.choice(bits) for _ in range(rng.randrange(1, 50)))
+        want = [(m.start(), m.end(), bool(m[1] or m[4]), (m[2] or m[5] or "").lower(), m[3] or m[6] or "") for m in one.finditer(source)]
+        got = list(x.tags(source))
+        assert [(a, b, c if n else False, n, s if n else "") for a, b, c, n, s in got] == [(a, b, c if n else False, n, s) for a, b, c, n, s in want]
+
+
+def test_time_of_open_tags_only():
+    source = "<div>" * 30_000 + LONG
+    began = time.perf_counter()
+    assert LONG.strip() in x.main_text(source)
+    assert time.perf_counter() - began < 3
+
+
 def test_rows(spark, small):
     rows = [(1, "u", None, 5, "n"), (2, None, "", 6, "n"), (3, "v", f"<p>{LONG}</p>", 7, "n"), (3, "v", f"<p>{LONG}</p>", 7, "n"), (None, None, f"<div>{BODY * 2000}</div>", 8, "n")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text int, name string")
