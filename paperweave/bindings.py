@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import change_queries, collection, graph_build, library_queries, network_queries, record_queries, report_queries
+from .plans import change_queries, collection, graph_build, layout_queries, library_queries, network_queries, record_queries, report_queries, statement_queries
 
-_ALL = library_queries.QUERIES | network_queries.QUERIES | change_queries.QUERIES | record_queries.QUERIES | collection.QUERIES | graph_build.QUERIES | report_queries.QUERIES
+_ALL = library_queries.QUERIES | network_queries.QUERIES | change_queries.QUERIES | record_queries.QUERIES | collection.QUERIES | graph_build.QUERIES | report_queries.QUERIES | statement_queries.QUERIES | layout_queries.QUERIES
 
 
 def queries() -> dict:

@@ -11,16 +11,17 @@ from pyspark.sql import functions as F
 STOPWORDS = "a an and are as at be by for from in into is it its of on or that the their this to was were with".split()
 #: Short forms of search terms (fixed values).
 TERM_ALIASES = {"li": "lithium", "na": "sodium", "s": "sulfur"}
-#: Cue words of relations and statements (fixed values).
-LIMITATION_CUES = r"(?i)\b(?:limitation|limited|drawback|shortcoming|fail(?:s|ed)?|however)\b|局限|不足"
-FUTURE_CUES = r"(?i)\b(?:future work|in the future|further (?:study|work|research)|remains to be)\b|未来|展望"
-RESULT_CUES = r"\d+(?:\.\d+)?\s*(?:%|percent|times|fold)|(?i)\b(?:increase|decrease|improve|achiev|outperform)\w*"
+
+
+def bind(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f looks at it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
 def clean_text(value: Column) -> Column:
-    """Soft hyphens and hyphens at line ends go, white space becomes one space."""
-    text = F.regexp_replace(F.coalesce(value, F.lit("")), "­", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(text, r"(\w)-\s*\n\s*(\w)", "$1$2"), r"\s+", " "))
+    """Soft hyphens go, words parted by a hyphen and white space join, white space becomes one space."""
+    text = F.replace(F.coalesce(value, F.lit("")), F.lit("\u00ad"))
+    return F.trim(F.regexp_replace(F.regexp_replace(text, r"(?U)(?<=\w)-\s+(?=\w)", ""), r"(?U)\s+", " "))
 
 
 def clean_markup(value: Column) -> Column:
@@ -60,10 +61,15 @@ def keyword_match(keyword: Column, text: Column, ratio: float = 0.75) -> Column:
     return F.contains(F.lower(text), F.lower(F.trim(keyword))) | ((F.size(terms) > 0) & (hits >= need))
 
 
+#: Stands for the full stop of `et al.` while a text is cut.
+STOP = "\ue000"
+
+
 def sentences(value: Column) -> Column:
-    """Sentences of 25 to 600 characters; `et al.` ends none."""
-    text = F.regexp_replace(clean_text(value), r"(?i)\bet al\.", "et al")
-    return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+|(?<=[。！？])"), lambda x: F.trim(x)), lambda s: F.length(s).between(25, 600))
+    """Sentences of 25 to 600 characters, of 12 to 600 with CJK characters; every . ! ? ends one, but not that of `et al.`."""
+    text = F.regexp_replace(clean_text(value), r"(?iU)\b(et\s+al)\.", "$1" + STOP)
+    parts = F.transform(F.split(text, r"(?U)(?<=[.!?。！？])\s*"), lambda x: F.trim(F.replace(x, F.lit(STOP), F.lit("."))))
+    return F.filter(parts, lambda s: F.length(s).between(F.when(s.rlike(r"[\u3400-\u9fff]"), 12).otherwise(25), 600))
 
 
 def summary(abstract: Column, most: int = 360) -> Column:
@@ -78,25 +84,57 @@ def slug(value: Column) -> Column:
 
 
 def semantic_key(value: Column) -> Column:
-    """Lower case, five nouns made singular, separators dropped."""
-    low = F.regexp_replace(F.lower(F.trim(value)), r"\b(model|method|dataset|metric|result)s\b", "$1")
-    return F.regexp_replace(low, r"(?U)[\s_\-‐-―/.,;:()]+", "")
+    """Folded and in lower case, five nouns made singular, separators and other signs dropped."""
+    low = F.regexp_replace(F.lower(fold(value)), r"(?U)\b(model|method|framework|dataset|result)s\b", "$1")
+    return F.regexp_replace(F.regexp_replace(low, r"(?U)[\s_-]+", ""), r"(?U)[^\w\u3400-\u9fff]+", "")
+
+
+#: Names of one method (fixed values).
+METHOD_NAMES = {"llm": "LLM", "largelanguagemodel": "LLM", "largelanguagemodels": "LLM", "languagemodel": "LLM", "languagemodels": "LLM"}
+#: Names of metrics (fixed values).
+METRIC_NAMES = {
+    "accuracy": "Accuracy", "auc": "AUC", "bleu": "BLEU", "f1": "F1", "f1score": "F1", "latency": "Latency", "mae": "MAE", "precision": "Precision",
+    "recall": "Recall", "rmse": "RMSE", "rouge": "ROUGE", "throughput": "Throughput", "准确率": "Accuracy", "精确率": "Precision", "召回率": "Recall",
+}
+#: Labels that say nothing (fixed values).
+GENERIC = ("approach", "architecture", "dataset", "experiment", "framework", "method", "model", "result", "results", "system", "task", "technique", "方法", "模型", "框架", "数据集", "结果", "实验", "系统")
+
 
+def _named(names: dict[str, str], key: Column) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), key)
 
-def canonical_label(value: Column) -> Column:
-    """`Long Form (ABC)` becomes ABC."""
-    return F.coalesce(F.nullif(F.regexp_extract(value, r"\(([A-Z][A-Z0-9-]{1,9})\)\s*$", 1), F.lit("")), F.trim(value))
+
+def canonical_label(value: Column, kind: Column | None = None) -> Column:
+    """`Long Form (ABC)` becomes ABC; of a method or model, names of language models LLM; of a metric, each part between slashes its usual name."""
+    found = r"(?U)\b([A-Za-z][A-Za-z][A-Za-z\s-]{4,80}?)\s*\(([A-Z][A-Z0-9-]{1,12})\)"
+    plain = lambda folded: F.coalesce(F.nullif(F.regexp_extract(folded, found, 2), F.lit("")), folded)
+    if kind is None:
+        return bind(fold(value), plain)
+    key = lambda v: _named(METHOD_NAMES, semantic_key(v))
+    model = lambda f: F.coalesce(F.nullif(F.regexp_extract(f, found, 2), F.lit("")), key(f), f)
+    metric = lambda v: F.array_join(F.array_distinct(F.transform(F.split(v, r"\s*/\s*"), lambda x: F.coalesce(_named(METRIC_NAMES, semantic_key(x)), F.trim(x)))), " / ")
+    method = lambda f: F.coalesce(key(f), plain(f))
+    return bind(value, lambda v: F.when(kind == "method", bind(fold(v), method)).when(kind == "model", bind(fold(v), model)).when(kind == "metric", metric(v)).otherwise(bind(fold(v), plain)))
+
+
+def generic_label(value: Column) -> Column:
+    return semantic_key(value).isin(*dict.fromkeys(w.removesuffix("s") if w == "results" else w for w in GENERIC))
 
 
 def invalid_label(value: Column) -> Column:
     """Why a label is not one, or null."""
-    text = F.trim(F.coalesce(value, F.lit("")))
-    return (
-        F.when(text == "", F.lit("empty"))
-        .when(F.length(text) < 2, F.lit("too_short"))
-        .when(~text.rlike(r"(?U)\p{L}"), F.lit("non_semantic"))
-        .when(F.lower(text).isin("method", "model", "result", "results", "data", "paper", "study", "approach", "system"), F.lit("generic"))
-    )
+    generic = list(dict.fromkeys(w.removesuffix("s") if w == "results" else w for w in GENERIC))
+
+    def why(x):
+        folded, key = x["folded"], x["key"]
+        return (
+            F.when(key == "", F.lit("empty_label"))
+            .when((F.length(key) < 3) & ~folded.rlike(r"[\u3400-\u9fff]"), F.lit("label_too_short"))
+            .when(folded.rlike(r"(?U)^[\d\W_]+$"), F.lit("non_semantic_label"))
+            .when(key.isin(*generic), F.lit("generic_label"))
+        )
+
+    return bind(fold(value), lambda f: bind(F.struct(f.alias("folded"), semantic_key(f).alias("key")), why))
 
 
 def phrases(words: Column, sizes=(3, 2)) -> Column:
@@ -137,9 +175,9 @@ def split_values(value: Column) -> Column:
     return F.filter(F.transform(F.split(value, r"[;,|，；、\n]+"), lambda x: F.trim(x)), lambda v: v != "")
 
 
-#: Characters that are folded to plain ones (fixed values): dashes, spaces, Greek letters by name.
-DASHES = "‐‑‒–—―−"
-GREEK = {"α": "alpha", "β": "beta", "γ": "gamma", "δ": "delta", "ε": "epsilon", "λ": "lambda", "μ": "mu", "π": "pi", "σ": "sigma", "ω": "omega"}
+#: Characters that are folded to plain ones (fixed values): dashes, Greek letters by name.
+DASHES = "‐‑–—"
+GREEK = {"α": "alpha", "β": "beta", "γ": "gamma", "δ": "delta"}
 
 
 def _compatibility() -> tuple[str, str, dict[str, str]]:
@@ -163,14 +201,16 @@ def fold(value: Column) -> Column:
 
     Letters and their accents are not joined where they stand apart.
     """
-    out = F.translate(F.coalesce(value, F.lit("")), WIDE, PLAIN)
-    special = F.filter(F.split(out, ""), lambda c: F.contains(F.lit("".join(SEVERAL)), c) & (c != ""))
-    spelled = F.create_map(*[F.lit(x) for kv in SEVERAL.items() for x in kv])
-    out = F.when(F.size(special) > 0, F.array_join(F.transform(F.split(out, ""), lambda c: F.coalesce(F.try_element_at(spelled, c), c)), "")).otherwise(out)
-    out = F.translate(out, DASHES, "-" * len(DASHES))
-    for letter, name in GREEK.items():
-        out = F.replace(out, F.lit(letter), F.lit(name))
-    return F.trim(F.regexp_replace(out, r"(?U)\s+", " "))
+    spelled = F.str_to_map(F.lit("\ue001".join(f"{k}\ue002{v}" for k, v in SEVERAL.items())), F.lit("\ue001"), F.lit("\ue002"))
+
+    def plain(said):
+        chars = F.transform(F.split(F.translate(said, WIDE + DASHES, PLAIN + "-" * len(DASHES)), ""), lambda c: F.coalesce(F.try_element_at(spelled, c), c))
+        out = F.array_join(chars, "")
+        for letter, name in GREEK.items():
+            out = F.replace(out, F.lit(letter), F.lit(name))
+        return F.when(F.octet_length(said) == F.char_length(said), said).otherwise(out)
+
+    return F.trim(F.regexp_replace(bind(F.coalesce(value, F.lit("")), plain), r"(?U)\s+", " "))
 
 
 def raw_terms(value: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Layout elements: overlap suppression, greedy matching, fusion, evaluation, captions, tables, charts.
+"""Layout elements: overlap suppression, reading order, tables of markup, charts.
 
 Elements have doc, page, id, kind, box array<double>, and a score. Work is done
 page by page; a page's elements are folded in a stated order inside one
@@ -16,11 +16,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.geo import box_of, iou, overlap_of_narrower, token_overlap
+from ..functions.geo import box_of, iou
 from .lookup import nearest
 
-#: Least overlap of a match by kind, and the overlap from which two elements are one (fixed values).
-MATCH = {"table": 0.55, "figure": 0.55, "formula": 0.45}
+#: The overlap from which two elements are one (a fixed value).
 SAME = 0.82
 
 
@@ -39,68 +38,6 @@ def suppress_overlaps(elements: DataFrame, order: list[str], least: float = SAME
     return elements.join(ids, ["doc", "page", "kind", "id"], "left_semi")
 
 
-def match_greedily(expected: DataFrame, actual: DataFrame, least: float | None = None) -> DataFrame:
-    """(doc, page, kind, id, match, score): expected elements in id order take the best free actual one of their page and kind.
-
-    Without `least` the floor of the kind holds; an expected element without a match has null.
-    """
-    floor = F.lit(least) if least is not None else F.coalesce(F.element_at(F.create_map(*[F.lit(v) for kv in MATCH.items() for v in kv]), F.col("kind")), F.lit(0.5))
-    page = ["doc", "page", "kind"]
-    want = expected.groupBy(*page).agg(F.sort_array(F.collect_list(F.struct("id", "box"))).alias("want"))
-    have = actual.groupBy(*page).agg(F.sort_array(F.collect_list(F.struct("id", "box"))).alias("have"))
-    both = want.join(have, page, "left").withColumn("_floor", floor)
-    id_type = actual.schema["id"].dataType.simpleString()
-    want_type = expected.schema["id"].dataType.simpleString()
-    out_type = f"array<struct<id:{want_type},match:{id_type},score:double>>"
-
-    def step(acc, w):
-        scored = F.transform("have", lambda h: F.struct(F.when(F.exists(acc, lambda a: a["match"].eqNullSafe(h["id"])), -1.0).otherwise(iou(box_of(w["box"]), box_of(h["box"]))).alias("score"), h["id"].alias("match")))
-        best = F.element_at(F.array_sort(scored, lambda x, y: F.when(x["score"] > y["score"], -1).when(x["score"] < y["score"], 1).when(x["match"] < y["match"], -1).when(x["match"] > y["match"], 1).otherwise(0)), 1)
-        good = F.coalesce((F.size("have") > 0) & (best["score"] >= F.col("_floor")), F.lit(False))
-        one = F.struct(w["id"].alias("id"), F.when(good, best["match"]).alias("match"), F.when(good, F.round(best["score"], 4)).alias("score"))
-        return F.concat(acc, F.array(one).cast(out_type))
-
-    both = both.withColumn("have", F.coalesce("have", F.array().cast(have.schema["have"].dataType)))
-    return both.select(*page, F.explode(F.aggregate("want", F.array().cast(out_type), step)).alias("m")).select(*page, "m.*")
-
-
-def fuse(first: DataFrame, second: DataFrame) -> DataFrame:
-    """Elements of two engines: matches become one (the box of the first, the higher score), the others are appended, overlaps dropped.
-
-    Columns doc, page, kind, id (text), box, score; `engines` counts the sources.
-    """
-    matched = match_greedily(first, second).filter("match IS NOT NULL").select("doc", "page", "kind", "id", F.col("match"))
-    other = second.select("doc", "page", "kind", F.col("id").alias("match"), F.col("score").alias("_s"))
-    merged = first.join(matched, ["doc", "page", "kind", "id"], "left").join(other, ["doc", "page", "kind", "match"], "left")
-    ours = merged.select("doc", "page", "kind", F.concat(F.lit("a"), F.col("id").cast("string")).alias("id"), "box", F.greatest("score", "_s").alias("score"), F.when(F.col("_s").isNull(), 1).otherwise(2).alias("engines"))
-    used = matched.select("doc", "page", "kind", F.col("match").alias("id"))
-    rest = second.join(used, ["doc", "page", "kind", "id"], "left_anti").select("doc", "page", "kind", F.concat(F.lit("b"), F.col("id").cast("string")).alias("id"), "box", "score", F.lit(1).alias("engines"))
-    all_ = ours.unionByName(rest).withColumn("_few", -F.col("engines"))
-    return suppress_overlaps(all_, ["_few", "id"]).drop("_few")
-
-
-def evaluate(expected: DataFrame, matched: DataFrame, actual: DataFrame) -> DataFrame:
-    """(kind, expected, actual, matched, recall, precision)."""
-    e = expected.groupBy("kind").agg(F.count("*").alias("expected"))
-    a = actual.groupBy("kind").agg(F.count("*").alias("actual"))
-    m = matched.filter("match IS NOT NULL").groupBy("kind").agg(F.count("*").alias("matched"))
-    all_ = e.join(a, "kind", "full").join(m, "kind", "full").fillna(0)
-    ratio = lambda n, d: F.when(F.col(d) > 0, F.round(F.col(n) / F.col(d), 4))
-    return all_.select("kind", "expected", "actual", "matched", ratio("matched", "expected").alias("recall"), ratio("matched", "actual").alias("precision"))
-
-
-def nearest_caption(elements: DataFrame, blocks: DataFrame, height: Column, least_overlap: float = 0.25, reach: float = 0.12) -> DataFrame:
-    """Each element with the block of its page that overlaps it sideways and is nearest above or below, within a share of the page's height."""
-    e = elements.select("doc", "page", F.col("id").alias("id"), F.col("box").alias("_e"))
-    b = blocks.select("doc", "page", F.col("id").alias("caption"), F.col("box").alias("_b"))
-    x0, y0, x1, y1 = box_of(F.col("_e"))
-    u0, v0, u1, v1 = box_of(F.col("_b"))
-    gap = F.greatest(v0 - y1, y0 - v1, F.lit(0.0))
-    near = e.join(b, ["doc", "page"]).withColumn("overlap", overlap_of_narrower(x0, x1, u0, u1)).withColumn("gap", gap)
-    good = near.filter((F.col("overlap") >= least_overlap) & (F.col("gap") <= reach * height))
-    return good.groupBy("doc", "page", "id").agg(F.min_by("caption", F.struct("gap", -F.col("overlap"), "caption")).alias("caption"), F.round(F.min("gap"), 4).alias("gap"))
-
-
 def reading_order(elements: DataFrame, kinds: list[str]) -> DataFrame:
     """Elements with `place`: page, top, left, then kind."""
     kind = F.array_position(F.array(*map(F.lit, kinds)), F.col("kind"))
@@ -108,35 +45,12 @@ def reading_order(elements: DataFrame, kinds: list[str]) -> DataFrame:
     return elements.withColumn("place", F.row_number().over(w))
 
 
-def filled_share(rows: Column) -> Column:
-    """The share of non-empty cells of an array of arrays of text."""
-    cells = F.flatten(rows)
-    return F.when(F.size(cells) > 0, F.size(F.filter(cells, lambda c: F.trim(F.coalesce(c, F.lit(""))) != "")) / F.size(cells)).otherwise(0.0)
-
-
-def table_shape(rows: Column) -> Column:
-    return F.struct(F.size(rows).alias("rows"), F.coalesce(F.array_max(F.transform(rows, F.size)), F.lit(0)).alias("columns"))
-
-
-def element_score(kind: Column, has_caption: Column, filled: Column, rows: Column, columns: Column, agreed: Column) -> Column:
-    """Additive evidence between 0.05 and 0.99."""
-    table = F.when(kind == "table", F.when((rows >= 2) & (columns >= 2), 0.2).otherwise(-0.15) + 0.2 * filled).otherwise(0.1)
-    total = 0.4 + F.when(has_caption, 0.15).otherwise(0.0) + table + F.when(agreed, 0.15).otherwise(0.0)
-    return F.round(F.greatest(F.lit(0.05), F.least(F.lit(0.99), total)), 4)
-
-
 def size_by_reason(candidates: DataFrame) -> DataFrame:
     """(reason, count, bytes) of files (reason, bytes); a null or empty reason is unknown, a null size 0."""
     reason = F.coalesce(F.nullif(F.col("reason"), F.lit("")), F.lit("unknown"))
     return candidates.groupBy(reason.alias("reason")).agg(F.count("*").alias("count"), F.sum(F.coalesce("bytes", F.lit(0))).cast("long").alias("bytes"))
 
 
-def quality_issues(elements: DataFrame, low: float = 0.55) -> DataFrame:
-    """(doc, id, issue): elements of low score, and those whose engines disagree; elements (doc, id, score, engines, conflict)."""
-    issues = F.array_compact(F.array(F.when(F.coalesce("score", F.lit(0.0)) < low, F.lit("low_confidence")), F.when(F.coalesce("conflict", F.lit(False)), F.lit("conflict"))))
-    return elements.select("doc", "id", F.explode(issues).alias("issue"))
-
-
 def markdown_rows(text: Column) -> Column:
     """The cells of a Markdown table: array of arrays; the line of dashes is no row."""
     lines = F.filter(F.transform(F.split(text, "\n", -1), lambda x: F.trim(x)), lambda x: x.startswith("|") & ~x.rlike(r"^[|\s:-]+$"))
@@ -229,11 +143,6 @@ def chart_rows(charts: DataFrame) -> DataFrame:
     return t.select("record_id", "element_id", "subplot", "series", F.col("_t.name").alias("series_name"), F.posexplode("_t.points").alias("point", "_p")).select("record_id", "element_id", "subplot", "series", "series_name", "point", "_p.x", "_p.y")
 
 
-def label_likeness(a: Column, b: Column) -> Column:
-    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"\\[a-z]+|[a-z0-9]+"), F.lit(0))
-    return token_overlap(words(a), words(b))
-
-
 #: Parts of a table's markup.
 _TABLE = re.compile(r"(?is)<(/?)(tr|td|th|br)\b([^>]*)>|<[^>]*>")
 _SPAN = re.compile(r"(?i)\b(rowspan|colspan)\s*=\s*[\"']?\s*(\d+)")

@@ -11,9 +11,6 @@ from pyspark.sql import functions as F
 
 from ..storage import durable
 
-#: Scales and node budgets of a rendered graph (fixed values).
-SMALL_GRAPH, NEAR, MIDDLE = 180, 1.45, 0.78
-BUDGETS = {"overview": 240, "middle": 480, "near": 900}
 #: Below this confidence a node needs review (a fixed value).
 REVIEW = 0.6
 #: Relation types of an exploration's modes (fixed values); references are followed from their source, citations from their target.
@@ -352,23 +349,3 @@ def with_neighbours(ids: DataFrame, edges: DataFrame, hops: int = 1) -> DataFram
     for _ in range(hops):
         ids = ids.union(links.join(ids.select(F.col("id").alias("source")), "source", "left_semi").select(F.col("target").alias("id"))).distinct()
     return ids
-
-
-def render_level(scale: float, total: int) -> str:
-    if total <= SMALL_GRAPH or scale >= NEAR:
-        return "near"
-    return "middle" if scale >= MIDDLE else "overview"
-
-
-def level_of_detail(nodes: DataFrame, edges: DataFrame, budget: int, grid: tuple[int, int] = (6, 4)) -> tuple[DataFrame, DataFrame]:
-    """Nodes (id, type, x, y, importance) within a budget; the rest become one aggregate per type and grid cell.
-
-    Returns (id, type, members) and edges (source, target, count) between what is drawn.
-    """
-    top = nodes.orderBy(F.coalesce("importance", F.lit(0.0)).desc(), "id").limit(budget).select("id", F.lit(True).alias("_drawn"))
-    cell = F.concat_ws(":", F.lit("cell"), "type", F.floor(F.col("x") * grid[0]).cast("string"), F.floor(F.col("y") * grid[1]).cast("string"))
-    shown = nodes.join(F.broadcast(top), "id", "left").select("id", "type", F.when(F.col("_drawn"), F.col("id")).otherwise(cell).alias("drawn"))
-    out = shown.groupBy(F.col("drawn").alias("id"), "type").agg(F.count("*").alias("members"))
-    a, b = shown.select(F.col("id").alias("source"), F.col("drawn").alias("s")), shown.select(F.col("id").alias("target"), F.col("drawn").alias("t"))
-    links = edges.join(a, "source").join(b, "target").filter("s != t").groupBy(F.col("s").alias("source"), F.col("t").alias("target")).agg(F.count("*").alias("count"))
-    return out, links

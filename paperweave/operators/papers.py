@@ -220,21 +220,65 @@ def entity_metrics(rows: DataFrame, entity: str, paper: str, year: str, citation
     return x.join(F.broadcast(top)).select(entity, "papers", F.round("citations", 2).alias("citations"), "partners", "topics", "first_year", "last_year", F.round(score, 4).alias("score"))
 
 
-def stages(metrics: DataFrame, id_: str = "id") -> DataFrame:
-    """Each paper's reading stage: core, bridge or frontier."""
+#: What speaks for reading a paper next, and how much (fixed values).
+SIGNALS = {"core_score": 0.30, "bridge_score": 0.20, "key_score": 0.20, "growing": 0.10, "recent": 0.06, "context": 0.08, "available": 0.04, "queued": 0.02}
+#: Papers recommended at most, and of each stage on a reading path; so many steps at most, or at least if the stages lack them (fixed values).
+RECOMMENDED = 24
+PATH = {"foundation": 3, "bridge": 3, "frontier": 4}
+STEPS, FEW_STEPS, MORE_STEPS = 10, 5, 8
+
+
+def stages(metrics: DataFrame) -> DataFrame:
+    """Each paper's reading stage: foundation, bridge or frontier."""
     core = (F.col("core_score") >= F.greatest(F.lit(0.28), 1.25 * F.col("bridge_score"))) | (F.col("citations_in") >= 2)
-    return metrics.withColumn("stage", F.when(core, "core").when(F.col("bridge_score") >= 0.12, "bridge").otherwise("frontier"))
-
-
-def recommendations(scored: DataFrame, limit: int = 24, quotas: dict[str, int] | None = None) -> DataFrame:
-    """(id, stage, score, place): the best of all, and of these so many a stage. scored (id, stage, score)."""
-    quotas = quotas or {"core": 3, "bridge": 3, "frontier": 4}
-    best = scored.orderBy(F.col("score").desc(), "id").limit(limit)
-    place = F.row_number().over(Window.partitionBy("stage").orderBy(F.col("score").desc(), "id"))
-    quota = F.lit(0)
-    for k, n in quotas.items():
-        quota = F.when(F.col("stage") == k, n).otherwise(quota)
-    return best.withColumn("place", place).filter(F.col("place") <= quota).select("id", "stage", "score", "place")
+    return metrics.withColumn("stage", F.when(core, "foundation").when((F.col("bridge_score") >= 0.12) | (F.coalesce("cross_links", F.lit(0)) > 0), "bridge").otherwise("frontier"))
+
+
+def recommendations(metrics: DataFrame) -> DataFrame:
+    """(id, stage, score, year, place): the 24 papers to read next by eight signals, without archived ones.
+
+    metrics (id, core_score, bridge_score, citations_in, cross_links) with
+    key_score, growing (its topic grows), year, context (a favourite or
+    compared), available, queued and archived as far as known. A paper is
+    recent within two years of the latest. Nulls speak for nothing; ties go to
+    the earlier year, then the lesser id.
+    """
+    given = {c: F.lit(None).cast("int" if c == "year" else "double") for c in (*SIGNALS, "year", "archived", "citations_in", "cross_links") if c not in metrics.columns}
+    known = metrics.withColumns(given)
+    latest = known.agg(F.coalesce(F.max("year"), F.lit(0)).alias("_latest"))
+    recent = (F.col("_latest") > 0) & (F.col("year") >= F.col("_latest") - 2)
+    open_ = known.filter(~F.coalesce(F.col("archived").cast("boolean"), F.lit(False))).join(F.broadcast(latest)).withColumn("recent", recent)
+    score = sum((w * F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c, w in SIGNALS.items()), F.lit(0.0))
+    scored = stages(open_.fillna(0.0, ["core_score", "bridge_score"])).withColumn("score", F.round(score, 4))
+    order = [F.col("score").desc(), F.coalesce("year", F.lit(9999)), F.col("id")]
+    best = scored.orderBy(*order).limit(RECOMMENDED).select("id", "stage", "score", "year")
+    return best.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))
+
+
+def reading_path(recommended: DataFrame, citations: DataFrame, topics: DataFrame | None = None) -> DataFrame:
+    """(id, stage, step, transition): foundations by year, bridges, frontiers, ten at most; with less than five of these up to eight of all.
+
+    The transition says how a step goes on from the one before: it cites it, is
+    cited by it, has its topic (topics: id, topic), or leaves for another.
+    """
+    one = Window.partitionBy(F.lit(0))
+    stage = F.array_position(F.array(*map(F.lit, PATH)), F.col("stage"))
+    within = F.row_number().over(Window.partitionBy("stage").orderBy(F.when(F.col("stage") == "foundation", F.coalesce("year", F.lit(9999))).otherwise(F.col("place")), "place"))
+    quota = F.element_at(F.create_map(*[F.lit(x) for kv in PATH.items() for x in kv]), F.col("stage"))
+    ranked = recommended.withColumn("_k", within).withColumn("_in", F.col("_k") <= quota).withColumn("_n", F.count_if("_in").over(one))
+    ranked = ranked.withColumn("_more", F.row_number().over(Window.partitionBy("_in").orderBy("place")))
+    chosen = ranked.filter(F.col("_in") | ((F.col("_n") < FEW_STEPS) & (F.col("_more") <= MORE_STEPS - F.col("_n"))))
+    order = [F.when(F.col("_in"), 0).otherwise(1), F.when(F.col("_in"), stage), F.when(F.col("_in"), F.col("_k")), F.col("place")]
+    steps = chosen.withColumn("step", F.row_number().over(one.orderBy(*order))).filter(F.col("step") <= STEPS)
+    steps = steps.join(topics, "id", "left") if topics is not None else steps.withColumn("topic", F.lit(None).cast("string"))
+    w = one.orderBy("step")
+    steps = durable(steps.withColumn("_before", F.lag("id").over(w)).withColumn("_topic", F.lag("topic").over(w)).select("id", "stage", "step", "topic", "_before", "_topic"))
+    known = citations.select("source", "target").distinct()
+    ahead = known.join(F.broadcast(steps.select(F.col("id").alias("source"), F.col("_before").alias("target"))), ["source", "target"], "left_semi").select(F.col("source").alias("id"), F.lit(True).alias("_cites"))
+    back = known.join(F.broadcast(steps.select(F.col("_before").alias("source"), F.col("id").alias("target"))), ["source", "target"], "left_semi").select(F.col("target").alias("id"), F.lit(True).alias("_cited"))
+    told = steps.join(ahead, "id", "left").join(back, "id", "left")
+    kind = F.when(F.col("step") == 1, "start").when(F.col("_cites"), "cites_previous").when(F.col("_cited"), "cited_by_previous").when(F.col("topic") == F.col("_topic"), "shared_topic").otherwise("cross_topic")
+    return told.select("id", "stage", "step", kind.alias("transition"))
 
 
 def topic_transitions(rows: DataFrame, by: str, order: list[str], topic: str) -> DataFrame:

@@ -93,12 +93,6 @@ def frequency_keywords(docs: DataFrame, id_: str, words: Column, top: int = 20)
     return counted.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= top).drop("_r")
 
 
-def table_candidate_score(shape_rows: Column, shape_columns: Column, even: Column, filled: Column, numeric: Column) -> Column:
-    """How good a candidate table is: its shape, even row widths, filled cells and numbers."""
-    shape = F.least(F.lit(1.0), shape_rows / 4) * 0.3 + F.least(F.lit(1.0), shape_columns / 3) * 0.2
-    return F.round(shape + F.when(even, 0.2).otherwise(0.0) + 0.2 * filled + 0.1 * numeric, 4)
-
-
 def tenant_counts(rows: DataFrame, tenant: str, status: str) -> DataFrame:
     """(tenant, status, n)."""
     return rows.groupBy(F.col(tenant).alias("tenant"), F.col(status).alias("status")).agg(F.count("*").alias("n"))

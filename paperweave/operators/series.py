@@ -64,9 +64,19 @@ def resample(points: DataFrame, by: str, x: str, y: str, step: float) -> DataFra
 
 
 def repair_gaps(points: DataFrame, series: str, order: str, y: str) -> DataFrame:
-    """Missing values become the mean of the nearest known ones, in series that miss a fifth (or two) at most."""
+    """Missing values become the mean of what is known on both sides, in series that miss a fifth (rounded down, or two) at most.
+
+    A repaired value is known to the next: the i-th of a run between L and R is
+    R + (L - R) / 2^i. With one known side it is that side's value; a series
+    without known values stays.
+    """
     all_ = Window.partitionBy(series)
-    left = F.last(y, ignorenulls=True).over(all_.orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
-    right = F.first(y, ignorenulls=True).over(all_.orderBy(order).rowsBetween(1, Window.unboundedFollowing))
-    few = F.sum(F.col(y).isNull().cast("int")).over(all_) <= F.greatest(F.lit(2.0), 0.2 * F.count("*").over(all_))
-    return points.withColumn(y, F.coalesce(y, F.when(few, (left + right) / 2)))
+    w = all_.orderBy(order)
+    place = F.row_number().over(w)
+    left = F.last(F.when(F.col(y).isNotNull(), F.struct(F.col("_place").alias("p"), F.col(y).alias("v"))), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    right = F.first(y, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    few = F.sum(F.col(y).isNull().cast("int")).over(all_) <= F.greatest(F.lit(2), F.floor(0.2 * F.count(F.lit(1)).over(all_)))
+    steps = F.col("_place") - F.col("_left.p")
+    value = F.coalesce(F.col("_right") + (F.col("_left.v") - F.col("_right")) / F.pow(F.lit(2.0), steps), F.col("_left.v"), F.col("_right"))
+    known = points.withColumn("_place", place).withColumn("_left", left).withColumn("_right", right).withColumn("_few", few)
+    return known.withColumn(y, F.coalesce(y, F.when(F.col("_few"), value))).select(*points.columns)

@@ -201,41 +201,18 @@ def overlap_suppression(spark, d):
     return elements.suppress_overlaps(_boxes(spark, d), ["id"], 0.3).select("page", "kind", "id")
 
 
-@query()
-def greedy_matches(spark, d):
-    return elements.match_greedily(_boxes(spark, d, 0.0, "l_partkey % 2 = 0"), _boxes(spark, d, 1.0, "l_partkey % 3 = 0")).select("page", "kind", "id", "match", "score")
-
-
-@query()
-def fused_elements(spark, d):
-    return elements.fuse(_boxes(spark, d, 0.0, "l_partkey % 2 = 0"), _boxes(spark, d, 1.0, "l_partkey % 3 = 0")).select("page", "kind", "id", "engines")
-
-
 @query("""WITH b AS (SELECT l_orderkey AS page, l_linenumber * 100000::BIGINT + l_partkey AS id, l_quantity AS x0, l_partkey % 5 * 4.0::DOUBLE AS y0 FROM lineitem)
 SELECT DISTINCT page, id AS a, bid AS b, round(i / (216.0::DOUBLE - i), 4) AS iou FROM (SELECT a.page, a.id, b.id AS bid, greatest(12 - abs(a.x0 - b.x0), 0) * greatest(9 - abs(a.y0 - b.y0), 0) AS i FROM b a JOIN b b ON a.page = b.page AND a.id < b.id) WHERE i > 0""")
 def box_overlaps(spark, d):
     return _overlaps(_boxes(spark, d))
 
 
-@query(QUERIES["box_overlaps"][1])
-def box_overlaps_all(spark, d):
-    """box_overlaps by its former name."""
-    return _overlaps(_boxes(spark, d))
-
-
 def _overlaps(b):
     x, y = b.select("page", F.col("id").alias("a"), F.col("box").alias("p")), b.select("page", F.col("id").alias("b"), F.col("box").alias("q"))
     pairs = x.join(y, "page").filter("a < b").withColumn("iou", F.round(geo.iou(geo.box_of(F.col("p")), geo.box_of(F.col("q"))), 4))
     return pairs.filter("iou > 0").select("page", "a", "b", "iou").distinct()
 
 
-@query("SELECT CAST(coalesce(e.k, a.k) AS VARCHAR) AS kind, coalesce(e.n, 0) AS expected, coalesce(a.n, 0) AS actual FROM (SELECT p_type AS k, count(*) AS n FROM part WHERE p_size < 25 GROUP BY 1) e FULL JOIN (SELECT p_type AS k, count(*) AS n FROM part WHERE p_size > 20 GROUP BY 1) a USING (k)")
-def expected_and_actual(spark, d):
-    part = table(spark, d, "part").withColumnRenamed("p_type", "kind")
-    none = part.filter("false").select("kind", F.lit(None).cast("int").alias("match"))
-    return elements.evaluate(part.filter("p_size < 25"), none, part.filter("p_size > 20")).select("kind", "expected", "actual")
-
-
 @query()
 def robust_lines(spark, d):
     """Line items as ticks, eight pixels apart; two of three lie on a line."""
@@ -265,24 +242,6 @@ def point_errors(spark, d):
 
 # extraction and comparison
 
-@query()
-def statements(spark, d):
-    return extract.entities(table(spark, d, "documents"), "doc_id", "text")
-
-
-@query()
-def statement_relations(spark, d):
-    return extract.pair_relations(extract.entities(table(spark, d, "documents"), "doc_id", "text"))
-
-
-@query("SELECT p_partkey, CASE WHEN p_type = 'PROMO' AND p_size % 2 = 0 THEN 'USES_METHOD' WHEN p_type = 'PROMO' THEN 'USES_DATASET' ELSE 'CITES' END AS relation FROM part")
-def ontology_mapping(spark, d):
-    promo = F.col("p_type") == "PROMO"
-    rel = F.when(promo, "uses").otherwise("cites")
-    target = F.when(F.col("p_size") % 2 == 0, "method").otherwise("dataset")
-    return table(spark, d, "part").select("p_partkey", extract.canonical_relation(rel, F.lit("paper"), target).alias("relation"))
-
-
 @query("""WITH n AS (SELECT c_custkey AS id, 0.55::DOUBLE + c_custkey % 45 / 100.0::DOUBLE AS confidence, CASE WHEN c_acctbal > 0 THEN 1 ELSE 0 END AS evidence FROM customer), e AS (SELECT o_custkey AS source, (o_custkey * 3) % 2000 AS target FROM orders), u AS (SELECT source AS id FROM e UNION SELECT target FROM e)
 SELECT count(*) AS nodes, round(avg(confidence), 4) AS confidence, round(avg(CASE WHEN evidence > 0 THEN 1 ELSE 0 END), 4) AS with_evidence, round(avg(CASE WHEN confidence < 0.6 THEN 1 ELSE 0 END), 4) AS to_review, round(avg(CASE WHEN id NOT IN (SELECT id FROM u) THEN 1 ELSE 0 END), 4) AS isolated, (SELECT count(*) FROM e) AS edges, (SELECT count(*) FROM (SELECT DISTINCT * FROM e WHERE source NOT IN (SELECT id FROM n) OR target NOT IN (SELECT id FROM n))) AS dangling FROM n""")
 def graph_quality(spark, d):

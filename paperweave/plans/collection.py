@@ -98,8 +98,7 @@ def network(topics: TopicMap, features: DataFrame, links: DataFrame, cap: int =
 def research_network(metrics: DataFrame, members: DataFrame, facts: DataFrame) -> dict[str, DataFrame]:
     """Who works with whom, what each contributed, and what to read next. members (paper, person), facts (paper, person, year, cited, topic)."""
     near = papers.collaboration(members, "paper", "person")
-    scored = papers.stages(metrics).withColumn("score", F.round(0.6 * F.col("core_score") + 0.4 * F.col("bridge_score"), 4))
-    return {"links": near, "people": papers.entity_metrics(facts, "person", "paper", "year", "cited", "topic", near), "reading": papers.recommendations(scored)}
+    return {"links": near, "people": papers.entity_metrics(facts, "person", "paper", "year", "cited", "topic", near), "reading": papers.recommendations(metrics)}
 
 
 # parts as papers, their words as features, orders as people

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import extract
 from ..storage import durable, table
+from .statement_queries import papers
 
 #: Kinds of nodes made of a record's fields, and their relations to the paper (fixed values).
 LISTS = (("keywords", "keyword", "has_keyword"), ("authors", "author", "written_by"))
@@ -33,7 +34,7 @@ def query(sql: str | None = None):
 
 @dataclass
 class Graph:
-    """nodes (record, id, type, label), edges (record, source, target, type, confidence), evidence (record, node, section, place, sentence, confidence)."""
+    """nodes (record, id, type, label), edges (record, source, target, type, confidence), evidence (record, node, section, block_id, sentence, text, confidence)."""
 
     nodes: DataFrame
     edges: DataFrame
@@ -84,46 +85,30 @@ def flat_graph(records: DataFrame, elements: DataFrame | None = None) -> Graph:
 
 
 def build_graph(records: DataFrame, blocks: DataFrame, elements: DataFrame | None = None) -> Graph:
-    """The graph of each record: the flat one, sections of its text, and its statements with their relations and evidence.
-
-    blocks (record, page, block, text). Statements are nodes statement:<record>:<place>:<kind>;
-    the paper relates to each by the root relation of its kind, and statements
-    to each other by the nearest of the kind that theirs relates to. A relation
-    between statements counts if one of the two sentences speaks of it.
-    Duplicate ids of a record become one node; edges to ids that are no nodes
-    cannot arise.
+    """The graph of each record: the flat one, sections of its text, and the entities of its statements with their relations and evidence.
+
+    blocks as `extract.sections` takes them; records' abstracts count as blocks
+    of metadata. elements (record, kind, id, caption, and page, text and
+    confidence where known) are entities too. Duplicate ids of a record become
+    one node; edges to ids that are no nodes cannot arise.
     """
     flat = flat_graph(records, elements)
-    named = durable(extract.sections(blocks))
-    # statements are numbered through the record's blocks
-    order = F.struct("page", "block")
-    joined = named.groupBy("record", "section").agg(F.min(order).alias("_o"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page", "block", "text"))), lambda b: b["text"]), " ").alias("text"))
-    found = durable(extract.entities(joined, "record", "text", "section"))
-    starts = joined.select("record", "section", "_o")
-    statement = F.concat_ws(":", F.lit("statement"), F.col("record").cast("string"), "section", F.col("place").cast("string"), "kind")
-    said = durable(found.join(starts, ["record", "section"]).withColumn("id", statement))
+    if elements is not None:
+        others = {"page": F.lit(0), "text": F.lit(None).cast("string"), "confidence": F.lit(1.0)}
+        elements = elements.withColumns({c: v for c, v in others.items() if c not in elements.columns})
+    metadata = records.select("record", "abstract", F.lit(None).cast("string").alias("summary"))
+    found = durable(extract.with_nodes(extract.mentions(blocks, metadata, elements)))
+    entities = durable(extract.entities(found))
     paper = F.concat(F.lit("paper:"), F.col("record").cast("string"))
     section = F.concat_ws(":", F.lit("section"), F.col("record").cast("string"), "section")
-    parts = named.select("record", "section").distinct()
+    parts = extract.sections(blocks).filter("section IS NOT NULL").select("record", "section").distinct()
     nodes = flat.nodes.unionByName(parts.select("record", section.alias("id"), F.lit("section").alias("type"), F.col("section").alias("label")))
-    nodes = nodes.unionByName(said.select("record", "id", F.col("kind").alias("type"), "label")).dropDuplicates(["record", "id"])
-    root = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in extract.ROOT.items() for x in kv]), F.col("kind")), F.lit("MENTIONS"))
+    nodes = nodes.unionByName(entities.select("record", F.col("node").alias("id"), F.col("kind").alias("type"), "label")).dropDuplicates(["record", "id"])
     edges = flat.edges.unionByName(parts.select("record", paper.alias("source"), section.alias("target"), F.lit("HAS_SECTION").alias("type"), F.lit(1.0).alias("confidence")))
-    edges = edges.unionByName(said.select("record", paper.alias("source"), F.col("id").alias("target"), root.alias("type"), "confidence"))
-    # places within a section; a section's statements relate among themselves
-    local = found.withColumn("record", F.struct("record", "section"))
-    pairs = extract.pair_relations(local).select("record.record", "record.section", "type", "source_place", "target_place", "confidence")
-    at = said.select("record", "section", F.col("place"), F.col("id"), F.col("label"), "kind")
-    ends = None
-    for (a, b), name in extract.PAIRS.items():
-        x = at.filter(F.col("kind") == a).select("record", "section", F.col("place").alias("source_place"), F.col("id").alias("source"), F.col("label").alias("_a"))
-        y = at.filter(F.col("kind") == b).select("record", "section", F.col("place").alias("target_place"), F.col("id").alias("target"), F.col("label").alias("_b"))
-        cue = extract.has_cue({"PRODUCES": "REPORTS_RESULT", "EVALUATED_ON": "USES_DATASET", "MOTIVATES": "LIMITS"}[name], F.concat_ws(" ", "_a", "_b"))
-        one = pairs.filter(F.col("type") == name).join(x, ["record", "section", "source_place"]).join(y, ["record", "section", "target_place"]).filter(cue)
-        one = one.select("record", "source", "target", "type", "confidence")
-        ends = one if ends is None else ends.unionByName(one)
-    evidence = said.select("record", F.col("id").alias("node"), "section", "place", F.col("label").alias("sentence"), "confidence")
-    return Graph(nodes, edges.unionByName(ends).distinct(), evidence)
+    said = extract.root_relations(found, entities).unionByName(extract.pair_relations(found, entities))
+    edges = edges.unionByName(said.select("record", "source", "target", "type", "confidence")).distinct()
+    evidence = found.select("record", "node", "section", "block_id", "sentence", "text", "confidence")
+    return Graph(nodes, edges, evidence)
 
 
 # parts as papers
@@ -156,20 +141,9 @@ def flat_graph_nodes(spark, d):
     return flat_graph(_records(spark, d)).nodes.groupBy("type").agg(F.count("*").alias("nodes"), F.countDistinct("id").alias("ids"))
 
 
-def _blocks(spark, d):
-    """Parts as papers of four blocks, with what such papers say of their name and size."""
-    said = F.array(
-        F.lit("1. Methods"),
-        F.concat(F.lit("We propose a method for "), F.lower("p_name"), F.lit(". It was evaluated on a benchmark of "), F.lower("p_type"), F.lit(".")),
-        F.lit("Results"),
-        F.concat(F.lit("Yields improved by "), F.col("p_size").cast("string"), F.lit(" percent with this approach. A limitation is the "), F.lower("p_brand"), F.lit(" alone. Future work will study it.")),
-    )
-    return table(spark, d, "part").select(F.col("p_partkey").alias("record"), F.lit(1).alias("page"), F.posexplode(said).alias("block", "text"))
-
-
 @query()
 def built_graph(spark, d):
     """All nodes, edges and evidence of the parts' graphs, as counts by kind."""
-    g = build_graph(_records(spark, d), _blocks(spark, d))
+    g = build_graph(_records(spark, d), papers(spark, d))
     count = lambda df, what, kind: df.groupBy(F.lit(what).alias("what"), F.col(kind).alias("kind")).agg(F.count("*").alias("n"), F.countDistinct("record").alias("records"))
     return count(g.nodes, "node", "type").unionByName(count(g.edges, "edge", "type")).unionByName(count(g.evidence, "evidence", "section"))

@@ -250,7 +250,7 @@ def html_links(spark, d):
     return page_links(table(spark, d, "pages"), "page_id", "url", "html")
 
 
-@query("""SELECT p_brand AS record, p_type AS kind, key, min(p_name) AS label, count(*) AS mentions FROM (SELECT *, regexp_replace(regexp_replace(lower(trim(p_name)), '\\b(model|method|dataset|metric|result)s\\b', '\\1', 'g'), '[\\s_\\-/.,;:()]+', '', 'g') AS key FROM part) GROUP BY 1, 2, 3""")
+@query("""SELECT p_brand AS record, p_type AS kind, key, min(p_name) AS label, count(*) AS mentions FROM (SELECT *, regexp_replace(regexp_replace(lower(trim(p_name)), '\\b(model|method|framework|dataset|result)s\\b', '\\1', 'g'), '[^a-z0-9]+', '', 'g') AS key FROM part) WHERE length(key) >= 3 GROUP BY 1, 2, 3""")
 def entity_groups(spark, d):
     x = group_candidates(table(spark, d, "part"), "p_brand", "p_type", "p_name")
     return x.select(F.col("p_brand").alias("record"), F.col("p_type").alias("kind"), "key", "label", "mentions")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import compare, graphs, pairs, papers, series, vectors
+from ..operators import compare, detail, graphs, pairs, papers, series, vectors
 from ..storage import durable, table
 
 QUERIES: dict = {}
@@ -107,10 +108,30 @@ def paper_metrics(spark, d):
     return papers.paper_metrics(_links(spark, d), strength, topics)
 
 
-@query()
+_READ = f"""m AS ({QUERIES["paper_metrics"][1]}), r AS (
+  SELECT m.*, 1990 + p_size AS year, p_partkey % 9 = 0 AS archived, p_partkey % 4 = 0 AS context, p_partkey % 3 = 0 AS available, p_partkey % 6 = 1 AS queued, p_size % 2 = 0 AS growing, (p_partkey % 11) / 20.0::DOUBLE AS key_score FROM m JOIN part ON p_partkey = id
+), s AS (
+  SELECT *, round(0.30 * core_score + 0.20 * bridge_score + 0.20 * key_score + 0.10 * growing::INT + 0.06 * (year >= (SELECT max(year) FROM r) - 2)::INT + 0.08 * context::INT + 0.04 * available::INT + 0.02 * queued::INT, 4)::DOUBLE AS score,
+    CASE WHEN core_score >= greatest(0.28, bridge_score * 1.25) OR citations_in >= 2 THEN 'foundation' WHEN bridge_score >= 0.12 OR cross_links > 0 THEN 'bridge' ELSE 'frontier' END AS stage FROM r WHERE NOT archived
+), c AS (SELECT id, stage, score, year, row_number() OVER (ORDER BY score DESC, year, id) AS place FROM s QUALIFY place <= 24)"""
+
+
+def _readable(spark, d):
+    p = table(spark, d, "part").selectExpr("p_partkey AS id", "1990 + p_size AS year", "p_partkey % 9 = 0 AS archived", "p_partkey % 4 = 0 AS context", "p_partkey % 3 = 0 AS available", "p_partkey % 6 = 1 AS queued", "p_size % 2 = 0 AS growing", "(p_partkey % 11) / 20.0D AS key_score")
+    return paper_metrics(spark, d).join(p, "id")
+
+
+@query(f"WITH {_READ} SELECT id, stage, score, year, place FROM c")
 def recommendations(spark, d):
-    staged = papers.stages(paper_metrics(spark, d))
-    return papers.recommendations(staged.withColumn("score", F.round(0.6 * F.col("core_score") + 0.4 * F.col("bridge_score"), 4)))
+    """Parts as papers, what is read of them by rules of their numbers."""
+    return papers.recommendations(_readable(spark, d))
+
+
+@query(f"""WITH {_READ}, q AS (SELECT *, row_number() OVER (PARTITION BY stage ORDER BY CASE WHEN stage = 'foundation' THEN year ELSE place END, place) AS k, CASE stage WHEN 'foundation' THEN 1 WHEN 'bridge' THEN 2 ELSE 3 END AS o FROM c),
+f AS (SELECT *, k <= CASE stage WHEN 'frontier' THEN 4 ELSE 3 END AS chosen FROM q), g AS (SELECT *, count(*) FILTER (chosen) OVER () AS n, row_number() OVER (PARTITION BY chosen ORDER BY place) AS more FROM f)
+SELECT id, stage, row_number() OVER (ORDER BY CASE WHEN chosen THEN 0 ELSE 1 END, CASE WHEN chosen THEN o END, CASE WHEN chosen THEN k END, place) AS step FROM g WHERE chosen OR (n < 5 AND more <= 8 - n) QUALIFY step <= 10""")
+def reading_path(spark, d):
+    return papers.reading_path(papers.recommendations(_readable(spark, d)), _links(spark, d)).select("id", "stage", "step")
 
 
 _CHAIN = "o AS (SELECT o_orderkey AS id, CAST(year(o_orderdate) AS INTEGER) AS year, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY year(o_orderdate), o_orderkey) AS nxt, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY year(o_orderdate), o_orderkey) AS r FROM orders)"
@@ -135,12 +156,6 @@ def _longest(o):
     return papers.longest_paths(o.filter("before IS NOT NULL").select(F.col("id").alias("source"), F.col("before").alias("target")), o.select("id", "year", "key"))
 
 
-@query(QUERIES["citation_paths"][1])
-def citation_paths_all(spark, d):
-    """citation_paths by its former name."""
-    return _longest(durable(_chain(spark, d)))
-
-
 @query()
 def key_paths(spark, d):
     o = durable(_chain(spark, d))
@@ -201,12 +216,6 @@ def _turning_points(rows):
     return papers.turning_points(series.dense_series(rows, "topic", "year", "id", "score"), "topic", "year")
 
 
-@query(QUERIES["turning_points"][1])
-def turning_points_all(spark, d):
-    """turning_points by its former name."""
-    return _turning_points(_yearly(spark, d))
-
-
 @query("SELECT user_id, event_id, event_type AS to_type, before AS from_topic FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) WHERE before <> event_type")
 def topic_transitions(spark, d):
     return papers.topic_transitions(table(spark, d, "events"), "user_id", ["ts", "event_id"], "event_type").select("user_id", "event_id", F.col("event_type").alias("to_type"), "from_topic")
@@ -226,15 +235,10 @@ def _resampled(events):
     return series.resample(e, "event_type", "x", "value", 1800.0)
 
 
-@query(QUERIES["resampled_series"][1])
-def resampled_series_all(spark, d):
-    """resampled_series by its former name."""
-    return _resampled(table(spark, d, "events"))
-
-
-@query("""WITH e AS (SELECT event_id, user_id, CASE WHEN event_id % 10 <> 3 THEN value END AS value FROM events),
-w AS (SELECT *, last_value(value IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS a, first_value(value IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS b, count(*) FILTER (value IS NULL) OVER (PARTITION BY user_id) AS gaps, count(*) OVER (PARTITION BY user_id) AS n FROM e)
-SELECT event_id, user_id, coalesce(value, CASE WHEN gaps <= greatest(2.0, 0.2 * n) THEN (a + b) / 2 END) AS value FROM w""")
+@query("""WITH e AS (SELECT event_id, user_id, CASE WHEN event_id % 10 <> 3 THEN value END AS value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events),
+w AS (SELECT *, last_value(value IGNORE NULLS) OVER b AS l, last_value(CASE WHEN value IS NOT NULL THEN p END IGNORE NULLS) OVER b AS lp, first_value(value IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS r, count(*) FILTER (value IS NULL) OVER (PARTITION BY user_id) AS gaps, count(*) OVER (PARTITION BY user_id) AS n
+  FROM e WINDOW b AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT event_id, user_id, coalesce(value, CASE WHEN gaps <= greatest(2, floor(0.2 * n)) THEN coalesce(r + (l - r) / pow(2, p - lp), l, r) END) AS value FROM w""")
 def repaired_gaps(spark, d):
     e = table(spark, d, "events").select("event_id", "user_id", F.when(F.col("event_id") % 10 != 3, F.col("value")).alias("value"))
     return series.repair_gaps(e, "user_id", "event_id", "value")
@@ -430,15 +434,51 @@ def frontier_expansion(spark, d):
     return graphs.with_neighbours(spark.range(1).select(F.lit("r1").alias("id")), _graph(spark, d)[1], 2)
 
 
-@query("""WITH n AS (SELECT p_partkey AS id, p_type AS type, p_size / 51.0 AS x, p_partkey % 100 / 100.0 AS y, (37 * p_partkey) % 100 / 100.0 AS importance FROM part),
-t AS (SELECT id FROM n ORDER BY importance DESC, id LIMIT 240) SELECT CASE WHEN id IN (SELECT id FROM t) THEN CAST(id AS VARCHAR) ELSE 'cell:' || type || ':' || CAST(floor(x * 6) AS BIGINT) || ':' || CAST(floor(y * 4) AS BIGINT) END AS id, type, count(*) AS members FROM n GROUP BY ALL""")
+#: A view of the parts: zoomed in and moved, so that some are out of sight.
+_SEEN = {"width": 1000, "height": 700, "scale": 1.2, "pan_x": 500}
+_PINS, _PINNED = ["part:7", "part:11"], ["7:3", "12:2"]
+_TYPES = "CASE p_partkey % 9 WHEN 0 THEN 'Paper' WHEN 1 THEN 'method' WHEN 2 THEN 'dataset' WHEN 3 THEN 'claim' WHEN 4 THEN 'author' WHEN 5 THEN 'limitation' WHEN 6 THEN 'table' ELSE p_type END"
+_GROUP = " ".join(f"WHEN lower(type) IN ({', '.join(repr(t) for t in types)}) THEN '{name}'" for name, types in detail.GROUPS.items())
+_LOD = f"""n AS (SELECT 'part:' || p_partkey AS id, {_TYPES} AS type, p_name || ' ' || p_partkey AS label, p_size / 51.0::DOUBLE AS x, p_partkey % 100 / 100.0::DOUBLE AS y, (37 * p_partkey) % 100 / 100.0::DOUBLE AS importance, CASE WHEN p_partkey % 50 = 3 THEN 0.0 ELSE 0.55 + (17 * p_partkey) % 45 / 100.0::DOUBLE END AS confidence, p_size % 3 AS evidence, p_size % 7 = 0 AS needs_review FROM part),
+l AS (SELECT l_orderkey || ':' || row_number() OVER o AS id, 'part:' || l_partkey AS source, 'part:' || lead(l_partkey) OVER o AS target, lower(flag) AS type, l_quantity / 50.0::DOUBLE AS confidence FROM (SELECT *, CASE WHEN l_returnflag = 'R' THEN '' ELSE l_returnflag END AS flag FROM lineitem) WINDOW o AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity)),
+e AS (SELECT * FROM l WHERE target IS NOT NULL), d AS (SELECT id, least(1000, count(*)) AS degree FROM (SELECT source AS id FROM e UNION ALL SELECT target FROM e) GROUP BY 1),
+c AS (SELECT n.*, coalesce(degree, 0) AS degree, id IN ('part:7', 'part:11') AS pinned, CASE {_GROUP} ELSE 'concept' END AS g, least(5, CAST(floor(x * 6) AS INTEGER)) AS cx, least(3, CAST(floor(y * 4) AS INTEGER)) AS cy FROM n LEFT JOIN d USING (id)
+  WHERE (SELECT count(*) FROM n) <= 180 OR id IN ('part:7', 'part:11') OR ((36 + x * 928 - 500) * 1.2 + 500 + 500 BETWEEN -120 AND 1120 AND (42 + y * 608 - 350) * 1.2 + 350 BETWEEN -120 AND 820)),
+b AS (SELECT CASE WHEN (SELECT count(*) FROM n) <= 180 THEN greatest(1, (SELECT count(*) FROM n)) ELSE 480 END AS budget),
+r AS (SELECT c.*, row_number() OVER (ORDER BY pinned DESC, lower(type) = 'paper' DESC, importance DESC, degree DESC, evidence DESC, confidence DESC, lower(label) DESC, id DESC) AS rk, count(*) OVER () AS found, budget, least(32, greatest(8, budget // 8)) AS reserve FROM c, b),
+w AS (SELECT *, found <= budget OR rk <= greatest(budget - reserve, count(*) FILTER (pinned) OVER ()) AS drawn FROM r),
+s AS (SELECT g, cx, cy, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, g, cx, cy) AS nth, min(reserve) AS reserve FROM w WHERE NOT drawn GROUP BY g, cx, cy),
+k AS (SELECT * FROM s WHERE nth <= reserve),
+f AS (SELECT s.g, s.cx, s.cy, k.g AS kg, k.cx AS kx, k.cy AS ky FROM s, k QUALIFY row_number() OVER (PARTITION BY s.g, s.cx, s.cy ORDER BY CASE WHEN s.nth <= s.reserve AND s.nth <> k.nth THEN 1 ELSE 0 END, CASE WHEN s.g = k.g THEN 0 ELSE 10 END + abs(s.cx - k.cx) + abs(s.cy - k.cy), k.g, k.cx, k.cy) = 1),
+p AS (SELECT w.*, CASE WHEN drawn THEN id ELSE 'cluster:' || kg || ':' || kx || ':' || ky END AS target, kg FROM w LEFT JOIN f USING (g, cx, cy))"""
+_NAMED = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in detail.LABELS.items())
+
+
+def _view(spark, d):
+    n = table(spark, d, "part").selectExpr(
+        "concat('part:', p_partkey) AS id", f"{_TYPES} AS type", "concat_ws(' ', p_name, p_partkey) AS label", "p_size / 51.0D AS x", "p_partkey % 100 / 100.0D AS y", "(37 * p_partkey) % 100 / 100.0D AS importance",
+        "CASE WHEN p_partkey % 50 = 3 THEN NULL ELSE 0.55D + (17 * p_partkey) % 45 / 100.0D END AS confidence", "p_size % 3 AS evidence", "p_size % 7 = 0 AS needs_review",
+    )
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    links = table(spark, d, "lineitem").select(
+        F.concat_ws(":", "l_orderkey", F.row_number().over(w)).alias("id"), F.concat(F.lit("part:"), "l_partkey").alias("source"), F.concat(F.lit("part:"), F.lead("l_partkey").over(w)).alias("target"),
+        F.when(F.col("l_returnflag") == "R", "").otherwise(F.lower("l_returnflag")).alias("type"), (F.col("l_quantity") / 50.0).alias("confidence"),
+    )
+    return detail.project(n, links.filter("target IS NOT NULL"), _PINS, _PINNED, **_SEEN)
+
+
+@query(f"""WITH {_LOD} SELECT id, type, label, false AS aggregate, 1 AS members, importance, confidence, needs_review, round(x, 6) AS x, round(y, 6) AS y FROM p WHERE drawn
+UNION ALL SELECT target, 'cluster', (CASE kg {_NAMED} END) || ' · ' || count(*), true, count(*), max(importance), avg(confidence), bool_or(needs_review), round(avg(x), 6), round(avg(y), 6) FROM p WHERE NOT drawn GROUP BY target, kg""")
 def level_of_detail(spark, d):
-    n = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("id"), F.col("p_partkey").alias("k"), F.col("p_type").alias("type"), (F.col("p_size") / 51.0).alias("x"), (F.col("p_partkey") % 100 / 100.0).alias("y"), ((37 * F.col("p_partkey")) % 100 / 100.0).alias("importance"))
-    budget = graphs.BUDGETS[graphs.render_level(0.5, n.count())]
-    # ids are numbers here, so ties fall by number
-    padded = n.withColumn("id", F.lpad("id", 12, "0"))
-    drawn, _ = graphs.level_of_detail(padded, spark.createDataFrame([], "source string, target string"), budget)
-    return drawn.withColumn("id", F.when(F.col("id").startswith("cell:"), F.col("id")).otherwise(F.col("id").cast("long").cast("string")))
+    return _view(spark, d).nodes.withColumns({"x": F.round("x", 6), "y": F.round("y", 6)})
+
+
+@query(f"""WITH {_LOD}, m AS (SELECT e.*, a.target AS s, b.target AS t FROM e JOIN p a ON a.id = e.source JOIN p b ON b.id = e.target WHERE a.target <> b.target),
+u AS (SELECT source, target, type, false AS aggregate, 1 AS count, confidence, CASE WHEN id IN ('7:3', '12:2') THEN 0 ELSE 1 END AS o, confidence AS v, id FROM m WHERE s = source AND t = target
+  UNION ALL SELECT s, t, upper(coalesce(nullif(type, ''), 'RELATED_TO')), true, count(*), avg(confidence), 2, count(*), NULL FROM m WHERE NOT (s = source AND t = target) GROUP BY s, t, upper(coalesce(nullif(type, ''), 'RELATED_TO')))
+SELECT source, target, type, aggregate, count, round(confidence, 9) AS confidence FROM u ORDER BY o, v DESC, source, target, type, id LIMIT (SELECT greatest(400, 3 * budget) FROM b)""")
+def level_of_detail_links(spark, d):
+    return _view(spark, d).edges.withColumn("confidence", F.round("confidence", 9))
 
 
 @query("SELECT a.p_partkey AS id FROM part a WHERE p_size BETWEEN 10 AND 20")

@@ -54,15 +54,6 @@ def reading_order(spark, d):
     return elements.reading_order(e, ["table", "figure"]).select("doc", F.col("id.l_linenumber").alias("id"), F.col("id.l_partkey").alias("l_partkey"), "place")
 
 
-@query("""WITH l AS (SELECT DISTINCT l_orderkey AS page, l_linenumber AS id, l_quantity AS x0, l_partkey % 40 * 3.0::DOUBLE AS y0, l_tax < 0.04 AS e FROM lineitem),
-p AS (SELECT e.page, e.id, c.id AS caption, c.y0 AS cy, least(e.x0, c.x0) + 12 - greatest(e.x0, c.x0) AS o, greatest(c.y0 - (e.y0 + 9), e.y0 - (c.y0 + 9), 0) AS gap FROM l e JOIN l c ON e.page = c.page AND e.e AND NOT c.e)
-SELECT page, id, CAST(arg_min(caption, (gap, -greatest(o, 0) / 12, caption)) AS INTEGER) AS caption, round(min(gap), 4) AS gap FROM p WHERE greatest(o, 0) / 12 >= 0.25 AND gap <= 12 GROUP BY 1, 2""")
-def captions(spark, d):
-    x, y = F.col("l_quantity"), F.col("l_partkey") % 40 * 3.0
-    rows = table(spark, d, "lineitem").select(F.lit(0).alias("doc"), F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("id"), F.array(x, y, x + 12.0, y + 9.0).alias("box"), (F.col("l_tax") < 0.04).alias("e")).distinct()
-    return elements.nearest_caption(rows.filter("e"), rows.filter("NOT e"), F.lit(100.0)).select("page", "id", "caption", "gap")
-
-
 @query("""WITH l AS (SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1)
 SELECT user_id, event_id, event_type FROM l WHERE event_type <> 'error' ORDER BY event_id DESC, user_id DESC LIMIT 50""")
 def annotation_fold(spark, d):
@@ -70,13 +61,6 @@ def annotation_fold(spark, d):
     return changes.fold_annotations(e, "user_id", "event_id", "action", 50).select("user_id", "event_id", "event_type")
 
 
-@query("""WITH s AS (SELECT doc_id AS doc, doc_id AS id, n_chars / 20000.0::DOUBLE AS score, n_chars % 7 = 0 AS conflict FROM documents)
-SELECT doc, id, 'low_confidence' AS issue FROM s WHERE coalesce(score, 0) < 0.55 UNION ALL SELECT doc, id, 'conflict' FROM s WHERE conflict""")
-def quality_issues(spark, d):
-    s = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.col("doc_id").alias("id"), (F.col("n_chars") / 20000.0).alias("score"), (F.col("n_chars") % 7 == 0).alias("conflict"))
-    return elements.quality_issues(s)
-
-
 _REFS = """r AS (SELECT item_id, CASE WHEN item_id % 3 = 0 THEN 'doc:' || (item_id * 7) ELSE '' END AS identifier, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS title FROM benchmark),
 p AS (SELECT doc_id, 'doc:' || doc_id AS alias, trim(regexp_replace(lower(coalesce(text, '')), '\\s+', ' ', 'g')) AS title FROM documents)"""
 

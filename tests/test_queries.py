@@ -48,7 +48,7 @@ def test_sql(spark, small, duck, name):
 
 
 #: Of these no row of the small tables qualifies; their operators are held against plain Python elsewhere.
-EMPTY = {"opposite_results_all", "statement_relations", "statements"}
+EMPTY = {"opposite_results_all"}
 
 
 @pytest.mark.parametrize("name", REST)

@@ -128,7 +128,7 @@ def test_built_graph(spark):
     ids = {i for _, i in nodes}
     assert all(a in ids and b in ids for a, b, _ in edges)
     kinds = {k for _, i in nodes if (k := nodes.get((1, i), ("",))[0]) in extract.ROOT}
-    assert {"method", "dataset", "limitation", "future"} <= kinds
-    assert any(t == "EVALUATED_ON" for *_, t in edges) and any(t == "MOTIVATES" for *_, t in edges)
+    assert {"contribution", "method", "dataset", "limitation", "futurework", "figure", "table"} <= kinds
+    assert any(t == "USES_METHOD" for *_, t in edges) and any(t == "PROPOSES" and a.startswith("contribution") for a, _, t in edges)
     evidence = g.evidence.collect()
-    assert {r["node"] for r in evidence} <= ids and not any("nothing" in r["sentence"] for r in evidence) and {r["section"] for r in evidence} == {"Method", "Results"}
+    assert {r["node"] for r in evidence} <= ids and not any("nothing" in r["text"] for r in evidence) and {r["section"] for r in evidence if r["section"]} == {"Method", "Results"}

@@ -71,7 +71,7 @@ def test_topic_cohesion(spark, parts):
     assert {r["doc"]: r["cosine"] for r in RUN["topic_cohesion"](spark, folder).collect()} == {i: pytest.approx(c, abs=2e-4) for i, c in want.items()}
 
 
-def test_box_overlaps_all(spark, tmp_path):
+def test_box_overlaps(spark, tmp_path):
     rng = random.Random(7)
     rows = [(o, n, rng.randrange(1, 500), float(rng.randrange(1, 40)), 0.02, 0.05) for o in range(1990, 2030) for n in range(rng.randrange(1, 7))]
     put(spark, tmp_path, "lineitem", rows, "l_orderkey long, l_linenumber int, l_partkey long, l_quantity double, l_tax double, l_discount double")
@@ -82,7 +82,7 @@ def test_box_overlaps_all(spark, tmp_path):
         if x[0] == y[0] and a < b and i > 0:
             want[x[0], a, b] = pytest.approx(i / (216 - i), abs=1e-4)
     assert max(k[0] for k in want) >= 2000
-    assert {(r["page"], r["a"], r["b"]): r["iou"] for r in RUN["box_overlaps_all"](spark, str(tmp_path)).collect()} == want
+    assert {(r["page"], r["a"], r["b"]): r["iou"] for r in RUN["box_overlaps"](spark, str(tmp_path)).collect()} == want
 
 
 def test_opposite_results_all(spark, tmp_path):
@@ -101,26 +101,26 @@ def test_opposite_results_all(spark, tmp_path):
     assert [(-r["likeness"], r["a"], r["b"]) for r in RUN["opposite_results_all"](spark, str(tmp_path)).collect()] == want
 
 
-def test_turning_points_all(spark, tmp_path):
+def test_turning_points(spark, tmp_path):
     put(spark, tmp_path, "customer", [(i, "S" + str(i % 2)) for i in range(30, 60)], "c_custkey long, c_mktsegment string")
     put(spark, tmp_path, "orders", [(i, c, f"{y}-03-01", 1.0) for i, (c, y) in enumerate([(31, 1992), (51, 1993), (53, 1993), (55, 1993), (57, 1994), (50, 1995)])], "o_orderkey long, o_custkey long, o_orderdate string, o_totalprice double")
-    got = {(r["topic"], r["year"], r["kind"]) for r in RUN["turning_points_all"](spark, str(tmp_path)).collect()}
+    got = {(r["topic"], r["year"], r["kind"]) for r in RUN["turning_points"](spark, str(tmp_path)).collect()}
     assert got == {("S1", 1992, "emergence"), ("S1", 1993, "expansion"), ("S1", 1995, "decline"), ("S0", 1995, "emergence"), ("S0", 1994, "decline")}
 
 
-def test_resampled_series_all(spark, tmp_path):
+def test_resampled_series(spark, tmp_path):
     rows = [(u, "view", 1800 * c + k, float(u + k)) for k, (u, c) in enumerate([(1, 0), (9, 0), (9, 2), (70, 4)])]
     spark.createDataFrame(rows, "user_id long, event_type string, at long, value double").withColumn("ts", F.timestamp_seconds("at")).write.parquet(f"{tmp_path}/events.parquet")
     at = {c: statistics.median(v) for c, v in {0: [1.0, 10.0], 2: [11.0], 4: [73.0]}.items()}
     want = {c: at.get(c, (at.get(c - 1, 0) + at.get(c + 1, 0)) / 2) for c in range(5)}
-    assert {r["cell"]: r["y"] for r in RUN["resampled_series_all"](spark, str(tmp_path)).collect()} == want
+    assert {r["cell"]: r["y"] for r in RUN["resampled_series"](spark, str(tmp_path)).collect()} == want
 
 
 def test_chains_of_any_length(spark, tmp_path):
     orders = [(5 * i + 1, 300, "1995-01-01") for i in range(230)] + [(5 * i + 2, 7, f"{1992 + i}-01-01") for i in range(4)]
     put(spark, tmp_path, "orders", orders, "o_orderkey long, o_custkey long, o_orderdate string")
     want = {5 * i + 1: (1.0 + i, i, 5 * i - 4 if i else None) for i in range(230)} | {5 * i + 2: (pytest.approx(1 + 1.04 * i), i, 5 * i - 3 if i else None) for i in range(4)}
-    assert {r["id"]: (r["score"], r["length"], r["parent"]) for r in RUN["citation_paths_all"](spark, str(tmp_path)).collect()} == want
+    assert {r["id"]: (r["score"], r["length"], r["parent"]) for r in RUN["citation_paths"](spark, str(tmp_path)).collect()} == want
 
 
 def test_lines_between_joints(spark):
