@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import html
+import re
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,12 +27,43 @@ def clean_text(value: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(text, r"(?U)(?<=\w)-\s+(?=\w)", ""), r"(?U)\s+", " "))
 
 
+#: Characters of sub- and superscripts (fixed values).
+SUB = str.maketrans("0123456789+-=()x", "₀₁₂₃₄₅₆₇₈₉₊₋₌₍₎ₓ")
+SUPER = str.maketrans("0123456789+-=()n", "⁰¹²³⁴⁵⁶⁷⁸⁹⁺⁻⁼⁽⁾ⁿ")
+#: Replacements after scripts are translated, in order (fixed values): tags of blocks, other tags, white space, split names of elements, spaces before scripts, between elements and counts, MXene, spaces around signs.
+MARKUP = [
+    (r"(?i)</?(?:p|br|div|li|title|abstract|sec|section)\b[^>]*>", " "),
+    (r"<[^>]+>", ""),
+    (r"^\s+|\s+$", ""),
+    (r"\s+", " "),
+    (r"(?<=[A-Z])\s+(?=[a-z](?:\s|$|[^a-z]))", ""),
+    (r"\s+(?=[₀-₉₊₋₌₍₎ₓ⁰-⁹⁺⁻⁼⁽⁾ⁿ])", ""),
+    (r"\b([A-Z][a-z])\s+(?=[A-Z][a-z]?[₀-₉₊₋₌₍₎ₓ⁰-⁹⁺⁻⁼⁽⁾ⁿ])", r"\1"),
+    (r"([A-Za-z][₀-₉₊₋₌₍₎ₓ⁰-⁹⁺⁻⁼⁽⁾ⁿ])\s+(?=[A-Z][₀-₉₊₋₌₍₎ₓ⁰-⁹⁺⁻⁼⁽⁾ⁿ])", r"\1"),
+    (r"(?i)\bMX\s+ene\b", "MXene"),
+    (r"\s+([,.;:!?%])", r"\1"),
+    (r"\s*([-–—/])\s*", r"\1"),
+]
+
+
+def plain_markup(value: str | None) -> str:
+    """A text of HTML or JATS markup as plain text: entities decoded, sub and sup in characters of their own, formulas closed up."""
+    out = html.unescape(value or "")
+    for tag, names in (("sub", SUB), ("sup", SUPER)):
+        script = re.compile(rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>")
+        out = script.sub(lambda m, names=names: html.unescape(re.sub(r"<[^>]+>", "", m[1])).strip().translate(names), out)
+    for pattern, plain in MARKUP:
+        out = re.sub(pattern, plain, out)
+    return out
+
+
 def clean_markup(value: Column) -> Column:
-    """Tags go, the common entities are decoded, white space becomes one space."""
-    text = F.regexp_replace(F.regexp_replace(F.coalesce(value, F.lit("")), r"(?is)<(script|style)\b.*?</\1\s*>", " "), r"(?s)<[^>]*>", " ")
-    for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(name), F.lit(char))
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    """plain_markup of a column, in Arrow batches: what stands in a span decides its letters, which no built-in replacement can. Null gives empty text."""
+    @F.pandas_udf("string")
+    def cleaned(texts: pd.Series) -> pd.Series:
+        return texts.map(plain_markup)
+
+    return cleaned(value)
 
 
 def normalize_term(term: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ids, text
 from ..operators import elements, lookup, papers, records, segments
+from ..sources import mappings
 from ..storage import durable, table
 from ..streaming import changes
 from .collection import research_network
@@ -98,3 +99,20 @@ def date_parts(spark, d):
     day = F.col("o_orderdate")
     parts = F.slice(F.array(F.year(day), F.month(day), F.dayofmonth(day)), 1, (3 - F.col("o_orderkey") % 3).cast("int"))
     return table(spark, d, "orders").select("o_orderkey", ids.date_from_parts(parts).cast("string").alias("day"))
+
+
+@query("""SELECT CASE p_size % 3 WHEN 0 THEN 'europepmc:MED:' || p_partkey WHEN 1 THEN 'crossref:10.5/p' || p_partkey ELSE 'doaj:d' || p_partkey END AS id, CASE WHEN p_size % 3 < 2 OR p_size % 2 = 0 THEN '10.5/P' || p_partkey END AS doi,
+  p_name || ' H₂O & ' || p_size || '%' AS title, CASE p_size % 3 WHEN 0 THEN (1970 + p_size) || '-01-01' WHEN 1 THEN (1970 + p_size) || '-03-01' ELSE (1970 + p_size) || '-07-01' END AS publication_date, CAST(1970 + p_size AS VARCHAR) AS publication_year,
+  CASE p_size % 3 WHEN 2 THEN NULL ELSE CAST(p_size AS INTEGER) END AS cited_by_count, CASE WHEN p_size % 3 > 0 THEN p_type END AS journal, CASE WHEN p_size % 3 > 0 THEN '1234-567X' END AS issn_l, p_brand AS author,
+  CASE p_size % 3 WHEN 0 THEN p_partkey % 2 = 0 WHEN 1 THEN p_partkey % 5 = 0 ELSE true END AS is_oa FROM part""")
+def captured_records(spark, d):
+    """Parts as result pages of three services, mapped to one shape."""
+    title = "concat(p_name, ' H<sub>2</sub>O &amp; ', p_size, ' %')"
+    europe = f"named_struct('resultList', named_struct('result', array(named_struct('id', CAST(p_partkey AS STRING), 'source', 'MED', 'doi', concat('10.5/P', p_partkey), 'title', {title}, 'pubYear', CAST(1970 + p_size AS STRING), 'citedByCount', p_size, 'isOpenAccess', IF(p_partkey % 2 = 0, 'Y', 'N'), 'authorList', named_struct('author', array(named_struct('fullName', p_brand)))))))"
+    dated = "named_struct('date-parts', array(array(1970 + p_size, 3)))"
+    crossref = f"named_struct('message', named_struct('items', array(named_struct('DOI', concat('10.5/P', p_partkey), 'title', array({title}), 'issued', {dated}, 'is-referenced-by-count', p_size, 'container-title', p_type, 'ISSN', array('1234567x'), 'author', array(named_struct('name', p_brand)), 'license', array(named_struct('URL', IF(p_partkey % 5 = 0, 'https://creativecommons.org/by', 'https://x.org')))))))"
+    doaj = f"named_struct('results', array(named_struct('id', concat('d', p_partkey), 'bibjson', named_struct('title', {title}, 'year', CAST(1970 + p_size AS STRING), 'month', 7, 'author', array(named_struct('name', p_brand)), 'journal', named_struct('title', p_type, 'issn', '1234567X'), 'identifier', IF(p_size % 2 = 0, array(named_struct('type', 'doi', 'id', concat('10.5/P', p_partkey))), array())))))"
+    pages = table(spark, d, "part").selectExpr("element_at(array('europe_pmc', 'crossref', 'doaj'), CAST(p_size % 3 + 1 AS INT)) AS source", f"CASE p_size % 3 WHEN 0 THEN to_json({europe}) WHEN 1 THEN to_json({crossref}) ELSE to_json({doaj}) END AS body")
+    hits = mappings.captured_hits(pages)
+    venue = F.col("primary_location.source")
+    return hits.select("id", "doi", "title", "publication_date", "publication_year", "cited_by_count", venue["display_name"].alias("journal"), venue["issn_l"].alias("issn_l"), F.col("authorships")[0]["author"]["display_name"].alias("author"), F.col("open_access.is_oa").alias("is_oa"))

@@ -189,11 +189,14 @@ def to_records(hits: DataFrame) -> DataFrame:
     names = F.slice(F.filter(F.transform(F.coalesce("authorships", F.array().cast(hits.schema["authorships"].dataType)), lambda a: a["author"]["display_name"]), lambda n: n.isNotNull()), 1, 12)
     arxiv = F.when(F.lower("literature_source") == "arxiv", F.col("source_record_id"))
     year = F.coalesce(ids.year_of(F.col("publication_year")), ids.year_of(F.col("publication_date")))
+    # a column of its own: Spark cannot take the index's lambdas into the arguments of a Python function
+    said = F.coalesce(ids.present(F.col("abstract")), abstract_from_index(F.col("abstract_inverted_index")))
+    hits = hits.withColumn("_abstract", F.explode(F.array(said)))
     return hits.select(
         ids.record_key(F.col("doi"), F.col("id"), F.col("literature_source"), F.col("source_record_id"), arxiv).alias("record_key"),
         ids.canonical_record_key(F.col("doi"), arxiv, F.col("id"), F.col("title"), year).alias("canonical_key"),
         clean_markup(F.col("title")).alias("title"),
-        clean_markup(F.coalesce(ids.present(F.col("abstract")), abstract_from_index(F.col("abstract_inverted_index")))).alias("abstract"),
+        clean_markup(F.col("_abstract")).alias("abstract"),
         year.alias("year"),
         names.alias("authors"),
         venue["display_name"].alias("journal"),
