@@ -257,9 +257,11 @@ def further_pairs(members: DataFrame, partners: int) -> DataFrame:
         split = rows.column("p").to_numpy() != rows.column("q").to_numpy()
         band = rows.column("key").to_numpy() & BAND_BITS
         sig = _signatures(rows.column("signature"))
+        # the registers of a band as one number: what pairs share is found on these, and only pairs that first meet here are compared whole
+        bands = np.ascontiguousarray(sig[:, : BANDS * ROWS]).view(np.uint64)
         group = np.unique(np.column_stack([rows.column(c).to_numpy() for c in ("key", "p", "q")]), axis=0, return_inverse=True)[1].ravel()
         order = np.argsort(group, kind="stable")
-        ids, comp, n, sig, group, part, split, band = (x[order] for x in (ids, comp, n, sig, group, part, split, band))
+        ids, comp, n, sig, bands, group, part, split, band = (x[order] for x in (ids, comp, n, sig, bands, group, part, split, band))
         left, right, est = [], [], []
         for d in range(1, int(np.bincount(group).max())):
             i = np.flatnonzero((group[d:] == group[:-d]) & (comp[d:] != comp[:-d]) & ~(split[d:] & (part[d:] == part[:-d])))
@@ -268,11 +270,10 @@ def further_pairs(members: DataFrame, partners: int) -> DataFrame:
             i, j = i[fits], j[fits]
             for k in range(0, len(i), PAIRS_AT_ONCE):
                 x, y = i[k : k + PAIRS_AT_ONCE], j[k : k + PAIRS_AT_ONCE]
-                same = sig[x] == sig[y]
-                good = same.sum(1) >= 0.6 * REGISTERS  # below what the estimate needs
-                x, y, same = x[good], y[good], same[good, : BANDS * ROWS]
-                first = same.reshape(-1, BANDS, ROWS).all(2).argmax(1) == band[x]
+                first = (bands[x] == bands[y]).argmax(1) == band[x]
                 x, y = x[first], y[first]
+                good = (sig[x] == sig[y]).sum(1) >= 0.6 * REGISTERS  # below what the estimate needs
+                x, y = x[good], y[good]
                 s = _estimates(sig[x], sig[y], n[x], n[y])
                 left.append(x[s >= ESTIMATE]), right.append(y[s >= ESTIMATE]), est.append(s[s >= ESTIMATE])
         if not left:
