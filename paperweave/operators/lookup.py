@@ -102,11 +102,12 @@ def resolve_references(references: DataFrame, papers: DataFrame, id_: str = "sou
 
     references (id_, identifier, title), papers (id, aliases, title), titles and
     aliases normalized alike. Titles under `least_chars` characters are not
-    looked for inside others. Several papers of one alias or title: the least id.
+    looked for inside others. Several papers of one alias or title: the least id;
+    their title counts once.
     """
-    named = papers.filter(F.col("title") != "").select("id", "title")
     aliases = papers.select(F.explode("aliases").alias("identifier"), "id").filter("identifier != ''").groupBy("identifier").agg(F.min("id").alias("_alias"))
-    titles = named.groupBy("title").agg(F.min("id").alias("_title"))
+    titles = papers.filter(F.col("title") != "").groupBy("title").agg(F.min("id").alias("_title"))
+    named = titles.select(F.col("_title").alias("id"), "title")
     refs = references.select(id_, "identifier", "title")
     tiers = refs.join(aliases, "identifier", "left").join(titles, "title", "left")
     open_ = tiers.filter("_alias IS NULL AND _title IS NULL").filter(F.length("title") >= least_chars).select("title").distinct()

@@ -67,7 +67,7 @@ p AS (SELECT doc_id, 'doc:' || doc_id AS alias, trim(regexp_replace(lower(coales
 
 
 @query(f"""WITH {_REFS}, a AS (SELECT item_id, min(doc_id) AS t FROM r JOIN p ON identifier = alias GROUP BY 1), e AS (SELECT item_id, min(doc_id) AS t FROM r JOIN p ON r.title = p.title WHERE r.title <> '' GROUP BY 1),
-c AS (SELECT item_id, min(doc_id) AS t FROM r JOIN p ON contains(p.title, r.title) OR contains(r.title, p.title) WHERE length(r.title) >= 16 AND p.title <> '' GROUP BY 1 HAVING count(DISTINCT doc_id) = 1)
+c AS (SELECT item_id, min(doc_id) AS t FROM r JOIN p ON contains(p.title, r.title) OR contains(r.title, p.title) WHERE length(r.title) >= 16 AND p.title <> '' GROUP BY 1 HAVING count(DISTINCT p.title) = 1)
 SELECT item_id, coalesce(a.t, e.t, c.t) AS target, CASE WHEN a.t IS NOT NULL THEN 'alias' WHEN e.t IS NOT NULL THEN 'title' WHEN c.t IS NOT NULL THEN 'containment' ELSE 'none' END AS tier FROM r LEFT JOIN a USING (item_id) LEFT JOIN e USING (item_id) LEFT JOIN c USING (item_id)""")
 def resolved_references(spark, d):
     """Benchmark passages as references, whole documents as titles."""

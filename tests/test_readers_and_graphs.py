@@ -87,7 +87,7 @@ def test_containment(spark, monkeypatch):
 
 
 def test_references(spark):
-    papers = spark.createDataFrame([(1, ["doi:1", ""], "a long title of a paper"), (2, ["doi:2"], "another title of some length"), (3, ["doi:3"], "title of some")], "id int, aliases array<string>, title string")
+    papers = spark.createDataFrame([(1, ["doi:1", ""], "a long title of a paper"), (2, ["doi:2"], "another title of some length"), (3, ["doi:3"], "title of some"), (4, ["doi:4"], "a long title of a paper")], "id int, aliases array<string>, title string")
     refs = [(1, "doi:2", "a long title of a paper"), (2, "none", "a long title of a paper"), (3, "", "see a long title of a paper, 2020"), (4, "", "of some length and"), (5, None, "title"), (6, "", "another title of some"), (7, "", "x" * 20)]
     got = {r["source"]: (r["target"], r["tier"]) for r in lookup.resolve_references(spark.createDataFrame(refs, "source int, identifier string, title string"), papers).collect()}
     assert got == {1: (2, "alias"), 2: (1, "title"), 3: (1, "containment"), 4: (None, "none"), 5: (None, "none"), 6: (None, "none"), 7: (None, "none")}
