@@ -259,13 +259,13 @@ def keyword_network(spark, d):
     return pairs.term_network(_terms(spark, d), "doc", "term")
 
 
-@query("""WITH w AS (SELECT doc_id, term, count(*) AS weight FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM documents WHERE lang = 'en') GROUP BY 1, 2),
+@query("""WITH w AS (SELECT doc_id, term, count(*) AS weight FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM documents) GROUP BY 1, 2),
 n AS (SELECT count(DISTINCT doc_id) AS n FROM w), f AS (SELECT term, count(*) AS df FROM w GROUP BY 1),
 r AS (SELECT doc_id, term, round(ln(1 + weight::DOUBLE) * ((ln((n + 1) / (df + 1)::DOUBLE) + 1) * CASE WHEN df / n::DOUBLE > 0.72 THEN 0.18::DOUBLE ELSE 1.0 END), 9) AS w FROM w JOIN f USING (term) CROSS JOIN n),
 k AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY w DESC, term) <= 48)
 SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS w FROM k""")
 def tfidf_vectors(spark, d):
-    docs = table(spark, d, "documents").filter("lang = 'en'").select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)).alias("terms"))
+    docs = table(spark, d, "documents").select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)).alias("terms"))
     return vectors.tfidf(vectors.term_counts(docs, "doc_id", "terms"), "doc_id").withColumnRenamed("id", "doc_id").select("doc_id", "term", F.round("w", 6).alias("w"))
 
 
@@ -329,12 +329,12 @@ def bfs_levels(spark, d):
     return graphs.bfs(_graph(spark, d)[1], "s1", max_depth=7)
 
 
-#: Suppliers and the parts that orders have from them as a graph; its paths are several links long.
-_TRADE = "e AS (SELECT DISTINCT 's' || l_suppkey AS source, 'o' || l_orderkey AS target FROM lineitem WHERE l_returnflag = 'R')"
+#: Suppliers and the orders that have parts of them as a graph.
+_TRADE = "e AS (SELECT DISTINCT 's' || l_suppkey AS source, 'o' || l_orderkey AS target FROM lineitem)"
 
 
 def _trade(spark, d):
-    items = table(spark, d, "lineitem").filter("l_returnflag = 'R'")
+    items = table(spark, d, "lineitem")
     return items.select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("source"), F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("target")).distinct()
 
 
