@@ -281,38 +281,63 @@ def text_to_avi(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
+#: What a broken file raises.
+BROKEN = (ValueError, IndexError, KeyError, struct.error)
+
+
+def _samples(files: list[bytes]) -> list[np.ndarray | None]:
+    """The frames of each file as one array, None for a file that cannot be read; all files are decoded at once unless one is broken."""
+    images = []
+    for m in files:
+        try:
+            images.append(read_avi(m) or None)
+        except BROKEN:
+            images.append(None)
+    try:
+        samples = decode_frames([i for own in images if own for i in own])
+        at, out = 0, []
+        for own in images:
+            out.append(np.stack(samples[at : at + len(own)]) if own else None)
+            at += len(own or ())
+        return out
+    except BROKEN:
+        return [None] if len(files) == 1 else [s for m in files for s in _samples([m])]
+
+
 def avi_clips(media: DataFrame) -> DataFrame:
     """Rows with `media` to those rows with payload digests and `clips`, an array of timed shots.
 
-    Adds payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256 and
-    clips array<struct<first_frame, end_frame, start_s, end_s>>. `media` is dropped,
-    columns of these names are replaced, the others pass through. A clip without
-    cuts is one shot. A file that is no such AVI, a null among them, raises.
+    Adds payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256,
+    clips array<struct<first_frame, end_frame, start_s, end_s>> and state.
+    `media` is dropped, columns of these names are replaced, the others pass
+    through; repeated rows stay, an empty table gives an empty table. A clip
+    without cuts is one shot. The state is `read`, `broken` for a file that is
+    no such AVI, which has no payload and no clips, or `none` for null, which
+    has no bytes either.
     """
     import pyarrow as pa
 
-    own = {"media", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "clips"}
+    own = {"media", "state", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "clips"}
     keep = [f for f in media.schema.fields if f.name.lower() not in own]
     clip = T.StructType([T.StructField("first_frame", T.IntegerType()), T.StructField("end_frame", T.IntegerType()), T.StructField("start_s", T.DoubleType()), T.StructField("end_s", T.DoubleType())])
     long, string = T.LongType(), T.StringType()
-    added = [("payload_bytes", long), ("payload_sha256", string), ("tail_crc32", long), ("media_bytes", long), ("media_sha256", string), ("clips", T.ArrayType(clip))]
+    added = [("payload_bytes", long), ("payload_sha256", string), ("tail_crc32", long), ("media_bytes", long), ("media_sha256", string), ("clips", T.ArrayType(clip)), ("state", string)]
     schema = T.StructType([*keep, *(T.StructField(n, t) for n, t in added)])
     arrow_clips = pa.list_(pa.struct([("first_frame", pa.int32()), ("end_frame", pa.int32()), ("start_s", pa.float64()), ("end_s", pa.float64())]))
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), arrow_clips]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), arrow_clips, pa.string()]
 
     def run(batches):
         for batch in batches:
             files = batch.column("media").to_pylist()
-            for a, b in slices([len(m) for m in files], SLICE):
-                images = [read_avi(m) for m in files[a:b]]
-                samples = decode_frames([i for own in images for i in own])
-                rows, at = [], 0
-                for m, own in zip(files[a:b], images, strict=True):
-                    part = np.stack(samples[at : at + len(own)])
-                    at += len(own)
-                    data = part.tobytes()
-                    found = [{"first_frame": s, "end_frame": e, "start_s": s / FPS, "end_s": e / FPS} for s, e in shots(part)]
-                    rows.append((len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]), len(m), hashlib.sha256(m).hexdigest(), found))
+            for a, b in slices([len(m or b"") for m in files], SLICE):
+                rows = []
+                for m, frames in zip(files[a:b], _samples([m or b"" for m in files[a:b]]), strict=True):
+                    if frames is None:
+                        rows.append((None, None, None, None, None, [], "none") if m is None else (None, None, None, len(m), hashlib.sha256(m).hexdigest(), [], "broken"))
+                        continue
+                    data = frames.tobytes()
+                    found = [{"first_frame": s, "end_frame": e, "start_s": s / FPS, "end_s": e / FPS} for s, e in shots(frames)]
+                    rows.append((len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]), len(m), hashlib.sha256(m).hexdigest(), found, "read"))
                 part = batch.slice(a, b - a)
                 new = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in keep), *new], schema.names)
@@ -321,7 +346,11 @@ def avi_clips(media: DataFrame) -> DataFrame:
 
 
 def clip_rows(media: DataFrame) -> DataFrame:
-    """One row per shot: the rows' other columns with shot, first_frame, end_frame, start_s and end_s."""
+    """One row per shot: the rows' other columns with shot, first_frame, end_frame, start_s and end_s.
+
+    Null and broken media have no shots and so no rows; repeated rows, long
+    clips and empty tables are as in avi_clips.
+    """
     found = avi_clips(media)
     return found.select(*(c for c in found.columns if c != "clips"), F.posexplode("clips").alias("shot", "clip")).select("*", "clip.*").drop("clip")
 
@@ -330,7 +359,7 @@ def op9_media(spark, sf_dir: str) -> DataFrame:
     """A row a document; `feature` has its shots by frames, `clips` by seconds."""
     from .common import table
 
-    found = avi_clips(text_to_avi(table(spark, sf_dir, "documents")))
+    found = avi_clips(text_to_avi(table(spark, sf_dir, "documents"))).drop("state")
     cuts = F.transform("clips", lambda c: F.concat(c["first_frame"].cast("string"), F.lit("-"), c["end_frame"].cast("string")))
     times = F.transform("clips", lambda c: F.format_string("%.2f-%.2f", c["start_s"], c["end_s"]))
     return found.withColumn("feature", F.concat(F.size("clips").cast("string"), F.lit(":"), F.array_join(cuts, ","))).withColumn("clips", F.array_join(times, ","))

@@ -359,6 +359,21 @@ def test_clips(spark, small, odd):
     assert {r["note"] for r in rows.collect()} == {"n"}
 
 
+def test_null_and_broken_media(spark):
+    docs = spark.createDataFrame([(i, "some text " * (30 * i + 1)) for i in range(6)], "doc_id long, text string")
+    good = {r["doc_id"]: bytes(r["media"]) for r in media.text_to_avi(docs).collect()}
+    whole = good[5]
+    bad = [None, b"", b"RIFF", whole[: len(whole) // 2], whole[:-20], b"\x00" * 500, whole.replace(b"\xff\xd8", b"\x00\x00")]
+    df = spark.createDataFrame([(i, m) for i, m in good.items()] + [(100 + k, m) for k, m in enumerate(bad)] + [(0, good[0])], "doc_id long, media binary").coalesce(1)
+    got = media.avi_clips(df).collect()
+    assert len(got) == 14 and {r["state"] for r in got if r["doc_id"] < 100} == {"read"}
+    lost = {r["doc_id"]: r for r in got if r["doc_id"] >= 100}
+    assert lost[100]["state"] == "none" and lost[100]["media_bytes"] is None and all(r["state"] == "broken" for i, r in lost.items() if i in (101, 102, 103, 105, 106))
+    assert all(r["payload_sha256"] is None and r["clips"] == [] for r in lost.values() if r["state"] != "read")
+    assert {r["doc_id"] for r in media.clip_rows(df).collect()} <= {*range(6), 104}
+    assert media.avi_clips(df.filter("false")).count() == 0
+
+
 def test_long_pieces():
     """Pieces without spaces: as the tokenizers library does, in time that grows with their length."""
     import random
