@@ -21,10 +21,18 @@ def bind(value: Column, f) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
+def ascii_only(value: Column) -> Column:
+    """Whether a text has one byte a character; there patterns need no tables of Unicode, which cost many times as much."""
+    return F.octet_length(value) == F.char_length(value)
+
+
 def clean_text(value: Column) -> Column:
     """Soft hyphens go, words parted by a hyphen and white space join, white space becomes one space."""
-    text = F.replace(F.coalesce(value, F.lit("")), F.lit("\u00ad"))
-    return F.trim(F.regexp_replace(F.regexp_replace(text, r"(?U)(?<=\w)-\s+(?=\w)", ""), r"(?U)\s+", " "))
+    def cleaned(text):
+        plain = F.regexp_replace(F.regexp_replace(text, r"-(?<=\w-)\s+(?=\w)", ""), r"\s+", " ")
+        return F.trim(F.when(ascii_only(text), plain).otherwise(F.regexp_replace(F.regexp_replace(text, r"(?U)(?<=\w)-\s+(?=\w)", ""), r"(?U)\s+", " ")))
+
+    return bind(F.replace(F.coalesce(value, F.lit("")), F.lit("\u00ad")), cleaned)
 
 
 #: Characters of sub- and superscripts (fixed values).
@@ -101,9 +109,12 @@ STOP = "\ue000"
 
 def sentences(value: Column) -> Column:
     """Sentences of 25 to 600 characters, of 12 to 600 with CJK characters; every . ! ? ends one, but not that of `et al.`."""
-    text = F.regexp_replace(clean_text(value), r"(?iU)\b(et\s+al)\.", "$1" + STOP)
-    parts = F.transform(F.split(text, r"(?U)(?<=[.!?。！？])\s*"), lambda x: F.trim(F.replace(x, F.lit(STOP), F.lit("."))))
-    return F.filter(parts, lambda s: F.length(s).between(F.when(s.rlike(r"[\u3400-\u9fff]"), 12).otherwise(25), 600))
+    def cut(text):
+        plain = F.split(F.regexp_replace(text, r"(?i)\b(et\s+al)\.", "$1" + STOP), r"(?<=[.!?])\s*")
+        return F.when(ascii_only(text), plain).otherwise(F.split(F.regexp_replace(text, r"(?iU)\b(et\s+al)\.", "$1" + STOP), r"(?U)(?<=[.!?。！？])\s*"))
+
+    parts = F.transform(bind(clean_text(value), cut), lambda x: F.trim(F.replace(x, F.lit(STOP), F.lit("."))))
+    return F.filter(parts, lambda s: F.length(s).between(12, 600) & ((F.length(s) >= 25) | s.rlike(r"[\u3400-\u9fff]")))
 
 
 def summary(abstract: Column, most: int = 360) -> Column:
@@ -119,8 +130,13 @@ def slug(value: Column) -> Column:
 
 def semantic_key(value: Column) -> Column:
     """Folded and in lower case, five nouns made singular, separators and other signs dropped."""
-    low = F.regexp_replace(F.lower(fold(value)), r"(?U)\b(model|method|framework|dataset|result)s\b", "$1")
-    return F.regexp_replace(F.regexp_replace(low, r"(?U)[\s_-]+", ""), r"(?U)[^\w\u3400-\u9fff]+", "")
+    nouns = r"\b(model|method|framework|dataset|result)s\b"
+
+    def bare(low):
+        plain = F.regexp_replace(F.regexp_replace(low, nouns, "$1"), "[^a-z0-9]+", "")
+        return F.when(ascii_only(low), plain).otherwise(F.regexp_replace(F.regexp_replace(F.regexp_replace(low, "(?U)" + nouns, "$1"), r"(?U)[\s_-]+", ""), r"(?U)[^\w\u3400-\u9fff]+", ""))
+
+    return bind(F.lower(fold(value)), bare)
 
 
 #: Names of one method (fixed values).
@@ -141,11 +157,12 @@ def _named(names: dict[str, str], key: Column) -> Column:
 def canonical_label(value: Column, kind: Column | None = None) -> Column:
     """`Long Form (ABC)` becomes ABC; of a method or model, names of language models LLM; of a metric, each part between slashes its usual name."""
     found = r"(?U)\b([A-Za-z][A-Za-z][A-Za-z\s-]{4,80}?)\s*\(([A-Z][A-Z0-9-]{1,12})\)"
-    plain = lambda folded: F.coalesce(F.nullif(F.regexp_extract(folded, found, 2), F.lit("")), folded)
+    short = lambda f: F.when(F.contains(f, F.lit("(")), F.nullif(F.regexp_extract(f, found, 2), F.lit("")))
+    plain = lambda folded: F.coalesce(short(folded), folded)
     if kind is None:
         return bind(fold(value), plain)
     key = lambda v: _named(METHOD_NAMES, semantic_key(v))
-    model = lambda f: F.coalesce(F.nullif(F.regexp_extract(f, found, 2), F.lit("")), key(f), f)
+    model = lambda f: F.coalesce(short(f), key(f), f)
     metric = lambda v: F.array_join(F.array_distinct(F.transform(F.split(v, r"\s*/\s*"), lambda x: F.coalesce(_named(METRIC_NAMES, semantic_key(x)), F.trim(x)))), " / ")
     method = lambda f: F.coalesce(key(f), plain(f))
     return bind(value, lambda v: F.when(kind == "method", bind(fold(v), method)).when(kind == "model", bind(fold(v), model)).when(kind == "metric", metric(v)).otherwise(bind(fold(v), plain)))
@@ -230,6 +247,21 @@ def _compatibility() -> tuple[str, str, dict[str, str]]:
 WIDE, PLAIN, SEVERAL = _compatibility()
 
 
+def _ranges(chars) -> str:
+    """The characters as ranges of a pattern's class."""
+    codes, out = sorted(set(map(ord, chars))), []
+    for c in codes:
+        if out and out[-1][1] == c - 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in out)
+
+
+#: What folding changes beside white space; only texts that have it are looked at character by character.
+FOLDED = rf"[\x80-\uffff&&[{_ranges(WIDE + DASHES + ''.join(SEVERAL) + ''.join(GREEK))}]]"
+
+
 def fold(value: Column) -> Column:
     """Compatibility characters become plain ones, dashes hyphens, Greek letters their names, white space one space.
 
@@ -238,13 +270,13 @@ def fold(value: Column) -> Column:
     spelled = F.str_to_map(F.lit("\ue001".join(f"{k}\ue002{v}" for k, v in SEVERAL.items())), F.lit("\ue001"), F.lit("\ue002"))
 
     def plain(said):
-        chars = F.transform(F.split(F.translate(said, WIDE + DASHES, PLAIN + "-" * len(DASHES)), ""), lambda c: F.coalesce(F.try_element_at(spelled, c), c))
+        chars = F.transform(F.split(F.translate(said, WIDE + DASHES, PLAIN + "-" * len(DASHES)), ""), lambda c: F.when(F.octet_length(c) > 1, F.coalesce(F.try_element_at(spelled, c), c)).otherwise(c))
         out = F.array_join(chars, "")
         for letter, name in GREEK.items():
             out = F.replace(out, F.lit(letter), F.lit(name))
-        return F.when(F.octet_length(said) == F.char_length(said), said).otherwise(out)
+        return F.trim(F.when(ascii_only(said), F.regexp_replace(said, r"\s+", " ")).otherwise(F.regexp_replace(F.when(said.rlike(FOLDED), out).otherwise(said), r"(?U)\s+", " ")))
 
-    return F.trim(F.regexp_replace(bind(F.coalesce(value, F.lit("")), plain), r"(?U)\s+", " "))
+    return bind(F.coalesce(value, F.lit("")), plain)
 
 
 def raw_terms(value: Column) -> Column:

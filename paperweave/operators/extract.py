@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import bind, canonical_label, clean_text, fold, generic_label, invalid_label, semantic_key, sentences
+from ..functions.text import ascii_only, bind, canonical_label, clean_text, fold, generic_label, invalid_label, semantic_key, sentences
+from ..storage import durable
 
 #: Kinds of mentions and their patterns, in the order in which they are tried (fixed values). No letter's case counts.
 KINDS = {
@@ -95,7 +96,7 @@ REVIEWED = ("concept", "researchgap", "problem", "researchquestion", "contributi
 
 def says(text: Column, pattern: str) -> Column:
     """Whether a text has the pattern, in any case and with letters of all scripts."""
-    return text.rlike(f"(?iU){pattern}")
+    return F.when(ascii_only(text), text.rlike(f"(?i){pattern}")).otherwise(text.rlike(f"(?iU){pattern}"))
 
 
 def lookup(names: dict, key: Column) -> Column:
@@ -104,8 +105,9 @@ def lookup(names: dict, key: Column) -> Column:
 
 def heading(text: Column) -> Column:
     """The section that a heading of at most 90 characters once folded names, without its number; null for other text."""
-    number = r"(?iU)^\s*(?:chapter\s+)?(?:[ivxlcdm]+|\d+)(?:\.\d+)*[).\s:-]+"
-    named = lambda f: F.when(F.length(f) <= 90, lookup(SECTIONS, F.lower(F.btrim(F.regexp_replace(f, number, ""), F.lit(" :：.-")))))
+    number = r"^\s*(?:chapter\s+)?(?:[ivxlcdm]+|\d+)(?:\.\d+)*[).\s:-]+"
+    bare = lambda f: F.when(ascii_only(f), F.regexp_replace(f, "(?i)" + number, "")).otherwise(F.regexp_replace(f, "(?iU)" + number, ""))
+    named = lambda f: F.when(F.length(f) <= 90, lookup(SECTIONS, F.lower(F.btrim(bare(f), F.lit(" :：.-")))))
     compact = lookup(SECTIONS, F.lower(F.rtrim(F.trim(F.regexp_replace(clean_text(text), r"(?U)^[\d.\s]+", "")), F.lit(":："))))
     return F.when(F.length(text) <= 200, F.coalesce(bind(fold(text), named), compact))
 
@@ -116,7 +118,9 @@ def sections(blocks: DataFrame) -> DataFrame:
     Headings and references go, as do texts of 2 to 120 characters that stand in
     the upper or lower 12 % of pages as often as on 30 % of them, three times at least.
     """
-    rows = blocks.withColumn("text", clean_text(F.col("text"))).filter("text != ''")
+    # a record's blocks meet once, over as many tasks as a shuffle has; their few bytes would otherwise go to few tasks
+    dealt = blocks.repartition(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), "record")
+    rows = dealt.withColumn("text", F.explode(F.array(clean_text(F.col("text"))))).filter("text != ''")
     if {"bbox", "height"} <= set(blocks.columns):
         at = lambda i: F.get("bbox", F.lit(i))
         margin = (F.size("bbox") >= 4) & (F.col("height") > 0) & ((at(1) <= 0.12 * F.col("height")) | (at(3) >= 0.88 * F.col("height"))) & F.length("text").between(2, 120)
@@ -131,12 +135,14 @@ def sections(blocks: DataFrame) -> DataFrame:
 
 def label_of(kind: Column, sentence: Column) -> Column:
     """What a mention is called: the name it gives, else its kind and the sentence's first 72 characters."""
-    first = lambda p, g=0, flags="(?iU)": F.nullif(F.trim(F.regexp_extract(sentence, flags + p, g)), F.lit(""))
+    def first(p, g=0, flags="(?iU)"):
+        found = F.when(ascii_only(sentence), F.regexp_extract(sentence, flags.replace("U", "").replace("(?)", "") + p, g)).otherwise(F.regexp_extract(sentence, flags + p, g))
+        return bind(F.trim(found), lambda x: F.nullif(x, F.lit("")))
+
     excerpt = F.concat(F.substring(sentence, 1, 72), F.when(F.length(sentence) > 72, "...").otherwise(""))
     other = F.concat(F.coalesce(lookup(PREFIX, kind), F.initcap(kind)), F.lit(" · "), excerpt)
     metrics = F.array_join(F.array_distinct(F.regexp_extract_all(sentence, F.lit("(?iU)" + KINDS["metric"]), F.lit(0))), " / ")
-    described = first(DESCRIBED, 1)
-    described = F.when(~F.lower(described).isin("a", "an", "the"), described)
+    described = bind(first(DESCRIBED, 1), lambda d: F.when(~F.lower(d).isin("a", "an", "the"), d))
     method = F.coalesce(first(METHOD_ALIAS), first(NAMED, 1, "(?U)"), described, first(ALONE, 1))
     named = F.when(kind == "metric", F.nullif(metrics, F.lit(""))).when(kind.isin("method", "model"), method).when(kind == "dataset", first(DATASET)).when(kind == "citation", first(KINDS["citation"]))
     return F.coalesce(named, other)
@@ -170,16 +176,17 @@ def mentions(blocks: DataFrame, metadata: DataFrame | None = None, elements: Dat
         for i, (column, source, section) in enumerate((("abstract", "metadata.abstract", "Abstract"), ("summary", "metadata.contentSummary", "Summary"))):
             at = F.struct(F.lit(1).alias("m"), F.lit(-1).cast("long").alias("p"), F.lit(i).cast("long").alias("b"))
             parts = parts.unionByName(metadata.select("record", F.lit("metadata").alias("origin"), at.alias("at"), F.lit(source).alias("block_id"), F.lit(section).alias("section"), F.lit(False).alias("boxed"), clean_text(F.col(column)).alias("text")))
-    said = parts.select("*", F.posexplode(sentences(F.col("text"))).alias("sentence", "said")).drop("text").withColumnRenamed("said", "text")
+    said = parts.select("*", F.posexplode_outer(sentences(F.col("text"))).alias("sentence", "said")).filter("said IS NOT NULL").drop("text").withColumnRenamed("said", "text")
     said = said.withColumn("folded", fold(F.col("text")))
     limits, measured = says(F.col("folded"), LIMITATION), says(F.col("folded"), NUMERIC)
     tests = [F.when((says(F.col("text"), p) | measured) & ~limits if k == "result" else says(F.col("text"), p), F.struct(F.lit(i).alias("rank"), F.lit(k).alias("kind"))) for i, (k, p) in enumerate(KINDS.items())]
-    key = F.substring(F.regexp_replace(F.lower("text"), r"(?U)\W+", ""), 1, 180)
-    typed = said.withColumn("kinds", F.array_compact(F.array(*tests))).filter(F.size("kinds") > 0).withColumn("key", key).withColumn("place", F.struct("at", "sentence"))
+    key = F.substring(F.when(ascii_only(F.col("text")), F.regexp_replace(F.lower("text"), r"\W+", "")).otherwise(F.regexp_replace(F.lower("text"), r"(?U)\W+", "")), 1, 180)
+    # outer explodes: Spark would compute the array of an inner one twice, once to ask whether it is empty
+    typed = said.withColumn("kinds", F.array_compact(F.array(*tests))).withColumn("key", key).withColumn("place", F.struct("at", "sentence"))
     same = Window.partitionBy("record", "key")
     result = F.exists("kinds", lambda k: k["kind"] == "result")
-    tried = typed.withColumn("_result", F.min(F.when(result, F.col("place"))).over(same)).withColumn("k", F.explode("kinds"))
-    open_ = tried.filter(~(F.col("k.kind").isin("method", "model") & F.coalesce(F.col("place") == F.col("_result"), F.lit(False))))
+    tried = typed.withColumn("_result", F.min(F.when(result, F.col("place"))).over(same)).withColumn("k", F.explode_outer("kinds"))
+    open_ = tried.filter(F.col("k").isNotNull() & ~(F.col("k.kind").isin("method", "model") & F.coalesce(F.col("place") == F.col("_result"), F.lit(False))))
     once = open_.withColumn("_n", F.row_number().over(Window.partitionBy("record", "key", "k.kind").orderBy("place"))).filter("_n = 1")
     kind, text = F.col("kind"), F.col("text")
     out = once.select("record", "place", "k.rank", "k.kind", "text", "section", "block_id", "sentence", "origin", "boxed").withColumn("label", label_of(kind, text)).withColumn("bad", invalid_label(F.col("label")))
@@ -277,7 +284,8 @@ def pair_relations(found: DataFrame, nodes: DataFrame) -> DataFrame:
         kinds.setdefault(a, []).append(F.struct(F.lit(b).alias("to"), F.lit(type_).alias("type")))
     spoken = F.array_compact(F.array(*[F.when(says(F.col("text"), CUES[t]), F.lit(t)) for t in dict.fromkeys(PAIRS.values())]))
     least = nodes.select("record", "node", F.col("ordinal").alias("first"), F.col("confidence").alias("sure"))
-    told = found.select("record", "node", "kind", "section", "block_id", "sentence", "origin", spoken.alias("cues")).join(least, ["record", "node"])
+    # cues are looked for once, not once for each side of each join
+    told = durable(found.select("record", "node", "kind", "section", "block_id", "sentence", "origin", spoken.alias("cues")).join(least, ["record", "node"]))
     left = told.withColumn("_", F.explode(lookup({k: F.array(*v) for k, v in kinds.items()}, F.col("kind")))).select(
         "record", "section", "block_id", F.col("_.to").alias("to"), F.col("_.type").alias("type"), *[F.col(c).alias(f"a_{c}") for c in ("node", "sentence", "origin", "cues", "first", "sure")]
     )
