@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import jaccard
+from ..storage import durable
 
 
 def dimension_matrix(items: DataFrame, papers: DataFrame, dimensions: list[str], top: int = 8) -> DataFrame:
@@ -59,25 +60,48 @@ def _any(low: Column, words) -> Column:
     return out
 
 
+#: Likenesses from which pairs are looked for, in turn, until enough are found (fixed values); what rounding may add to a likeness.
+ROUNDS, ROUNDING = (1.0, 0.8, 0.5), 0.0001
+
+
 def opposite_results(claims: DataFrame, least: float = 0.20, limit: int = 40) -> DataFrame:
     """(a, b, likeness): rising and falling claims of different records that share enough terms, the likest first.
 
     claims (id, record, polarity in up, down or both, terms array<string>); a
-    rises and b falls, and of two that do both the lesser id is a. Pairs meet on a
-    shared term. Two sets of which a share is common hold such a term among the
+    rises and b falls, and of two that do both the lesser id is a. Equal sets of
+    terms are one. Two sets of which a share is common hold such a term among the
     rarest ones (prefix filter): with likeness j, a set of n terms needs only its
-    n - ceil(j n) + 1 rarest to meet.
+    n - ceil(j n) + 1 rarest to meet. The likest pairs come first, so a round
+    that finds `limit` of them is the last. Of the claims of one set and polarity
+    the first `limit` of a record, and of those the first 2 `limit`, can be
+    among the first pairs: any other stands behind `limit` pairs of theirs.
     """
-    t = claims.filter("polarity IS NOT NULL").select("id", "record", "polarity", F.array_distinct("terms").alias("terms"))
-    df = t.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    each = t.select("id", F.size("terms").alias("n"), F.explode("terms").alias("term")).join(df, "term")
-    place = F.row_number().over(Window.partitionBy("id").orderBy("df", "term"))
-    prefix = each.withColumn("_p", place).filter(F.col("_p") <= F.col("n") - F.ceil(least * F.col("n")) + 1).select("id", "term")
-    side = lambda k, own: t.filter(F.col("polarity").isin(own, "both")).join(prefix, "id").select(F.col("id").alias(k), F.col("record").alias(f"r{k}"), (F.col("polarity") == "both").alias(f"m{k}"), "term", F.col("terms").alias(f"t{k}"))
-    fits = F.least(F.size("ta"), F.size("tb")) >= least * F.greatest(F.size("ta"), F.size("tb"))
+    known = claims.filter("polarity IS NOT NULL").select("id", "record", "polarity", F.sort_array(F.array_distinct("terms")).alias("terms")).filter(F.size("terms") > 0)
+    known = durable(known.withColumn("key", F.sha2(F.concat_ws(",", "terms"), 256)))
+    order = Window.partitionBy("key", "polarity", "record").orderBy("id")
+    mine = known.select("key", "id", "record", "polarity").distinct().withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= limit)
+    mine = durable(mine.withColumn("_n", F.row_number().over(Window.partitionBy("key", "polarity").orderBy("id", "record"))).filter(F.col("_n") <= 2 * limit).drop("_n"))
+    does = lambda own: F.max(F.col("polarity").isin(own, "both"))
+    sets = durable(known.groupBy("key").agg(F.first("terms").alias("terms"), does("up").alias("up"), does("down").alias("down")))
+    each = sets.select("key", "up", "down", F.size("terms").alias("n"), F.explode("terms").alias("term"))
+    df = each.groupBy("term").agg(F.count("*").alias("df"))
+    ranked = durable(each.join(df, "term").withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("df", "term"))))
+    side = lambda rows, own, k: rows.filter(own).select("term", *[F.col(c).alias(f"{k}_{c}") for c in ("key", "n", "place")])
+    member = lambda own, k: mine.filter(F.col("polarity").isin(own, "both")).select(F.col("key").alias(f"{k}_key"), F.col("id").alias(k), F.col("record").alias(f"r{k}"), (F.col("polarity") == "both").alias(f"m{k}"))
     once = ~(F.col("ma") & F.col("mb")) | (F.col("a") < F.col("b"))
-    scored = side("a", "up").join(side("b", "down"), "term").filter((F.col("ra") != F.col("rb")) & once & fits).withColumn("likeness", F.round(jaccard(F.col("ta"), F.col("tb")), 4)).filter(F.col("likeness") >= least)
-    return scored.select("a", "b", "likeness").distinct().orderBy(F.col("likeness").desc(), "a", "b").limit(limit)
+    for at in [r for r in ROUNDS if r > least] + [least]:
+        low = at - ROUNDING
+        prefix = ranked.filter(F.col("place") <= F.col("n") - F.ceil(low * F.col("n")) + 1)
+        # what the two can still have in common from their first common term on
+        rest = 1 + F.least(F.col("a_n") - F.col("a_place"), F.col("b_n") - F.col("b_place"))
+        fits = (F.least("a_n", "b_n") >= low * F.greatest("a_n", "b_n")) & (rest * (1 + low) >= low * (F.col("a_n") + F.col("b_n")))
+        near = side(prefix, "up", "a").join(side(prefix, "down", "b"), "term").filter(fits).select("a_key", "b_key").distinct()
+        texts = lambda k: sets.select(F.col("key").alias(f"{k}_key"), F.col("terms").alias(f"t{k}"))
+        alike = near.join(texts("a"), "a_key").join(texts("b"), "b_key").select("a_key", "b_key", F.round(jaccard(F.col("ta"), F.col("tb")), 4).alias("likeness")).filter(F.col("likeness") >= at)
+        pairs = alike.join(member("up", "a"), "a_key").join(member("down", "b"), "b_key").filter((F.col("ra") != F.col("rb")) & once)
+        found = durable(pairs.select("a", "b", "likeness").distinct().orderBy(F.col("likeness").desc(), "a", "b").limit(limit))
+        if at == least or found.count() >= limit:
+            return found.orderBy(F.col("likeness").desc(), "a", "b")
 
 
 def append_missing(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:

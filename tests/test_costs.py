@@ -8,7 +8,7 @@ import unicodedata
 from pyspark.sql import functions as F
 
 from paperweave.functions import text
-from paperweave.operators import extract
+from paperweave.operators import compare, extract
 
 
 def plan_of(df) -> str:
@@ -32,3 +32,18 @@ def test_folding_reads_the_text_only_where_it_has_to(spark):
         if form != chr(code) and (len(form) == 1 or form and form.isascii()):
             assert changed.fullmatch(chr(code))
     assert not changed.search("· ïé本文。")
+
+
+def test_opposite_results_of_copies_stay_few(spark, monkeypatch):
+    """2,000 copies of one claim are no four million pairs, and the first pairs are those of brute force."""
+    rows = [(i, i % 7, "both" if i % 3 == 0 else "up" if i % 3 == 1 else "down", ["alpha", "beta", "gamma"]) for i in range(2000)]
+    rows += [(3000 + i, 8, "up", ["alpha", "beta", "gamma", "delta", f"word{i}"]) for i in range(20)]
+    up = [r for r in rows if r[2] != "down"]
+    down = [r for r in rows if r[2] != "up"]
+    want = sorted((-1.0, a[0], b[0]) for a in up[:60] for b in down if a[3] == b[3] and a[1] != b[1] and (a[2] != "both" or b[2] != "both" or a[0] < b[0]))[:40]
+    stored = []
+    monkeypatch.setattr(compare, "durable", lambda df: stored.append(df) or df)
+    claims = spark.createDataFrame(rows, "id long, record long, polarity string, terms array<string>").repartition(2)
+    got = [(-r["likeness"], r["a"], r["b"]) for r in compare.opposite_results(claims).collect()]
+    assert got == want
+    assert max(d.count() for d in stored[1:2]) <= 3 * 80 + 80
