@@ -8,7 +8,7 @@ import unicodedata
 from pyspark.sql import functions as F
 
 from paperweave.functions import text
-from paperweave.operators import compare, extract
+from paperweave.operators import compare, extract, pairs, papers
 
 
 def plan_of(df) -> str:
@@ -47,3 +47,14 @@ def test_opposite_results_of_copies_stay_few(spark, monkeypatch):
     got = [(-r["likeness"], r["a"], r["b"]) for r in compare.opposite_results(claims).collect()]
     assert got == want
     assert max(d.count() for d in stored[1:2]) <= 3 * 80 + 80
+
+
+def test_pairs_are_dealt_once(spark):
+    """Pairs go through one shuffle, without a table of them before it, and nothing joins them afterwards."""
+    rows = spark.createDataFrame([(g, i) for g in range(20) for i in range(g % 5 + 2)], "g long, i long")
+    plan = pairs.shared_pairs(rows, "g", "i", 80)._jdf.queryExecution().optimizedPlan().toString()
+    last = plan.split("RepartitionByExpression")[0]
+    assert "Join" not in last and last.count("Aggregate") == 1
+    assert "RepartitionByExpression" in papers.collaboration(rows, "g", "i")._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r["a"], r["b"]): (r["shared"], r["score"]) for r in pairs.shared_pairs(rows, "g", "i", 80).collect()}
+    assert got[(0, 1)] == (20, 1.0) and got[(4, 5)] == (4, 0.5)
