@@ -8,7 +8,7 @@ import unicodedata
 from pyspark.sql import functions as F
 
 from paperweave.functions import text
-from paperweave.operators import compare, extract, pairs, papers
+from paperweave.operators import compare, extract, lookup, pairs, papers
 
 
 def plan_of(df) -> str:
@@ -58,3 +58,12 @@ def test_pairs_are_dealt_once(spark):
     assert "RepartitionByExpression" in papers.collaboration(rows, "g", "i")._jdf.queryExecution().optimizedPlan().toString()
     got = {(r["a"], r["b"]): (r["shared"], r["score"]) for r in pairs.shared_pairs(rows, "g", "i", 80).collect()}
     assert got[(0, 1)] == (20, 1.0) and got[(4, 5)] == (4, 0.5)
+
+
+def test_codes_make_no_pairs(spark):
+    """Metrics are one row a code before records join them; the first by order over all codes stays."""
+    records = spark.createDataFrame([(1, ["x", "y"], "n"), (2, ["z"], "n"), (3, [""], "m")], "id long, codes array<string>, name string")
+    metrics = spark.createDataFrame([(["x"], "n", 5, 50.0), (["y", "x"], "k", 3, 30.0), (["x"], "n", 4, 40.0), ([""], "q", 1, 10.0)], "codes array<string>, name string, ord long, value double")
+    out = lookup.two_tier(records, metrics, "id", "codes", "name", "ord", "value")
+    assert sorted((r["id"], r["value"], r["match"]) for r in out.collect()) == [(1, 30.0, "code"), (2, 40.0, "name"), (3, None, "none")]
+    assert plan_of(out).count("Aggregate [_c#") == 1
