@@ -310,12 +310,12 @@ def alias(value: Column, names: dict[str, str]) -> Column:
 
 def first_by_key(values: Column, key, most: int) -> Column:
     """The values of an array, of equal keys the first, `most` at the most; empty ones go."""
-    kept = F.filter(values, lambda v: F.length(F.trim(v)) > 0)
-    keys = F.transform(kept, lambda v: key(v))
-    return F.slice(F.filter(kept, lambda v, i: F.array_position(keys, F.get(keys, i)) == i + 1), 1, most)
+    def first(kept):
+        return bind(F.transform(kept, lambda v: key(v)), lambda keys: F.slice(F.filter(kept, lambda v, i: F.array_position(keys, F.get(keys, i)) == i + 1), 1, most))
+
+    return bind(F.filter(values, lambda v: F.length(F.trim(v)) > 0), first)
 
 
 def keyword_candidates(explicit: Column, matched: Column, title: Column, most: int = 10) -> Column:
     """Given keywords, matched ones, then phrases of the title; of equal terms the first."""
-    words = raw_terms(title)
-    return first_by_key(F.concat(F.coalesce(explicit, F.array().cast("array<string>")), F.coalesce(matched, F.array().cast("array<string>")), phrases(words)), lambda v: F.lower(F.trim(v)), most)
+    return first_by_key(F.concat(F.coalesce(explicit, F.array().cast("array<string>")), F.coalesce(matched, F.array().cast("array<string>")), bind(raw_terms(title), lambda words: phrases(words))), lambda v: F.lower(F.trim(v)), most)

@@ -125,4 +125,5 @@ def query_strings(spark, d):
 @query("""SELECT p_partkey, lower(p_type) <> lower(p_brand) AS known, lower(p_type) || '|' || lower(p_brand) AS first_two FROM part""")
 def keyword_lists(spark, d):
     k = text.keyword_candidates(F.array("p_type", "p_brand"), F.array("p_type"), F.col("p_name"))
-    return table(spark, d, "part").select("p_partkey", (F.size(k) >= 2).alias("known"), F.lower(F.concat_ws("|", F.get(k, 0), F.get(k, 1))).alias("first_two"))
+    first = text.bind(k, lambda k: F.struct((F.size(k) >= 2).alias("known"), F.lower(F.concat_ws("|", F.get(k, 0), F.get(k, 1))).alias("first_two")))
+    return table(spark, d, "part").select("p_partkey", first.alias("k")).select("p_partkey", "k.known", "k.first_two")
