@@ -112,15 +112,24 @@ def heading(text: Column) -> Column:
     return F.when(F.length(text) <= 200, F.coalesce(bind(fold(text), named), compact))
 
 
-def sections(blocks: DataFrame) -> DataFrame:
+def _texts(blocks: DataFrame) -> DataFrame:
+    """(raw, text, _h): each text of the blocks once, cleaned, and the section that it names as a heading."""
+    # outer: Spark would clean a text twice to see whether an inner explode has rows
+    cleaned = blocks.select(F.col("text").alias("raw")).distinct().withColumn("text", F.explode_outer(F.array(clean_text(F.col("raw")))))
+    return durable(cleaned.withColumn("_h", heading(F.col("text"))))
+
+
+def sections(blocks: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """blocks (record, page, block, text, and bbox and height where known) with `section`, that of the last heading, null before the first.
 
     Headings and references go, as do texts of 2 to 120 characters that stand in
     the upper or lower 12 % of pages as often as on 30 % of them, three times at least.
+    Texts that blocks share are cleaned once; `known` is the table of them where it is there.
     """
+    known = _texts(blocks) if known is None else known
     # a record's blocks meet once, over as many tasks as a shuffle has; their few bytes would otherwise go to few tasks
-    dealt = blocks.repartition(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), "record")
-    rows = dealt.withColumn("text", F.explode(F.array(clean_text(F.col("text"))))).filter("text != ''")
+    dealt = blocks.repartition(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), "record").withColumnRenamed("text", "_raw")
+    rows = dealt.join(known, F.col("_raw").eqNullSafe(F.col("raw"))).drop("_raw", "raw").filter("text != ''")
     if {"bbox", "height"} <= set(blocks.columns):
         at = lambda i: F.get("bbox", F.lit(i))
         margin = (F.size("bbox") >= 4) & (F.col("height") > 0) & ((at(1) <= 0.12 * F.col("height")) | (at(3) >= 0.88 * F.col("height"))) & F.length("text").between(2, 120)
@@ -129,7 +138,7 @@ def sections(blocks: DataFrame) -> DataFrame:
         often = rows.groupBy("record", low).agg(F.count_if(margin).alias("_n")).filter("_n > 2").join(pages, "record").filter(F.col("_n") >= F.floor(F.col("_pages") * 0.30 + 0.999))
         rows = rows.withColumn("_low", F.lower("text")).join(often.select("record", "_low"), ["record", "_low"], "left_anti").drop("_low")
     w = Window.partitionBy("record").orderBy("page", "block").rowsBetween(Window.unboundedPreceding, 0)
-    named = rows.withColumn("_h", heading(F.col("text"))).withColumn("section", F.last("_h", ignorenulls=True).over(w))
+    named = rows.withColumn("section", F.last("_h", ignorenulls=True).over(w))
     return named.filter("_h IS NULL AND coalesce(section, '') != 'References'").drop("_h")
 
 
@@ -148,12 +157,30 @@ def label_of(kind: Column, sentence: Column) -> Column:
     return F.coalesce(named, other)
 
 
-def confidence(kind: Column, sentence: Column, section: Column, boxed: Column) -> Column:
+def confidence(kind: Column, claims: Column, section: Column, boxed: Column) -> Column:
     """0.58, and more in a section of work done, in that of the kind, in the authors' own words, with a place on the page; 0.95 at most."""
     name = F.lower(F.coalesce(section, F.lit("")))
     done = F.when(name.isin("method", "experiment", "results", "discussion", "conclusion"), 0.08).otherwise(0.0)
     fits = F.when(F.contains(name, kind) | ((kind == "result") & section.isin("Results", "Conclusion")), 0.10).otherwise(0.0)
-    return F.round(F.least(F.lit(0.95), 0.58 + done + fits + F.when(says(sentence, CLAIM), 0.08).otherwise(0.0) + F.when(boxed, 0.05).otherwise(0.0)), 3)
+    return F.round(F.least(F.lit(0.95), 0.58 + done + fits + F.when(claims, 0.08).otherwise(0.0) + F.when(boxed, 0.05).otherwise(0.0)), 3)
+
+
+def _told(texts: DataFrame) -> DataFrame:
+    """What the sentences of texts are: (whole, sentence, said, key, rank, kind, label, bad, claims, future), a row a sentence and kind.
+
+    Nothing of it depends on the record, so texts that records share are looked at once.
+    """
+    tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    said = texts.repartition(tasks, "text").select(F.col("text").alias("whole"), F.posexplode_outer(sentences(F.col("text"))).alias("sentence", "text")).filter("text IS NOT NULL")
+    said = said.withColumn("folded", fold(F.col("text")))
+    limits, measured = says(F.col("folded"), LIMITATION), says(F.col("folded"), NUMERIC)
+    tests = [F.when((says(F.col("text"), p) | measured) & ~limits if k == "result" else says(F.col("text"), p), F.struct(F.lit(i).alias("rank"), F.lit(k).alias("kind"))) for i, (k, p) in enumerate(KINDS.items())]
+    key = F.substring(F.when(ascii_only(F.col("text")), F.regexp_replace(F.lower("text"), r"\W+", "")).otherwise(F.regexp_replace(F.lower("text"), r"(?U)\W+", "")), 1, 180)
+    # outer explodes: Spark would compute the array of an inner one twice, once to ask whether it is empty
+    typed = said.withColumn("kinds", F.array_compact(F.array(*tests))).withColumn("key", key).withColumn("k", F.explode_outer("kinds")).filter("k IS NOT NULL")
+    kind, text = F.col("kind"), F.col("said")
+    out = typed.select("whole", "sentence", F.col("text").alias("said"), "key", "k.rank", "k.kind")
+    return out.withColumn("label", label_of(kind, text)).withColumn("bad", invalid_label(F.col("label"))).withColumn("claims", says(text, CLAIM)).withColumn("future", (kind == "futurework") & says(fold(text), FUTURE))
 
 
 def mentions(blocks: DataFrame, metadata: DataFrame | None = None, elements: DataFrame | None = None) -> DataFrame:
@@ -167,33 +194,28 @@ def mentions(blocks: DataFrame, metadata: DataFrame | None = None, elements: Dat
     Lowered confidence has its reason in `review`. Blank texts and null records'
     rows are treated as others; an empty table gives an empty table.
     """
-    named = sections(blocks)
+    known = _texts(blocks)
+    named = sections(blocks, known)
     boxed = F.size("bbox") >= 4 if "bbox" in named.columns else F.lit(False)
     place = [F.col("page").cast("long"), F.col("block").cast("long")]
     name = F.concat(F.lit("page-"), F.col("page").cast("string"), F.lit("-block-"), F.col("block").cast("string"))
     parts = named.select("record", F.lit("pdf").alias("origin"), F.struct(F.lit(0).alias("m"), *[p.alias(x) for p, x in zip(place, "pb", strict=True)]).alias("at"), name.alias("block_id"), "section", F.coalesce(boxed, F.lit(False)).alias("boxed"), "text")
+    texts = known.filter("_h IS NULL").select("text")
     if metadata is not None:
         for i, (column, source, section) in enumerate((("abstract", "metadata.abstract", "Abstract"), ("summary", "metadata.contentSummary", "Summary"))):
             at = F.struct(F.lit(1).alias("m"), F.lit(-1).cast("long").alias("p"), F.lit(i).cast("long").alias("b"))
             parts = parts.unionByName(metadata.select("record", F.lit("metadata").alias("origin"), at.alias("at"), F.lit(source).alias("block_id"), F.lit(section).alias("section"), F.lit(False).alias("boxed"), clean_text(F.col(column)).alias("text")))
-    said = parts.select("*", F.posexplode_outer(sentences(F.col("text"))).alias("sentence", "said")).filter("said IS NOT NULL").drop("text").withColumnRenamed("said", "text")
-    said = said.withColumn("folded", fold(F.col("text")))
-    limits, measured = says(F.col("folded"), LIMITATION), says(F.col("folded"), NUMERIC)
-    tests = [F.when((says(F.col("text"), p) | measured) & ~limits if k == "result" else says(F.col("text"), p), F.struct(F.lit(i).alias("rank"), F.lit(k).alias("kind"))) for i, (k, p) in enumerate(KINDS.items())]
-    key = F.substring(F.when(ascii_only(F.col("text")), F.regexp_replace(F.lower("text"), r"\W+", "")).otherwise(F.regexp_replace(F.lower("text"), r"(?U)\W+", "")), 1, 180)
-    # outer explodes: Spark would compute the array of an inner one twice, once to ask whether it is empty
-    typed = said.withColumn("kinds", F.array_compact(F.array(*tests))).withColumn("key", key).withColumn("place", F.struct("at", "sentence"))
+            texts = texts.unionByName(metadata.select(F.col(column).alias("text")).distinct().select(clean_text(F.col("text")).alias("text")))
+    typed = parts.join(_told(texts.distinct()).withColumnRenamed("whole", "text"), "text").drop("text").withColumn("place", F.struct("at", "sentence"))
     same = Window.partitionBy("record", "key")
-    result = F.exists("kinds", lambda k: k["kind"] == "result")
-    tried = typed.withColumn("_result", F.min(F.when(result, F.col("place"))).over(same)).withColumn("k", F.explode_outer("kinds"))
-    open_ = tried.filter(F.col("k").isNotNull() & ~(F.col("k.kind").isin("method", "model") & F.coalesce(F.col("place") == F.col("_result"), F.lit(False))))
-    once = open_.withColumn("_n", F.row_number().over(Window.partitionBy("record", "key", "k.kind").orderBy("place"))).filter("_n = 1")
-    kind, text = F.col("kind"), F.col("text")
-    out = once.select("record", "place", "k.rank", "k.kind", "text", "section", "block_id", "sentence", "origin", "boxed").withColumn("label", label_of(kind, text)).withColumn("bad", invalid_label(F.col("label")))
-    sure = confidence(kind, text, F.col("section"), F.col("boxed"))
-    sure = F.when((kind == "futurework") & ~says(fold(text), FUTURE), F.least(sure, F.lit(0.62))).otherwise(sure)
-    out = out.withColumn("confidence", F.when(F.col("bad").isNotNull(), F.least(sure, F.lit(0.55))).otherwise(sure))
-    out = out.select("record", "place", "rank", kind, "label", "text", "confidence", "section", "block_id", "sentence", "origin", F.array_compact(F.array("bad")).alias("review"))
+    tried = typed.withColumn("_result", F.min(F.when(F.col("kind") == "result", F.col("place"))).over(same))
+    open_ = tried.filter(~(F.col("kind").isin("method", "model") & F.coalesce(F.col("place") == F.col("_result"), F.lit(False))))
+    once = open_.withColumn("_n", F.row_number().over(Window.partitionBy("record", "key", "kind").orderBy("place"))).filter("_n = 1")
+    kind = F.col("kind")
+    sure = confidence(kind, F.col("claims"), F.col("section"), F.col("boxed"))
+    sure = F.when((kind == "futurework") & ~F.col("future"), F.least(sure, F.lit(0.62))).otherwise(sure)
+    out = once.withColumn("confidence", F.when(F.col("bad").isNotNull(), F.least(sure, F.lit(0.55))).otherwise(sure))
+    out = out.select("record", "place", "rank", kind, "label", F.col("said").alias("text"), "confidence", "section", "block_id", "sentence", "origin", F.array_compact(F.array("bad")).alias("review"))
     if elements is not None:
         out = out.unionByName(_element_mentions(elements, named))
     ordinal = F.row_number().over(Window.partitionBy("record").orderBy("place", "rank")).cast("long")
@@ -222,8 +244,12 @@ def _element_mentions(elements: DataFrame, named: DataFrame) -> DataFrame:
 
 def with_nodes(found: DataFrame) -> DataFrame:
     """Mentions with `name`, their canonical label, and `node`, kind:record:key; mentions of one kind and key are one entity of the record."""
-    keyed = bind(canonical_label(F.col("label"), F.col("kind")), lambda n: F.struct(n.alias("name"), F.coalesce(F.nullif(semantic_key(n), F.lit("")), semantic_key(F.substring("text", 1, 120))).alias("key")))
-    named = found.withColumn("_n", keyed)
+    found = durable(found)
+    own = [F.col("kind").alias("_kind"), F.col("label").alias("_label"), F.substring("text", 1, 120).alias("_start")]
+    same = [F.col("kind").eqNullSafe(F.col("_kind")), F.col("label").eqNullSafe(F.col("_label")), F.substring("text", 1, 120).eqNullSafe(F.col("_start"))]
+    keyed = bind(canonical_label(F.col("_label"), F.col("_kind")), lambda n: F.struct(n.alias("name"), F.coalesce(F.nullif(semantic_key(n), F.lit("")), semantic_key(F.col("_start"))).alias("key")))
+    # mentions that are called alike are named once
+    named = found.join(found.select(*own).distinct().withColumn("_n", keyed), same).drop("_kind", "_label", "_start")
     return named.withColumn("name", F.col("_n.name")).withColumn("node", F.concat_ws(":", "kind", F.col("record").cast("string"), "_n.key")).drop("_n")
 
 
@@ -244,12 +270,14 @@ def entities(found: DataFrame) -> DataFrame:
         F.min_by("text", "ordinal").alias("text"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("review")))).alias("review"),
     )
+    labels = found.select(F.col("name").alias("_label")).distinct().withColumn("_generic", generic_label(F.col("_label"))).withColumn("_bad", invalid_label(F.col("_label")))
+    of = of.join(labels, F.col("label").eqNullSafe(F.col("_label"))).drop("_label")
     reviewed = F.col("kind").isin(*REVIEWED)
     sure = F.least(F.lit(0.98), F.col("best") + F.least(F.lit(0.08), 0.02 * (F.col("mentions") - 1)))
-    sure = F.round(F.when(reviewed & generic_label(F.col("label")), F.least(sure, F.lit(0.55))).otherwise(sure), 3)
-    bad = F.when(reviewed, invalid_label(F.col("label")))
+    sure = F.round(F.when(reviewed & F.col("_generic"), F.least(sure, F.lit(0.55))).otherwise(sure), 3)
+    bad = F.when(reviewed, F.col("_bad"))
     reasons = F.array_sort(F.array_distinct(F.array_compact(F.concat("review", F.array(bad, F.when(sure < 0.6, "low_confidence"))))))
-    out = of.withColumn("confidence", sure).withColumn("review", reasons).drop("best")
+    out = of.withColumn("confidence", sure).withColumn("review", reasons).drop("best", "_generic", "_bad")
     return out.withColumn("needs_review", F.size("review") > 0)
 
 
@@ -282,10 +310,12 @@ def pair_relations(found: DataFrame, nodes: DataFrame) -> DataFrame:
     kinds = {}
     for (a, b), type_ in PAIRS.items():
         kinds.setdefault(a, []).append(F.struct(F.lit(b).alias("to"), F.lit(type_).alias("type")))
-    spoken = F.array_compact(F.array(*[F.when(says(F.col("text"), CUES[t]), F.lit(t)) for t in dict.fromkeys(PAIRS.values())]))
+    spoken = F.array_compact(F.array(*[F.when(says(F.col("_text"), CUES[t]), F.lit(t)) for t in dict.fromkeys(PAIRS.values())]))
     least = nodes.select("record", "node", F.col("ordinal").alias("first"), F.col("confidence").alias("sure"))
-    # cues are looked for once, not once for each side of each join
-    told = durable(found.select("record", "node", "kind", "section", "block_id", "sentence", "origin", spoken.alias("cues")).join(least, ["record", "node"]))
+    # cues are looked for once a text, not once for each side of each join
+    cues = found.select(F.col("text").alias("_text")).distinct().select("_text", spoken.alias("cues"))
+    told = found.join(cues, F.col("text").eqNullSafe(F.col("_text"))).select("record", "node", "kind", "section", "block_id", "sentence", "origin", "cues")
+    told = durable(told.join(least, ["record", "node"]))
     left = told.withColumn("_", F.explode(lookup({k: F.array(*v) for k, v in kinds.items()}, F.col("kind")))).select(
         "record", "section", "block_id", F.col("_.to").alias("to"), F.col("_.type").alias("type"), *[F.col(c).alias(f"a_{c}") for c in ("node", "sentence", "origin", "cues", "first", "sure")]
     )

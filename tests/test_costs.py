@@ -67,3 +67,25 @@ def test_codes_make_no_pairs(spark):
     out = lookup.two_tier(records, metrics, "id", "codes", "name", "ord", "value")
     assert sorted((r["id"], r["value"], r["match"]) for r in out.collect()) == [(1, 30.0, "code"), (2, 40.0, "name"), (3, None, "none")]
     assert plan_of(out).count("Aggregate [_c#") == 1
+
+
+def test_texts_that_records_share_are_looked_at_once(spark):
+    """Kinds, headings, names and cues of equal texts are computed on distinct texts, and mentions are those of each record by itself."""
+    said = [(0, "1. Methods"), (1, "We propose the AlphaNet method for cells of all kinds. Accuracy improved by 5 points with it."), (2, "We propose the AlphaNet method for cells of all kinds.")]
+    rows = [(r, 1, b, t) for r in range(40) for b, t in said]
+    blocks = spark.createDataFrame(rows, "record int, page int, block int, text string")
+    found = extract.mentions(blocks)
+    plan = plan_of(found)
+    told = plan[plan.index("(?i)" + extract.KINDS["contribution"]) :]
+    assert "Aggregate [text#" in told or "Aggregate [raw#" in told
+    own = lambda df: sorted(tuple(r[c] for c in df.columns if c != "record") for r in df.collect())
+    one = own(extract.mentions(blocks.filter("record = 7")))
+    assert one and own(found) == sorted(one * 40)
+
+
+def test_keyword_candidates_are_computed_once(spark):
+    """Words of a title are looked for once a row, however many candidates there are."""
+    rows = spark.createDataFrame([(["b", "A"], ["a"], "Deep deep sea cold sea")], "e array<string>, m array<string>, t string")
+    out = rows.select(text.keyword_candidates(F.col("e"), F.col("m"), F.col("t")).alias("k"))
+    assert out.first()["k"] == ["b", "A", "deep sea cold", "deep sea", "sea cold"]
+    assert plan_of(out).count("regexp_extract_all") == 1
