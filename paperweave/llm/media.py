@@ -285,7 +285,7 @@ def text_to_avi(docs: DataFrame) -> DataFrame:
 BROKEN = (ValueError, IndexError, KeyError, struct.error)
 
 
-def _samples(files: list[bytes]) -> list[np.ndarray | None]:
+def _all_samples(files: list[bytes]) -> list[np.ndarray | None]:
     """The frames of each file as one array, None for a file that cannot be read; all files are decoded at once unless one is broken."""
     images = []
     for m in files:
@@ -301,7 +301,7 @@ def _samples(files: list[bytes]) -> list[np.ndarray | None]:
             at += len(own or ())
         return out
     except BROKEN:
-        return [None] if len(files) == 1 else [s for m in files for s in _samples([m])]
+        return [None] if len(files) == 1 else [s for m in files for s in _all_samples([m])]
 
 
 def avi_clips(media: DataFrame) -> DataFrame:
@@ -331,7 +331,7 @@ def avi_clips(media: DataFrame) -> DataFrame:
             files = batch.column("media").to_pylist()
             for a, b in slices([len(m or b"") for m in files], SLICE):
                 rows = []
-                for m, frames in zip(files[a:b], _samples([m or b"" for m in files[a:b]]), strict=True):
+                for m, frames in zip(files[a:b], _all_samples([m or b"" for m in files[a:b]]), strict=True):
                     if frames is None:
                         rows.append((None, None, None, None, None, [], "none") if m is None else (None, None, None, len(m), hashlib.sha256(m).hexdigest(), [], "broken"))
                         continue
