@@ -8,7 +8,7 @@ import unicodedata
 from pyspark.sql import functions as F
 
 from paperweave.functions import text
-from paperweave.operators import compare, extract, lookup, pairs, papers
+from paperweave.operators import compare, elements, extract, graphs, layout, lookup, pairs, papers, vectors
 
 
 def plan_of(df) -> str:
@@ -89,3 +89,43 @@ def test_keyword_candidates_are_computed_once(spark):
     out = rows.select(text.keyword_candidates(F.col("e"), F.col("m"), F.col("t")).alias("k"))
     assert out.first()["k"] == ["b", "A", "deep sea cold", "deep sea", "sea cold"]
     assert plan_of(out).count("regexp_extract_all") == 1
+
+
+def test_weights_are_counted_once(spark):
+    """Terms are looked for once, not again for documents, for terms and for weights."""
+    docs = spark.createDataFrame([(1, ["a", "b", "a"]), (2, ["b"])], "id long, terms array<string>")
+    assert "Generate" not in plan_of(vectors.tfidf(vectors.term_counts(docs, "id", "terms"), "id"))
+
+
+def test_axes_are_dealt_and_tried_together(spark):
+    rows = [(a, float(8 * i), float(2 * i + 1 if i % 3 else 40 + a)) for a in range(30) for i in range(6 + a % 2)]
+    out = elements.robust_line(spark.createDataFrame(rows, "axis long, x double, y double"), "axis", "x", "y")
+    assert "RepartitionByExpression" in plan_of(out)
+    assert sorted((r["axis"], r["slope"], r["intercept"], r["inliers"]) for r in out.collect()) == [(a, 0.25, 1.0, 4) for a in range(30)]
+
+
+def test_paths_stop_at_their_end(spark):
+    line = spark.createDataFrame([(i, i + 1) for i in range(12)], "source long, target long")
+    assert max(r["depth"] for r in graphs.bfs(line, 0, local=0, goal=3).collect()) == 3
+    assert [r["id"] for r in graphs.shortest_path(line, 0, 3, local=0).orderBy("position").collect()] == [0, 1, 2, 3]
+
+
+def test_rounds_of_lines_follow_their_length(spark, monkeypatch):
+    """Pointers double until the lines end, whatever their number; papers on a ring and behind it come last."""
+    rings = [(5001, 5000), (5000, 5001), (5002, 5001)]
+    links = spark.createDataFrame([(10 * i + k + 1, 10 * i + k) for i in range(300) for k in range(3)] + rings, "source long, target long")
+    every = spark.createDataFrame([(i, 2000) for i in [*range(3000), 5000, 5001, 5002]], "id long, year int")
+    stored = []
+    real = papers.durable
+    monkeypatch.setattr(papers, "durable", lambda df: stored.append(df) or real(df))
+    got = {(r["from"], r["id"]) for r in papers.causal_links(links, every).collect()}
+    assert got == {(10 * i + k, 10 * i + k + 1) for i in range(300) for k in range(3)} | {(5000, 5001), (5001, 5002)}
+    assert len(stored) <= 12
+
+
+def test_comparison_broadcasts_nothing(spark):
+    row = spark.createDataFrame([(1, 0, 0, "a", "table")], "doc long, page int, pos int, id string, kind string")
+    e = layout.evaluate(row, row)
+    for df in (e.matches, e.by_kind, e.summary):
+        df.collect()
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
