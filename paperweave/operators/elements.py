@@ -76,41 +76,72 @@ NEAR_UNITS, NEAR_STEPS = 0.18, 0.18
 NEAR_TICKS, NEAR_SHARE = 3, 0.45
 
 
-def _best_line(x: np.ndarray, y: np.ndarray) -> tuple[float, float, int] | None:
-    """Slope, intercept and near ticks; of lines with as many near ticks the one with the least mean error, then the flattest, then the first."""
-    n = len(x)
-    if n < NEAR_TICKS:
-        return None
-    spacing = float(np.median(np.diff(x)))
-    best = None
+#: Numbers of one array while lines of several axes are tried together.
+AT_ONCE = 1_000_000
+
+
+def _best_lines(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Slopes, intercepts and numbers of near ticks of axes with as many ticks each, 0 ticks for none.
+
+    Of an axis's lines with as many near ticks the one with the least mean error, then the flattest, then the first, is refitted on those.
+    """
+    k, n = x.shape
+    spacing = np.median(np.diff(x, axis=1), axis=1)
+    most, error, flat = np.full(k, max(NEAR_TICKS, math.ceil(n * NEAR_SHARE)) - 1), np.full(k, -np.inf), np.zeros(k)
+    ticks = np.zeros((k, n), bool)
+    rows = np.arange(k)
     for i in range(n - 1):
-        dx = x[i + 1 :] - x[i]
-        far = np.abs(dx) >= max(PAIR_PIXELS, spacing * PAIR_SPACINGS)
-        slope = (y[i + 1 :][far] - y[i]) / dx[far]
-        slope = slope[np.abs(slope) >= 1e-12]
-        error = np.abs(y - (slope[:, None] * (x - x[i]) + y[i]))
-        near = error <= np.maximum(NEAR_UNITS, np.abs(slope) * spacing * NEAR_STEPS)[:, None]
-        count = near.sum(1)
-        for k in np.flatnonzero(count >= max(NEAR_TICKS, math.ceil(n * NEAR_SHARE))):
-            rank = (int(count[k]), -round(float(error[k][near[k]].mean()), 12), -abs(float(slope[k])))
-            if best is None or rank > best[0]:
-                best = (rank, near[k])
-    if best is None:
-        return None
-    slope, intercept = np.polyfit(x[best[1]], y[best[1]], 1)
-    return float(slope), float(intercept), int(best[1].sum())
+        dx = x[:, i + 1 :] - x[:, i : i + 1]
+        slope = (y[:, i + 1 :] - y[:, i : i + 1]) / dx
+        steep = np.abs(slope)
+        off = np.abs(y[:, None] - (slope[:, :, None] * (x - x[:, i : i + 1])[:, None] + y[:, i : i + 1, None]))
+        near = off <= np.maximum(NEAR_UNITS, steep * spacing[:, None] * NEAR_STEPS)[:, :, None]
+        count = np.where((np.abs(dx) >= np.maximum(PAIR_PIXELS, spacing * PAIR_SPACINGS)[:, None]) & (steep >= 1e-12), near.sum(2), -1)
+        best = count.max(1)
+        mean = np.where(count == best[:, None], np.round(np.where(near, off, 0.0).sum(2) / np.maximum(count, 1), 12), np.inf)
+        least = mean.min(1)
+        level = np.where(mean == least[:, None], steep, np.inf)
+        at = level.argmin(1)
+        lowest = level[rows, at]
+        better = (best > most) | ((best == most) & ((least < error) | ((least == error) & (lowest < flat))))
+        most, error, flat = np.where(better, best, most), np.where(better, least, error), np.where(better, lowest, flat)
+        ticks = np.where(better[:, None], near[rows, at], ticks)
+    number = ticks.sum(1)
+    mean = lambda v: np.where(ticks, v, 0.0).sum(1) / np.maximum(number, 1)
+    mx, my = mean(x), mean(y)
+    dx, dy = (np.where(ticks, v - m[:, None], 0.0) for v, m in ((x, mx), (y, my)))
+    slope = (dx * dy).sum(1) / (dx * dx).sum(1)
+    return slope, my - slope * mx, number
+
+
+def _lines(px: np.ndarray, py: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Places of the axes that have a line, and its slope, intercept and near ticks; axes of as many ticks are tried together."""
+    size = np.diff(offsets)
+    out = [(np.zeros(0, np.int64), np.zeros(0), np.zeros(0), np.zeros(0, np.int64))]
+    for n in np.unique(size[size >= NEAR_TICKS]):
+        own = np.flatnonzero(size == n)
+        step = max(1, AT_ONCE // int(n * n))
+        for part in (own[a : a + step] for a in range(0, len(own), step)):
+            at = offsets[part][:, None] + np.arange(n)
+            with np.errstate(all="ignore"):
+                slope, intercept, near = _best_lines(px[at], py[at])
+            kept = near > 0
+            out.append((part[kept], slope[kept], intercept[kept], near[kept]))
+    return tuple(map(np.concatenate, zip(*out, strict=True)))
 
 
 def robust_line(points: DataFrame, by: str, x: str, y: str) -> DataFrame:
     """(by, slope, intercept, inliers): of the lines through two ticks of an axis the one that most ticks are near, refitted on those.
 
     Axes without such a line give no row; ticks without a place or a value do
-    not count. The pairs of one axis are tried one tick at a time, whatever
-    their number.
+    not count. The pairs are tried one tick at a time, whatever their number,
+    for all axes of a batch that have as many ticks.
     """
     import pyarrow as pa
 
-    listed = points.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(by).agg(F.sort_array(F.collect_list(F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")))).alias("p"))
+    # the ticks' few bytes would go to few tasks
+    dealt = points.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).repartition(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), by)
+    listed = dealt.groupBy(by).agg(F.sort_array(F.collect_list(F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")))).alias("p"))
     schema = T.StructType([points.schema[by], T.StructField("slope", T.DoubleType()), T.StructField("intercept", T.DoubleType()), T.StructField("inliers", T.LongType())])
 
     def run(batches):
@@ -118,10 +149,8 @@ def robust_line(points: DataFrame, by: str, x: str, y: str) -> DataFrame:
             ticks = batch.column("p")
             offsets = ticks.offsets.to_numpy()
             px, py = (ticks.values.field(k).to_numpy() for k in (0, 1))
-            lines = [_best_line(px[a:b], py[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            keep = pa.array([i for i, line in enumerate(lines) if line], pa.int64())
-            slope, intercept, near = zip(*[line for line in lines if line], strict=True) if len(keep) else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(by).take(keep), pa.array(slope, pa.float64()), pa.array(intercept, pa.float64()), pa.array(near, pa.int64())], schema.names)
+            keep, slope, intercept, near = _lines(px, py, offsets)
+            yield pa.RecordBatch.from_arrays([batch.column(by).take(pa.array(keep)), pa.array(slope), pa.array(intercept), pa.array(near, pa.int64())], schema.names)
 
     found = listed.mapInArrow(run, schema)
     return found.select(by, F.round("slope", 6).alias("slope"), F.round("intercept", 6).alias("intercept"), "inliers")
