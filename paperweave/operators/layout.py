@@ -425,9 +425,11 @@ def evaluate(expected: DataFrame, actual: DataFrame, least: dict[str, float] | N
     figures, charts and formulas count.
     """
     floor = LEAST | (least or {})
+    # all sides grow with the documents: none goes through the driver to be broadcast while its file is small
+    grows = lambda df: df.hint("merge")
     shape = F.col("shape").cast("array<int>") if "shape" in expected.columns else F.lit(None).cast("array<int>")
     shaped = expected.select("doc", F.coalesce("page", F.lit(0)).alias("page"), "pos", F.col("id").cast("string").alias("id"), shape.alias("shape"))
-    want = elements_of(expected).filter(F.col("kind").isin(*COMPARED)).join(shaped, [*PAGE, "pos", "id"], "left")
+    want = elements_of(expected).filter(F.col("kind").isin(*COMPARED)).join(grows(shaped), [*PAGE, "pos", "id"], "left")
     want, have = durable(want), durable(elements_of(actual).filter(F.col("kind").isin(*COMPARED)))
     told = lambda v: _or(v["latex"], v["text"])
     formula = F.col("kind") == "formula"
@@ -436,12 +438,12 @@ def evaluate(expected: DataFrame, actual: DataFrame, least: dict[str, float] | N
     y = have.select(*PAGE, "kind", F.col("pos").alias("a_pos"), F.struct("pos", "id").alias("a"), seen.alias("y"))
     X, Y = F.col("x"), F.col("y")
     alike = F.greatest(loose_likeness(X["caption"], Y["caption"]), loose_likeness(X["told"], Y["told"]))
-    scored = x.join(y, [*PAGE, "kind"]).withColumn("score", F.greatest(F.when(X["id"] == Y["id"], 1.0), _shared(X["at"], Y["at"]), alike * 0.92))
+    scored = x.join(grows(y), [*PAGE, "kind"]).withColumn("score", F.greatest(F.when(X["id"] == Y["id"], 1.0), _shared(X["at"], Y["at"]), alike * 0.92))
     need = F.when(formula & X["at"].isNull(), floor["latex"]).otherwise(floor["box"])
     pairs = scored.filter(F.col("score") >= F.greatest(need, F.lit(math.ulp(0.0))))
     taken = durable(take_in_order(pairs.select(*PAGE, "kind", "e", "e_pos", "a", "a_pos", "score"), [*PAGE, "kind"]))
     whole = lambda df, name, at: df.select(*PAGE, "kind", F.struct("pos", "id").alias(at), F.struct(*[c for c in df.columns if c not in ("doc", "page", "kind")]).alias(name))
-    both = taken.join(whole(want, "w", "e"), [*PAGE, "kind", "e"]).join(whole(have, "h", "a"), [*PAGE, "kind", "a"])
+    both = grows(taken).join(grows(whole(want, "w", "e")), [*PAGE, "kind", "e"]).join(grows(whole(have, "h", "a")), [*PAGE, "kind", "a"])
     W, H = F.col("w"), F.col("h")
     rows, columns = table_shape(H["cells"])
     own_rows, own_columns = table_shape(W["cells"])
@@ -458,12 +460,12 @@ def evaluate(expected: DataFrame, actual: DataFrame, least: dict[str, float] | N
     codes = F.explode(F.array_compact(F.array(*[F.when(F.coalesce(t, F.lit(False)), F.lit(c)) for c, t in tests])))
     none = F.lit(None).cast("string")
     issues = both.select(*PAGE, "kind", codes.alias("code"), F.lit("error").alias("severity"), F.col("e.id").alias("expected"), F.col("a.id").alias("actual"))
-    missing = want.withColumn("e", F.struct("pos", "id")).join(taken, [*PAGE, "kind", "e"], "left_anti")
-    extra = have.withColumn("a", F.struct("pos", "id")).join(taken, [*PAGE, "kind", "a"], "left_anti")
+    missing = want.withColumn("e", F.struct("pos", "id")).join(grows(taken), [*PAGE, "kind", "e"], "left_anti")
+    extra = have.withColumn("a", F.struct("pos", "id")).join(grows(taken), [*PAGE, "kind", "a"], "left_anti")
     issues = issues.unionByName(missing.select(*PAGE, "kind", F.lit("missing_element").alias("code"), F.lit("error").alias("severity"), F.col("id").alias("expected"), none.alias("actual")))
     issues = issues.unionByName(extra.select(*PAGE, "kind", F.lit("unexpected_element").alias("code"), F.lit("warning").alias("severity"), none.alias("expected"), F.col("id").alias("actual")))
     count = lambda df, name: df.groupBy("doc", "kind").agg(F.count(F.lit(1)).alias(name))
-    by_kind = count(want, "expected").join(count(have, "actual"), ["doc", "kind"], "full").join(count(taken, "matched"), ["doc", "kind"], "left").fillna(0, ["expected", "actual", "matched"])
+    by_kind = grows(count(want, "expected")).join(grows(count(have, "actual")), ["doc", "kind"], "full").join(grows(count(taken, "matched")), ["doc", "kind"], "left").fillna(0, ["expected", "actual", "matched"])
     uneven = by_kind.filter("expected != actual").select("doc", F.lit(None).cast(want.schema["page"].dataType).alias("page"), "kind", F.lit("count_mismatch").alias("code"), F.lit("error").alias("severity"), none.alias("expected"), none.alias("actual"))
     w = Window.partitionBy("doc").orderBy("e.pos")
     back = taken.withColumn("_before", F.lag("a.pos").over(w)).filter(F.col("a.pos") < F.col("_before")).select("doc").distinct()
@@ -473,7 +475,7 @@ def evaluate(expected: DataFrame, actual: DataFrame, least: dict[str, float] | N
     told_of = issues.groupBy("doc").agg(F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings"), F.count_if(F.col("code") == "missing_element").alias("missing"), F.count_if(F.col("code") == "unexpected_element").alias("unexpected"))
     totals = by_kind.groupBy("doc").agg(*[F.sum(c).alias(c) for c in ("expected", "actual", "matched")])
     overlap = matches.groupBy("doc").agg(F.round(F.avg("overlap"), 3).alias("overlap"))
-    summary = totals.join(told_of, "doc", "left").fillna(0, ["errors", "warnings", "missing", "unexpected"]).join(overlap, "doc", "left").withColumn("passed", F.col("errors") == 0)
+    summary = totals.join(grows(told_of), "doc", "left").fillna(0, ["errors", "warnings", "missing", "unexpected"]).join(grows(overlap), "doc", "left").withColumn("passed", F.col("errors") == 0)
     return Evaluation(matches, issues, by_kind, summary)
 
 
