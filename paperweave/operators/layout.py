@@ -34,6 +34,7 @@ REVIEW, DISAGREE = 0.65, 0.55
 LEAST = {"box": 0.50, "caption": 0.55, "latex": 0.65}
 COMPARED = ("chart", "figure", "formula", "table")
 FIGURES = ("figure", "chart")
+CORNERS = ("x0", "y0", "x1", "y1")
 #: Beginnings of captions by kind (fixed values).
 CAPTION = {
     "figure": r"^\s*(fig(?:ure)?\.?\s*\d+[A-Za-z]?|图\s*\d+)", "chart": r"^\s*(fig(?:ure)?\.?\s*\d+[A-Za-z]?|图\s*\d+)",
@@ -77,7 +78,7 @@ def _overlap(a: Column, b: Column) -> Column:
 
 def _place(box: Column) -> Column:
     """A box's corners as a struct, null without a valid box: what pairs are compared by."""
-    return F.when(valid_box(box), F.struct(*[x.alias(n) for x, n in zip(box_of(box), ("x0", "y0", "x1", "y1"), strict=True)]))
+    return F.when(valid_box(box), F.struct(*[x.alias(n) for x, n in zip(box_of(box), CORNERS, strict=True)]))
 
 
 def _shared(a: Column, b: Column) -> Column:
@@ -131,10 +132,14 @@ def formula_evidence(text: Column, latex: Column, box: Column, engine: str) -> C
     return score - _bonus(_noise(text, 8, "the|and|with|from|this|that|where|when|for", 5), 0.18)
 
 
+def _parts(text: Column) -> Column:
+    """Signs and words of a formula or text, once each."""
+    return F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[A-Za-z0-9]+|\\[A-Za-z]+|[=+\-*/^_]"), F.lit(0)))
+
+
 def likeness(a: Column, b: Column) -> Column:
     """Shared signs and words of two formulas or texts over those of the longer one."""
-    parts = lambda x: F.array_distinct(F.regexp_extract_all(F.coalesce(x, F.lit("")), F.lit(r"[A-Za-z0-9]+|\\[A-Za-z]+|[=+\-*/^_]"), F.lit(0)))
-    return token_overlap(parts(a), parts(b))
+    return token_overlap(_parts(a), _parts(b))
 
 
 def loose_likeness(a: Column, b: Column) -> Column:
@@ -149,48 +154,78 @@ def quality(e: DataFrame) -> DataFrame:
     Kinds other than table, figure, chart and formula keep their confidence, 0.5 without one. Flags are added to those there.
     """
     box, kind, size = F.col("box"), F.col("kind"), F.col("page_size")
-    x0, y0, x1, y1 = box_of(box)
-    width, height = (F.get(size, F.lit(i)).cast("double") for i in range(2))
-    boxed, captioned = valid_box(box), F.coalesce("caption", F.lit("")) != ""
-    paged = F.coalesce((F.size(box) >= 4) & (width > 0) & (height > 0), F.lit(False))
-    area = F.when((F.size(box) >= 4) & (F.size(size) >= 2), F.greatest(F.lit(0.0), (x1 - x0) * (y1 - y0)) / F.greatest(F.lit(1.0), width * height)).otherwise(F.lit(0.0))
-    area = F.coalesce(area, F.lit(0.0))
-    outside = paged & ((x0 < 0) | (y0 < 0) | (x1 > width) | (y1 > height))
-    pair = F.array_contains("engines", FIRST) & F.array_contains("engines", SECOND)
+    known = F.array_contains(F.array(*map(F.lit, TRUST)), F.when(F.size("engines") == 1, F.get("engines", F.lit(0))))
+    rows, columns = table_shape(F.col("cells"))
+    latex = F.trim(F.coalesce(F.nullif("latex", F.lit("")), "text", F.lit("")))
+    # what the tests ask for is computed once a row, and of a kind only where it is asked
+    parts = {**{f"_{n}": v for n, v in zip(CORNERS, box_of(box), strict=True)}, "_width": F.get(size, F.lit(0)).cast("double"), "_height": F.get(size, F.lit(1)).cast("double"), "_boxed": valid_box(box)}
+    parts |= {"_four": F.coalesce(F.size(box) >= 4, F.lit(False)), "_captioned": F.coalesce("caption", F.lit("")) != "", "_pair": F.array_contains("engines", FIRST) & F.array_contains("engines", SECOND)}
+    parts |= {"_rows": F.when(kind == "table", rows), "_columns": F.when(kind == "table", columns), "_share": F.when(kind == "table", filled_share(F.col("cells"))), "_latex": F.when(kind == "formula", latex)}
+    x0, y0, x1, y1, width, height, boxed, four, captioned, pair, rows, columns, share, latex = (F.col(c) for c in parts)
+    area = F.when(four & (F.size(size) >= 2), F.greatest(F.lit(0.0), (x1 - x0) * (y1 - y0)) / F.greatest(F.lit(1.0), width * height)).otherwise(F.lit(0.0))
+    paged = F.coalesce(four & (width > 0) & (height > 0), F.lit(False))
+    words = F.transform(F.regexp_extract_all(latex, F.lit("[A-Za-z]{3,}"), F.lit(0)), F.lower)
+    common = F.array(*map(F.lit, "the and with from this that where when for into were was".split()))
+    more = {"_area": F.coalesce(area, F.lit(0.0)), "_outside": paged & ((x0 < 0) | (y0 < 0) | (x1 > width) | (y1 > height)), "_words": F.when(kind == "formula", words)}
+    area, outside, words = (F.col(c) for c in more)
+    sentence = (F.size(words) >= 6) & (F.arrays_overlap(words, common) | latex.rlike(r"[.!?]$"))
+    last = {"_sentence": F.when(kind == "formula", sentence), "_weak": (rows <= 1) | (columns <= 1), "_bare": F.coalesce("text_strategy", F.lit(False)) & ~captioned, "_repeat": F.array_contains("flags", "duplicate_of_table")}
+    last |= {"_margin": F.coalesce(four & (height > 0) & ((y1 < height * 0.08) | (y0 > height * 0.92)), F.lit(False))}
+    sentence, weak, bare_text, repeat, margin = (F.col(c) for c in last)
     flagged = lambda *tests: F.array_compact(F.array(*[F.when(F.coalesce(t, F.lit(False)), F.lit(name)) for t, name in tests]))
     out_flag = (outside, "bbox_out_of_page")
-    rows, columns = table_shape(F.col("cells"))
-    share, weak = filled_share(F.col("cells")), (rows <= 1) | (columns <= 1)
-    bare_text = F.coalesce("text_strategy", F.lit(False)) & ~captioned
     evidence = F.coalesce(F.greatest(F.lit(-0.08), F.least(F.lit(0.10), (F.col("evidence") - 0.58) * 0.25)), F.lit(0.0))
     table = 0.35 + _bonus(rows >= 2, 0.15) + _bonus(columns >= 2, 0.15) + _bonus(share >= 0.6, 0.12) + _bonus(captioned, 0.08) + _bonus(boxed, 0.08) - _bonus(weak, 0.18) + _bonus(pair, 0.12) + evidence - _bonus(bare_text, 0.3) - _bonus(area > 0.58, 0.24)
     table_flags = flagged((~boxed, "missing_bbox"), (weak, "weak_table_shape"), (F.col("evidence") < 0.45, "weak_table_evidence"), ((share < 0.35) & (rows >= 2) & (columns >= 2), "sparse_table_cells"), (bare_text, "unanchored_text_table"), (area > 0.58, "page_sized_table"), out_flag)
-    repeat = F.array_contains("flags", "duplicate_of_table")
-    margin = F.coalesce((F.size(box) >= 4) & (height > 0) & ((y1 < height * 0.08) | (y0 > height * 0.92)), F.lit(False))
     figure = 0.45 + F.when(~boxed, -0.15).when(area < 0.01, -0.12).otherwise(0.08) + _bonus(captioned, 0.12) + _bonus(F.coalesce("png", F.lit("")) != "", 0.1) - _bonus(repeat, 0.2) - _bonus(margin, 0.12) + _bonus(pair, 0.08)
     figure_flags = flagged((~boxed, "missing_bbox"), (boxed & (area < 0.01), "small_figure"), (repeat, "duplicate_of_table"), (margin, "page_margin"), out_flag)
-    latex = F.trim(F.coalesce(F.nullif("latex", F.lit("")), "text", F.lit("")))
     signs = latex.rlike(r"=|\\frac|\^|_|\\sum|\\int")
     numbered = (F.endswith(latex, F.lit(")")) & F.contains(F.right(latex, F.lit(8)), F.lit("("))) | (_said("number") != "")
-    words = F.transform(F.regexp_extract_all(latex, F.lit("[A-Za-z]{3,}"), F.lit(0)), F.lower)
-    common = F.array(*map(F.lit, "the and with from this that where when for into were was".split()))
-    sentence = (F.size(words) >= 6) & (F.arrays_overlap(words, common) | latex.rlike(r"[.!?]$"))
     match = F.coalesce(F.greatest(F.lit(-0.08), F.least(F.lit(0.08), (F.col("match") - 0.35) * 0.20)), F.lit(0.0))
-    known = F.array_contains(F.array(*map(F.lit, TRUST)), F.when(F.size("engines") == 1, F.get("engines", F.lit(0))))
     formula = 0.35 + _bonus(latex != "", 0.22) + F.when(boxed, 0.18).otherwise(-0.12) - _bonus(F.length(latex) <= 2, 0.18) + _bonus(signs, 0.12) + _bonus(numbered, 0.05) + _bonus(pair, 0.1) + match - _bonus(sentence, 0.16)
     formula_flags = flagged((~boxed, "missing_bbox"), (F.length(latex) <= 2, "short_latex"), (~pair & known, "single_engine_formula"), (F.col("match") < 0.35, "weak_formula_match"), (sentence, "sentence_like_formula"), out_flag)
-    held = lambda s: F.round(F.greatest(F.lit(0.05), F.least(F.lit(0.99), s)), 3)
     figured = kind.isin(*FIGURES)
     other = F.greatest(F.lit(0.0), F.least(F.lit(0.99), F.coalesce(F.nullif("confidence", F.lit(0.0)), F.lit(0.5))))
-    score = F.when(kind == "table", held(table)).when(figured, held(figure)).when(kind == "formula", held(formula)).otherwise(other)
     added = F.when(kind == "table", table_flags).when(figured, figure_flags).when(kind == "formula", formula_flags).otherwise(F.array().cast("array<string>"))
-    out = e.withColumns({"confidence": score, "flags": F.array_distinct(F.concat("flags", added))})
+    scored = e.withColumns(parts).withColumns(more).withColumns(last).withColumns({"_score": F.when(kind == "table", table).when(figured, figure).when(kind == "formula", formula), "_added": added})
+    held = F.round(F.greatest(F.lit(0.05), F.least(F.lit(0.99), F.col("_score"))), 3)
+    score = F.when(figured | kind.isin("table", "formula"), held).otherwise(other)
+    out = scored.withColumns({"confidence": score, "flags": F.array_distinct(F.concat("flags", "_added"))}).drop(*parts, *more, *last, "_score", "_added")
     return out.withColumn("needs_review", F.coalesce("needs_review", F.lit(False)) | (F.col("confidence") < REVIEW) | (F.size("flags") > 0))
 
 
 # captions
 
 
+def _told(text: Column) -> Column:
+    return F.replace(F.trim(F.coalesce(text, F.lit(""))), F.lit("\n"), F.lit(" "))
+
+
+def _starts(text: Column, kind: str) -> Column:
+    return text.rlike(f"(?iU){CAPTION[kind]}")
+
+
+def _captioned(box: Column) -> Column:
+    """Whether a caption is looked for at a box."""
+    return valid_box(box) | (F.size(box) >= 4) & F.exists(box, lambda v: v != 0)
+
+
+def _height(page_size: Column) -> Column:
+    return F.coalesce(F.nullif(F.get(page_size, F.lit(1)), F.lit(0.0)), F.lit(1.0))
+
+
+def _nearness(e: list[Column], b: list[Column]) -> tuple[Column, Column, Column, Column]:
+    """Of an element's corners and a block's: overlap sideways, gap, and how far the block is below and above."""
+    overlap = F.greatest(F.lit(0.0), F.least(e[2], b[2]) - F.greatest(e[0], b[0])) / F.greatest(F.lit(1.0), F.least(e[2] - e[0], b[2] - b[0]))
+    below, above = b[1] - e[3], e[1] - b[3]
+    return overlap, F.when(below >= 0, below).when(above >= 0, above), below, above
+
+
+def _caption_score(kind: Column, starts: Column, overlap: Column, gap: Column, below: Column, above: Column, reach: Column) -> Column:
+    side = F.when(kind.isin(*FIGURES), below >= 0).otherwise(above >= 0)
+    return F.when(starts, 0.5).otherwise(0.15) + _bonus(side, 0.2) + F.least(F.lit(0.25), overlap * 0.25) + F.greatest(F.lit(0.0), 0.2 - gap / reach * 0.2)
+
+
 def nearest_caption(elements: DataFrame, blocks: DataFrame) -> DataFrame:
     """(doc, page, id, caption, caption_box, score): the block of the page that most looks like each element's caption.
 
@@ -201,20 +236,16 @@ def nearest_caption(elements: DataFrame, blocks: DataFrame) -> DataFrame:
     0.25 for the overlap and 0.2 for nearness; the nearer wins a tie, then the
     first block. blocks (doc, page, block, text, box).
     """
-    placed = elements.filter(valid_box(F.col("box")) | (F.size("box") >= 4) & F.exists("box", lambda v: v != 0)).select("doc", "page", "id", "kind", F.col("box").alias("e"), F.coalesce(F.nullif(F.get("page_size", F.lit(1)), F.lit(0.0)), F.lit(1.0)).alias("height"))
-    text = F.replace(F.trim(F.coalesce("text", F.lit(""))), F.lit("\n"), F.lit(" "))
-    said = blocks.select("doc", "page", "block", text.alias("text"), F.col("box").alias("b")).filter((F.col("text") != "") & (F.size("b") >= 4))
-    e, b = box_of(F.col("e")), box_of(F.col("b"))
-    overlap = F.greatest(F.lit(0.0), F.least(e[2], b[2]) - F.greatest(e[0], b[0])) / F.greatest(F.lit(1.0), F.least(e[2] - e[0], b[2] - b[0]))
-    below, above, reach = b[1] - e[3], e[1] - b[3], F.col("height") * 0.12
-    gap = F.when(below >= 0, below).when(above >= 0, above)
+    placed = elements.filter(_captioned(F.col("box"))).select("doc", "page", "id", "kind", F.col("box").alias("e"), _height(F.col("page_size")).alias("height"))
+    said = blocks.select("doc", "page", "block", _told(F.col("text")).alias("text"), F.col("box").alias("b")).filter((F.col("text") != "") & (F.size("b") >= 4))
+    overlap, gap, below, above = _nearness(box_of(F.col("e")), box_of(F.col("b")))
+    reach = F.col("height") * 0.12
     starts = F.lit(False)
-    for kind, pattern in CAPTION.items():
-        starts = F.when(F.col("kind") == kind, F.col("text").rlike(f"(?iU){pattern}")).otherwise(starts)
-    starts = F.when(F.col("kind").isin(*CAPTION), starts).otherwise(F.col("text").rlike(f"(?iU){CAPTION['figure']}"))
+    for kind in CAPTION:
+        starts = F.when(F.col("kind") == kind, _starts(F.col("text"), kind)).otherwise(starts)
+    starts = F.when(F.col("kind").isin(*CAPTION), starts).otherwise(_starts(F.col("text"), "figure"))
     near = placed.join(said, ["doc", "page"]).withColumns({"overlap": overlap, "gap": gap, "starts": starts}).filter((F.col("overlap") >= 0.25) & (F.col("gap") <= reach) & (F.col("starts") | (F.length("text") <= 180)))
-    side = F.when(F.col("kind").isin(*FIGURES), below >= 0).otherwise(above >= 0)
-    score = F.when(F.col("starts"), 0.5).otherwise(0.15) + _bonus(side, 0.2) + F.least(F.lit(0.25), F.col("overlap") * 0.25) + F.greatest(F.lit(0.0), 0.2 - F.col("gap") / reach * 0.2)
+    score = _caption_score(F.col("kind"), F.col("starts"), F.col("overlap"), F.col("gap"), below, above, reach)
     best = F.min_by(F.struct(F.substring("text", 1, 300).alias("caption"), F.col("b").alias("caption_box"), F.round("score", 3).alias("score")), F.struct(-F.col("score"), "gap", "block"))
     return near.withColumn("score", score).groupBy("doc", "page", "id").agg(best.alias("c")).select("doc", "page", "id", "c.*")
 
@@ -231,26 +262,87 @@ def take_in_order(pairs: DataFrame, keys: list[str]) -> DataFrame:
     kind = pairs.schema
     out_type = f"array<struct<e:{kind['e'].dataType.simpleString()},a:{kind['a'].dataType.simpleString()},score:double>>"
 
+    return listed.select(*keys, F.explode(_taken(F.col("all"), out_type)).alias("m")).select(*keys, "m.*")
+
+
+def _taken(listed: Column, kind: str) -> Column:
+    """Of sorted pairs (s: the negative score, e, a) those whose e and a no pair before has taken, as an array of this kind."""
+
     def step(done, p):
         taken = F.exists(done, lambda d: d["e"].eqNullSafe(p["e"]) | d["a"].eqNullSafe(p["a"]))
-        return F.when(taken, done).otherwise(F.concat(done, F.array(F.struct(p["e"].alias("e"), p["a"].alias("a"), (-p["s"]).alias("score"))).cast(out_type)))
+        return F.when(taken, done).otherwise(F.concat(done, F.array(F.struct(p["e"].alias("e"), p["a"].alias("a"), (-p["s"]).alias("score"))).cast(kind)))
 
-    return listed.select(*keys, F.explode(F.aggregate("all", F.array().cast(out_type), step)).alias("m")).select(*keys, "m.*")
+    return F.aggregate(listed, F.array().cast(kind), step)
 
 
 PAGE = ["doc", "page"]
+#: What elements are matched by.
+MATCHED = ("box", "text", "latex")
+
+
+def _let(value: Column, f) -> Column:
+    """f of a value that is computed once; a column by itself would be computed again for each element of a list."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _pages(first: DataFrame, second: DataFrame, columns, blocks: DataFrame | None = None) -> DataFrame:
+    """(doc, page, f, s, b): elements of both engines with these columns, and blocks, as one row a page; all go through one shuffle."""
+    given = [c for c in DEFAULTS if c in columns and (c in first.columns or c in second.columns)]
+
+    def side(df, of_second):
+        held = [(F.col(c) if c in df.columns else F.lit(None).cast(DEFAULTS[c])).alias(c) for c in given]
+        return df.select("doc", F.coalesce("page", F.lit(0)).alias("page"), "pos", F.col("id").cast("string").alias("id"), "kind", *held, F.lit(of_second).alias("_second"))
+
+    both = side(first, False).unionByName(side(second, True)).select(*PAGE, "_second", F.struct("pos", "id", "kind", *given).alias("x"))
+    if blocks is not None:
+        text = _told(F.col("text"))
+        said = blocks.select(*PAGE, "block", text.alias("text"), F.col("box").alias("b")).filter((F.col("text") != "") & (F.size("b") >= 4))
+        begins = F.struct(*[_starts(F.col("text"), k).alias(k) for k in ("table", "figure")])
+        said = said.select(*PAGE, F.struct("block", F.substring("text", 1, 300).alias("text"), *[c.alias(n) for c, n in zip(box_of(F.col("b")), CORNERS, strict=True)], begins.alias("begins")).alias("w"))
+        both = both.unionByName(said, allowMissingColumns=True)
+    # places and parts are computed once a row, after the shuffle
+    dealt = both.repartition(*PAGE).withColumn("x", F.when(F.col("x").isNotNull(), _seen(F.col("x"), given)))
+    lists = [F.collect_list(F.when(~F.col("_second"), F.col("x"))).alias("f"), F.collect_list(F.when(F.col("_second"), F.col("x"))).alias("s")]
+    return dealt.groupBy(*PAGE).agg(*lists, *([F.collect_list("w").alias("b")] if blocks is not None else []))
+
+
+def _field(e: Column, c: str, given) -> Column:
+    return e[c] if c in given else F.lit(None).cast(DEFAULTS[c])
+
+
+def _inside(box: Column, size: Column) -> Column:
+    """The place of a box inside its page."""
+    cut, inside = _held(box, size)
+    return _let(F.when(cut, inside).otherwise(box), _place)
 
 
-def _pairs(first: DataFrame, second: DataFrame, family: Column, score, least: Column) -> DataFrame:
-    seen = [_place(F.col("box")).alias("at"), F.coalesce(F.nullif("text", F.lit("")), "latex").alias("told")]
-    x = first.select(*PAGE, family.alias("family"), F.col("pos").alias("e_pos"), F.struct("pos", "id").alias("e"), F.struct(*seen).alias("x"))
-    y = second.select(*PAGE, family.alias("family"), F.col("pos").alias("a_pos"), F.struct("pos", "id").alias("a"), F.struct(*seen).alias("y"))
-    both = x.filter("family IS NOT NULL").join(y, [*PAGE, "family"]).withColumn("score", score(F.col("family"), F.col("x"), F.col("y")))
-    return both.filter(least).select(*PAGE, "family", "e", "e_pos", "a", "a_pos", "score")
+def _seen(e: Column, given) -> Column:
+    """An element with what it is matched by: family, place, place inside the page, parts of a formula's text."""
+    family = F.when(e["kind"].isin(*FIGURES), "figure").when(e["kind"].isin("table", "formula"), e["kind"])
+    box = _field(e, "box", given)
+    parts = F.when(e["kind"] == "formula", _parts(F.coalesce(F.nullif(_field(e, "text", given), F.lit("")), _field(e, "latex", given))))
+    return F.struct(F.struct(e["pos"].alias("pos"), e["id"].alias("id")).alias("key"), family.alias("family"), _place(box).alias("at"), _inside(box, _field(e, "page_size", given)).alias("held"), parts.alias("parts"), e.alias("x"))
 
 
-def _fusion_score(family: Column, x: Column, y: Column) -> Column:
-    return F.greatest(_shared(x["at"], y["at"]), F.when(family == "formula", likeness(x["told"], y["told"])))
+def _fusion_score(x: Column, y: Column) -> Column:
+    n = F.greatest(F.size(x["parts"]), F.size(y["parts"]))
+    alike = F.when(n > 0, F.size(F.array_intersect(x["parts"], y["parts"])) / n).otherwise(F.lit(0.0))
+    return F.greatest(_shared(x["at"], y["at"]), F.when(x["family"] == "formula", alike))
+
+
+def _matches(fs: Column, ss: Column, key: str) -> Column:
+    """Array of (e, a, score), e and a keys of this type: elements of a page's first list, in order, with the best free one of their family in the second."""
+
+    def pair(x, y):
+        return F.struct(x["key"]["pos"].alias("e_pos"), (-_fusion_score(x, y)).alias("s"), y["key"]["pos"].alias("a_pos"), x["key"].alias("e"), y["key"].alias("a"), x["family"].alias("family"))
+
+    least = lambda f: F.when(f == "table", TABLE_MATCH).when(f == "figure", FIGURE_MATCH).otherwise(math.nextafter(FORMULA_MATCH, 1.0))
+    pairs = F.flatten(F.transform(fs, lambda x: F.transform(F.filter(ss, lambda y: y["family"] == x["family"]), lambda y: pair(x, y))))
+    return _taken(F.sort_array(F.filter(pairs, lambda p: -p["s"] >= least(p["family"]))), f"array<struct<e:{key},a:{key},score:double>>")
+
+
+def _key_type(pages: DataFrame) -> str:
+    return f"struct<pos:{pages.schema['f'].dataType.elementType['key'].dataType['pos'].dataType.simpleString()},id:string>"
 
 
 def match_engines(first: DataFrame, second: DataFrame) -> DataFrame:
@@ -259,10 +351,11 @@ def match_engines(first: DataFrame, second: DataFrame) -> DataFrame:
     Tables match by overlap from 0.55, figures and charts from 0.45, formulas by
     overlap or likeness of their texts above 0.35.
     """
-    family = F.when(F.col("kind").isin(*FIGURES), "figure").when(F.col("kind").isin("table", "formula"), F.col("kind"))
-    f = F.col("family")
-    least = F.col("score") >= F.when(f == "table", TABLE_MATCH).when(f == "figure", FIGURE_MATCH).otherwise(math.nextafter(FORMULA_MATCH, 1.0))
-    return take_in_order(_pairs(first, second, family, _fusion_score, least), [*PAGE, "family"])
+    pages = _pages(first, second, MATCHED)
+    f = F.col("f")
+    family = lambda m: F.get(F.filter(f, lambda x: x["key"] == m["e"]), F.lit(0))["family"]
+    found = F.transform(_matches(f, F.col("s"), _key_type(pages)), lambda m: F.struct(family(m).alias("family"), m["e"].alias("e"), m["a"].alias("a"), m["score"].alias("score")))
+    return pages.filter("doc IS NOT NULL").select(*PAGE, F.explode(found).alias("m")).select(*PAGE, "m.*")
 
 
 # fusion
@@ -270,7 +363,7 @@ def match_engines(first: DataFrame, second: DataFrame) -> DataFrame:
 
 @dataclass
 class Fusion:
-    """elements of both engines as one list (`ids`, `engines` of each and what it was made from), and report (doc, page, kind, first, second, state)."""
+    """elements of both engines as one list (`ids`, `engines` of each and what it was made from), and report (doc, page, kind, first, second, state); each is computed when it is read, with the columns it needs."""
 
     elements: DataFrame
     report: DataFrame
@@ -281,15 +374,79 @@ def _or(*values: Column) -> Column:
     return F.coalesce(*[F.nullif(v, F.lit("")) for v in values], F.lit(""))
 
 
-def _clipped(e: DataFrame) -> DataFrame:
-    box, size = F.col("box"), F.col("page_size")
+def _held(box: Column, size: Column) -> tuple[Column, Column]:
+    """Whether a box leaves its page, and the part inside."""
     paged = F.coalesce((F.size(box) >= 4) & (F.get(size, F.lit(0)) > 0) & (F.get(size, F.lit(1)) > 0) & F.exists(box, lambda v: v != 0), F.lit(False))
     inside = F.array(*[F.greatest(F.lit(0.0), F.least(F.get(size, F.lit(i % 2)), F.get(box, F.lit(i)))) for i in range(4)])
-    cut = paged & (inside != F.slice(box, 1, 4))
+    return paged & (inside != F.slice(box, 1, 4)), inside
+
+
+def _clipped(e: DataFrame) -> DataFrame:
+    box = F.col("box")
+    cut, inside = _held(box, F.col("page_size"))
     more = F.array_distinct(F.concat("flags", F.array(F.lit("bbox_out_of_page"), F.lit("bbox_clipped"))))
     return e.withColumns({"flags": F.when(cut, more).otherwise(F.col("flags")), "box": F.when(cut, inside).otherwise(box)})
 
 
+def _placed(kind: Column, box: Column, size: Column, other_box: Column, other_size: Column) -> tuple[Column, Column]:
+    """Box and page size of two matched elements: the first engine's if it has a place; figures keep it whatever it is."""
+    own = valid_box(box) | ~valid_box(other_box)
+    return F.when(kind.isin(*FIGURES) | own, box).otherwise(other_box), F.when(own, size).otherwise(F.coalesce(other_size, size))
+
+
+def _page_lists(pages: DataFrame, f) -> DataFrame:
+    """A row (doc, page, b, m) for each entry of the list that f makes of a page's seen elements, its matches (of tables and others), its fused tables (key, at), its first elements that are no repeats of tables, and what the second has alone."""
+    given, key = pages.schema["f"].dataType.elementType["x"].dataType.fieldNames(), _key_type(pages)
+    fs, ss = F.col("f"), F.col("s")
+
+    def final(x, o):
+        """The place inside the page of an element and its match: the first engine's, else the second's."""
+        size = F.coalesce(_field(o["x"], "page_size", given), _field(x["x"], "page_size", given))
+        return F.when(x["at"].isNotNull() | o["at"].isNull() | (x["family"] == "figure"), x["held"]).otherwise(_inside(_field(o["x"], "box", given), size))
+
+    def other(x, matches):
+        """The match of x: the element of the second engine, and the score."""
+        return _let(F.get(F.filter(matches, lambda m: m["e"] == x["key"]), F.lit(0)), lambda m: F.struct(F.get(F.filter(ss, lambda y: y["key"] == m["a"]), F.lit(0)).alias("o"), m["score"].alias("score")))
+
+    def fused(xs, matches):
+        return F.transform(xs, lambda x: _let(other(x, matches), lambda p: F.struct(x["key"].alias("key"), x["x"].alias("x"), p["o"]["x"].alias("o"), p["score"].alias("score"), final(x, p["o"]).alias("at"))))
+
+    def rest(own):
+        repeat = lambda x: (x["family"] == "figure") & F.exists(own, lambda t: (t["key"]["pos"] < x["key"]["pos"]) & (_shared(t["at"], x["at"]) > ON_TABLE))
+        return F.filter(fs, lambda x: (x["x"]["kind"] != "table") & ~F.coalesce(repeat(x), F.lit(False)))
+
+    def others(tables, own):
+        return _let(rest(own), lambda kept: _let(F.concat(tables, _matches(kept, ss, key)), lambda matches: _let(F.filter(ss, lambda y: ~F.exists(matches, lambda m: m["a"] == y["key"])), lambda alone: f(fs, matches, own, fused(kept, matches), alone))))
+
+    is_table = lambda x: x["family"] == "table"
+    rows = _let(_matches(F.filter(fs, is_table), ss, key), lambda tables: _let(fused(F.filter(fs, is_table), tables), lambda own: others(tables, own)))
+    return pages.select(*PAGE, *(["b"] if "b" in pages.columns else []), F.explode(rows).alias("m"))
+
+
+def _fused_list(fs, matches, own, kept, alone) -> Column:
+    """What a page keeps of fused, first and second elements: of those of a kind that overlap by more than 0.82 the first by order and place."""
+    none = lambda x: F.when(F.lit(False), x)
+    chart = lambda x, o: F.when(o.isNotNull() & x["kind"].isin(*FIGURES), F.when(o["kind"] == "chart", "chart").otherwise("figure")).otherwise(x["kind"])
+    mine = F.transform(F.concat(own, kept), lambda p: F.struct(F.lit(0).alias("order"), p["key"].alias("key"), p["x"].alias("x"), p["o"].alias("o"), p["score"].alias("score"), F.lit(False).alias("doubled"), chart(p["x"], p["o"]).alias("kind"), p["at"].alias("at")))
+    on = lambda y, ts, test: F.exists(ts, lambda t: test(t) & (_shared(t["at"], y["at"]) > ON_TABLE))
+    doubled = lambda y: y["family"].isin("table", "figure") & F.coalesce(on(y, own, lambda t: F.lit(True)) | on(y, F.filter(alone, lambda t: t["family"] == "table"), lambda t: t["key"]["pos"] < y["key"]["pos"]), F.lit(False))
+    theirs = F.transform(alone, lambda y: F.struct(F.lit(1).alias("order"), y["key"].alias("key"), y["x"].alias("x"), none(y["x"]).alias("o"), F.lit(None).cast("double").alias("score"), doubled(y).alias("doubled"), y["x"]["kind"].alias("kind"), y["held"].alias("at")))
+    listed = F.filter(F.sort_array(F.concat(mine, theirs)), lambda m: m["kind"].isNotNull())
+    # places in the list of what stays, as their type is known
+    kind = "array<struct<i:int,kind:string,at:struct<x0:double,y0:double,x1:double,y1:double>>>"
+    fold = lambda done, x: F.when(F.exists(done, lambda k: (k["kind"] == x["kind"]) & (_shared(k["at"], x["at"]) > SAME)), done).otherwise(F.concat(done, F.array(x)).cast(kind))
+    spots = lambda every: F.transform(every, lambda m, i: F.struct(i.alias("i"), m["kind"].alias("kind"), m["at"].alias("at")))
+    return _let(listed, lambda every: F.transform(F.aggregate(spots(every), F.array().cast(kind), fold), lambda k: F.get(every, k["i"])))
+
+
+def _report_list(fs, matches, own, kept, alone) -> Column:
+    none = F.lit(None).cast("string")
+    line = lambda kind, first, second, state: F.struct(kind.alias("kind"), first.alias("first"), second.alias("second"), F.lit(state).alias("state"))
+    both = F.transform(matches, lambda m: line(F.get(F.filter(fs, lambda x: x["key"] == m["e"]), F.lit(0))["family"], m["e"]["id"], m["a"]["id"], "matched"))
+    left = F.filter(fs, lambda x: x["family"].isNotNull() & ~F.exists(matches, lambda m: m["e"] == x["key"]))
+    return F.concat(both, F.transform(left, lambda x: line(x["x"]["kind"], x["key"]["id"], none, "first_only")), F.transform(alone, lambda y: line(y["x"]["kind"], none, y["key"]["id"], "second_only")))
+
+
 def fuse(first: DataFrame, second: DataFrame, blocks: DataFrame | None = None) -> Fusion:
     """One list of elements from two engines' lists.
 
@@ -301,103 +458,87 @@ def fuse(first: DataFrame, second: DataFrame, blocks: DataFrame | None = None) -
     (doc, page, block, text, box), boxes are held inside their pages, quality
     is judged anew, and of elements of one kind that overlap by more than 0.82
     the first stays. Null boxes and texts match nothing.
-    """
-    one, two = elements_of(first, FIRST), elements_of(second, SECOND)
-    one, two = durable(one), durable(two)
-    tables = match_engines(one.filter("kind = 'table'"), two.filter("kind = 'table'"))
-    own = _clipped(_fused_tables(one.filter("kind = 'table'"), two, tables))
-    own = durable(own)
-    seen = own.groupBy(*PAGE).agg(F.collect_list(F.struct("pos", "box")).alias("_tables"))
-    over = lambda before: F.exists(F.coalesce("_tables", F.array().cast(seen.schema["_tables"].dataType)), lambda t: before(t) & (_overlap(t["box"], F.col("box")) > ON_TABLE))
-    rest = one.filter("kind != 'table'").join(seen, PAGE, "left")
-    repeat = F.col("kind").isin(*FIGURES) & over(lambda t: t["pos"] < F.col("pos"))
-    rest = durable(rest.withColumn("_repeat", repeat).drop("_tables"))
-    kept = rest.filter("NOT _repeat").drop("_repeat")
-    others = match_engines(kept, two.filter("kind != 'table'"))
-    matched = durable(tables.unionByName(others))
-    mine = own.unionByName(_fused_others(kept, two, others))
-    used = matched.select(*PAGE, F.col("a.pos").alias("pos"), F.col("a.id").alias("id"))
-    alone = two.join(used, [*PAGE, "pos", "id"], "left_anti").withColumns({"ids": F.array("id"), "order": F.lit(1)})
-    later = alone.filter("kind = 'table'").select(*PAGE, F.struct("pos", "box", F.lit(False).alias("fused")).alias("t"))
-    earlier = own.select(*PAGE, F.struct(F.lit(None).cast(two.schema["pos"].dataType).alias("pos"), "box", F.lit(True).alias("fused")).alias("t"))
-    all_tables = earlier.unionByName(later).groupBy(*PAGE).agg(F.collect_list("t").alias("_tables"))
-    alone = alone.join(all_tables, PAGE, "left")
-    doubled = F.col("kind").isin("table", *FIGURES) & F.exists(F.coalesce("_tables", F.array().cast(all_tables.schema["_tables"].dataType)), lambda t: (t["fused"] | F.coalesce(t["pos"] < F.col("pos"), F.lit(False))) & (_overlap(t["box"], F.col("box")) > ON_TABLE))
-    alone = alone.withColumn("flags", F.when(doubled, F.array_union("flags", F.array(F.lit("duplicate_of_table")))).otherwise(F.col("flags"))).drop("_tables")
-    both = mine.unionByName(alone)
-    if blocks is not None:
-        bare = both.filter(F.col("kind").isin("table", *FIGURES) & (F.coalesce("caption", F.lit("")) == ""))
-        told = nearest_caption(bare.withColumn("id", F.struct("order", "pos", "id")), blocks)
-        told = told.select(*PAGE, "id.order", "id.pos", "id.id", F.col("caption").alias("_caption"))
-        bare = F.col("kind").isin("table", *FIGURES) & (F.coalesce("caption", F.lit("")) == "")
-        both = both.join(told, [*PAGE, "order", "pos", "id"], "left").withColumn("caption", F.when(bare, F.coalesce("_caption", "caption")).otherwise(F.col("caption"))).drop("_caption")
-    judged = durable(quality(_clipped(both)))
-    single = _first_of_overlaps(judged)
-    report = matched.select(*PAGE, F.col("family").alias("kind"), F.col("e.id").alias("first"), F.col("a.id").alias("second"), F.lit("matched").alias("state"))
-    none = F.lit(None).cast("string")
-    left = one.join(matched.select(*PAGE, F.col("e.pos").alias("pos"), F.col("e.id").alias("id")), [*PAGE, "pos", "id"], "left_anti").filter(F.col("kind").isin("table", "formula", *FIGURES))
-    report = report.unionByName(left.select(*PAGE, "kind", F.col("id").alias("first"), none.alias("second"), F.lit("first_only").alias("state"))).unionByName(alone.select(*PAGE, "kind", none.alias("first"), F.col("id").alias("second"), F.lit("second_only").alias("state")))
-    return Fusion(single, report)
-
-
-def _joined(first: DataFrame, second: DataFrame, matches: DataFrame) -> DataFrame:
-    """Elements of the first engine with `o`, the second's matched one, and `score`."""
-    links = matches.select(*PAGE, F.col("e.pos").alias("pos"), F.col("e.id").alias("id"), F.col("a.pos").alias("_p"), F.col("a.id").alias("_i"), F.col("score").alias("_score"))
-    other = second.select(*PAGE, F.col("pos").alias("_p"), F.col("id").alias("_i"), F.struct("id", "kind", *DEFAULTS).alias("o"))
-    return first.join(links, [*PAGE, "pos", "id"], "left").join(other, [*PAGE, "_p", "_i"], "left").drop("_p", "_i")
-
-
-def _merged(pairs: DataFrame, values: dict[str, Column]) -> DataFrame:
-    """Matched pairs with these values and both engines; elements without a match as they are."""
-    o, both = F.col("o"), F.col("o.id").isNotNull()
-    place = F.when(valid_box(F.col("box")) | ~valid_box(o["box"]), F.col("box")).otherwise(o["box"])
-    size = F.when(valid_box(F.col("box")) | ~valid_box(o["box"]), F.col("page_size")).otherwise(F.coalesce(o["page_size"], F.col("page_size")))
-    values = {"box": place, "page_size": size, "engines": F.array(F.lit(FIRST), F.lit(SECOND))} | values
-    out = pairs.withColumn("_both", both).withColumn("ids", F.when(both, F.array("id", "o.id")).otherwise(F.array("id")))
-    out = out.withColumns({c: F.when(F.col("_both"), v).otherwise(F.col(c)) for c, v in values.items()})
-    return out.withColumn("order", F.lit(0)).drop("o", "_both", "_score")
-
 
-def _fused_tables(first: DataFrame, second: DataFrame, matches: DataFrame) -> DataFrame:
+    Elements and blocks meet once, as one row a page, where they are matched and
+    listed; what stays is merged row by row.
+    """
+    rows = _page_lists(_pages(first, second, DEFAULTS, blocks), _fused_list)
+    judged = quality(_clipped(_merged(rows, blocks is not None)))
+    report = _page_lists(_pages(first, second, ("box", "page_size", "text", "latex")), _report_list).select(*PAGE, "m.*")
+    return Fusion(judged, report)
+
+
+def _merged(rows: DataFrame, captions: bool) -> DataFrame:
+    """Elements of the rows (m), with the values of both engines where they are matched, and a caption from the page's blocks (b) where there is none."""
+    m = rows.schema["m"].dataType
+    have = lambda at: {c: F.col(f"m.{at}.{c}") if c in m[at].dataType.fieldNames() else F.lit(None).cast(t) for c, t in DEFAULTS.items()}
+    x, o = have("x"), F.struct(F.col("m.o.id").alias("id"), F.col("m.o.kind").alias("kind"), *[v.alias(c) for c, v in have("o").items()])
+    x["engines"] = F.coalesce(x["engines"], F.array(F.when(F.col("m.order") == 0, FIRST).otherwise(SECOND)))
+    x["flags"] = F.coalesce(x["flags"], F.array().cast("array<string>"))
+    x["flags"] = F.when(F.col("m.doubled"), F.array_union(x["flags"], F.array(F.lit("duplicate_of_table")))).otherwise(x["flags"])
+    own = [F.col("m.order").alias("order"), F.col("m.key.pos").alias("pos"), F.col("m.key.id").alias("id"), F.col("m.x.kind").alias("kind")]
+    pairs = rows.select(*PAGE, *own, *[v.alias(c) for c, v in x.items()], o.alias("o"), F.col("m.o").isNotNull().alias("_both"), F.col("m.score").alias("_score"), *(["b"] if captions else []))
+    o, table, formula = F.col("o"), F.col("kind") == "table", F.col("kind") == "formula"
+    values, scores = _table_values()
+    pairs = pairs.withColumns({c: F.when(F.col("_both") & table, v) for c, v in scores.items()}).withColumn("_second", F.when(F.col("_both") & table, _second_table()))
+    mine, theirs = F.trim(_or(F.col("latex"), F.col("text"))), F.trim(_or(o["latex"], o["text"]))
+    a, b = (F.when(t != "", formula_evidence(t, e, box, n)) for t, e, box, n in ((mine, F.col("latex"), F.col("box"), FIRST), (theirs, o["latex"], o["box"], SECOND)))
+    pairs = pairs.withColumns({"_mine": F.when(F.col("_both") & formula, F.struct(mine.alias("told"), a.alias("s"))), "_theirs": F.when(F.col("_both") & formula, F.struct(theirs.alias("told"), b.alias("s")))})
+    told = F.when(F.col("_mine.s").isNull() | (F.col("_theirs.s") >= F.col("_mine.s")), F.col("_theirs.told")).otherwise(F.col("_mine.told"))
+    chart = F.when(o["kind"] == "chart", "chart").otherwise("figure")
+    figure = {"kind": chart, "caption": _or(o["caption"], F.col("caption")), "text": _or(o["text"], F.col("text")), "png": _or(F.col("png"), o["png"])}
+    equation = {"text": told, "latex": told, "match": F.round("_score", 3)}
+    place, size = _placed(F.col("kind"), F.col("box"), F.col("page_size"), o["box"], o["page_size"])
+    every = {"box": place, "page_size": size, "engines": F.array(F.lit(FIRST), F.lit(SECOND))}
+    out = {}
+    for c in ("kind", *DEFAULTS):
+        one = lambda of, c=c: of.get(c, F.col(c))
+        if c in every:
+            out[c] = F.when(F.col("_both"), every[c]).otherwise(F.col(c))
+        elif c in values or c in equation or c in figure:
+            out[c] = F.when(F.col("_both"), F.when(table, one(values)).when(formula, one(equation)).otherwise(one(figure))).otherwise(F.col(c))
+    out["ids"] = F.when(F.col("_both"), F.array("id", "o.id")).otherwise(F.array("id"))
+    merged = pairs.withColumns(out).drop("o", "_both", "_score", "_a", "_b", "_second", "_mine", "_theirs")
+    return _with_captions(merged).drop("b") if captions else merged
+
+
+def _table_values() -> tuple[dict[str, Column], dict[str, Column]]:
+    """Values of two matched tables: of the one with more evidence (_second: the other engine's), and the evidence of both (_a, _b)."""
     o = F.col("o")
-    pairs = _joined(first, second, matches)
-    pairs = pairs.withColumns({"_a": table_evidence(F.col("cells"), F.col("caption"), F.col("html"), F.col("box")), "_b": table_evidence(o["cells"], o["caption"], o["html"], o["box"])})
-    marked = lambda html: F.contains(F.lower(F.coalesce(html, F.lit(""))), F.lit("<table"))
-    rank = lambda s, html, box, cells: F.struct(s.alias("s"), marked(html).alias("m"), valid_box(box).alias("b"), table_shape(cells)[0].alias("n"))
-    pairs = pairs.withColumn("_second", rank(F.col("_b"), o["html"], o["box"], o["cells"]) > rank(F.col("_a"), F.col("html"), F.col("box"), F.col("cells")))
+    scores = {"_a": table_evidence(F.col("cells"), F.col("caption"), F.col("html"), F.col("box")), "_b": table_evidence(o["cells"], o["caption"], o["html"], o["box"])}
     pick = lambda c: F.when(F.col("_second"), o[c]).otherwise(F.col(c))
     lines = F.array_join(F.transform(pick("cells"), lambda r: F.array_join(F.transform(r, lambda c: F.coalesce(c, F.lit(""))), "\t")), "\n")
     evidence = F.when(F.col("_second"), F.col("_b")).otherwise(F.col("_a"))
     values = {"cells": pick("cells"), "text": _or(pick("text"), lines, F.col("text"), o["text"]), "evidence": F.round(evidence, 3), "caption": _or(o["caption"], F.col("caption"))}
     values |= {c: _or(pick(c), F.col(c), o[c]) for c in ("csv", "json", "html")}
     values["flags"] = F.when(evidence < 0.58, F.array_union("flags", F.array(F.lit("weak_table_evidence")))).otherwise(F.col("flags"))
-    return _merged(pairs, values).drop("_a", "_b", "_second")
+    return values, scores
 
 
-def _fused_others(first: DataFrame, second: DataFrame, matches: DataFrame) -> DataFrame:
+def _second_table() -> Column:
     o = F.col("o")
-    pairs = _joined(first, second, matches)
-    formula = F.col("kind") == "formula"
-    mine, theirs = F.trim(_or(F.col("latex"), F.col("text"))), F.trim(_or(o["latex"], o["text"]))
-    a, b = (F.when(t != "", formula_evidence(t, e, x, n)) for t, e, x, n in ((mine, F.col("latex"), F.col("box"), FIRST), (theirs, o["latex"], o["box"], SECOND)))
-    told = F.when(a.isNull() | (b >= a), theirs).otherwise(mine)
-    chart = F.when(o["kind"] == "chart", "chart").otherwise("figure")
-    plain = {"kind": chart, "caption": _or(o["caption"], F.col("caption")), "text": _or(o["text"], F.col("text")), "png": _or(F.col("png"), o["png"])}
-    values = {c: F.when(formula, {"text": told}.get(c, F.col(c))).otherwise(v) for c, v in plain.items()}
-    values |= {"latex": F.when(formula, told).otherwise(F.col("latex")), "match": F.when(formula, F.round("_score", 3)).otherwise(F.col("match"))}
-    # figures keep the first engine's place, whatever it is
-    place = F.when(~formula | valid_box(F.col("box")) | ~valid_box(o["box"]), F.col("box")).otherwise(o["box"])
-    return _merged(pairs, values | {"box": place})
-
-
-def _first_of_overlaps(e: DataFrame) -> DataFrame:
-    """Of elements of a page and kind that overlap by more than 0.82 the first by order and place."""
-    item = F.struct("order", "pos", "id", "box")
-    listed = e.groupBy(*PAGE, "kind").agg(F.sort_array(F.collect_list(item)).alias("all"))
-    kind = listed.schema["all"].dataType.simpleString()
-    kept = F.aggregate("all", F.array().cast(kind), lambda done, x: F.when(F.exists(done, lambda k: _overlap(k["box"], x["box"]) > SAME), done).otherwise(F.concat(done, F.array(x))))
-    ids = listed.select(*PAGE, "kind", F.explode(F.transform(kept, lambda k: F.struct(k["order"].alias("order"), k["pos"].alias("pos"), k["id"].alias("id")))).alias("k")).select(*PAGE, "kind", "k.*")
-    return e.join(ids, [*PAGE, "kind", "order", "pos", "id"], "left_semi")
+    marked = lambda html: F.contains(F.lower(F.coalesce(html, F.lit(""))), F.lit("<table"))
+    rank = lambda s, html, box, cells: F.struct(s.alias("s"), marked(html).alias("m"), valid_box(box).alias("b"), table_shape(cells)[0].alias("n"))
+    return rank(F.col("_b"), o["html"], o["box"], o["cells"]) > rank(F.col("_a"), F.col("html"), F.col("box"), F.col("cells"))
+
+
+def _with_captions(e: DataFrame) -> DataFrame:
+    """Tables and figures without a caption with that of the page's blocks (b) that `nearest_caption` finds."""
+    bare = F.col("kind").isin("table", *FIGURES) & (F.coalesce("caption", F.lit("")) == "")
+    # a fused table is held inside its page before, other elements after
+    cut, inside = _held(F.col("box"), F.col("page_size"))
+    at = F.when((F.col("order") == 0) & (F.col("kind") == "table") & cut, inside).otherwise(F.col("box"))
+    e = e.withColumn("_at", at).withColumns({**{f"_{n}": c for n, c in zip(CORNERS, box_of(F.col("_at")), strict=True)}, "_reach": _height(F.col("page_size")) * 0.12, "_wanted": bare & _captioned(F.col("_at"))})
+
+    def near(w):
+        overlap, gap, below, above = _nearness([F.col(f"_{c}") for c in CORNERS], [w[c] for c in CORNERS])
+        starts = F.when(F.col("kind") == "table", w["begins"]["table"]).otherwise(w["begins"]["figure"])
+        return F.struct(overlap.alias("overlap"), gap.alias("gap"), below.alias("below"), above.alias("above"), starts.alias("starts"), w["block"].alias("block"), w["text"].alias("text"))
+
+    close = F.filter(F.transform("b", near), lambda n: (n["gap"] <= F.col("_reach")) & (n["overlap"] >= 0.25) & (n["starts"] | (F.length(n["text"]) <= 180)))
+    score = lambda n: _caption_score(F.col("kind"), n["starts"], n["overlap"], n["gap"], n["below"], n["above"], F.col("_reach"))
+    best = F.array_min(F.transform(close, lambda n: F.struct((-score(n)).alias("s"), n["gap"].alias("gap"), n["block"].alias("block"), n["text"].alias("text"))))
+    return e.withColumn("caption", F.when(F.col("_wanted"), F.coalesce(best["text"], "caption")).otherwise(F.col("caption"))).drop("_at", "_reach", "_wanted", *[f"_{c}" for c in CORNERS])
 
 
 # comparison with expected elements

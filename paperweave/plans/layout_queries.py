@@ -114,13 +114,14 @@ def _boxes(spark, d, shift: float = 0.0, where: str = "true"):
     x, y = F.col("l_quantity") + shift, F.col("l_partkey") % 5 * 4.0 + shift
     kind = F.when(F.col("l_suppkey") % 2 == 0, "table").when(F.col("l_suppkey") % 3 == 0, "formula").otherwise("figure")
     id_ = F.concat_ws("-", F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"))
-    rows = table(spark, d, "lineitem").filter(where).select(
-        F.lit(0).alias("doc"), F.col("l_orderkey").alias("page"), F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("pos"), id_.alias("id"), kind.alias("kind"),
+    # rows of one page and id become one while they are narrow
+    rows = table(spark, d, "lineitem").filter(where).select("l_orderkey", id_.alias("_id"), "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_tax").dropDuplicates(["l_orderkey", "_id"])
+    return rows.select(
+        F.lit(0).alias("doc"), F.col("l_orderkey").alias("page"), F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("pos"), F.col("_id").alias("id"), kind.alias("kind"),
         F.when((kind != "formula") | (F.col("l_partkey") % 4 == 0), F.array(x, y, x + 12.0, y + 9.0)).alias("box"), F.array(F.lit(70.0), F.lit(40.0)).alias("page_size"),
         F.when(kind == "formula", F.concat(F.lit("x_"), (F.col("l_partkey") % 3).cast("string"), F.lit(" = "), (F.col("l_quantity") % 2).cast("int").cast("string"))).alias("latex"),
         F.when(kind == "table", F.array(F.array(F.lit("a"), F.lit("b")), F.array(F.col("l_tax").cast("string"), F.lit("")))).alias("cells"),
     )
-    return rows.dropDuplicates(["page", "id"])
 
 
 @query()

@@ -129,3 +129,14 @@ def test_comparison_broadcasts_nothing(spark):
     for df in (e.matches, e.by_kind, e.summary):
         df.collect()
         assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_fusion_meets_once(spark):
+    """Elements and blocks are dealt by page once; nothing joins, sorts or stores them between matching and the list."""
+    one = spark.createDataFrame([(1, 0, 0, "a", "table", [0.0, 0.0, 9.0, 9.0])], "doc long, page int, pos int, id string, kind string, box array<double>")
+    blocks = spark.createDataFrame([(1, 0, 0, "Table 1", [0.0, 10.0, 9.0, 11.0])], "doc long, page int, block int, text string, box array<double>")
+    out = layout.fuse(one, one, blocks)
+    for df in (out.elements, out.report):
+        plan = plan_of(df)
+        assert "Join" not in plan and plan.count("RepartitionByExpression") == 1
+    assert "Table 1" not in plan_of(out.report) and "nearest" not in plan_of(out.report)
