@@ -140,3 +140,17 @@ def test_fusion_meets_once(spark):
         plan = plan_of(df)
         assert "Join" not in plan and plan.count("RepartitionByExpression") == 1
     assert "Table 1" not in plan_of(out.report) and "nearest" not in plan_of(out.report)
+
+
+def test_references_pass_papers_once(spark, monkeypatch):
+    """Papers are no query set: titles that lie in a reference's are found by a join, and papers are shuffled as digests."""
+    papers = spark.createDataFrame([(i, [f"doi:{i}"], f"title {i % 50:02d} of a paper") for i in range(100)] + [(200, [], "p" * 31), (201, [], "q"), (202, [], "p" * 33)], "id int, aliases array<string>, title string")
+    refs = [(1, "", "see title 07 of a paper in full"), (2, "", "both title 01 of a paper, title 02 of a paper"), (3, "", "p" * 32), (4, "", "a q at the middle of it")]
+    asked = []
+    real = lookup._hits
+    monkeypatch.setattr(lookup, "_hits", lambda texts, passages, *a, **k: asked.append(passages.count()) or real(texts, passages, *a, **k))
+    got = lookup.resolve_references(spark.createDataFrame(refs, "source int, identifier string, title string"), papers)
+    assert {r["source"]: (r["target"], r["tier"]) for r in got.collect()} == {1: (7, "containment"), 2: (None, "none"), 3: (None, "none"), 4: (201, "containment")}
+    assert asked == [4]
+    known = spark.createDataFrame([(i, "z" * i) for i in range(1, 40)], "id int, t string")
+    assert sorted(r["id"] for r in lookup._within(known, spark.createDataFrame([("y" + "z" * 33,)], "t string"), "t").collect()) == list(range(1, 34))
