@@ -97,8 +97,13 @@ def table_shape(cells: Column) -> tuple[Column, Column]:
 def filled_share(cells: Column) -> Column:
     """The share of cells with text; 0 for none."""
     flat = F.flatten(F.filter(cells, lambda r: r.isNotNull()))
-    n = F.coalesce(F.size(flat), F.lit(0))
-    return F.when(n > 0, F.size(F.filter(flat, lambda c: F.trim(F.coalesce(c, F.lit(""))) != "")) / n).otherwise(F.lit(0.0))
+    share = lambda c: F.when(F.size(c) > 0, F.size(F.filter(c, lambda x: F.trim(F.coalesce(x, F.lit(""))) != "")) / F.size(c))
+    return F.coalesce(_let(flat, share), F.lit(0.0))
+
+
+def _let(value: Column, f) -> Column:
+    """f of a value that is computed once; a column by itself would be computed again for each use and each element of a list."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
 def _bonus(when: Column, value: float) -> Column:
@@ -108,14 +113,19 @@ def _bonus(when: Column, value: float) -> Column:
 def table_evidence(cells: Column, caption: Column, html: Column, box: Column) -> Column:
     """How much speaks for a candidate of a table: shape, even rows, filled cells, numbers and units, caption, markup, place; 0 without cells."""
     rows, columns = table_shape(cells)
+    most = lambda ws: F.array_max(F.transform(F.array_distinct(ws), lambda w: F.struct(F.size(F.filter(ws, lambda x: x == w)).alias("n"), (-F.array_position(ws, w)).alias("p"), w.alias("w"))))
+    even = lambda ws: _let(most(ws), lambda m: F.when(m["w"] > 0, m["n"] / F.greatest(F.lit(1), F.size(ws))))
     widths = F.transform(F.filter(cells, lambda r: r.isNotNull()), F.size)
-    most = F.array_max(F.transform(F.array_distinct(widths), lambda w: F.struct(F.size(F.filter(widths, lambda x: x == w)).alias("n"), (-F.array_position(widths, w)).alias("p"), w.alias("w"))))
-    even = F.when(most["w"] > 0, most["n"] / F.greatest(F.lit(1), F.size(widths))).otherwise(F.lit(0.0))
     numbers = F.size(F.filter(F.flatten(F.filter(cells, lambda r: r.isNotNull())), lambda c: F.coalesce(c, F.lit("")).rlike(MEASURED)))
-    score = F.least(F.lit(0.22), rows / 8.0 * 0.22) + F.least(F.lit(0.18), columns / 6.0 * 0.18) + F.coalesce(even, F.lit(0.0)) * 0.18 + filled_share(cells) * 0.18
-    score = score + F.least(F.lit(0.14), numbers / F.greatest(F.lit(1), rows * columns) * 0.28)
-    score = score + _bonus(F.coalesce(caption, F.lit("")) != "", 0.06) + _bonus(F.contains(F.lower(F.coalesce(html, F.lit(""))), F.lit("<table")), 0.1) + _bonus(valid_box(box), 0.04)
-    return F.when((rows == 0) | (columns == 0), F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)))
+
+    def score(shape):
+        rows, columns = shape["rows"], shape["columns"]
+        own = F.least(F.lit(0.22), rows / 8.0 * 0.22) + F.least(F.lit(0.18), columns / 6.0 * 0.18) + F.coalesce(_let(widths, even), F.lit(0.0)) * 0.18 + filled_share(cells) * 0.18
+        own = own + F.least(F.lit(0.14), numbers / F.greatest(F.lit(1), rows * columns) * 0.28)
+        own = own + _bonus(F.coalesce(caption, F.lit("")) != "", 0.06) + _bonus(F.contains(F.lower(F.coalesce(html, F.lit(""))), F.lit("<table")), 0.1) + _bonus(valid_box(box), 0.04)
+        return F.when((rows == 0) | (columns == 0), F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), own)))
+
+    return _let(F.struct(rows.alias("rows"), columns.alias("columns")), score)
 
 
 def _noise(text: Column, words: int, common: str, ends: int) -> Column:
@@ -218,7 +228,11 @@ def _nearness(e: list[Column], b: list[Column]) -> tuple[Column, Column, Column,
     """Of an element's corners and a block's: overlap sideways, gap, and how far the block is below and above."""
     overlap = F.greatest(F.lit(0.0), F.least(e[2], b[2]) - F.greatest(e[0], b[0])) / F.greatest(F.lit(1.0), F.least(e[2] - e[0], b[2] - b[0]))
     below, above = b[1] - e[3], e[1] - b[3]
-    return overlap, F.when(below >= 0, below).when(above >= 0, above), below, above
+    return overlap, _gap(below, above), below, above
+
+
+def _gap(below: Column, above: Column) -> Column:
+    return F.when(below >= 0, below).when(above >= 0, above)
 
 
 def _caption_score(kind: Column, starts: Column, overlap: Column, gap: Column, below: Column, above: Column, reach: Column) -> Column:
@@ -280,11 +294,6 @@ PAGE = ["doc", "page"]
 MATCHED = ("box", "text", "latex")
 
 
-def _let(value: Column, f) -> Column:
-    """f of a value that is computed once; a column by itself would be computed again for each element of a list."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
-
-
 def _pages(first: DataFrame, second: DataFrame, columns, blocks: DataFrame | None = None) -> DataFrame:
     """(doc, page, f, s, b): elements of both engines with these columns, and blocks, as one row a page; all go through one shuffle."""
     given = [c for c in DEFAULTS if c in columns and (c in first.columns or c in second.columns)]
@@ -535,7 +544,9 @@ def _with_captions(e: DataFrame) -> DataFrame:
         starts = F.when(F.col("kind") == "table", w["begins"]["table"]).otherwise(w["begins"]["figure"])
         return F.struct(overlap.alias("overlap"), gap.alias("gap"), below.alias("below"), above.alias("above"), starts.alias("starts"), w["block"].alias("block"), w["text"].alias("text"))
 
-    close = F.filter(F.transform("b", near), lambda n: (n["gap"] <= F.col("_reach")) & (n["overlap"] >= 0.25) & (n["starts"] | (F.length(n["text"]) <= 180)))
+    # most blocks are too far up or down to look further
+    level = F.filter("b", lambda w: _gap(w["y0"] - F.col("_y1"), F.col("_y0") - w["y1"]) <= F.col("_reach"))
+    close = F.filter(F.transform(level, near), lambda n: (n["overlap"] >= 0.25) & (n["starts"] | (F.length(n["text"]) <= 180)))
     score = lambda n: _caption_score(F.col("kind"), n["starts"], n["overlap"], n["gap"], n["below"], n["above"], F.col("_reach"))
     best = F.array_min(F.transform(close, lambda n: F.struct((-score(n)).alias("s"), n["gap"].alias("gap"), n["block"].alias("block"), n["text"].alias("text"))))
     return e.withColumn("caption", F.when(F.col("_wanted"), F.coalesce(best["text"], "caption")).otherwise(F.col("caption"))).drop("_at", "_reach", "_wanted", *[f"_{c}" for c in CORNERS])

@@ -154,3 +154,8 @@ def test_references_pass_papers_once(spark, monkeypatch):
     assert asked == [4]
     known = spark.createDataFrame([(i, "z" * i) for i in range(1, 40)], "id int, t string")
     assert sorted(r["id"] for r in lookup._within(known, spark.createDataFrame([("y" + "z" * 33,)], "t string"), "t").collect()) == list(range(1, 34))
+
+
+def test_quality_computes_its_parts_once(spark):
+    row = spark.createDataFrame([(1, 0, 0, "a", "table", [["x", "y"], ["1", ""]])], "doc long, page int, pos int, id string, kind string, cells array<array<string>>")
+    assert plan_of(layout.quality(layout.elements_of(row))).count("array_max(") == 1
