@@ -11,7 +11,7 @@ from collections import Counter, defaultdict
 
 import pytest
 from paperweave import bindings
-from paperweave.operators import papers
+from paperweave.operators import pairs, papers
 from pyspark.sql import functions as F
 
 RUN = bindings.queries()
@@ -85,6 +85,46 @@ def test_box_overlaps(spark, tmp_path):
     assert {(r["page"], r["a"], r["b"]): r["iou"] for r in RUN["box_overlaps"](spark, str(tmp_path)).collect()} == want
 
 
+@pytest.fixture(scope="module")
+def orders(spark, tmp_path_factory):
+    """Orders of more parts than the former 80, whose parts behind the 80th alone make the links between some parts; repeated rows and nulls."""
+    folder, rng = str(tmp_path_factory.mktemp("orders")), random.Random(9)
+    rows = [(o, p) for o in range(3) for p in range(130)] + [(10 + o, p) for o in range(3) for p in [*range(1000, 1090), 2000]]
+    rows += [(20 + o, rng.randrange(90, 300)) for o in range(60) for _ in range(rng.randrange(1, 7))]
+    rows += rows[::5] + [(None, 5), (None, 129), (1, None), (None, None)]
+    rng.shuffle(rows)
+    put(spark, folder, "lineitem", rows, "l_orderkey long, l_partkey long")
+    held, groups = defaultdict(set), defaultdict(set)
+    for o, p in rows:
+        held[p].add(o)
+        if None not in (o, p):
+            groups[o].add(p)
+    shared = Counter(k for g in groups.values() for k in itertools.combinations(sorted(g), 2))
+    return folder, shared, {p: len(o) for p, o in held.items()}
+
+
+@pytest.mark.parametrize("block", [16, 1000])
+def test_cocitation_of_large_orders(spark, orders, monkeypatch, block):
+    """Every part of an order pairs with every other, in one piece or in blocks that meet two by two."""
+    monkeypatch.setattr(pairs, "BLOCK", block)
+    folder, shared, n = orders
+    want = {(a, b): (s, pytest.approx(s / (n[a] + n[b] - s), abs=6e-5)) for (a, b), s in shared.items()}
+    rows = RUN["cocitation"](spark, folder).collect()
+    assert len(rows) == len(want)
+    assert {(r["a"], r["b"]): (r["shared"], r["score"]) for r in rows} == want
+    assert (100, 129) in want and (1089, 2000) in want
+
+
+def test_large_groups_are_cut(spark, monkeypatch):
+    """A group of 100 items spreads over many cells, none of which holds more than two blocks of it; a small group stays in one."""
+    monkeypatch.setattr(pairs, "BLOCK", 10)
+    links = spark.createDataFrame([(1, i) for i in range(100)] + [(2, i) for i in range(7)], "g long, i long")
+    cells = Counter((r["g"], r["_x"], r["_y"]) for r in pairs.blocks(links, "g", "i").collect())
+    assert cells[2, 0, 0] == 7 and len([c for c in cells if c[0] == 2]) == 1
+    large = {c: n for c, n in cells.items() if c[0] == 1}
+    assert len(large) == 55 and max(large.values()) < 50 and sum(large.values()) == 1000
+
+
 def test_opposite_results_all(spark, tmp_path):
     rng = random.Random(8)
     rows = []
