@@ -115,6 +115,21 @@ def test_cocitation_of_large_orders(spark, orders, monkeypatch, block):
     assert (100, 129) in want and (1089, 2000) in want
 
 
+@pytest.mark.parametrize("block", [16, 1000])
+def test_components_of_large_orders(spark, orders, monkeypatch, block):
+    """Parts that only meet behind the 80th part of their orders are linked as well."""
+    monkeypatch.setattr(pairs, "BLOCK", block)
+    folder, shared, _ = orders
+    links = [k for k, n in shared.items() if n >= 3]
+    least = {i: i for k in links for i in k}
+    while any(least[a] != least[b] for a, b in links):
+        for a, b in links:
+            least[a] = least[b] = min(least[a], least[b])
+    assert least[129] == 0 and least[2000] == 1000
+    rows = RUN["connected_components"](spark, folder).collect()
+    assert len(rows) == len(least) and {r["id"]: r["component"] for r in rows} == least
+
+
 def test_large_groups_are_cut(spark, monkeypatch):
     """A group of 100 items spreads over many cells, none of which holds more than two blocks of it; a small group stays in one."""
     monkeypatch.setattr(pairs, "BLOCK", 10)
