@@ -198,3 +198,33 @@ def test_lines_between_joints(spark):
         best[v] = max([(round(best[u][0] + 1 + 0.35 * key[v], 6), best[u][1] + 1, u) for w, u in edges if w == v], default=(1 + 0.35 * key[v], 0, None))
     got = papers.longest_paths(spark.createDataFrame(sorted(edges), "source long, target long"), spark.createDataFrame([(i, 2000, k) for i, k in key.items()], "id long, year int, key double"))
     assert {r["id"]: (r["score"], r["length"], r["parent"]) for r in got.collect()} == {v: (pytest.approx(s, abs=1e-5), n, p) for v, (s, n, p) in best.items()}
+
+
+@pytest.mark.parametrize("block", [16, 1000])
+def test_people_have_all_their_partners(spark, tmp_path, monkeypatch, block):
+    """More than 40 people of a paper and more than 600 pairs: partners, scores and links are those of all of them."""
+    monkeypatch.setattr(pairs, "BLOCK", block)
+    rng = random.Random(3)
+    rows = [(1, p) for p in range(60)] + [(k, rng.randrange(90)) for k in range(2, 60) for _ in range(4)] + [(99, 200)]
+    items = [(o, 7, s, float(1 + i % 9), "ANR"[i % 3], f"199{i % 8}-01-02") for i, (o, s) in enumerate(rows)]
+    frame = spark.createDataFrame(items, "l_orderkey long, l_partkey long, l_suppkey long, l_quantity double, l_returnflag string, day string")
+    frame.withColumn("l_shipdate", F.to_date("day")).drop("day").write.parquet(f"{tmp_path}/lineitem.parquet")
+    held = defaultdict(set)
+    for o, s in rows:
+        held[o].add(s)
+    met = defaultdict(list)
+    for o in sorted(held):
+        for k in itertools.combinations(sorted(held[o]), 2):
+            met[k].append(o)
+    assert len(met) > 600
+    near = Counter(p for k in met for p in k)
+    own = {p: [x for x in items if x[2] == p] for _, p in rows}
+    told = {p: (len({x[0] for x in v}), sum(int(x[3]) for x in v), near[p], len({x[4] for x in v})) for p, v in own.items()}
+    top = [max(1, max(x)) for x in zip(*told.values(), strict=True)]
+    got = {r["person"]: r for r in RUN["research_people"](spark, str(tmp_path)).collect()}
+    assert {p: (r["papers"], r["citations"], r["partners"], r["topics"]) for p, r in got.items()} == told
+    for p, x in told.items():
+        assert got[p]["score"] == pytest.approx(sum(w * n / m for w, n, m in zip((0.36, 0.30, 0.20, 0.14), x, top, strict=True)), abs=1e-4)
+    members = spark.createDataFrame(rows, "paper long, person long")
+    links = papers.collaboration(members, "paper", "person", cap=None, limit=None).collect()
+    assert {(r["a"], r["b"]): (r["count"], r["evidence"]) for r in links} == {k: (len(v), ",".join(map(str, v[:12]))) for k, v in met.items()}
