@@ -159,3 +159,25 @@ def test_references_pass_papers_once(spark, monkeypatch):
 def test_quality_computes_its_parts_once(spark):
     row = spark.createDataFrame([(1, 0, 0, "a", "table", [["x", "y"], ["1", ""]])], "doc long, page int, pos int, id string, kind string, cells array<array<string>>")
     assert plan_of(layout.quality(layout.elements_of(row))).count("array_max(") == 1
+
+
+def test_betweenness_of_a_long_line_takes_few_rounds(spark, monkeypatch):
+    """A line of 60 papers and a ring of 5: few stored tables, not two a step, and the scores of the rounds."""
+    edges = spark.createDataFrame([(i, i + 1) for i in range(59)] + [(100 + i, 100 + (i + 1) % 5) for i in range(5)], "source long, target long")
+    stored = []
+    real = graphs.durable
+    monkeypatch.setattr(graphs, "durable", lambda df: stored.append(df) or real(df))
+    ends = [i for k, i in enumerate([*range(60), *range(100, 105)]) if k % 22 == 0]
+    got = {r["id"]: r["score"] for r in graphs.betweenness(edges, 3).collect()}
+    assert len(stored) <= 12
+    # on a line a paper lies between a source and all behind it; no source is on the ring
+    assert ends == [0, 22, 44]
+    behind = {i: sum(59 - i if s < i else i if s > i else 0 for s in ends) for i in range(60)}
+    top = max(behind.values())
+    want = {i: round(n / top, 6) for i, n in behind.items()} | dict.fromkeys(range(100, 105), 0.0)
+    assert got == want
+    few = edges.filter("source < 9 OR source >= 100")
+    assert sorted(graphs.betweenness(few, 15).collect()) == sorted(graphs.betweenness(few, 15, local=0).collect())
+    assert sorted(graphs.betweenness(few, 15, 3).collect()) == sorted(graphs.betweenness(few, 15, 3, local=0).collect())
+    # the ring's 10 links stay in one task, the line's 18 go by rounds
+    assert sorted(graphs.betweenness(few, 15, local=12).collect()) == sorted(graphs.betweenness(few, 15).collect())
