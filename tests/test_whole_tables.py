@@ -228,3 +228,29 @@ def test_people_have_all_their_partners(spark, tmp_path, monkeypatch, block):
     members = spark.createDataFrame(rows, "paper long, person long")
     links = papers.collaboration(members, "paper", "person", cap=None, limit=None).collect()
     assert {(r["a"], r["b"]): (r["count"], r["evidence"]) for r in links} == {k: (len(v), ",".join(map(str, v[:12]))) for k, v in met.items()}
+
+
+@pytest.mark.parametrize("kind, lane, held", [("long", 512, 2_000_000), ("long", 3, 40), ("int", 7, 1), ("string", 512, 40)])
+def test_capped_pairs_travel_as_lists(spark, monkeypatch, kind, lane, held):
+    """Pairs of whole numbers are shuffled as bytes of lists, without joins, and are those of plain Python: negative and distant ids, repeats, nulls, large groups, an item of many groups."""
+    from paperweave.operators import packed
+
+    for name, value in (("LANE", lane), ("HELD", held), ("BYTES", held)):
+        monkeypatch.setattr(packed, name, value)
+    rng = random.Random(4)
+    far = [-(2**31), 2**31 - 1] if kind == "int" else [-(2**63), 2**63 - 1, -(2**40), 2**62]
+    ids = [*range(-20, 40), *far]
+    rows = [(g, rng.choice(ids)) for g in range(60) for _ in range(rng.randrange(1, 30))] + [(g, 5) for g in range(50)] + [(None, 5), (None, 6), (3, None), (3, None)]
+    rows += [(99, i) for i in ids]
+    rows = [(g, str(i) if kind == "string" and i is not None else i) for g, i in rows]
+    frame = spark.createDataFrame(rows, f"g int, i {kind}")
+    got = pairs.shared_pairs(frame, "g", "i", 12)
+    assert dict(got.dtypes) == {"a": frame.schema["i"].dataType.simpleString(), "b": frame.schema["i"].dataType.simpleString(), "shared": "bigint", "score": "double"}
+    assert kind == "string" or "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    n = Counter(i for _, i in set(rows) if i is not None)
+    shared = Counter()
+    for g in {g for g, _ in rows if g is not None}:
+        shared.update(itertools.combinations(sorted({i for h, i in rows if h == g and i is not None})[:12], 2))
+    found = got.collect()
+    assert len(found) == len(shared) and {(r["a"], r["b"]): r["shared"] for r in found} == shared
+    assert all(r["score"] == pytest.approx(r["shared"] / (n[r["a"]] + n[r["b"]] - r["shared"]), abs=5.1e-5) for r in found)
